@@ -1,12 +1,13 @@
 """Batch detector: the recursive kernel over time slices of each ticker.
 
-A ticker's timeline is cut into slices that run in parallel. Each slice first
-replays the ticks of the ``burn_ms`` before it to rebuild the carried state,
-then scores its own ticks. The rebuilt state is afterwards compared, bit by
-bit, with the state the previous slice really ended with; slices where they
-differ are scored again from the true state, until none is left. The result is
-therefore the one of a single sequential pass, whatever the slice width, and a
-ticker with a third of all rows is spread over as many tasks as it has slices.
+A ticker's timeline is cut into slices of about equally many ticks, which run
+in parallel. Each slice first replays some ticks before it to rebuild the
+carried state, then scores its own ticks. The rebuilt state is afterwards
+compared, bit by bit, with the state the previous slice really ended with;
+slices where they differ are scored again from the true state, until none is
+left. The result is therefore the one of a single sequential pass, however the
+timeline is cut, and a ticker with a third of all rows is spread over as many
+tasks as it has slices.
 """
 
 from __future__ import annotations
@@ -17,10 +18,10 @@ from collections.abc import Mapping
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType, TimestampType
 
 from tapewatch.operators.kernel import score_block, scored_frame
-from tapewatch.operators.slices import HALO, SLICE, Slicing, with_previous_span
+from tapewatch.operators.slices import HALO, SLICE, Slicing
 from tapewatch.operators.ticks import TICKS
 from tapewatch.params import DetectorParams
 from tapewatch.schemas import SCORED
@@ -46,11 +47,24 @@ def _dump(state: dict | None) -> str:
     return json.dumps(state, sort_keys=True) if state and state["last_ts"] is not None else ""
 
 
+PANDAS_TYPES = {
+    StringType(): "object",
+    LongType(): "Int64",
+    BooleanType(): "boolean",
+    DoubleType(): "float64",
+    TimestampType(): "datetime64[ns]",
+}
+
+
+def _typed(frame: pd.DataFrame) -> pd.DataFrame:
+    return frame.astype({f.name: PANDAS_TYPES[f.dataType] for f in UNIT.fields})
+
+
 def _score_unit(pdf: pd.DataFrame, order: list[str], params: Mapping[str, DetectorParams], starts: dict) -> pd.DataFrame:
     pdf = pdf.sort_values(order, kind="stable")
     own = pdf[~pdf[HALO]] if HALO in pdf else pdf
-    if own.empty:
-        return pd.DataFrame({f.name: [] for f in UNIT.fields})
+    if own.empty:  # the slice only sees ticks of an earlier one
+        return _typed(pd.DataFrame(columns=UNIT.fieldNames()))
     ticker, slice_id = own["ticker"].iat[0], int(own[SLICE].iat[0])
     arrays = [own[c].to_numpy() for c in INPUT[1:]]
     burn = pdf[pdf[HALO]] if HALO in pdf else None
@@ -74,27 +88,61 @@ def _score_unit(pdf: pd.DataFrame, order: list[str], params: Mapping[str, Detect
             }
         )
         frames += [rows.reindex(columns=UNIT.fieldNames()), book.reindex(columns=UNIT.fieldNames())]
-    out = pd.concat(frames, ignore_index=True).assign(**{SLICE: slice_id})
-    out["timestamp"] = pd.to_datetime(out["timestamp"])
-    return out.astype({"first_ms": "Int64", "last_ms": "Int64", "reset_ms": "Int64", "is_anomaly": "boolean"})
+    return _typed(pd.concat(frames, ignore_index=True).assign(**{SLICE: slice_id}))
+
+
+BROADCAST_ROWS = 200_000
+
+
+def slice_plan(ticks: DataFrame, target_rows: int, burn_ticks: int, least_burn_ms: int) -> DataFrame:
+    """Per ticker: where its slices start, how wide they are and how far back
+    the replay reaches. A slow ticker gets wide slices, a hot one narrow ones."""
+    per = ticks.groupBy("ticker").agg(
+        F.count("*").alias("_n"), F.min("event_time_ms").alias("_first"), F.max("event_time_ms").alias("_last")
+    )
+    slices = F.greatest(F.lit(1), F.floor(F.col("_n") / target_rows))
+    width = F.floor((F.col("_last") - F.col("_first")) / slices) + 1
+    share = F.lit(burn_ticks) / (F.col("_n") / slices)
+    burn = F.greatest(F.lit(least_burn_ms), F.ceil(width * share))
+    return per.select(
+        "ticker", "_first", width.alias("_width"), burn.cast("long").alias("_burn"), (slices - 1).alias("_final")
+    )
+
+
+def _with_slices(ticks: DataFrame, plan: DataFrame, halo: bool) -> DataFrame:
+    """Ticks with their slice and, as halo rows, those a later slice replays."""
+    joined = ticks.join(plan, "ticker")
+    since = F.col("event_time_ms") - F.col("_first")
+    own = F.floor(since / F.col("_width"))
+    if not halo:
+        return joined.withColumn(SLICE, own).select(*ticks.columns, SLICE)
+    last = F.least(F.floor((since + F.col("_burn")) / F.col("_width")), F.col("_final"))
+    spread = joined.withColumn("_own", own).withColumn(SLICE, F.explode(F.sequence(F.col("_own"), last)))
+    return spread.withColumn(HALO, F.col(SLICE) != F.col("_own")).select(*ticks.columns, SLICE, HALO)
 
 
 def detect_batch(
     ticks: DataFrame,
     params: DetectorParams | Mapping[str, DetectorParams] = DetectorParams(),
     s: Slicing = TICKS,
-    burn_ms: int | None = None,
+    target_rows: int = 2_000_000,
+    burn_ticks: int = 8_192,
 ) -> DataFrame:
     """Scored ticks (``SCORED``, plus ``param_id`` when several parameter sets
     are given; all sets are scored in one read of the ticks).
 
-    ``burn_ms`` only affects speed. It defaults to one slice, and is at least
-    the reset gap, so that a pause long enough to reset needs no replay."""
+    ``target_rows`` per slice and ``burn_ticks`` replayed before one affect
+    only speed: the slower averages need some thousand ticks to forget their
+    start. The replay spans at least the reset gap, so a pause long enough to
+    reset needs none. ``s`` names the columns that order ticks."""
     many = isinstance(params, Mapping)
     sets = dict(params) if many else {"": params}
-    burn = max(burn_ms or s.width_ms, *[p.gap_reset_ms + 1 for p in sets.values()])
     order = list(s.order)
     narrow = ticks.select(*dict.fromkeys([*INPUT, *order]))
+    reset = max(p.gap_reset_ms for p in sets.values()) + 1
+    plan = cut_lineage(slice_plan(narrow, target_rows, burn_ticks, reset))  # one row per ticker
+    if plan.count() <= BROADCAST_ROWS:
+        plan = F.broadcast(plan)
 
     def first_pass(pdf: pd.DataFrame) -> pd.DataFrame:
         return _score_unit(pdf, order, sets, {})
@@ -103,26 +151,33 @@ def detect_batch(
         starts = dict(zip(fix["param_id"], fix["start"]))
         return _score_unit(pdf, order, {k: sets[k] for k in starts}, starts)
 
-    result = cut_lineage(with_previous_span(narrow, burn, s).groupBy("ticker", SLICE).applyInPandas(first_pass, UNIT))
+    result = cut_lineage(_with_slices(narrow, plan, halo=True).groupBy("ticker", SLICE).applyInPandas(first_pass, UNIT))
     previous = Window.partitionBy("param_id", "ticker").orderBy(SLICE)
+    unit = ["param_id", "ticker", SLICE]
+    rounds = 0
     while True:
         books = result.filter(F.col("end_state").isNotNull()).select(
-            "param_id", "ticker", SLICE, "start_state", "first_ms", "reset_ms",
+            *unit, "start_state", "first_ms", "reset_ms",
             F.lag("end_state").over(previous).alias("start"),
             F.lag("last_ms").over(previous).alias("before_ms"),
         )
-        wrong = books.filter(
-            F.col("start").isNotNull()
-            & (F.col("first_ms") - F.col("before_ms") <= F.col("reset_ms"))
-            & (F.col("start") != F.col("start_state"))
-        ).select("param_id", "ticker", SLICE, "start")
-        wrong = cut_lineage(wrong)
+        wrong = cut_lineage(
+            books.filter(
+                F.col("start").isNotNull()
+                & (F.col("first_ms") - F.col("before_ms") <= F.col("reset_ms"))
+                & (F.col("start") != F.col("start_state"))
+            ).select(*unit, "start")
+        )
         if wrong.isEmpty():
             break
-        units = s.assign(narrow).join(wrong.select("ticker", SLICE).distinct(), ["ticker", SLICE], "left_semi")
+        rounds += 1
+        todo = wrong.select("ticker", SLICE).distinct()
+        units = _with_slices(narrow, plan, halo=False).join(todo, ["ticker", SLICE], "left_semi")
         redone = units.groupBy("ticker", SLICE).cogroup(wrong.groupBy("ticker", SLICE)).applyInPandas(again, UNIT)
-        kept = result.join(wrong, ["param_id", "ticker", SLICE], "left_anti").select(*UNIT.fieldNames())
+        kept = result.join(wrong, unit, "left_anti").select(*UNIT.fieldNames())
         result = kept.unionByName(cut_lineage(redone))
+        if rounds % 8 == 0:
+            result = cut_lineage(result)
     rows = result.filter(F.col("end_state").isNull())
     return rows.select(*(["param_id"] if many else []), *SCORED.fieldNames())
 

@@ -111,7 +111,9 @@ def _spread_out(candidates: DataFrame, reach: int, s: Slicing) -> DataFrame:
     return grouped.select("ticker", F.explode(chosen).alias("e")).select("ticker", "e.*")
 
 
-def inject_anomalies(ticks: DataFrame, rate: float = 0.008, seed: int = 42, s: Slicing = TICKS) -> DataFrame:
+def inject_anomalies(
+    ticks: DataFrame, rate: float = 0.008, seed: int = 42, s: Slicing = TICKS, session_gap_ms: int = SESSION_GAP_MS
+) -> DataFrame:
     """Ticks with price shocks and wash bursts written in, the first tick of
     each labelled. Needs bid and ask; sessions below 20 ticks stay untouched.
 
@@ -119,7 +121,7 @@ def inject_anomalies(ticks: DataFrame, rate: float = 0.008, seed: int = 42, s: S
     below 0.1, so that runs of colliding candidates stay a few rows long."""
     if not 0 < rate <= 0.1:
         raise ValueError("rate must be in (0, 0.1]")
-    base = cut_lineage(indexed(ticks.drop("label"), SESSION_GAP_MS, s))
+    base = cut_lineage(indexed(ticks.drop("label"), session_gap_ms, s))
     sessions = _sessions(base, population=True)
     key = ("ticker", "pos")
     left = F.col("_last") - F.col("pos") + 1
@@ -197,14 +199,16 @@ def _free_stretches(base: DataFrame, sessions: DataFrame) -> DataFrame:
     return stretches.filter(F.col("b") > F.col("a")).select("ticker", "a", "b")
 
 
-def inject_variant(ticks: DataFrame, variant: Variant, seed: int = 7, s: Slicing = TICKS) -> tuple[DataFrame, DataFrame]:
+def inject_variant(
+    ticks: DataFrame, variant: Variant, seed: int = 7, s: Slicing = TICKS, session_gap_ms: int = SESSION_GAP_MS
+) -> tuple[DataFrame, DataFrame]:
     """``(ticks, spans)``: labelled ticks with as many events of the variant per
     ticker as it has original events of the family, as far as there is room.
 
     Free stretches between labels are filled with slots that fit the longest
     event plus the clearance to the next; of all slots of a ticker, those with
     the smallest hash are used."""
-    base = cut_lineage(indexed(ticks, SESSION_GAP_MS, s))
+    base = cut_lineage(indexed(ticks, session_gap_ms, s))
     key = ("ticker", "pos")
     tail = SHOCK_TICKS if variant.family == "price_shock" else 0
     longest = variant.length[1] + tail

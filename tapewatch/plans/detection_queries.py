@@ -1,0 +1,269 @@
+"""Registered queries that run the recursive detector.
+
+The SQL side steps through every ticker with a recursive query, one tick per
+step, so it shares nothing with the column passes of the kernel.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tapewatch.operators import detect, inject, tuning
+from tapewatch.operators import ticks as tk
+from tapewatch.params import DetectorParams
+from tapewatch.plans.evaluation import evaluation_report
+from tapewatch.plans.inputs import indexed_sql, ticks
+from tapewatch.plans.registry import DAILY, GAP_MS, HOUR, query, r6, s6
+from tapewatch.schemas import ANOMALIES, RAW_EVENTS
+from tapewatch.session import checkpoint_folder
+from tapewatch.sources.tables import read_table
+from tapewatch.streaming.bars import live_bars
+from tapewatch.streaming.detect import detect_stream
+from tapewatch.streaming.sinks import build_sink, start_sink
+
+# The test ticks are minutes apart and their prices jump freely, so gaps are
+# hours and thresholds sit where some ticks of every signal fire.
+TEST_PARAMS = DetectorParams(
+    z_threshold=3.0,
+    vwap_threshold=0.0025,
+    wash_lookback_ms=6 * HOUR,
+    wash_volume_ratio=0.3,
+    wash_price_range=0.003,
+    rate_gap_cap_ms=2 * HOUR,
+    gap_reset_ms=2 * HOUR,
+    ewma_threshold=2.5,
+    ewma_min_samples=20,
+    cusum_k=1.0,
+    cusum_h=2.5,
+    cusum_volume_k=0.25,
+    cusum_volume_h=1.5,
+    cusum_min_samples=20,
+    volume_spike_multiple=3.0,
+)
+
+
+def detector_sql(p: DetectorParams, source: str = "ticks") -> str:
+    """CTEs up to ``run``: one row per scored tick of ``source``."""
+    rate, slow = 2.0 / (p.rate_span + 1), 2.0 / (p.cusum_sigma_span + 1)
+    fast_a, slow_a, div_a = 2.0 / (p.ewma_fast_span + 1), 2.0 / (p.ewma_slow_span + 1), 2.0 / (2 * p.ewma_slow_span + 1)
+    look = f"CASE WHEN rn >= {p.rate_min_samples} THEN {p.wash_lookback_ticks} * rd ELSE {p.wash_lookback_ms} END"
+    if p.wash_lookback_ticks <= 0:
+        look = str(p.wash_lookback_ms)
+    return f"""
+o AS (SELECT ticker, event_time_ms AS ms, price AS p, volume AS v, row_number() OVER (PARTITION BY ticker ORDER BY event_time_ms, arrival) AS pos,
+  concat_ws('-', ticker, event_time_ms, row_number() OVER (PARTITION BY ticker, event_time_ms ORDER BY arrival) - 1) AS tick_id FROM {source}),
+run AS (
+  SELECT DISTINCT ticker, 0::BIGINT AS pos, NULL::BIGINT AS ms, NULL::VARCHAR AS tick_id, []::DOUBLE[] AS cl, []::DOUBLE[] AS wp, []::DOUBLE[] AS wv,
+    []::STRUCT(m BIGINT, p DOUBLE, v DOUBLE)[] AS hist, NULL::DOUBLE AS ef, NULL::DOUBLE AS es, 0::DOUBLE AS em, 0::BIGINT AS en, 0::DOUBLE AS rd, 0::BIGINT AS rn,
+    0::DOUBLE AS up, 0::DOUBLE AS dn, 0::DOUBLE AS cv, NULL::DOUBLE AS pp, 0::DOUBLE AS dms, 0::DOUBLE AS lm, 0::DOUBLE AS lv, 0::BIGINT AS cn,
+    NULL::VARCHAR AS inc, 0::BIGINT AS since,
+    NULL::DOUBLE AS zscore, NULL::DOUBLE AS vwap_divergence, NULL::DOUBLE AS ewma_divergence, NULL::DOUBLE AS cusum_price, NULL::DOUBLE AS cusum_volume,
+    NULL::DOUBLE AS wash_ratio, NULL::DOUBLE AS spike, NULL::DOUBLE AS risk_score, NULL::VARCHAR AS anomaly_type, NULL::VARCHAR AS signals, NULL::VARCHAR AS incident_id
+  FROM o
+  UNION ALL
+  SELECT ticker, pos, ms, tick_id, list_slice(list_append(cl, cp), -{p.window_size}, -1), list_slice(list_append(wp, p), -{p.window_size}, -1), list_slice(list_append(wv, v), -{p.window_size}, -1),
+    list_append(hist, {{'m': ms, 'p': p, 'v': v}}), ef, es, em, en, rd, rn,
+    CASE WHEN cu / {p.cusum_h} > {p.risk_threshold} AND up / {p.cusum_h} > {p.risk_threshold} THEN 0 ELSE up END,
+    CASE WHEN cu / {p.cusum_h} > {p.risk_threshold} AND dn / {p.cusum_h} > {p.risk_threshold} THEN 0 ELSE dn END,
+    CASE WHEN cw / {p.cusum_volume_h} > {p.risk_threshold} THEN 0 ELSE cv END,
+    p, dms, lm, lv, cn, CASE WHEN sig <> '' THEN inc1 ELSE inc END, CASE WHEN sig <> '' THEN 0 ELSE since + 1 END,
+    z, vd, ew, cu, cw, wash, spike, risk, CASE WHEN shock THEN 'price_shock' WHEN sig <> '' THEN 'wash_trade' END, nullif(sig, ''), CASE WHEN sig <> '' THEN inc1 END
+  FROM (SELECT *, CASE WHEN inc IS NULL OR since > {p.incident_gap_ticks} THEN concat_ws('-', ticker, ms) ELSE inc END AS inc1,
+      greatest(r1, r2, r3, r4, wash, spike, r7) AS risk, r1 > {p.risk_threshold} OR r2 > {p.risk_threshold} OR r3 > {p.risk_threshold} OR r4 > {p.risk_threshold} AS shock,
+      concat_ws(',', CASE WHEN r1 > {p.risk_threshold} THEN 'zscore' END, CASE WHEN r2 > {p.risk_threshold} THEN 'vwap' END, CASE WHEN r3 > {p.risk_threshold} THEN 'ewma' END,
+        CASE WHEN r4 > {p.risk_threshold} THEN 'cusum_price' END, CASE WHEN wash > {p.risk_threshold} THEN 'wash_rule' END, CASE WHEN spike > {p.risk_threshold} THEN 'volume_spike' END,
+        CASE WHEN r7 > {p.risk_threshold} THEN 'cusum_volume' END) AS sig
+    FROM (SELECT *, coalesce(abs(z) / {p.z_threshold}, 0) AS r1, coalesce(vd / {p.vwap_threshold}, 0) AS r2, coalesce(abs(ew) / {p.ewma_threshold}, 0) AS r3,
+        coalesce(cu / {p.cusum_h}, 0) AS r4, coalesce(cw / {p.cusum_volume_h}, 0) AS r7
+      FROM (SELECT *, CASE WHEN n >= {p.min_samples} THEN CASE WHEN sd > 1e-9 THEN (p - mean) / sd ELSE 0 END END AS z,
+          CASE WHEN n >= {p.min_samples} AND sv > 1e-9 AND spv / sv > 1e-9 THEN abs(p - spv / sv) / (spv / sv) END AS vd,
+          CASE WHEN n >= {p.min_samples} AND sd > 1e-9 THEN mean + greatest(-{p.clip_k} * sd, least({p.clip_k} * sd, p - mean)) ELSE p END AS cp,
+          CASE WHEN cn > {p.cusum_min_samples} THEN greatest(up, dn) END AS cu, CASE WHEN cn > {p.cusum_min_samples} THEN cv END AS cw,
+          CASE WHEN flat AND pn >= {max(p.wash_min_prior, 1)} AND pv > 0 THEN v / ({p.wash_volume_ratio} * pv) ELSE 0 END AS wash,
+          CASE WHEN cn > {p.cusum_min_samples} AND {p.volume_spike_multiple} > 0 THEN v / ({p.volume_spike_multiple} * exp(lm)) ELSE 0 END AS spike
+        FROM (SELECT * REPLACE (
+            CASE WHEN st IS NULL THEN up ELSE greatest(0, up + st - {p.cusum_k}) END AS up, CASE WHEN st IS NULL THEN dn ELSE greatest(0, dn - st - {p.cusum_k}) END AS dn,
+            CASE WHEN pp IS NULL THEN dms ELSE dms + (CASE WHEN cn > 1 THEN {slow} ELSE 1 END) * (coalesce(st * sqrt(dms), p - pp) ** 2 - dms) END AS dms,
+            CASE WHEN NOT flat THEN 0 WHEN vst IS NOT NULL THEN greatest(0, cv + vst - {p.cusum_volume_k}) ELSE cv END AS cv,
+            CASE WHEN cn = 0 THEN ln(v) ELSE lm + {slow} * (coalesce(lm + vst * sqrt(lv), ln(v)) - lm) END AS lm,
+            CASE WHEN cn = 0 THEN lv ELSE (1 - {slow}) * (lv + {slow} * (coalesce(lm + vst * sqrt(lv), ln(v)) - lm) ** 2) END AS lv, cn + 1 AS cn)
+          FROM (SELECT *, CASE WHEN pp IS NOT NULL AND sqrt(dms) > 1e-12 THEN greatest(-{p.clip_k}, least({p.clip_k}, (p - pp) / sqrt(dms))) END AS st,
+              CASE WHEN flat AND cn > 1 AND sqrt(lv) > 1e-12 THEN greatest(-{p.clip_k}, least({p.clip_k}, (ln(v) - lm) / sqrt(lv))) END AS vst
+            FROM (SELECT *, coalesce(lo > 0 AND (hi - lo) / lo < {p.wash_price_range}, FALSE) AS flat
+              FROM (SELECT *, list_min(list_transform(prior, lambda h: h.p)) AS lo, list_max(list_transform(prior, lambda h: h.p)) AS hi,
+                  coalesce(list_sum(list_transform(prior, lambda h: h.v)), 0) AS pv, len(prior) AS pn, len(cl) AS n, list_avg(cl) AS mean, list_stddev_pop(cl) AS sd,
+                  list_sum(wv) AS sv, list_sum(list_transform(list_zip(wp, wv), lambda x: x[1] * x[2])) AS spv
+                FROM (SELECT *, list_filter(hist, lambda h: h.m < ms) AS prior
+                  FROM (SELECT * REPLACE (list_filter(hist, lambda h: h.m >= ms - cut) AS hist)
+                    FROM (SELECT *, {look} AS cut
+                      FROM (SELECT * REPLACE (CASE WHEN prev IS NULL THEN rd WHEN rn = 0 THEN least(ms - prev, {p.rate_gap_cap_ms}) ELSE rd + {rate} * (least(ms - prev, {p.rate_gap_cap_ms}) - rd) END AS rd,
+                            CASE WHEN prev IS NULL THEN rn ELSE rn + 1 END AS rn,
+                            CASE WHEN ef IS NULL THEN p ELSE ef + {fast_a} * (p - ef) END AS ef, CASE WHEN es IS NULL THEN p ELSE es + {slow_a} * (p - es) END AS es,
+                            CASE WHEN ef IS NULL THEN em ELSE em + {div_a} * ((ef + {fast_a} * (p - ef) - es) ** 2 - em) END AS em, en + 1 AS en),
+                          CASE WHEN ef IS NOT NULL AND en >= {p.ewma_min_samples} AND em > 0 THEN (ef + {fast_a} * (p - ef) - es) / sqrt(em) END AS ew
+                        FROM (SELECT o.ticker, o.pos, o.ms, o.tick_id, o.p, o.v, CASE WHEN fresh THEN NULL ELSE r.ms END AS prev,
+                            CASE WHEN fresh THEN [] ELSE cl END AS cl, CASE WHEN fresh THEN [] ELSE wp END AS wp, CASE WHEN fresh THEN [] ELSE wv END AS wv, CASE WHEN fresh THEN [] ELSE hist END AS hist,
+                            CASE WHEN fresh THEN NULL ELSE ef END AS ef, CASE WHEN fresh THEN NULL ELSE es END AS es, CASE WHEN fresh THEN 0 ELSE em END AS em, CASE WHEN fresh THEN 0 ELSE en END AS en,
+                            CASE WHEN fresh THEN 0 ELSE rd END AS rd, CASE WHEN fresh THEN 0 ELSE rn END AS rn, CASE WHEN fresh THEN 0 ELSE up END AS up, CASE WHEN fresh THEN 0 ELSE dn END AS dn,
+                            CASE WHEN fresh THEN 0 ELSE cv END AS cv, CASE WHEN fresh THEN NULL ELSE pp END AS pp, CASE WHEN fresh THEN 0 ELSE dms END AS dms, CASE WHEN fresh THEN 0 ELSE lm END AS lm,
+                            CASE WHEN fresh THEN 0 ELSE lv END AS lv, CASE WHEN fresh THEN 0 ELSE cn END AS cn, CASE WHEN fresh THEN NULL ELSE inc END AS inc, CASE WHEN fresh THEN 0 ELSE since END AS since
+                          FROM (SELECT run.*, coalesce(o.ms - run.ms > {p.gap_reset_ms}, TRUE) AS fresh FROM run JOIN o ON o.ticker = run.ticker AND o.pos = run.pos + 1) r
+                          JOIN o ON o.ticker = r.ticker AND o.pos = r.pos + 1
+        )))))))))))))"""
+
+
+TICKS_CTE = indexed_sql(GAP_MS).split("lagged AS")[0].strip().rstrip(",")
+FIELDS = ("zscore", "vwap_divergence", "ewma_divergence", "cusum_price", "cusum_volume", "risk_score")
+FIELDS_SQL = ", ".join(s6(c) for c in FIELDS)
+DETECTED_SQL = f"""
+WITH RECURSIVE {TICKS_CTE}, {detector_sql(TEST_PARAMS)}
+SELECT ticker, tick_id, {FIELDS_SQL}, anomaly_type IS NOT NULL AS is_anomaly, anomaly_type, signals, incident_id FROM run WHERE pos > 0"""
+
+
+def _shown(scored: DataFrame) -> DataFrame:
+    return scored.select(
+        "ticker", "tick_id", *[r6(c) for c in FIELDS], "is_anomaly", "anomaly_type", "signals", "incident_id"
+    )
+
+
+@query("detect", "K-1", "K-2", "K-3", "K-4", "K-5", "K-6", "K-7", "K-8", "K-9", "K-10", "K-11", "K-13", "W-13", "T-3", sql=DETECTED_SQL)
+def detect_all(spark, folder):
+    return _shown(detect.detect_batch(ticks(spark, folder), TEST_PARAMS, DAILY))
+
+
+ISOLATED = {
+    "ramp": TEST_PARAMS.only("ewma"),
+    "price_steps": TEST_PARAMS.only("cusum_price").with_(cusum_k=0.5, cusum_h=4.0),
+    "volume": TEST_PARAMS.only("wash_rule", "volume_spike", "cusum_volume").with_(wash_lookback_ticks=0.0),
+}
+
+
+def _counts_sql(name: str, p: DetectorParams) -> str:
+    # an infinite threshold has no literal: a huge one never fires either
+    finite = p.with_(**{f: 1e300 for f, v in vars(p).items() if v == float("inf")})
+    return f"""(WITH RECURSIVE {TICKS_CTE}, {detector_sql(finite)}
+SELECT '{name}' AS param_id, ticker, coalesce(signals, 'none') AS signals, count(*) AS ticks, count(DISTINCT incident_id) AS incidents FROM run WHERE pos > 0 GROUP BY ALL)"""
+
+
+@query("detect_isolated", "K-14", "J-8", sql=" UNION ALL ".join(_counts_sql(k, p) for k, p in ISOLATED.items()))
+def detect_isolated(spark, folder):
+    scored = detect.detect_batch(ticks(spark, folder), ISOLATED, DAILY)
+    return scored.groupBy("param_id", "ticker", F.coalesce("signals", F.lit("none")).alias("signals")).agg(
+        F.count("*").alias("ticks"), F.count_distinct("incident_id").alias("incidents")
+    )
+
+
+@query("detect_with_labels", "J-10", sql=f"""
+WITH RECURSIVE {indexed_sql(GAP_MS)}, {detector_sql(TEST_PARAMS)}
+SELECT run.ticker, idx.label, coalesce(anomaly_type, 'normal') AS found, count(*) AS ticks FROM run JOIN idx USING (tick_id) WHERE run.pos > 0 GROUP BY ALL""")
+def detect_with_labels(spark, folder):
+    t = tk.with_tick_id(ticks(spark, folder), DAILY)
+    labelled = detect.attach_labels(detect.detect_batch(t, TEST_PARAMS, DAILY), t, "label")
+    return labelled.groupBy("ticker", "label", F.coalesce("anomaly_type", F.lit("normal")).alias("found")).agg(
+        F.count("*").alias("ticks")
+    )
+
+
+def _tick_stream(spark, folder) -> DataFrame:
+    """``ticks`` as a stream over the events file."""
+    source = spark.readStream.schema(spark.read.parquet(f"{folder}/events.parquet").schema)
+    e = source.option("pathGlobFilter", "events.parquet").parquet(folder)
+    return e.select(
+        F.col("event_type").alias("ticker"),
+        F.unix_millis(F.col("ts").cast("timestamp")).alias("event_time_ms"),
+        (100 + F.col("value") / 1000).alias("price"),
+        (F.get_json_object("props", "$.k").cast("double") + 1).alias("volume"),
+        F.col("event_id").alias("arrival"),
+    ).withColumn("event_time", F.timestamp_millis("event_time_ms"))
+
+
+def _run_into_tables(spark, folder) -> tuple[DataFrame, DataFrame]:
+    base = f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
+    raw, flagged = f"{base}/raw_events", f"{base}/anomalies"
+    scored = detect_stream(_tick_stream(spark, folder), TEST_PARAMS)
+    sink = build_sink(scored, f"{base}/checkpoint", "detector", raw_path=raw, anomalies_path=flagged)
+    start_sink(sink, available_now=True).awaitTermination()
+    return read_table(spark, raw, RAW_EVENTS), read_table(spark, flagged, ANOMALIES)
+
+
+@query("stream_to_tables", "S-2", "S-11", "S-12", "S-17", "ST-1", "ST-4", "ST-13", sql=f"""
+WITH RECURSIVE {TICKS_CTE}, {detector_sql(TEST_PARAMS)}
+SELECT ticker, CAST(CAST(make_timestamp_ms(ms) AS DATE) AS VARCHAR) AS day, tick_id, {FIELDS_SQL}, anomaly_type, signals, incident_id FROM run WHERE anomaly_type IS NOT NULL""")
+def stream_to_tables(spark, folder):
+    _, flagged = _run_into_tables(spark, folder)
+    return flagged.select(
+        "ticker", F.col("day").cast("string").alias("day"), "tick_id", *[r6(c) for c in FIELDS], "anomaly_type", "signals", "incident_id"
+    )
+
+
+@query("stream_completeness", "J-7", "S-11", "A-23", sql=f"""
+WITH {TICKS_CTE} SELECT ticker, CAST(CAST(make_timestamp_ms(event_time_ms) AS DATE) AS VARCHAR) AS day, count(*) AS "rows" FROM ticks GROUP BY ALL""")
+def stream_completeness(spark, folder):
+    raw, _ = _run_into_tables(spark, folder)
+    return raw.groupBy("ticker", F.col("day").cast("string").alias("day")).agg(F.count("*").alias("rows"))
+
+
+@query("live_bars", "ST-11", sql=f"""
+WITH {TICKS_CTE} SELECT ticker, event_time_ms // 14400000 * 14400000 AS bar_ms, {s6('arg_min(price, (event_time_ms, arrival))', '"open"')}, {s6('max(price)', 'high')},
+  {s6('min(price)', 'low')}, {s6('arg_max(price, (event_time_ms, arrival))', '"close"')}, {s6('sum(volume)', 'volume')} FROM ticks GROUP BY 1, 2""")
+def stream_bars(spark, folder):
+    base = f"{checkpoint_folder(spark)}/bars-{uuid.uuid4().hex}"
+    bars = live_bars(_tick_stream(spark, folder), "4 hours")
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/batch={batch_id}")
+
+    run = bars.writeStream.outputMode("update").option("checkpointLocation", f"{base}__state").foreachBatch(keep)
+    run.trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.parquet(base)
+    # a bar updated by a later batch replaces its earlier version
+    newest = F.max_by(F.struct("open", "high", "low", "close", "volume"), "batch").alias("b")
+    return rows.groupBy("ticker", "bar_ms").agg(newest).select(
+        "ticker", "bar_ms", *[r6(F.col(f"b.{c}"), c) for c in ("open", "high", "low", "close", "volume")]
+    )
+
+
+SMALL_WINDOWS = ((10, 5), (20, 10))
+SMALL_Z = (1.0, 1.5, 2.0, 2.5, 3.0)
+SMALL_WASH = ((0.2, 0.003), (0.3, 0.002), (0.5, 0.003))
+
+
+@query("tune_components", "J-8", "A-14")
+def tune_components(spark, folder):
+    t = tk.with_tick_id(ticks(spark, folder), DAILY)
+    sets = {f"w{i}": TEST_PARAMS.only().with_(window_size=w, min_samples=m) for i, (w, m) in enumerate(SMALL_WINDOWS)}
+    sets |= {
+        f"v{i}": TEST_PARAMS.only("wash_rule").with_(wash_volume_ratio=r, wash_price_range=g)
+        for i, (r, g) in enumerate(SMALL_WASH)
+    }
+    labelled = detect.attach_labels(detect.detect_batch(t, sets, DAILY), t, "label")
+    return tuning.tune(labelled, SMALL_WINDOWS, SMALL_Z, SMALL_WASH)
+
+
+def _quoted(t: DataFrame) -> DataFrame:
+    return t.withColumn("bid", F.col("price") - 0.005).withColumn("ask", F.col("price") + 0.005)
+
+
+@query("inject_anomalies", "D-1")
+def inject_anomalies(spark, folder):
+    out = inject.inject_anomalies(_quoted(ticks(spark, folder)), 0.02, 42, DAILY, GAP_MS)
+    return out.groupBy("ticker", "label").agg(F.count("*").alias("ticks"), r6(F.sum("price"), "price_sum"))
+
+
+@query("inject_variants", "D-2")
+def inject_variants(spark, folder):
+    out = None
+    for variant in inject.EXISTING_VARIANTS:
+        _, spans = inject.inject_variant(ticks(spark, folder), variant, 7, DAILY, GAP_MS)
+        out = spans if out is None else out.unionByName(spans)
+    return out.groupBy("ticker", "kind").agg(
+        F.count("*").alias("events"), F.sum(F.col("end_pos") - F.col("start_pos")).alias("ticks")
+    )
+
+
+@query("evaluation_report", "D-6", "U-1")
+def report(spark, folder):
+    return evaluation_report(ticks(spark, folder), TEST_PARAMS, inject.EXISTING_VARIANTS, session_gap_ms=GAP_MS, s=DAILY)

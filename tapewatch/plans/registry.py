@@ -185,10 +185,10 @@ def rolling_zscore(spark, folder):
 
 @query("rolling_vwap", "W-2", "K-2", sql=f"""
 WITH {TICKS_SQL}, w AS (SELECT *, sum(price * volume) OVER {PREVIOUS_20} / nullif(sum(volume) OVER {PREVIOUS_20}, 0) AS vw FROM ticks)
-SELECT ticker, arrival, round(vw, 9) + 0.0 AS vwap, round(abs(price - vw) / vw, 9) + 0.0 AS vwap_divergence FROM w""")
+SELECT ticker, arrival, round(abs(price - vw) / vw, 9) + 0.0 AS vwap_divergence FROM w""")
 def rolling_vwap(spark, folder):
     return signals.rolling_vwap(ticks(spark, folder), 20, 1, DAILY).select(
-        "ticker", "arrival", (F.round("vwap", 9) + 0.0).alias("vwap"), (F.round("vwap_divergence", 9) + 0.0).alias("vwap_divergence")
+        "ticker", "arrival", (F.round("vwap_divergence", 9) + 0.0).alias("vwap_divergence")
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -115,30 +115,71 @@ def _dedupe(rows: DataFrame, key_cols: Sequence[str]) -> DataFrame:
     return rows.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
+def _differs(columns: Sequence[str]) -> Column:
+    return ~F.struct(*[F.col(f"n.{c}") for c in columns]).eqNullSafe(F.struct(*[F.col(f"o.{c}") for c in columns]))
+
+
 def upsert_partitions(
     rows: DataFrame,
     path: str,
     part_cols: Sequence[str] = tuple(PARTITION_COLUMNS),
     key_cols: Sequence[str] = tuple(ROW_KEY),
+    time_col: str = "event_time",
 ) -> None:
     """Writes rows so that a repeated write leaves the same table.
 
-    Only the partitions the rows touch are read; stored rows with the same key
-    are replaced, the others kept. The merged partitions are staged next to the
-    table first, because a partition cannot be overwritten while it is read.
-    One writer at a time; a failure before the last step leaves the table as it
-    was, and the retry of the batch repeats all steps."""
+    Stored rows are looked up only in the batch's own days and time range,
+    which Parquet statistics narrow to few files. Rows whose key is not stored
+    yet are appended; a batch that is retried finds its rows and appends
+    nothing. Only when a stored row has other values than the new one are the
+    partitions concerned rewritten, through a staging folder next to the table.
+    One writer at a time."""
     spark = rows.sparkSession
-    new = _dedupe(rows, key_cols)
-    touched = rows.select(*part_cols).distinct()
-    merged = new
-    if _path_exists(spark, path):
+    values = [c for c in rows.columns if c not in key_cols]
+    new = _dedupe(rows, key_cols).persist()
+    try:
+        span = new.agg(F.min(time_col).alias("lo"), F.max(time_col).alias("hi")).first()
+        if span["lo"] is None:
+            return
+        if not _path_exists(spark, path):
+            _append(new, path, part_cols)
+            return
         stored = spark.read.schema(rows.schema).parquet(path)
-        same_parts = stored.join(touched, list(part_cols), "left_semi")
-        merged = same_parts.join(new.select(*key_cols), list(key_cols), "left_anti").select(*rows.columns).unionByName(new)
+        near = stored.filter(
+            F.col("day").between(F.lit(span["lo"].date()), F.lit(span["hi"].date()))
+            & F.col(time_col).between(F.lit(span["lo"]), F.lit(span["hi"]))
+        )
+        both = new.alias("n").join(near.alias("o"), list(key_cols))
+        changed = both.filter(_differs(values)).select(*part_cols).distinct() if values else None
+        if changed is None or changed.isEmpty():
+            _append(new.join(near.select(*key_cols), list(key_cols), "left_anti").select(*rows.columns), path, part_cols)
+            return
+        changed = changed.persist()
+        rest = new.join(changed, list(part_cols), "left_anti")
+        _append(rest.join(near.select(*key_cols), list(key_cols), "left_anti").select(*rows.columns), path, part_cols)
+        _rewrite(new.join(changed, list(part_cols), "left_semi"), stored.join(changed, list(part_cols), "left_semi"),
+                 path, part_cols, key_cols)
+        changed.unpersist()
+    finally:
+        new.unpersist()
+
+
+def _append(rows: DataFrame, path: str, part_cols: Sequence[str]) -> None:
+    # rebalance: one file per partition where it is small, several where it is hot
+    rows.hint("rebalance", *part_cols).write.mode("append").partitionBy(*part_cols).parquet(path)
+
+
+def _rewrite(
+    new: DataFrame, stored: DataFrame, path: str, part_cols: Sequence[str], key_cols: Sequence[str]
+) -> None:
+    """Replaces whole partitions by stored rows with the new ones put over
+    them. They are staged first, because a partition cannot be overwritten
+    while it is read."""
+    spark = new.sparkSession
+    merged = stored.join(new.select(*key_cols), list(key_cols), "left_anti").select(*new.columns).unionByName(new)
     staging = f"{path.rstrip('/')}__staging/{uuid.uuid4().hex}"
-    merged.write.partitionBy(*part_cols).parquet(staging)
-    spark.read.schema(rows.schema).parquet(staging).write.mode("overwrite").option(
+    merged.hint("rebalance", *part_cols).write.partitionBy(*part_cols).parquet(staging)
+    spark.read.schema(new.schema).parquet(staging).hint("rebalance", *part_cols).write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic"
     ).partitionBy(*part_cols).parquet(path)
     target = spark._jvm.org.apache.hadoop.fs.Path(staging)
