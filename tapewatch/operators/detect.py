@@ -87,8 +87,9 @@ def _score_unit(pdf: pd.DataFrame, order: list[str], params: Mapping[str, Detect
                 "end_state": [_dump(state)],
             }
         )
-        frames += [rows.reindex(columns=UNIT.fieldNames()), book.reindex(columns=UNIT.fieldNames())]
-    return _typed(pd.concat(frames, ignore_index=True).assign(**{SLICE: slice_id}))
+        for part in (rows, book):
+            frames.append(_typed(part.assign(**{SLICE: slice_id}).reindex(columns=UNIT.fieldNames())))
+    return pd.concat(frames, ignore_index=True)
 
 
 BROADCAST_ROWS = 200_000

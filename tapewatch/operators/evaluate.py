@@ -189,7 +189,7 @@ def event_metrics(flags: DataFrame, spans: DataFrame) -> DataFrame:
 def trading_hours(ticks: DataFrame, gap_ms: int = 600_000, s: Slicing = TICKS) -> DataFrame:
     """Hours covered by sessions per ticker: the sum of all pauses inside a
     session, which needs no session ids."""
-    gaps = with_gap(ticks, s)
+    gaps = with_gap(ticks.select(*dict.fromkeys(["ticker", *s.order])), s)
     return gaps.groupBy("ticker").agg(
         (F.coalesce(F.sum(F.when(F.col("gap_ms") <= gap_ms, F.col("gap_ms"))), F.lit(0)) / 3_600_000.0).alias("hours")
     )

@@ -115,10 +115,6 @@ def _dedupe(rows: DataFrame, key_cols: Sequence[str]) -> DataFrame:
     return rows.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
-def _differs(columns: Sequence[str]) -> Column:
-    return ~F.struct(*[F.col(f"n.{c}") for c in columns]).eqNullSafe(F.struct(*[F.col(f"o.{c}") for c in columns]))
-
-
 def upsert_partitions(
     rows: DataFrame,
     path: str,
@@ -149,17 +145,22 @@ def upsert_partitions(
             F.col("day").between(F.lit(span["lo"].date()), F.lit(span["hi"].date()))
             & F.col(time_col).between(F.lit(span["lo"]), F.lit(span["hi"]))
         )
-        both = new.alias("n").join(near.alias("o"), list(key_cols))
-        changed = both.filter(_differs(values)).select(*part_cols).distinct() if values else None
-        if changed is None or changed.isEmpty():
-            _append(new.join(near.select(*key_cols), list(key_cols), "left_anti").select(*rows.columns), path, part_cols)
-            return
-        changed = changed.persist()
-        rest = new.join(changed, list(part_cols), "left_anti")
-        _append(rest.join(near.select(*key_cols), list(key_cols), "left_anti").select(*rows.columns), path, part_cols)
-        _rewrite(new.join(changed, list(part_cols), "left_semi"), stored.join(changed, list(part_cols), "left_semi"),
-                 path, part_cols, key_cols)
-        changed.unpersist()
+        old = near.select(*key_cols, F.struct(*values).alias("_old"))
+        state = (
+            F.when(F.col("_old").isNull(), "absent")
+            .when(F.col("_old").eqNullSafe(F.struct(*values)), "same")
+            .otherwise("changed")
+        )
+        marked = new.join(old, list(key_cols), "left").withColumn("_state", state).drop("_old").persist()
+        changed = marked.filter(F.col("_state") == "changed").select(*part_cols).distinct()
+        fresh = marked.filter(F.col("_state") == "absent").drop("_state").select(*rows.columns)
+        if changed.isEmpty():
+            _append(fresh, path, part_cols)
+        else:
+            _append(fresh.join(changed, list(part_cols), "left_anti"), path, part_cols)
+            touched = stored.join(changed, list(part_cols), "left_semi")
+            _rewrite(new.join(changed, list(part_cols), "left_semi"), touched, path, part_cols, key_cols)
+        marked.unpersist()
     finally:
         new.unpersist()
 
