@@ -4,58 +4,64 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapewatch.operators.slices import Slicing, ranked, running_sum
+from tapewatch.operators.slices import Slicing, ranked
 
-BUCKETS = 256
+ACCURACY = 10_000
 
 
-def _value_counts(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
-    """Distinct values with their counts, cut into buckets of about equally
-    many distinct values, in value order inside a group."""
-    counts = (
-        df.select(*by, F.col(value).cast("double").alias("_v"))
-        .filter(F.col("_v").isNotNull())
-        .groupBy(*by, "_v")
-        .agg(F.count("*").alias("_n"))
-    )
-    steps = F.array(*[F.lit(i / BUCKETS) for i in range(1, BUCKETS)])
-    edges = counts.groupBy(*by).agg(F.array_sort(F.percentile_approx("_v", steps, 4096)).alias("_edges"))
-    joined = counts.join(edges, list(by)) if by else counts.withColumn("_edges", edges.scalar())
-    # number of edges below the value = its bucket
-    bucket = F.size(F.filter("_edges", lambda e: e < F.col("_v"))).cast("long")
-    return joined.withColumn("slice_id", bucket).drop("_edges")
-
+def exact_percentiles(df: DataFrame, value: str, wanted: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
+    """``n`` and exact percentiles with linear interpolation between closest
+    ranks, per group of a short list of report groups.
 
-def exact_percentiles(
-    df: DataFrame, value: str, wanted: dict[str, float], by: Sequence[str] = (), extra: dict[str, Column] | None = None
-) -> DataFrame:
-    """Exact percentiles with linear interpolation between closest ranks.
-
-    Equal values are counted before the shuffle; the distinct values of a group
-    are spread over buckets, ranked bucket by bucket with the bucket totals
-    carried forward, and each wanted rank is then picked by a plain
-    aggregation. ``by`` is a short list of report groups.
-    """
-    counts = _value_counts(df, value, by)
-    s = Slicing(keys=tuple(by), time="_v", tie=())
-    upto = running_sum(counts, s, _upto="_n")
-    total = counts.groupBy(*by).agg(F.sum("_n").alias("_total"))
-    rows = upto.join(total, list(by)) if by else upto.withColumn("_total", total.scalar())
-    picks = []
-    for i, p in enumerate(wanted.values()):
-        at = F.lit(float(p)) * (F.col("_total") - 1)
-        picks.append(F.min(F.when(F.col("_upto") > F.floor(at), F.col("_v"))).alias(f"_lo{i}"))
-        picks.append(F.min(F.when(F.col("_upto") > F.ceil(at), F.col("_v"))).alias(f"_hi{i}"))
-    chosen = rows.groupBy(*by).agg(F.max("_total").alias("_total"), *picks)
-    out = []
-    for i, (name, p) in enumerate(wanted.items()):
-        at = F.lit(float(p)) * (F.col("_total") - 1)
-        lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
-        out.append((lo + (hi - lo) * (at - F.floor(at))).alias(name))
-    return chosen.select(*by, F.col("_total").alias("n"), *out)
+    A mergeable sketch first brackets every wanted rank between two values. One
+    aggregation counts what lies below each bracket; only the values inside the
+    brackets (a few per ten thousand, equal ones counted together) are then
+    ranked. Should a rank ever fall outside its bracket, the query fails."""
+    by = list(by)
+    values = df.select(*by, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    margin = 4.0 / ACCURACY
+    edges = [max(0.0, p - margin) for p in wanted.values()] + [min(1.0, p + margin) for p in wanted.values()]
+    k = len(wanted)
+    # below this size a bracket is narrower than a few ranks: rank everything
+    ends = F.concat(F.array_repeat(F.min("_v"), k), F.array_repeat(F.max("_v"), k))
+    sketch = F.percentile_approx("_v", F.array(*[F.lit(e) for e in edges]), ACCURACY)
+    brackets = values.groupBy(*by).agg(F.when(F.count("*") > 5 * ACCURACY, sketch).otherwise(ends).alias("_edges"))
+    rows = values.join(brackets, by) if by else values.withColumn("_edges", brackets.scalar())
+    low, high = [F.col("_edges")[i] for i in range(k)], [F.col("_edges")[k + i] for i in range(k)]
+    totals = rows.groupBy(*by).agg(
+        F.count("*").alias("n"), F.array(*[F.count_if(F.col("_v") < lo) for lo in low]).alias("_below")
+    )
+    inside = F.array_compact(
+        F.array(*[F.when(F.col("_v").between(lo, hi), F.lit(i)) for i, (lo, hi) in enumerate(zip(low, high))])
+    )
+    ranks = F.array(*[F.lit(float(p)) for p in wanted.values()])
+    counted = rows.select(*by, "_v", F.explode(inside).alias("_i")).groupBy(*by, "_i", "_v").agg(F.count("*").alias("_c"))
+    w = Window.partitionBy(*by, "_i").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    upto = counted.withColumn("_upto", F.sum("_c").over(w))
+    if by:
+        placed = upto.join(totals, by)
+    else:
+        placed = upto.withColumn("_t", totals.select(F.struct("n", "_below")).scalar()).select("*", "_t.n", "_t._below")
+    at = ranks[F.col("_i")] * (F.col("n") - 1)
+    rank = F.col("_below")[F.col("_i")] + F.col("_upto")
+    picked = placed.groupBy(*by, "_i").agg(
+        F.max("n").alias("n"),
+        F.max(at).alias("_at"),
+        F.min(F.when(rank > F.floor(at), F.col("_v"))).alias("_lo"),
+        F.min(F.when(rank > F.ceil(at), F.col("_v"))).alias("_hi"),
+        F.bool_and(F.col("_below")[F.col("_i")] <= F.floor(at)).alias("_ok"),
+    )
+    exact = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_at") - F.floor("_at"))
+    checked = F.when(F.col("_ok") & F.col("_hi").isNotNull(), exact).otherwise(
+        F.raise_error(F.lit("percentile rank outside its bracket")).cast("double")
+    )
+    each = picked.select(*by, "n", "_i", checked.alias("_x"))
+    return each.groupBy(*by).agg(
+        F.max("n").alias("n"), *[F.max(F.when(F.col("_i") == i, F.col("_x"))).alias(name) for i, name in enumerate(wanted)]
+    )
 
 
 def smallest_k(df: DataFrame, priority: str, k: str, keys: Sequence[str]) -> DataFrame:

@@ -48,19 +48,21 @@ def rolling_vwap(ticks: DataFrame, n: int = 20, min_n: int = 1, s: Slicing = TIC
     return drop_halo(halo.withColumn("vwap_divergence", _divergence(F.col("vwap")))).drop(SLICE)
 
 
-def rolling_baseline(
-    ticks: DataFrame, n: int = 20, min_n: int = 10, s: Slicing = TICKS, source: DataFrame | None = None
-) -> DataFrame:
-    """``rolling_z`` and ``rolling_vwap`` in one pass. ``source``: the plain
-    ticks when the input already carries derived columns."""
-    halo = with_previous_rows(ticks, n, s, ["price", "volume"], source)
+def baseline_columns(halo: DataFrame, n: int, min_n: int, s: Slicing) -> DataFrame:
+    """z-score and VWAP divergence over rows that still have their halo."""
     w = s.window().rowsBetween(-n, -1)
     halo = halo.select(
         "*",
         _rolling_z_columns(w, min_n).alias("zscore"),
         F.when(F.count("price").over(w) >= min_n, _rolling_vwap_column(w)).alias("vwap"),
     )
-    return drop_halo(halo.withColumn("vwap_divergence", _divergence(F.col("vwap")))).drop(SLICE)
+    return halo.withColumn("vwap_divergence", _divergence(F.col("vwap")))
+
+
+def rolling_baseline(ticks: DataFrame, n: int = 20, min_n: int = 10, s: Slicing = TICKS) -> DataFrame:
+    """``rolling_z`` and ``rolling_vwap`` in one pass."""
+    halo = with_previous_rows(ticks, n, s, ["price", "volume"])
+    return drop_halo(baseline_columns(halo, n, min_n, s)).drop(SLICE)
 
 
 def trailing_time_stats(
@@ -89,18 +91,10 @@ def trailing_time_stats(
     ).drop("_pv", "_bpv", "_bv", SLICE)
 
 
-def wash_lookback(
-    ticks: DataFrame,
-    lookback_ms: int = 120_000,
-    price_range: float = 0.0015,
-    volume_ratio: float = 0.7,
-    min_prior: int = 4,
-    s: Slicing = TICKS,
+def wash_columns(
+    halo: DataFrame, lookback_ms: int, price_range: float, volume_ratio: float, min_prior: int, s: Slicing
 ) -> DataFrame:
-    """Fixed-lookback wash rule over ``[t - lookback, t)``: the market is flat
-    when its price range stays below ``price_range``; the ratio compares this
-    tick's volume with the rule's share of the trailing volume."""
-    halo = with_previous_span(ticks, lookback_ms, s)
+    """Wash-rule columns over rows that still have their halo."""
     w = s.window(s.time).rangeBetween(-lookback_ms, -1)
     halo = halo.select(
         "*",
@@ -112,15 +106,23 @@ def wash_lookback(
     low, high = F.col("prior_low"), F.col("prior_high")
     flat = F.coalesce((low > 0) & ((high - low) / low < price_range), F.lit(False))
     rule = F.col("flat_market") & (F.col("prior_ticks") >= max(min_prior, 1)) & (F.col("prior_volume") > 0)
-    return (
-        drop_halo(halo)
-        .withColumn("flat_market", flat)
-        .withColumn(
-            "wash_ratio",
-            F.when(rule, F.col("volume") / (volume_ratio * F.col("prior_volume"))).otherwise(0.0),
-        )
-        .drop(SLICE)
-    )
+    ratio = F.when(rule, F.col("volume") / (volume_ratio * F.col("prior_volume"))).otherwise(0.0)
+    return halo.withColumn("flat_market", flat).withColumn("wash_ratio", ratio)
+
+
+def wash_lookback(
+    ticks: DataFrame,
+    lookback_ms: int = 120_000,
+    price_range: float = 0.0015,
+    volume_ratio: float = 0.7,
+    min_prior: int = 4,
+    s: Slicing = TICKS,
+) -> DataFrame:
+    """Fixed-lookback wash rule over ``[t - lookback, t)``: the market is flat
+    when its price range stays below ``price_range``; the ratio compares this
+    tick's volume with the rule's share of the trailing volume."""
+    halo = with_previous_span(ticks, lookback_ms, s)
+    return drop_halo(wash_columns(halo, lookback_ms, price_range, volume_ratio, min_prior, s)).drop(SLICE)
 
 
 def adaptive_cutoff(ticks: DataFrame, lookback: Column | str, s: Slicing = TICKS) -> DataFrame:

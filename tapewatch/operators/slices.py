@@ -6,7 +6,8 @@ task. Here a ticker's timeline is cut into time slices, windows run per
 three ways:
 
 * ``with_previous_rows``   the last n rows before the slice, as extra rows;
-* ``with_previous_span``   the rows of the last L milliseconds, as extra rows;
+* ``with_previous_span``   the rows of the last L milliseconds, as extra rows
+                           (``with_context`` gives both);
 * ``with_carry``           one value folded over all earlier slices.
 
 Extra rows are marked ``is_halo`` and dropped after the window (``drop_halo``).
@@ -71,40 +72,53 @@ def plan_width(df: DataFrame, s: Slicing, target_rows: int = 1_000_000, least_ms
     return max(least_ms, int(target_rows / rate)) if rate else HOUR_MS
 
 
-def with_previous_rows(
-    df: DataFrame, n: int, s: Slicing, cols: Sequence[str], source: DataFrame | None = None
-) -> DataFrame:
-    """df cut into slices, each preceded by copies of the n rows before it.
-
-    ``cols`` are the columns the window reads; the copies carry only those.
-    ``source`` may give a cheaper frame with the same rows to take them from
-    (the table df was derived from). The copies come from a second, narrow pass: the last n rows of each slice
-    (kept per map task before the shuffle), then a fold over slices, because a
-    thin slice may hold fewer than n rows.
-    """
-    base = s.assign(df)
+def _rows_before(df: DataFrame, n: int, s: Slicing, cols: Sequence[str]) -> DataFrame:
+    """The last n rows before every slice, with the slice that sees them.
+
+    Taken per slice first (per map task before the shuffle), then folded over
+    slices, because a thin slice may hold fewer than n rows."""
     kept = list(dict.fromkeys([*s.keys, *s.order, *cols]))
     row = F.struct(*[F.col(c) for c in (*s.order, *[c for c in kept if c not in s.order])]).alias("_row")
-    narrow = (base if source is None else s.assign(source)).select(*s.slice_keys, row)
+    narrow = s.assign(df).select(*s.slice_keys, row)
     if n == 1:
         tails = narrow.groupBy(*s.slice_keys).agg(F.max("_row").alias("_tail"))
         before = tails.withColumn("_row", F.lag("_tail").over(s.over_slices()))
-        halo = before.filter(F.col("_row").isNotNull()).select(SLICE, "_row.*")
-    else:
-        newest = Window.partitionBy(*s.slice_keys).orderBy(*[F.desc(f"_row.{c}") for c in s.order])
-        tails = (
-            narrow.withColumn("_rn", F.row_number().over(newest))
-            .filter(F.col("_rn") <= n)
-            .groupBy(*s.slice_keys)
-            .agg(F.sort_array(F.collect_list("_row"), asc=False).alias("_tail"))
-        )
-        earlier = s.over_slices().rowsBetween(-n, -1)
-        newest_first = F.flatten(F.reverse(F.collect_list("_tail").over(earlier)))
-        before = tails.withColumn("_rows", F.slice(newest_first, 1, n))
-        halo = before.select(SLICE, F.explode("_rows").alias("_row")).select(SLICE, "_row.*")
-    return base.withColumn(HALO, F.lit(False)).unionByName(
-        halo.withColumn(HALO, F.lit(True)), allowMissingColumns=True
+        return before.filter(F.col("_row").isNotNull()).select(SLICE, "_row.*")
+    newest = Window.partitionBy(*s.slice_keys).orderBy(*[F.desc(f"_row.{c}") for c in s.order])
+    tails = (
+        narrow.withColumn("_rn", F.row_number().over(newest))
+        .filter(F.col("_rn") <= n)
+        .groupBy(*s.slice_keys)
+        .agg(F.sort_array(F.collect_list("_row"), asc=False).alias("_tail"))
     )
+    earlier = s.over_slices().rowsBetween(-n, -1)
+    newest_first = F.flatten(F.reverse(F.collect_list("_tail").over(earlier)))
+    before = tails.withColumn("_rows", F.slice(newest_first, 1, n))
+    return before.select(SLICE, F.explode("_rows").alias("_row")).select(SLICE, "_row.*")
+
+
+def with_context(
+    df: DataFrame, s: Slicing, rows: int = 0, span_ms: int = 0, cols: Sequence[str] = (), source: DataFrame | None = None
+) -> DataFrame:
+    """df cut into slices, each preceded by what windows reaching back ``rows``
+    rows or ``span_ms`` milliseconds may read, so that both kinds of window run
+    over one shuffle. ``cols`` are the columns they read. ``source`` may give a
+    cheaper frame with the same rows to take them from (the table df was
+    derived from)."""
+    spread = with_previous_span(df, span_ms, s) if span_ms else s.assign(df).withColumn(HALO, F.lit(False))
+    if not rows:
+        return spread
+    halo = _rows_before(df if source is None else source, rows, s, cols)
+    if span_ms:  # younger rows are there already
+        halo = halo.filter(F.col(s.time) < F.col(SLICE) * s.width_ms - span_ms)
+    return spread.unionByName(halo.withColumn(HALO, F.lit(True)), allowMissingColumns=True)
+
+
+def with_previous_rows(
+    df: DataFrame, n: int, s: Slicing, cols: Sequence[str], source: DataFrame | None = None
+) -> DataFrame:
+    """df cut into slices, each preceded by copies of the n rows before it."""
+    return with_context(df, s, rows=n, cols=cols, source=source)
 
 
 def with_previous_span(df: DataFrame, span_ms: int, s: Slicing) -> DataFrame:
@@ -130,10 +144,12 @@ def with_carry(
     s: Slicing,
     partial: dict[str, Column],
     fold: dict[str, Callable[[Column], Column]],
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """Adds one column per entry: ``partial`` aggregates a slice, ``fold``
-    aggregates those results over all earlier slices (null for the first)."""
-    summary = df.groupBy(*s.slice_keys).agg(*[c.alias(f"_{name}") for name, c in partial.items()])
+    aggregates those results over all earlier slices (null for the first).
+    ``source`` may give a cheaper sliced frame to aggregate."""
+    summary = (df if source is None else source).groupBy(*s.slice_keys).agg(*[c.alias(f"_{name}") for name, c in partial.items()])
     earlier = s.over_slices().rowsBetween(Window.unboundedPreceding, -1)
     carried = summary.select(
         *s.slice_keys, *[fold[name](F.col(f"_{name}")).over(earlier).alias(name) for name in partial]

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tapewatch.operators.quantiles import exact_percentiles
 from tapewatch.operators.slices import (
+    SLICE,
     Slicing,
     drop_halo,
     ranked,
@@ -114,32 +115,52 @@ def with_return(ticks: DataFrame, s: Slicing = TICKS) -> DataFrame:
     ).drop("_prev_price", "slice_id")
 
 
-def indexed(ticks: DataFrame, session_gap_ms: int, s: Slicing = TICKS) -> DataFrame:
-    """pos, session_id, gap_ms, price_diff, ms_seq and tick_id in one pass over
-    the timeline (each separate call would repeat the shuffle)."""
-    prev = with_previous(ticks, s, _prev_ms=s.time, _prev_price="price")
-    gap = F.col(s.time) - F.col("_prev_ms")
-    opens = F.coalesce(gap > session_gap_ms, F.lit(False))
-    base = prev.select(
-        "*",
-        gap.alias("gap_ms"),
-        F.when(~opens, F.col("price") - F.col("_prev_price")).alias("price_diff"),
-        opens.cast("long").alias("_opens"),
+def _opens(session_gap_ms: int) -> Column:
+    return F.coalesce(F.col("gap_ms") > session_gap_ms, F.lit(False))
+
+
+def number_ticks(sliced: DataFrame, ticks: DataFrame, session_gap_ms: int, s: Slicing = TICKS) -> DataFrame:
+    """pos, session_id, ms_seq and tick_id for sliced ticks that carry
+    ``gap_ms``. The slice totals come from a pass over the time column of the
+    plain ``ticks``, not from the wide frame."""
+    narrow = with_previous(ticks.select(*dict.fromkeys([*s.keys, *s.order])), s, _prev_ms=s.time)
+    narrow = narrow.withColumn("gap_ms", F.col(s.time) - F.col("_prev_ms")).withColumn(
+        "_opens", _opens(session_gap_ms).cast("long")
     )
+    base = sliced.withColumn("_opens", _opens(session_gap_ms).cast("long"))
     carried = with_carry(
-        base, s, {"_n": F.count("*"), "_s": F.sum("_opens")}, {"_n": F.sum, "_s": F.sum}
+        base, s, {"_n": F.count("*"), "_s": F.sum("_opens")}, {"_n": F.sum, "_s": F.sum}, source=narrow
     )
     w = s.window()
     row = F.row_number().over(w)
+    running = F.sum("_opens").over(w.rowsBetween(Window.unboundedPreceding, 0))
     numbered = carried.select(
         "*",
         (F.coalesce(F.col("_n"), F.lit(0)) + row - 1).alias("pos"),
-        (F.coalesce(F.col("_s"), F.lit(0)) + F.sum("_opens").over(w.rowsBetween(Window.unboundedPreceding, 0))).alias("session_id"),
+        (F.coalesce(F.col("_s"), F.lit(0)) + running).alias("session_id"),
         (row - F.rank().over(s.window(s.time))).cast("long").alias("ms_seq"),
     )
     return numbered.withColumn(
         "tick_id", F.concat_ws("-", F.col("ticker"), F.col(s.time), F.col("ms_seq"))
-    ).drop("_prev_ms", "_prev_price", "_opens", "_n", "_s", "slice_id")
+    ).drop("_opens", "_n", "_s", SLICE)
+
+
+def with_step(halo: DataFrame, session_gap_ms: int, s: Slicing = TICKS) -> DataFrame:
+    """``gap_ms`` and ``price_diff`` (null across sessions) to the previous
+    tick; the input still has its halo rows."""
+    w = s.window()
+    gap = F.col(s.time) - F.lag(s.time).over(w)
+    diff = F.col("price") - F.lag("price").over(w)
+    return halo.select("*", gap.alias("gap_ms"), diff.alias("price_diff")).withColumn(
+        "price_diff", F.when(~_opens(session_gap_ms), F.col("price_diff"))
+    )
+
+
+def indexed(ticks: DataFrame, session_gap_ms: int, s: Slicing = TICKS) -> DataFrame:
+    """pos, session_id, gap_ms, price_diff, ms_seq and tick_id in one pass over
+    the timeline (each separate call would repeat the shuffle)."""
+    halo = with_previous_rows(ticks, 1, s, ["price"])
+    return number_ticks(drop_halo(with_step(halo, session_gap_ms, s)), ticks, session_gap_ms, s)
 
 
 def in_time_order(ticks: DataFrame, s: Slicing = TICKS, partitions: int | None = None) -> DataFrame:

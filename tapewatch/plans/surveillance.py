@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapewatch.operators.signals import rolling_baseline, wash_lookback, with_incident, with_risk
-from tapewatch.operators.slices import Slicing
-from tapewatch.operators.ticks import TICKS, indexed
+from tapewatch.operators.signals import baseline_columns, wash_columns, with_incident, with_risk
+from tapewatch.operators.slices import Slicing, drop_halo, with_context
+from tapewatch.operators.ticks import TICKS, number_ticks, with_step
 from tapewatch.session import cut_lineage
 
 
@@ -22,10 +22,12 @@ def native_scores(
     s: Slicing = TICKS,
 ) -> DataFrame:
     """Every tick with position, session, unclipped z-score, VWAP divergence,
-    fixed-lookback wash rule, risk, flag, type and fired signals."""
-    placed = indexed(ticks, session_gap_ms, s)
-    washed = wash_lookback(placed, lookback_ms, price_range, volume_ratio, s=s)
-    scored = rolling_baseline(washed, s=s, source=ticks)
+    fixed-lookback wash rule, risk, flag, type and fired signals. All windows
+    share one shuffle of the ticks by (ticker, slice)."""
+    halo = with_context(ticks, s, rows=20, span_ms=lookback_ms, cols=["price", "volume"])
+    halo = baseline_columns(with_step(halo, session_gap_ms, s), 20, 10, s)
+    washed = drop_halo(wash_columns(halo, lookback_ms, price_range, volume_ratio, 4, s))
+    scored = number_ticks(washed, ticks, session_gap_ms, s)
     return with_risk(
         scored,
         {
@@ -37,7 +39,7 @@ def native_scores(
 
 
 def surveil(ticks: DataFrame, s: Slicing = TICKS, **settings) -> DataFrame:
-    """Flagged ticks with their incident. The scored ticks are written to the
+    """Flagged ticks with their incident. The flags are written to the
     checkpoint folder once, because the incident step reads them repeatedly."""
     scored = native_scores(ticks, s=s, **settings)
     flags = cut_lineage(scored.filter("is_anomaly"))
