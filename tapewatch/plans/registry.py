@@ -28,6 +28,7 @@ from tapewatch.plans.inputs import (
     ticks,
 )
 from tapewatch.plans.surveillance import surveil
+from tapewatch.session import cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -711,7 +712,8 @@ FLAGS_SQL = """flags AS (
 
 
 def _indexed(spark, folder):
-    return tk.indexed(ticks(spark, folder), GAP_MS, DAILY)
+    # read several times by every query below, so it is written once
+    return cut_lineage(tk.indexed(ticks(spark, folder), GAP_MS, DAILY))
 
 
 def _scored(idx: DataFrame) -> DataFrame:
@@ -729,7 +731,7 @@ def _scored(idx: DataFrame) -> DataFrame:
 
 @query("event_spans", "D-3", sql=f"WITH {SPAN_SQL} SELECT ticker, start_pos, end_pos, kind, start_ms FROM spans")
 def event_spans(spark, folder):
-    return evaluate.original_spans(_indexed(spark, folder))
+    return evaluate.original_spans(tk.indexed(ticks(spark, folder), GAP_MS, DAILY))
 
 
 COVER_SQL = f"""{indexed_sql(GAP_MS)}, {FLAGS_SQL},

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,7 +51,10 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """df written once to the shared checkpoint folder and read back, so later
-    branches reuse it and a lost executor costs no recomputation."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df written once as a table under the shared checkpoint folder and read
+    back: later branches read only the columns they need, and a lost executor
+    costs no recomputation."""
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
