@@ -16,7 +16,7 @@ from tapewatch.operators import ticks as tk
 from tapewatch.params import DetectorParams
 from tapewatch.plans.evaluation import evaluation_report
 from tapewatch.plans.inputs import indexed_sql, ticks
-from tapewatch.plans.registry import DAILY, GAP_MS, HOUR, query, r6, s6
+from tapewatch.plans.registry import GAP_MS, HOUR, query, r6, s6, slices
 from tapewatch.schemas import ANOMALIES, RAW_EVENTS
 from tapewatch.session import checkpoint_folder
 from tapewatch.sources.tables import read_table
@@ -131,7 +131,7 @@ def _shown(scored: DataFrame) -> DataFrame:
 
 @query("detect", "K-1", "K-2", "K-3", "K-4", "K-5", "K-6", "K-7", "K-8", "K-9", "K-10", "K-11", "K-13", "W-13", "T-3", sql=DETECTED_SQL)
 def detect_all(spark, folder):
-    return _shown(detect.detect_batch(ticks(spark, folder), TEST_PARAMS, DAILY))
+    return _shown(detect.detect_batch(ticks(spark, folder), TEST_PARAMS, slices(spark, folder)))
 
 
 ISOLATED = {
@@ -150,7 +150,7 @@ SELECT '{name}' AS param_id, ticker, coalesce(signals, 'none') AS signals, count
 
 @query("detect_isolated", "K-14", "J-8", sql=" UNION ALL ".join(_counts_sql(k, p) for k, p in ISOLATED.items()))
 def detect_isolated(spark, folder):
-    scored = detect.detect_batch(ticks(spark, folder), ISOLATED, DAILY)
+    scored = detect.detect_batch(ticks(spark, folder), ISOLATED, slices(spark, folder))
     return scored.groupBy("param_id", "ticker", F.coalesce("signals", F.lit("none")).alias("signals")).agg(
         F.count("*").alias("ticks"), F.count_distinct("incident_id").alias("incidents")
     )
@@ -160,8 +160,8 @@ def detect_isolated(spark, folder):
 WITH RECURSIVE {indexed_sql(GAP_MS)}, {detector_sql(TEST_PARAMS)}
 SELECT run.ticker, idx.label, coalesce(anomaly_type, 'normal') AS found, count(*) AS ticks FROM run JOIN idx USING (tick_id) WHERE run.pos > 0 GROUP BY ALL""")
 def detect_with_labels(spark, folder):
-    t = tk.with_tick_id(ticks(spark, folder), DAILY)
-    labelled = detect.attach_labels(detect.detect_batch(t, TEST_PARAMS, DAILY), t, "label")
+    t = tk.with_tick_id(ticks(spark, folder), slices(spark, folder))
+    labelled = detect.attach_labels(detect.detect_batch(t, TEST_PARAMS, slices(spark, folder)), t, "label")
     return labelled.groupBy("ticker", "label", F.coalesce("anomaly_type", F.lit("normal")).alias("found")).agg(
         F.count("*").alias("ticks")
     )
@@ -233,13 +233,13 @@ SMALL_WASH = ((0.2, 0.003), (0.3, 0.002), (0.5, 0.003))
 
 @query("tune_components", "J-8", "A-14")
 def tune_components(spark, folder):
-    t = tk.with_tick_id(ticks(spark, folder), DAILY)
+    t = tk.with_tick_id(ticks(spark, folder), slices(spark, folder))
     sets = {f"w{i}": TEST_PARAMS.only().with_(window_size=w, min_samples=m) for i, (w, m) in enumerate(SMALL_WINDOWS)}
     sets |= {
         f"v{i}": TEST_PARAMS.only("wash_rule").with_(wash_volume_ratio=r, wash_price_range=g)
         for i, (r, g) in enumerate(SMALL_WASH)
     }
-    labelled = detect.attach_labels(detect.detect_batch(t, sets, DAILY), t, "label")
+    labelled = detect.attach_labels(detect.detect_batch(t, sets, slices(spark, folder)), t, "label")
     return tuning.tune(labelled, SMALL_WINDOWS, SMALL_Z, SMALL_WASH)
 
 
@@ -249,7 +249,7 @@ def _quoted(t: DataFrame) -> DataFrame:
 
 @query("inject_anomalies", "D-1")
 def inject_anomalies(spark, folder):
-    out = inject.inject_anomalies(_quoted(ticks(spark, folder)), 0.02, 42, DAILY, GAP_MS)
+    out = inject.inject_anomalies(_quoted(ticks(spark, folder)), 0.02, 42, slices(spark, folder), GAP_MS)
     return out.groupBy("ticker", "label").agg(F.count("*").alias("ticks"), r6(F.sum("price"), "price_sum"))
 
 
@@ -257,7 +257,7 @@ def inject_anomalies(spark, folder):
 def inject_variants(spark, folder):
     out = None
     for variant in inject.EXISTING_VARIANTS:
-        _, spans = inject.inject_variant(ticks(spark, folder), variant, 7, DAILY, GAP_MS)
+        _, spans = inject.inject_variant(ticks(spark, folder), variant, 7, slices(spark, folder), GAP_MS)
         out = spans if out is None else out.unionByName(spans)
     return out.groupBy("ticker", "kind").agg(
         F.count("*").alias("events"), F.sum(F.col("end_pos") - F.col("start_pos")).alias("ticks")
@@ -266,4 +266,4 @@ def inject_variants(spark, folder):
 
 @query("evaluation_report", "D-6", "U-1")
 def report(spark, folder):
-    return evaluation_report(ticks(spark, folder), TEST_PARAMS, inject.EXISTING_VARIANTS, session_gap_ms=GAP_MS, s=DAILY)
+    return evaluation_report(ticks(spark, folder), TEST_PARAMS, inject.EXISTING_VARIANTS, session_gap_ms=GAP_MS, s=slices(spark, folder))

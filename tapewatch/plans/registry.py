@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime, timezone
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from tapewatch.functions import columns as fn
 from tapewatch.operators import alerts, bars, desk, diff, evaluate, quality, signals, tuning
 from tapewatch.operators import ticks as tk
 from tapewatch.operators.quantiles import exact_percentiles
-from tapewatch.operators.slices import DAY_MS, Slicing
+from tapewatch.operators.slices import DAY_MS, Slicing, plan_width
 from tapewatch.plans.inputs import (
     ANOMALIES_SQL,
     LOG_SQL,
@@ -34,10 +35,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 COVERS: dict[str, tuple[str, ...]] = {}
 
-# The test ticks are minutes apart, so a slice is a day and gaps are hours.
-DAILY = Slicing(width_ms=DAY_MS)
-ALL_TIME = DAILY.by(keys=())
-LOG_SLICES = quality.LOG.by(width_ms=1_000)
+# The test ticks are minutes apart, so gaps and look-backs are hours.
 GAP_MS = 5_400_000
 HOUR = 3_600_000
 NOW = datetime(2024, 1, 20, 12, 0, tzinfo=timezone.utc)
@@ -56,6 +54,18 @@ def query(name: str, *covers: str, sql: str | None = None):
     return register
 
 
+@lru_cache(maxsize=32)
+def _planned_width(application: str, folder: str) -> int:
+    t = ticks(SparkSession.getActiveSession(), folder).select("ticker", "event_time_ms")
+    return max(6 * HOUR, plan_width(t, Slicing()))
+
+
+def slices(spark: SparkSession, folder: str) -> Slicing:
+    """A day per slice, or less where the busiest ticker has more than a
+    million ticks a day; never less than the longest look-back."""
+    return Slicing(width_ms=min(DAY_MS, _planned_width(spark.sparkContext.applicationId, folder)))
+
+
 def r6(column: str | Column, name: str | None = None) -> Column:
     c = F.col(column) if isinstance(column, str) else column
     return (F.round(c, 6) + 0.0).alias(name or column)
@@ -94,29 +104,29 @@ def days_covered(spark, folder):
 @query("tick_gaps", "W-3", sql=f"""
 WITH {indexed_sql(GAP_MS)} SELECT ticker, arrival, gap_ms, CASE WHEN gap_ms IS NOT NULL THEN least(gap_ms, 60000) END AS capped_gap_ms FROM idx""")
 def tick_gaps(spark, folder):
-    return tk.with_gap(ticks(spark, folder), DAILY).select("ticker", "arrival", "gap_ms", "capped_gap_ms")
+    return tk.with_gap(ticks(spark, folder), slices(spark, folder)).select("ticker", "arrival", "gap_ms", "capped_gap_ms")
 
 
 @query("session_ids", "W-4", sql=f"WITH {indexed_sql(GAP_MS)} SELECT ticker, arrival, session_id FROM idx")
 def session_ids(spark, folder):
-    return tk.with_session(ticks(spark, folder), GAP_MS, DAILY).select("ticker", "arrival", "session_id")
+    return tk.with_session(ticks(spark, folder), GAP_MS, slices(spark, folder)).select("ticker", "arrival", "session_id")
 
 
 @query("tick_ids", "W-5", sql=f"WITH {indexed_sql(GAP_MS)} SELECT ticker, arrival, ms_seq, tick_id FROM idx")
 def tick_ids(spark, folder):
-    return tk.with_tick_id(ticks(spark, folder), DAILY).select("ticker", "arrival", "ms_seq", "tick_id")
+    return tk.with_tick_id(ticks(spark, folder), slices(spark, folder)).select("ticker", "arrival", "ms_seq", "tick_id")
 
 
 @query("tick_positions", "W-15", sql=f"WITH {indexed_sql(GAP_MS)} SELECT ticker, arrival, pos FROM idx")
 def tick_positions(spark, folder):
-    return tk.with_pos(ticks(spark, folder), DAILY).select("ticker", "arrival", "pos")
+    return tk.with_pos(ticks(spark, folder), slices(spark, folder)).select("ticker", "arrival", "pos")
 
 
 @query("tick_index", "W-3", "W-4", "W-5", "W-15", sql=f"""
 WITH {indexed_sql(GAP_MS)}
 SELECT ticker, arrival, pos, session_id, gap_ms, ms_seq, tick_id, {s6('price_diff')} FROM idx""")
 def tick_index(spark, folder):
-    return tk.indexed(ticks(spark, folder), GAP_MS, DAILY).select(
+    return tk.indexed(ticks(spark, folder), GAP_MS, slices(spark, folder)).select(
         "ticker", "arrival", "pos", "session_id", "gap_ms", "ms_seq", "tick_id", r6("price_diff")
     )
 
@@ -125,7 +135,7 @@ def tick_index(spark, folder):
 WITH {TICKS_SQL}
 SELECT ticker, arrival, round(coalesce(abs(price / lag(price) OVER (PARTITION BY ticker ORDER BY event_time_ms, arrival) - 1), 0.0), 9) + 0.0 AS abs_return FROM ticks""")
 def tick_returns(spark, folder):
-    return tk.with_return(ticks(spark, folder), DAILY).select(
+    return tk.with_return(ticks(spark, folder), slices(spark, folder)).select(
         "ticker", "arrival", (F.round("abs_return", 9) + 0.0).alias("abs_return")
     )
 
@@ -134,14 +144,14 @@ def tick_returns(spark, folder):
 WITH {TICKS_SQL}
 SELECT ticker, arrival, CASE WHEN coalesce(price - lag(price) OVER (PARTITION BY ticker ORDER BY event_time_ms, arrival), 0) >= 0 THEN 'buy' ELSE 'sell' END AS side FROM ticks""")
 def tick_side(spark, folder):
-    return tk.with_side(ticks(spark, folder), "ticker", DAILY).select("ticker", "arrival", "side")
+    return tk.with_side(ticks(spark, folder), "ticker", slices(spark, folder)).select("ticker", "arrival", "side")
 
 
 @query("tick_side_global", "P-14", sql=f"""
 WITH {TICKS_SQL}
 SELECT ticker, arrival, CASE WHEN coalesce(price - lag(price) OVER (ORDER BY event_time_ms, arrival), 0) >= 0 THEN 'buy' ELSE 'sell' END AS side FROM ticks""")
 def tick_side_global(spark, folder):
-    return tk.with_side(ticks(spark, folder), "global", DAILY).select("ticker", "arrival", "side")
+    return tk.with_side(ticks(spark, folder), "global", slices(spark, folder)).select("ticker", "arrival", "side")
 
 
 REPLAY_SQL = """
@@ -152,12 +162,12 @@ SELECT ticker, arrival, round(target, 6) + 0.0 AS target_s FROM e"""
 
 @query("replay_schedule", "W-16", sql=REPLAY_SQL.format(t=TICKS_SQL, p=""))
 def replay_schedule(spark, folder):
-    return tk.replay_schedule(ticks(spark, folder), 50.0, 2.0, "global", s=DAILY).select("ticker", "arrival", r6("target_s"))
+    return tk.replay_schedule(ticks(spark, folder), 50.0, 2.0, "global", s=slices(spark, folder)).select("ticker", "arrival", r6("target_s"))
 
 
 @query("replay_schedule_per_ticker", "W-16", sql=REPLAY_SQL.format(t=TICKS_SQL, p="PARTITION BY ticker"))
 def replay_schedule_per_ticker(spark, folder):
-    return tk.replay_schedule(ticks(spark, folder), 50.0, 2.0, "ticker", s=DAILY).select("ticker", "arrival", r6("target_s"))
+    return tk.replay_schedule(ticks(spark, folder), 50.0, 2.0, "ticker", s=slices(spark, folder)).select("ticker", "arrival", r6("target_s"))
 
 
 @query("period_split", "P-15", "A-10", sql=f"""
@@ -181,14 +191,14 @@ PREVIOUS_20 = "(PARTITION BY ticker ORDER BY event_time_ms, arrival ROWS BETWEEN
 WITH {TICKS_SQL}, w AS (SELECT *, count(*) OVER {PREVIOUS_20} n, avg(price) OVER {PREVIOUS_20} m, stddev_pop(price) OVER {PREVIOUS_20} sd FROM ticks)
 SELECT ticker, arrival, {s6('CASE WHEN n >= 10 THEN CASE WHEN sd > 1e-9 THEN (price - m) / sd ELSE 0 END END', 'zscore')} FROM w""")
 def rolling_zscore(spark, folder):
-    return signals.rolling_z(tk.detector_input(ticks(spark, folder)), 20, 10, DAILY).select("ticker", "arrival", r6("zscore"))
+    return signals.rolling_z(tk.detector_input(ticks(spark, folder)), 20, 10, slices(spark, folder)).select("ticker", "arrival", r6("zscore"))
 
 
 @query("rolling_vwap", "W-2", "K-2", sql=f"""
 WITH {TICKS_SQL}, w AS (SELECT *, sum(price * volume) OVER {PREVIOUS_20} / nullif(sum(volume) OVER {PREVIOUS_20}, 0) AS vw FROM ticks)
 SELECT ticker, arrival, round(abs(price - vw) / vw, 9) + 0.0 AS vwap_divergence FROM w""")
 def rolling_vwap(spark, folder):
-    return signals.rolling_vwap(ticks(spark, folder), 20, 1, DAILY).select(
+    return signals.rolling_vwap(ticks(spark, folder), 20, 1, slices(spark, folder)).select(
         "ticker", "arrival", (F.round("vwap_divergence", 9) + 0.0).alias("vwap_divergence")
     )
 
@@ -204,7 +214,7 @@ f AS (SELECT *, coalesce(lo > 0 AND (hi - lo) / lo < 0.003, FALSE) AS flat FROM
 SELECT ticker, arrival, n AS prior_ticks, {s6('pv', 'prior_volume')}, flat AS flat_market,
   {s6('CASE WHEN flat AND n >= 4 AND pv > 0 THEN volume / (0.3 * pv) ELSE 0 END', 'wash_ratio')} FROM f""")
 def wash_lookback(spark, folder):
-    w = signals.wash_lookback(ticks(spark, folder), 6 * HOUR, 0.003, 0.3, 4, DAILY)
+    w = signals.wash_lookback(ticks(spark, folder), 6 * HOUR, 0.003, 0.3, 4, slices(spark, folder))
     return w.select("ticker", "arrival", "prior_ticks", r6("prior_volume"), "flat_market", r6("wash_ratio"))
 
 
@@ -213,7 +223,7 @@ WITH {indexed_sql(GAP_MS)}
 SELECT ticker, arrival, CAST(max(event_time_ms - 1000 * CAST(volume AS BIGINT) * 60) OVER (PARTITION BY ticker ORDER BY event_time_ms, arrival) AS BIGINT) AS cutoff_ms FROM idx""")
 def adaptive_cutoff(spark, folder):
     look = F.lit(60_000) * F.col("volume").cast("long")
-    return signals.adaptive_cutoff(ticks(spark, folder), look, DAILY).select("ticker", "arrival", "cutoff_ms")
+    return signals.adaptive_cutoff(ticks(spark, folder), look, slices(spark, folder)).select("ticker", "arrival", "cutoff_ms")
 
 
 @query("trailing_two_hours", "W-12", sql=f"""
@@ -224,7 +234,7 @@ WITH {TICKS_SQL}, w AS (
 SELECT ticker, arrival, {s6('CASE WHEN sd >= 1e-4 THEN greatest(-6.0, least(6.0, (price - m) / sd)) ELSE 0 END', 'zscore')},
   {s6('abs(price - vw) / vw', 'vwap_divergence')} FROM w""")
 def trailing_two_hours(spark, folder):
-    return signals.trailing_time_stats(ticks(spark, folder), 2 * HOUR, s=DAILY).select(
+    return signals.trailing_time_stats(ticks(spark, folder), 2 * HOUR, s=slices(spark, folder)).select(
         "ticker", "arrival", r6("zscore"), r6("vwap_divergence")
     )
 
@@ -242,7 +252,7 @@ SELECT ticker, arrival, label AS anomaly_type, {s6('z', 'zscore')}, {s6('greates
   CASE WHEN label = 'wash_trade' THEN 'wash_rule' ELSE 'zscore' END AS signals,
   concat_ws('-', ticker, max(CASE WHEN opens THEN event_time_ms END) OVER (PARTITION BY ticker ORDER BY event_time_ms, arrival)) AS incident_id FROM o""")
 def labelled_enrichment(spark, folder):
-    rows = signals.enrich_labelled(ticks(spark, folder), 2 * HOUR, 24 * HOUR, DAILY)
+    rows = signals.enrich_labelled(ticks(spark, folder), 2 * HOUR, 24 * HOUR, slices(spark, folder))
     return rows.select("ticker", "arrival", "anomaly_type", r6("zscore"), r6("risk_score"), "signals", "incident_id")
 
 
@@ -270,7 +280,7 @@ SELECT ticker, tick_id, {s6('risk', 'risk_score')}, CASE WHEN rz > 1 OR rv > 1 T
   sig AS signals, concat_ws('-', ticker, max(CASE WHEN opens THEN event_time_ms END) OVER (PARTITION BY ticker ORDER BY event_time_ms, arrival)) AS incident_id
 FROM o""")
 def surveillance(spark, folder):
-    return surveil(ticks(spark, folder), DAILY, **SURVEIL).select(
+    return surveil(ticks(spark, folder), slices(spark, folder), **SURVEIL).select(
         "ticker", "tick_id", r6("risk_score"), "anomaly_type", "signals", "incident_id"
     )
 
@@ -279,7 +289,7 @@ def surveillance(spark, folder):
 WITH {TICKS_SQL}, r AS (SELECT *, coalesce(abs(price / lag(price) OVER (PARTITION BY ticker ORDER BY event_time_ms, arrival) - 1), 0.0) AS ret FROM ticks)
 SELECT ticker, arrival, ret > 0.0015 AS naive_shock, volume > 90 AND NOT ret > 0.0015 AS naive_wash FROM r""")
 def naive_flags(spark, folder):
-    t = tk.with_return(ticks(spark, folder), DAILY)
+    t = tk.with_return(ticks(spark, folder), slices(spark, folder))
     return signals.naive_flags(t, 0.0015, 90.0).select("ticker", "arrival", "naive_shock", "naive_wash")
 
 
@@ -357,7 +367,7 @@ def nearest_bar(spark, folder):
     t = ticks(spark, folder)
     third = F.floor(F.col("event_time_ms") / 1_800_000)
     sparse = t.filter(third % 3 == 0).select("ticker", (third * 1_800_000).alias("bar_ms")).distinct()
-    return bars.nearest_bar(t.select("ticker", "event_time_ms", "arrival"), sparse, DAILY).select("ticker", "arrival", "bar_ms")
+    return bars.nearest_bar(t.select("ticker", "event_time_ms", "arrival"), sparse, slices(spark, folder)).select("ticker", "arrival", "bar_ms")
 
 
 @query("bar_markers", "A-21", sql=f"""
@@ -539,7 +549,7 @@ SELECT substr(md5(concat_ws('|', ticker, coalesce(incident_id, anomaly_type), st
 @query("alert_rollup", "A-22", sql=ALERTS_SQL)
 def alert_rollup(spark, folder):
     cfg = alerts.AlertConfig(burst_window_ms=HOUR)
-    a = alerts.alerts_batch(desk.flagged(anomalies(spark, folder)), cfg, DAILY)
+    a = alerts.alerts_batch(desk.flagged(anomalies(spark, folder)), cfg, slices(spark, folder))
     return a.select(
         "alert_id", "ticker", "severity", "anomaly_type", F.unix_millis("start_time").alias("start_ms"),
         F.unix_millis("end_time").alias("end_ms"), r6("last_price"), r6("peak_zscore"), r6("total_volume"), "tick_count",
@@ -550,7 +560,7 @@ def alert_rollup(spark, folder):
 @query("recent_alerts", "T-4", sql=ALERTS_SQL.replace("SELECT substr", ", z AS (SELECT substr") + ") SELECT alert_id, ticker, end_ms FROM z ORDER BY end_ms DESC, alert_id DESC LIMIT 50")
 def recent_alerts(spark, folder):
     cfg = alerts.AlertConfig(burst_window_ms=HOUR)
-    a = alerts.alerts_batch(desk.flagged(anomalies(spark, folder)), cfg, DAILY)
+    a = alerts.alerts_batch(desk.flagged(anomalies(spark, folder)), cfg, slices(spark, folder))
     return desk.recent_alerts(a, 50, "end_time").select("alert_id", "ticker", F.unix_millis("end_time").alias("end_ms"))
 
 
@@ -647,7 +657,7 @@ def log_message_count(spark, folder):
 WITH {LOG_SQL}, v AS (SELECT *, coalesce(event_time_ms < lag(event_time_ms) OVER (PARTITION BY "partition" ORDER BY "offset"), FALSE) AS bad FROM log)
 SELECT "partition", count(*) AS messages, max(event_time_ms) AS newest_ms, count_if(bad)::BIGINT AS violations, count(DISTINCT key) AS keys FROM v GROUP BY "partition" """)
 def log_order_report(spark, folder):
-    return quality.order_report(log_records(spark, folder), LOG_SLICES)
+    return quality.order_report(log_records(spark, folder))
 
 
 @query("log_partition_consistency", "A-19", sql=f"""
@@ -713,7 +723,7 @@ FLAGS_SQL = """flags AS (
 
 def _indexed(spark, folder):
     # read several times by every query below, so it is written once
-    return cut_lineage(tk.indexed(ticks(spark, folder), GAP_MS, DAILY))
+    return cut_lineage(tk.indexed(ticks(spark, folder), GAP_MS, slices(spark, folder)))
 
 
 def _scored(idx: DataFrame) -> DataFrame:
@@ -731,7 +741,7 @@ def _scored(idx: DataFrame) -> DataFrame:
 
 @query("event_spans", "D-3", sql=f"WITH {SPAN_SQL} SELECT ticker, start_pos, end_pos, kind, start_ms FROM spans")
 def event_spans(spark, folder):
-    return evaluate.original_spans(tk.indexed(ticks(spark, folder), GAP_MS, DAILY))
+    return evaluate.original_spans(tk.indexed(ticks(spark, folder), GAP_MS, slices(spark, folder)))
 
 
 COVER_SQL = f"""{indexed_sql(GAP_MS)}, {FLAGS_SQL},
@@ -741,7 +751,7 @@ cov AS (SELECT ticker, p AS pos, max(start_pos) AS event_pos, arg_max(kind, star
 
 @query("covered_ticks", "J-3", sql=f"WITH {COVER_SQL} SELECT ticker, pos, event_pos, event_kind FROM cov")
 def covered_ticks(spark, folder):
-    return evaluate.cover_events(evaluate.labelled_events(tk.with_pos(ticks(spark, folder), DAILY)))
+    return evaluate.cover_events(evaluate.labelled_events(tk.with_pos(ticks(spark, folder), slices(spark, folder))))
 
 
 @query("located_flags", "J-2", sql=f"""
@@ -814,7 +824,7 @@ SELECT {s6('(SELECT count(*) FROM flags) / (SELECT count(*) FROM idx)', 'flag_ra
   {s6('(SELECT count(*) FROM hit) / (SELECT sum(hours) FROM h)', 'total_per_hour')}""")
 def incident_metrics(spark, folder):
     idx = _indexed(spark, folder)
-    hours = evaluate.trading_hours(ticks(spark, folder), GAP_MS, DAILY)
+    hours = evaluate.trading_hours(ticks(spark, folder), GAP_MS, slices(spark, folder))
     overall, _ = evaluate.incident_metrics(_scored(idx), evaluate.original_spans(idx), hours)
     return overall.select(r6("flag_rate"), "incidents", r6("precision"), r6("event_recall"), r6("total_per_hour"))
 
@@ -824,7 +834,7 @@ WITH {INCIDENTS_SQL} SELECT h.ticker, {s6('hours')}, coalesce(n, 0) AS incidents
 FROM h LEFT JOIN (SELECT ticker, count(*) AS n FROM hit GROUP BY ticker) USING (ticker)""")
 def incidents_per_ticker(spark, folder):
     idx = _indexed(spark, folder)
-    hours = evaluate.trading_hours(ticks(spark, folder), GAP_MS, DAILY)
+    hours = evaluate.trading_hours(ticks(spark, folder), GAP_MS, slices(spark, folder))
     _, per = evaluate.incident_metrics(_scored(idx), evaluate.original_spans(idx), hours)
     return per.select("ticker", r6("hours"), "incidents", r6("alerts_per_hour"))
 
@@ -876,7 +886,7 @@ PRF_SQL = "coalesce(tp / nullif(nf, 0), 0) AS p, coalesce(tp / nullif(np, 0), 0)
 
 def _z_scores(spark, folder):
     t = tk.period_mask(ticks(spark, folder))
-    z = signals.rolling_z(t, 20, 10, DAILY)
+    z = signals.rolling_z(t, 20, 10, slices(spark, folder))
     return z.select(
         "ticker", "period", "label", (F.col("label") == "price_shock").alias("y"), F.abs("zscore").alias("s")
     )
@@ -934,7 +944,7 @@ c AS (SELECT 'price_shock' AS kind, grid_pos, tr AS threshold, count_if(ret > tr
 f AS (SELECT *, coalesce(2 * p * r / nullif(p + r, 0), 0) AS f1 FROM (SELECT *, {PRF_SQL} FROM c))
 SELECT kind, {s6('arg_max(threshold, (f1, -grid_pos))', 'threshold')}, {s6('max(f1)', 'f1')} FROM f GROUP BY kind""")
 def naive_tuning(spark, folder):
-    rows = tuning.tune_naive(tk.with_return(ticks(spark, folder), DAILY))
+    rows = tuning.tune_naive(tk.with_return(ticks(spark, folder), slices(spark, folder)))
     return rows.select("kind", r6("threshold"), r6("f1"))
 
 

@@ -34,6 +34,12 @@ def ensure_utc(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
+def ensure_state_store(spark: SparkSession) -> None:
+    """The stateful operators need a state store with column families."""
+    if spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") != ROCKSDB_PROVIDER:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder for checkpoints: spark.checkpoint.dir when the
     session names one, a throw-away folder only for a local master."""

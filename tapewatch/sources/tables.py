@@ -197,6 +197,9 @@ def persist_batch(
     def write(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         try:
+            # counts every partition, so that each commits its state
+            if batch.count() == 0:
+                return
             writer(raw_rows(batch), raw_path)
             writer(anomaly_rows(batch), anomalies_path)
         finally:

@@ -14,6 +14,7 @@ from tapewatch.functions.columns import severity
 from tapewatch.operators.alerts import normalised_events
 from tapewatch.params import AlertConfig
 from tapewatch.schemas import ALERT, ALERT_STATE
+from tapewatch.session import ensure_state_store
 
 ALERT_FIELDS = ALERT_STATE.fieldNames()
 
@@ -181,6 +182,7 @@ def alerts_stream(events: DataFrame, cfg: AlertConfig = AlertConfig(), late: str
     """Alerts from a stream of anomaly rows with ``event_time``. ``event`` tells
     what happened: opened, escalated or closed. Pass ``late=None`` when the
     input already has a watermark (``dedupe_events``)."""
+    ensure_state_store(events.sparkSession)
     if late is not None:
         events = events.withWatermark("event_time", late)
     rows = normalised_events(events, keep=["event_time"])

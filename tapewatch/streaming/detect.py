@@ -12,6 +12,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from tapewatch.operators.kernel import STATE_FIELDS, score_block, scored_frame
 from tapewatch.params import DetectorParams
 from tapewatch.schemas import DETECTOR_STATE, SCORED, STATE_LAYOUT_VERSION
+from tapewatch.session import ensure_state_store
 
 # SCORED plus the running count of late ticks the scorer dropped per ticker.
 SCORED_WITH_LATE = StructType([*SCORED.fields, StructField("late_dropped", LongType())])
@@ -59,6 +60,7 @@ def detect_stream(
     watermark are dropped before the scorer, which needs event-time mode; rows
     within it but older than the ticker's last tick are dropped and counted by
     the scorer."""
+    ensure_state_store(ticks.sparkSession)
     columns = ["ticker", "event_time_ms", "event_time", "price", "volume"]
     columns += ["arrival"] if "arrival" in ticks.columns else []
     return (
