@@ -142,7 +142,8 @@ def detect_batch(
     narrow = ticks.select(*dict.fromkeys([*INPUT, *order]))
     reset = max(p.gap_reset_ms for p in sets.values()) + 1
     plan = cut_lineage(slice_plan(narrow, target_rows, burn_ticks, reset))  # one row per ticker
-    if plan.count() <= BROADCAST_ROWS:
+    size = plan.agg(F.count("*").alias("tickers"), F.max("_final").alias("final")).first()
+    if size["tickers"] <= BROADCAST_ROWS:
         plan = F.broadcast(plan)
 
     def first_pass(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -152,6 +153,10 @@ def detect_batch(
         starts = dict(zip(fix["param_id"], fix["start"]))
         return _score_unit(pdf, order, {k: sets[k] for k in starts}, starts)
 
+    columns = [*(["param_id"] if many else []), *SCORED.fieldNames()]
+    if not size["final"]:  # no ticker has a second slice: nothing to check
+        once = _with_slices(narrow, plan, halo=False).groupBy("ticker", SLICE).applyInPandas(first_pass, UNIT)
+        return once.filter(F.col("end_state").isNull()).select(*columns)
     result = cut_lineage(_with_slices(narrow, plan, halo=True).groupBy("ticker", SLICE).applyInPandas(first_pass, UNIT))
     previous = Window.partitionBy("param_id", "ticker").orderBy(SLICE)
     unit = ["param_id", "ticker", SLICE]
@@ -179,8 +184,7 @@ def detect_batch(
         result = kept.unionByName(cut_lineage(redone))
         if rounds % 8 == 0:
             result = cut_lineage(result)
-    rows = result.filter(F.col("end_state").isNull())
-    return rows.select(*(["param_id"] if many else []), *SCORED.fieldNames())
+    return result.filter(F.col("end_state").isNull()).select(*columns)
 
 
 def attach_labels(scored: DataFrame, ticks: DataFrame, *columns: str) -> DataFrame:

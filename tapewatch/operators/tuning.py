@@ -18,6 +18,7 @@ from tapewatch.operators.quantiles import exact_percentiles
 from tapewatch.operators.slices import Slicing
 from tapewatch.operators.ticks import TICKS
 from tapewatch.params import DetectorParams
+from tapewatch.session import cut_lineage
 
 # The grids of the evaluation.
 WINDOWS = ((10, 5), (15, 10), (20, 10), (25, 10), (30, 10), (50, 20), (100, 30))
@@ -106,6 +107,7 @@ def naive_candidates(ticks: DataFrame, feature: str, quantiles: Sequence[float]
 def tune_naive(ticks: DataFrame, quantiles: Sequence[float] = NAIVE_QUANTILES) -> DataFrame:
     """Best fixed thresholds on |return| and volume (``abs_return``, ``volume``
     and ``label`` of the training ticks), one row per type."""
+    ticks = cut_lineage(ticks.select("abs_return", "volume", "label"))
     out = None
     for kind, feature in (("price_shock", "abs_return"), ("wash_trade", "volume")):
         counts = sweep(ticks, feature, F.col("label") == kind, naive_candidates(ticks, feature, quantiles))
@@ -124,6 +126,7 @@ def leave_one_out(counts: DataFrame, key: str = "ticker") -> DataFrame:
     held-out key, and the key's own best. ``counts`` hold tp, n_flag and n_pos
     per grid point and key; held-out totals are the totals minus the key's."""
     grid = ["grid_pos", "threshold"]
+    counts = cut_lineage(counts)  # a few rows, read three times
     totals = counts.groupBy(*grid).agg(*[F.sum(c).alias(f"_{c}") for c in ("tp", "n_flag", "n_pos")])
     joined = counts.join(totals, grid)
     others = joined.select(key, *grid, *[(F.col(f"_{c}") - F.col(c)).alias(c) for c in ("tp", "n_flag", "n_pos")])
@@ -170,7 +173,7 @@ def tune(
     precedence). Input: ``component_scores`` rows with ``label``."""
     setting = {f"w{i}": f"{w[0]}/{w[1]}" for i, w in enumerate(windows)}
     setting |= {f"v{i}": f"{v[0]}/{v[1]}" for i, v in enumerate(wash_grid)}
-    rows = _grid_frame(labelled, setting).withColumn("_score", shock_score())
+    rows = _grid_frame(cut_lineage(labelled), setting).withColumn("_score", shock_score())
     place = F.regexp_extract("param_id", r"(\d+)$", 1).cast("int")
     by_window = rows.filter(F.col("param_id").startswith("w"))
     counts = sweep(by_window, "_score", F.col("label") == "price_shock", z_grid, ["param_id", "setting"])

@@ -13,13 +13,15 @@ from pyspark.sql import functions as F
 
 from tapewatch.operators import detect, inject, tuning
 from tapewatch.operators import ticks as tk
-from tapewatch.params import DetectorParams
+from tapewatch.params import AlertConfig, DetectorParams
 from tapewatch.plans.evaluation import evaluation_report
-from tapewatch.plans.inputs import indexed_sql, ticks
+from tapewatch.plans.inputs import ANOMALIES_SQL, anomalies, indexed_sql, ticks
 from tapewatch.plans.registry import GAP_MS, HOUR, query, r6, s6, slices
-from tapewatch.schemas import ANOMALIES, RAW_EVENTS
+from tapewatch.schemas import ALERT, ANOMALIES, RAW_EVENTS
 from tapewatch.session import checkpoint_folder
-from tapewatch.sources.tables import read_table
+from tapewatch.sources import files
+from tapewatch.sources.tables import anomaly_rows, read_table
+from tapewatch.streaming.alerts import alerts_stream, dedupe_events
 from tapewatch.streaming.bars import live_bars
 from tapewatch.streaming.detect import detect_stream
 from tapewatch.streaming.sinks import build_sink, start_sink
@@ -267,3 +269,66 @@ def inject_variants(spark, folder):
 @query("evaluation_report", "D-6", "U-1")
 def report(spark, folder):
     return evaluation_report(ticks(spark, folder), TEST_PARAMS, inject.EXISTING_VARIANTS, session_gap_ms=GAP_MS, s=slices(spark, folder))
+
+
+@query("message_round_trip", "S-3", "S-9", "S-13", sql=f"""
+WITH {TICKS_CTE} SELECT ticker, event_time_ms, {s6('price')}, {s6('volume')}, label FROM ticks""")
+def message_round_trip(spark, folder):
+    messages = files.ticks_to_messages(ticks(spark, folder))
+    decoded, _ = files.decode_ticks(messages)
+    return decoded.select("ticker", "event_time_ms", r6("price"), r6("volume"), "label")
+
+
+@query("old_layout", "P-7", "P-8", sql=f"""
+WITH {ANOMALIES_SQL} SELECT ticker, CAST(day AS VARCHAR) AS day, concat_ws('-', ticker, event_time_ms, '0') AS tick_id,
+  NULL::VARCHAR AS signals, NULL::DOUBLE AS risk_score, {s6('zscore')} FROM scored WHERE is_anomaly""")
+def old_layout(spark, folder):
+    v1 = anomalies(spark, folder).select(
+        "ticker", F.col("event_time").alias("timestamp"), "price", "volume", "zscore", "vwap_divergence", "is_anomaly", "anomaly_type"
+    )
+    rows = anomaly_rows(v1)
+    return rows.select("ticker", F.col("day").cast("string").alias("day"), "tick_id", "signals", "risk_score", r6("zscore"))
+
+
+# The same debouncing rules, one flag per step and key.
+BURST_MS, COOLDOWN_MS = HOUR, 3 * HOUR
+DEBOUNCED_SQL = f"""
+WITH RECURSIVE {ANOMALIES_SQL},
+e AS (SELECT ticker, coalesce(incident_id, anomaly_type) AS k, incident_id, event_time_ms AS ms,
+  coalesce(risk_score, 0) >= 2 OR abs(zscore) >= 4.5 OR abs(vwap_divergence) >= 0.05 AS crit,
+  row_number() OVER (PARTITION BY ticker, coalesce(incident_id, anomaly_type) ORDER BY event_time_ms, tick_id) AS i FROM scored WHERE is_anomaly),
+run AS (
+  SELECT DISTINCT ticker, k, 0::BIGINT AS i, FALSE AS open, NULL::BIGINT AS start_ms, NULL::BIGINT AS end_ms, NULL::BIGINT AS last_ms, FALSE AS crit, 0::BIGINT AS n, NULL::VARCHAR AS event FROM e
+  UNION ALL
+  SELECT ticker, k, i, CASE WHEN absorb THEN TRUE WHEN quiet THEN FALSE ELSE TRUE END, CASE WHEN absorb OR quiet THEN start_ms ELSE ms END,
+    CASE WHEN quiet AND NOT absorb THEN end_ms ELSE ms END, CASE WHEN absorb OR quiet THEN last_ms ELSE ms END,
+    CASE WHEN absorb THEN was OR now ELSE CASE WHEN quiet THEN was ELSE now END END, CASE WHEN absorb THEN n + 1 WHEN quiet THEN n ELSE 1 END,
+    CASE WHEN absorb THEN CASE WHEN now AND NOT was THEN 'escalated' END WHEN quiet THEN NULL ELSE 'opened' END
+  FROM (SELECT r.ticker, r.k, e.i, e.ms, r.start_ms, r.end_ms, r.last_ms, r.crit AS was, e.crit AS now, r.n,
+      r.open AND (e.incident_id IS NOT NULL OR e.ms - r.end_ms <= {BURST_MS}) AS absorb,
+      coalesce(e.ms - r.last_ms < {COOLDOWN_MS}, FALSE) AS quiet
+    FROM run r JOIN e ON e.ticker = r.ticker AND e.k = r.k AND e.i = r.i + 1))
+SELECT substr(md5(concat_ws('|', ticker, k, start_ms)), 1, 8) AS alert_id, ticker, event, start_ms, end_ms, n AS tick_count,
+  CASE WHEN crit THEN 'CRITICAL' ELSE 'other' END AS level FROM run WHERE event IS NOT NULL"""
+
+
+@query("alert_stream", "ST-8", "ST-9", "S-16", sql=DEBOUNCED_SQL)
+def alert_stream(spark, folder):
+    base = f"{checkpoint_folder(spark)}/alerts-{uuid.uuid4().hex}"
+    flags = anomalies(spark, folder).filter("is_anomaly").drop("event_time_ms")
+    flags.write.parquet(f"{base}/in")
+    stream = spark.readStream.schema(flags.schema).parquet(f"{base}/in")
+    cfg = AlertConfig(burst_window_ms=BURST_MS, cooldown_ms=COOLDOWN_MS)
+    alerts = alerts_stream(dedupe_events(stream, "1 hour"), cfg, late=None)
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/out/batch={batch_id}")
+
+    run = alerts.writeStream.outputMode("append").option("checkpointLocation", f"{base}/state").foreachBatch(keep)
+    run.trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(ALERT).parquet(f"{base}/out").filter(F.col("event") != "closed")
+    level = F.when(F.col("severity") == "CRITICAL", "CRITICAL").otherwise("other")
+    return rows.select(
+        "alert_id", "ticker", "event", F.unix_millis("start_time").alias("start_ms"), F.unix_millis("end_time").alias("end_ms"),
+        "tick_count", level.alias("level"),
+    )

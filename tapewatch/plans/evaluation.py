@@ -65,7 +65,7 @@ def evaluation_report(
     train = with_return(ticks, s)
     limits = None
     if naive:
-        chosen = tune_naive(cut_lineage(period_mask(train).filter(F.col("period") == "train")))
+        chosen = tune_naive(period_mask(train).filter(F.col("period") == "train"))
         limits = {r["kind"]: r["threshold"] for r in chosen.select("kind", "threshold").collect()}  # two rows
     out = []
     for name, data, spans, kinds in sets:
