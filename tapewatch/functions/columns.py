@@ -88,21 +88,21 @@ def case_id(incident_id, ticker, event_time) -> Column:
     return F.coalesce(F.nullif(text(incident_id), F.lit("")), F.format_string("INC-%04d", code))
 
 
+# The wording of an alert.
+SHOCK_TEXT = "[%s] %s price %s to $%.2f (risk: %.2f, Z-score: %+.2f, VWAP divergence: %.2f%%%s, %d ticks)"
+WASH_TEXT = "[%s] %s suspected wash trade at $%.2f (risk: %.2f, VWAP div: %.2f%%%s, %d ticks)"
+OTHER_TEXT = "[%s] %s anomalous behavior detected (risk: %.2f, Z-score: %+.2f%s)"
+
+
 def alert_message(ticker, level, anomaly_type, price, zscore, vwap_div, risk, signals, ticks) -> Column:
     listed = F.when(text(signals) != "", F.concat(F.lit(", signals: "), text(signals))).otherwise("")
     pct = finite(vwap_div) * 100
     z, r, p = finite(zscore), finite(risk), finite(price)
-    shock = F.format_string(
-        "[%s] %s price %s to $%.2f (risk: %.2f, Z-score: %+.2f, VWAP divergence: %.2f%%%s, %d ticks)",
-        _c(level), _c(ticker), F.when(z > 0, "spike").otherwise("drop"), p, r, z, pct, listed, _c(ticks).cast("long"),
-    )
-    wash = F.format_string(
-        "[%s] %s suspected wash trade at $%.2f (risk: %.2f, VWAP div: %.2f%%%s, %d ticks)",
-        _c(level), _c(ticker), p, r, pct, listed, _c(ticks).cast("long"),
-    )
-    other = F.format_string(
-        "[%s] %s anomalous behavior detected (risk: %.2f, Z-score: %+.2f%s)", _c(level), _c(ticker), r, z, listed
-    )
+    move = F.when(z > 0, "spike").otherwise("drop")
+    count = _c(ticks).cast("long")
+    shock = F.format_string(SHOCK_TEXT, _c(level), _c(ticker), move, p, r, z, pct, listed, count)
+    wash = F.format_string(WASH_TEXT, _c(level), _c(ticker), p, r, pct, listed, count)
+    other = F.format_string(OTHER_TEXT, _c(level), _c(ticker), r, z, listed)
     return F.when(_c(anomaly_type) == "price_shock", shock).when(_c(anomaly_type) == "wash_trade", wash).otherwise(other)
 
 

@@ -168,6 +168,5 @@ ALERT_STATE = _struct(
     peak_risk_score=DoubleType(),
     signals=StringType(),
     tick_id=StringType(),
-    message=StringType(),
     last_alert_ms=LongType(),
 )

@@ -66,13 +66,12 @@ def _path_exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
-def partition_columns(spark: SparkSession, path: str) -> list[str]:
-    """Partition columns of a stored table, from its folder names."""
-    files = spark.read.option("recursiveFileLookup", "true").parquet(path)
-    one = files.select(F.col("_metadata.file_path").alias("p")).first()
-    if one is None:
-        return []
-    return [part.split("=")[0] for part in one["p"].split("/") if "=" in part]
+def partition_columns(spark: SparkSession, path: str, schema: StructType) -> list[str] | None:
+    """Partition columns of a stored table, from the folder names of one of
+    its files; None for a table without rows."""
+    stored = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
+    one = stored.select(F.col("_metadata.file_path").alias("p")).first()
+    return None if one is None else [part.split("=")[0] for part in one["p"].split("/") if "=" in part]
 
 
 def contract_problems(
@@ -91,7 +90,8 @@ def contract_problems(
 
 def verify_contract(spark: SparkSession, tables: dict[str, StructType]) -> None:
     """Raises one error naming every problem of the stored tables
-    (``{path: schema}``); returns quietly when all match."""
+    (``{path: schema}``); returns quietly when all match. A table without rows
+    takes the layout of the first write."""
     problems: list[str] = []
     for path, schema in tables.items():
         optional = {"side"}
@@ -99,7 +99,9 @@ def verify_contract(spark: SparkSession, tables: dict[str, StructType]) -> None:
         if not _path_exists(spark, path):
             problems += contract_problems(None, [], path, required)
             continue
-        problems += contract_problems(spark.read.parquet(path).schema, partition_columns(spark, path), path, required)
+        partitions = partition_columns(spark, path, schema)
+        if partitions is not None:
+            problems += contract_problems(spark.read.parquet(path).schema, partitions, path, required)
     if problems:
         raise ContractError("; ".join(problems))
 

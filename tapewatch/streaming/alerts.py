@@ -9,8 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StringType, StructField, StructType
 
-from tapewatch.functions.columns import severity
+from tapewatch.functions.columns import alert_message, severity
 from tapewatch.operators.alerts import normalised_events
 from tapewatch.params import AlertConfig
 from tapewatch.schemas import ALERT, ALERT_STATE
@@ -30,20 +31,9 @@ def dedupe_events(events: DataFrame, late: str = "1 minute", time: str = "event_
     return with_event_key(events).withWatermark(time, late).dropDuplicatesWithinWatermark(["event_key"])
 
 
-def compose_message(ticker, level, kind, price, z, vwap, risk, signals, ticks) -> str:
-    listed = f", signals: {signals}" if signals else ""
-    if kind == "price_shock":
-        move = "spike" if z > 0 else "drop"
-        return (
-            f"[{level}] {ticker} price {move} to ${price:.2f} (risk: {risk:.2f}, Z-score: {z:+.2f}, "
-            f"VWAP divergence: {vwap * 100:.2f}%{listed}, {ticks} ticks)"
-        )
-    if kind == "wash_trade":
-        return (
-            f"[{level}] {ticker} suspected wash trade at ${price:.2f} "
-            f"(risk: {risk:.2f}, VWAP div: {vwap * 100:.2f}%{listed}, {ticks} ticks)"
-        )
-    return f"[{level}] {ticker} anomalous behavior detected (risk: {risk:.2f}, Z-score: {z:+.2f}{listed})"
+# What the debouncer emits: an alert without its text, which is written from
+# these columns afterwards, and the type the text is about.
+BURST = StructType([f for f in ALERT.fields if f.name != "message"] + [StructField("text_type", StringType())])
 
 
 class Debouncer(StatefulProcessor):
@@ -66,7 +56,7 @@ class Debouncer(StatefulProcessor):
             return dict(zip(ALERT_FIELDS, self._state.get()))
         return {**dict.fromkeys(ALERT_FIELDS), "burst_open": False}
 
-    def _row(self, ticker: str, incident: str | None, burst: dict, event: str) -> dict:
+    def _row(self, ticker: str, incident: str | None, burst: dict, event: str, text_type: str | None = None) -> dict:
         return {
             "alert_id": burst["alert_id"],
             "ticker": ticker,
@@ -80,21 +70,15 @@ class Debouncer(StatefulProcessor):
             "peak_vwap_div": burst["peak_vwap_div"],
             "total_volume": burst["total_volume"],
             "tick_count": burst["tick_count"],
-            "message": burst["message"],
             "peak_risk_score": burst["peak_risk_score"],
             "signals": burst["signals"],
             "incident_id": incident,
             "tick_id": burst["tick_id"],
             "event": event,
+            "text_type": text_type or burst["anomaly_type"],
         }
 
-    def _message(self, ticker: str, kind: str, b: dict) -> str:
-        return compose_message(
-            ticker, b["severity"], kind, b["last_price"], b["peak_zscore"], b["peak_vwap_div"],
-            b["peak_risk_score"], b["signals"], b["tick_count"],
-        )
-
-    def _absorb(self, ticker: str, b: dict, e) -> bool:
+    def _absorb(self, b: dict, e) -> bool:
         """Adds a flag to the open burst; True when it escalates."""
         b["end_ms"], b["last_price"] = int(e.event_time_ms), float(e.price)
         b["tick_count"] += 1
@@ -107,12 +91,11 @@ class Debouncer(StatefulProcessor):
         if b["severity"] == "CRITICAL" or e.severity != "CRITICAL":
             return False
         b["severity"] = "CRITICAL"
-        b["message"] = self._message(ticker, e.anomaly_type, b)
         return True
 
-    def _open(self, ticker: str, burst_key: str, e, last_alert) -> dict:
+    def _open(self, ticker: str, burst_key: str, e) -> dict:
         start = int(e.event_time_ms)
-        b = {
+        return {
             "burst_open": True,
             "alert_id": hashlib.md5(f"{ticker}|{burst_key}|{start}".encode()).hexdigest()[:8],
             "severity": e.severity,
@@ -129,8 +112,6 @@ class Debouncer(StatefulProcessor):
             "tick_id": e.tick_id,
             "last_alert_ms": start,
         }
-        b["message"] = self._message(ticker, e.anomaly_type, b)
-        return b
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         ticker, burst_key = key
@@ -144,8 +125,8 @@ class Debouncer(StatefulProcessor):
                 pause = e.event_time_ms - b["end_ms"]
                 silent = pause > cfg.burst_window_ms
                 if incident or 0 <= pause <= cfg.burst_window_ms:
-                    if self._absorb(ticker, b, e):
-                        out.append(self._row(ticker, incident, b, "escalated"))
+                    if self._absorb(b, e):
+                        out.append(self._row(ticker, incident, b, "escalated", e.anomaly_type))
                     continue
                 if silent:
                     out.append(self._row(ticker, incident, b, "closed"))
@@ -153,7 +134,7 @@ class Debouncer(StatefulProcessor):
             last = b["last_alert_ms"]
             if last is not None and 0 <= e.event_time_ms - last < cfg.cooldown_ms:
                 continue
-            b = self._open(ticker, burst_key, e, last)
+            b = self._open(ticker, burst_key, e)
             out.append(self._row(ticker, incident, b, "opened"))
         self._state.update(tuple(b[k] for k in ALERT_FIELDS))
         for timer in list(self._handle.listTimers()):
@@ -189,9 +170,14 @@ def alerts_stream(events: DataFrame, cfg: AlertConfig = AlertConfig(), late: str
     keyed = rows.withColumn(
         "severity", severity("zscore", "vwap_divergence", "anomaly_type", "risk_score", cfg)
     ).withColumn("burst_key", F.coalesce("incident_id", "anomaly_type"))
-    return keyed.groupBy("ticker", "burst_key").transformWithStateInPandas(
+    bursts = keyed.groupBy("ticker", "burst_key").transformWithStateInPandas(
         statefulProcessor=Debouncer(cfg),
-        outputStructType=ALERT,
+        outputStructType=BURST,
         outputMode="Append",
         timeMode="EventTime",
     )
+    message = alert_message(
+        "ticker", "severity", "text_type", "last_price", "peak_zscore", "peak_vwap_div", "peak_risk_score", "signals",
+        "tick_count",
+    )
+    return bursts.withColumn("message", message).select(*ALERT.fieldNames())

@@ -33,8 +33,10 @@ def build_sink(
     location = checkpoint_path(checkpoint, name)
     if tables:
         spark = scored.sparkSession
-        for path, schema in ((raw_path, RAW_EVENTS), (anomalies_path, ANOMALIES)):
+        targets = {raw_path: RAW_EVENTS, anomalies_path: ANOMALIES}
+        for path, schema in targets.items():
             create_table(spark, path, schema)
+        verify_contract(spark, targets)
         writer = scored.writeStream.foreachBatch(persist_batch(raw_path, anomalies_path))
     elif topic is not None:
         if not servers:
@@ -78,7 +80,3 @@ def with_written_at(rows: DataFrame, time: str = "event_time") -> DataFrame:
         "latency_ms", (F.unix_micros(now) - F.unix_micros(time)) / 1000.0
     )
 
-
-__all__ = [
-    "alert_log_batch", "build_sink", "start_sink", "verify_contract", "with_created_at", "with_written_at",
-]

@@ -135,6 +135,15 @@ def test_contract_lists_every_problem(spark, tmp_path):
     tables.verify_contract(spark, {good: RAW_EVENTS})
 
 
+def test_sink_refuses_an_old_table(spark, tmp_path):
+    raw = str(tmp_path / "raw")
+    tables.raw_rows(spark.createDataFrame([scored_row(0)], SCORED)).write.partitionBy("ticker").parquet(raw)
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(SCORED).parquet(str(tmp_path / "in"))
+    with pytest.raises(tables.ContractError):
+        build_sink(stream, "ck", raw_path=raw, anomalies_path=str(tmp_path / "bad"))
+
+
 def test_one_destination_only(spark, tmp_path):
     stream = spark.readStream.schema(SCORED).parquet(str(tmp_path))
     with pytest.raises(ValueError):
