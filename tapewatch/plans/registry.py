@@ -57,13 +57,14 @@ def query(name: str, *covers: str, sql: str | None = None):
 @lru_cache(maxsize=32)
 def _planned_width(application: str, folder: str) -> int:
     t = ticks(SparkSession.getActiveSession(), folder).select("ticker", "event_time_ms")
-    return max(6 * HOUR, plan_width(t, Slicing()))
+    return plan_width(t, Slicing())
 
 
-def slices(spark: SparkSession, folder: str) -> Slicing:
+def slices(spark: SparkSession, folder: str, least_ms: int = 1_000) -> Slicing:
     """A day per slice, or less where the busiest ticker has more than a
-    million ticks a day; never less than the longest look-back."""
-    return Slicing(width_ms=min(DAY_MS, _planned_width(spark.sparkContext.applicationId, folder)))
+    million ticks a day; never less than a query's look-back."""
+    planned = _planned_width(spark.sparkContext.applicationId, folder)
+    return Slicing(width_ms=max(least_ms, min(DAY_MS, planned)))
 
 
 def r6(column: str | Column, name: str | None = None) -> Column:
@@ -214,7 +215,7 @@ f AS (SELECT *, coalesce(lo > 0 AND (hi - lo) / lo < 0.003, FALSE) AS flat FROM
 SELECT ticker, arrival, n AS prior_ticks, {s6('pv', 'prior_volume')}, flat AS flat_market,
   {s6('CASE WHEN flat AND n >= 4 AND pv > 0 THEN volume / (0.3 * pv) ELSE 0 END', 'wash_ratio')} FROM f""")
 def wash_lookback(spark, folder):
-    w = signals.wash_lookback(ticks(spark, folder), 6 * HOUR, 0.003, 0.3, 4, slices(spark, folder))
+    w = signals.wash_lookback(ticks(spark, folder), 6 * HOUR, 0.003, 0.3, 4, slices(spark, folder, 6 * HOUR))
     return w.select("ticker", "arrival", "prior_ticks", r6("prior_volume"), "flat_market", r6("wash_ratio"))
 
 
@@ -234,7 +235,7 @@ WITH {TICKS_SQL}, w AS (
 SELECT ticker, arrival, {s6('CASE WHEN sd >= 1e-4 THEN greatest(-6.0, least(6.0, (price - m) / sd)) ELSE 0 END', 'zscore')},
   {s6('abs(price - vw) / vw', 'vwap_divergence')} FROM w""")
 def trailing_two_hours(spark, folder):
-    return signals.trailing_time_stats(ticks(spark, folder), 2 * HOUR, s=slices(spark, folder)).select(
+    return signals.trailing_time_stats(ticks(spark, folder), 2 * HOUR, s=slices(spark, folder, 2 * HOUR)).select(
         "ticker", "arrival", r6("zscore"), r6("vwap_divergence")
     )
 
@@ -252,7 +253,7 @@ SELECT ticker, arrival, label AS anomaly_type, {s6('z', 'zscore')}, {s6('greates
   CASE WHEN label = 'wash_trade' THEN 'wash_rule' ELSE 'zscore' END AS signals,
   concat_ws('-', ticker, max(CASE WHEN opens THEN event_time_ms END) OVER (PARTITION BY ticker ORDER BY event_time_ms, arrival)) AS incident_id FROM o""")
 def labelled_enrichment(spark, folder):
-    rows = signals.enrich_labelled(ticks(spark, folder), 2 * HOUR, 24 * HOUR, slices(spark, folder))
+    rows = signals.enrich_labelled(ticks(spark, folder), 2 * HOUR, 24 * HOUR, slices(spark, folder, 2 * HOUR))
     return rows.select("ticker", "arrival", "anomaly_type", r6("zscore"), r6("risk_score"), "signals", "incident_id")
 
 
@@ -280,7 +281,7 @@ SELECT ticker, tick_id, {s6('risk', 'risk_score')}, CASE WHEN rz > 1 OR rv > 1 T
   sig AS signals, concat_ws('-', ticker, max(CASE WHEN opens THEN event_time_ms END) OVER (PARTITION BY ticker ORDER BY event_time_ms, arrival)) AS incident_id
 FROM o""")
 def surveillance(spark, folder):
-    return surveil(ticks(spark, folder), slices(spark, folder), **SURVEIL).select(
+    return surveil(ticks(spark, folder), slices(spark, folder, 6 * HOUR), **SURVEIL).select(
         "ticker", "tick_id", r6("risk_score"), "anomaly_type", "signals", "incident_id"
     )
 
