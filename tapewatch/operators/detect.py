@@ -126,7 +126,7 @@ def detect_batch(
     ticks: DataFrame,
     params: DetectorParams | Mapping[str, DetectorParams] = DetectorParams(),
     s: Slicing = TICKS,
-    target_rows: int = 2_000_000,
+    target_rows: int = 1_000_000,
     burn_ticks: int = 8_192,
 ) -> DataFrame:
     """Scored ticks (``SCORED``, plus ``param_id`` when several parameter sets
@@ -162,18 +162,24 @@ def detect_batch(
     unit = ["param_id", "ticker", SLICE]
     rounds = 0
     while True:
-        books = result.filter(F.col("end_state").isNotNull()).select(
-            *unit, "start_state", "first_ms", "reset_ms",
-            F.lag("end_state").over(previous).alias("start"),
+        states = result.filter(F.col("end_state").isNotNull())
+        # only digests of the states are lined up per ticker
+        books = states.select(
+            *unit, "first_ms", "last_ms", "reset_ms",
+            F.sha2("start_state", 256).alias("start"), F.sha2("end_state", 256).alias("end"),
+        ).select(
+            *unit, "first_ms", "reset_ms", "start",
+            F.lag("end").over(previous).alias("expected"),
             F.lag("last_ms").over(previous).alias("before_ms"),
+            F.lag(SLICE).over(previous).alias("_from"),
         )
-        wrong = cut_lineage(
-            books.filter(
-                F.col("start").isNotNull()
-                & (F.col("first_ms") - F.col("before_ms") <= F.col("reset_ms"))
-                & (F.col("start") != F.col("start_state"))
-            ).select(*unit, "start")
-        )
+        differs = books.filter(
+            F.col("expected").isNotNull()
+            & (F.col("first_ms") - F.col("before_ms") <= F.col("reset_ms"))
+            & (F.col("start") != F.col("expected"))
+        ).select(*unit, "_from")
+        ends = states.select("param_id", "ticker", F.col(SLICE).alias("_from"), F.col("end_state").alias("start"))
+        wrong = cut_lineage(differs.join(ends, ["param_id", "ticker", "_from"]).select(*unit, "start"))
         if wrong.isEmpty():
             break
         rounds += 1
