@@ -39,3 +39,12 @@ class Scratch:
 def delete(spark: SparkSession, path: str) -> None:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def bounded_batches(spark: SparkSession, megabytes: int = 8) -> None:
+    """Arrow batches by bytes as well as rows, since one text may be long. A
+    smaller limit of the session's own is kept."""
+    name, limit = "spark.sql.execution.arrow.maxBytesPerBatch", megabytes << 20
+    known = spark.conf.get(name, None)
+    if known is None or not known.isdigit() or int(known) > limit:
+        spark.conf.set(name, str(limit))

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewatch.llm import chat, shards, warc
+from tapewatch.llm import chat, langid, shards, warc
 from tapewatch.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,3 +127,15 @@ FROM k
 def warc_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     records = warc.archive_round_trip(table(spark, folder, "pages"))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+# --- 6 language ID -----------------------------------------------------------
+
+
+@query("op6_language_id")
+def language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    held_out = F.pmod(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")), F.lit(4)) == 2
+    docs = docs.withColumn("held_out", F.coalesce(held_out, F.lit(False)))
+    model = langid.train(docs.filter(~F.col("held_out")))
+    return langid.identify(docs, model, keep=["doc_id", "held_out"])
