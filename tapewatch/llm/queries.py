@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewatch.llm import chat, langid, shards, warc
+from tapewatch.llm import chat, langid, shards, simhash, warc
 from tapewatch.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -139,3 +139,12 @@ def language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = docs.withColumn("held_out", F.coalesce(held_out, F.lit(False)))
     model = langid.train(docs.filter(~F.col("held_out")))
     return langid.identify(docs, model, keep=["doc_id", "held_out"])
+
+
+# --- 2 SimHash near-duplicates -----------------------------------------------
+
+
+@query("op2_simhash_near_dedup")
+def simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, folder, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
