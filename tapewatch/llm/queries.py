@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewatch.llm import chat, langid, packing, shards, simhash, warc
+from tapewatch.llm import chat, langid, packing, shards, simhash, url_filter, warc
 from tapewatch.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -159,3 +159,11 @@ def window_packing(spark: SparkSession, folder: str) -> DataFrame:
 
     tokenizer = public_tokenizers.path("word_bpe_49k.json")
     return packing.pack_documents(table(spark, folder, "documents"), tokenizer, with_ids=False)
+
+
+# --- 3 URL filters -----------------------------------------------------------
+
+
+@query("op3_url_filter")
+def url_filter_verdicts(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, folder, "pages")).select("page_id", "host", "path", "rule", "verdict")
