@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewatch.llm import chat, langid, packing, shards, simhash, url_filter, warc
+from tapewatch.llm import chat, langid, packing, shards, simhash, topk, url_filter, warc
 from tapewatch.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -167,3 +167,23 @@ def window_packing(spark: SparkSession, folder: str) -> DataFrame:
 @query("op3_url_filter")
 def url_filter_verdicts(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, folder, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+# --- 4 exact top-k search ----------------------------------------------------
+
+OP4_SQL = """
+WITH c AS (SELECT vec_id, list_transform(embedding, lambda x: x > 0) AS code FROM embeddings
+        WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+    d AS (
+        SELECT q.vec_id AS query_id, r.vec_id,
+            len(list_filter(list_zip(q.code, r.code), lambda x: x[1] <> x[2])) AS distance
+        FROM c q, c r WHERE q.vec_id % 50 = 0 AND q.vec_id <> r.vec_id),
+    n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM d)
+SELECT query_id, rank::INTEGER AS rank, vec_id, distance::INTEGER AS distance FROM n WHERE rank <= 10
+"""
+
+
+@query("op4_hamming_top_k", OP4_SQL)
+def hamming_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    return topk.top_k(vectors, vectors.filter("vec_id % 50 = 0"), k=10)
