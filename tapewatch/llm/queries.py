@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewatch.llm import chat, langid, packing, shards, simhash, topk, url_filter, warc
+from tapewatch.llm import chat, decontam, langid, packing, shards, simhash, topk, url_filter, warc
 from tapewatch.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -187,3 +187,30 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, distance::INTEGER AS distance FR
 def hamming_top_k(spark: SparkSession, folder: str) -> DataFrame:
     vectors = table(spark, folder, "embeddings")
     return topk.top_k(vectors, vectors.filter("vec_id % 50 = 0"), k=10)
+
+
+# --- 1 benchmark decontamination ---------------------------------------------
+
+
+def shingle_sql(source: str, key: str) -> str:
+    """Distinct five-word shingles of a table, as the operator cuts them."""
+    return f"""
+        SELECT DISTINCT {key}, unnest(list_transform(range(greatest(len(w) - 4, 1)),
+            lambda i: array_to_string(w[i + 1 : i + 5], ' '))) AS s
+        FROM (SELECT {key}, list_filter(string_split_regex(lower(text), '{decontam.SEPARATORS}'),
+            lambda x: x <> '') AS w FROM {source} WHERE text IS NOT NULL) WHERE len(w) > 0"""
+
+
+OP1_SQL = f"""
+WITH i AS ({shingle_sql('benchmark', 'item_id')}),
+    d AS ({shingle_sql('documents', 'doc_id')}),
+    n AS (SELECT item_id, count(*) AS total FROM i GROUP BY item_id),
+    m AS (SELECT doc_id, item_id, count(*) AS shared FROM d JOIN i USING (s) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, shared, total, shared / total AS containment
+FROM m JOIN n USING (item_id) WHERE shared >= 0.8 * total
+"""
+
+
+@query("op1_benchmark_decontamination", OP1_SQL)
+def benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontam.find_contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
