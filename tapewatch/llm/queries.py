@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewatch.llm import chat, decontam, langid, packing, shards, simhash, topk, url_filter, warc
+from tapewatch.llm import chat, decontam, langid, packing, repeats, shards, simhash, topk, url_filter, warc
 from tapewatch.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -214,3 +214,11 @@ FROM m JOIN n USING (item_id) WHERE shared >= 0.8 * total
 @query("op1_benchmark_decontamination", OP1_SQL)
 def benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontam.find_contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+# --- 10 repeated strings -----------------------------------------------------
+
+
+@query("op10_repeated_strings")
+def repeated_strings(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, folder, "documents"))
