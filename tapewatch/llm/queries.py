@@ -222,3 +222,13 @@ def benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_repeated_strings")
 def repeated_strings(spark: SparkSession, folder: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, folder, "documents"))
+
+
+# --- the pipeline ------------------------------------------------------------
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, folder)
