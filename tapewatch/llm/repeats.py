@@ -454,7 +454,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", kep
     spans = spans.groupBy(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag")).agg(
         F.collect_list("starts").alias("_starts"), F.collect_list("ends").alias("_ends")
     )
-    columns = docs.columns if kept_text else [key]
+    made = [f.split()[0] for f in RESULT.split(", ")]
+    columns = [c for c in docs.columns if c not in made] if kept_text else [key]
     own = docs.select(*columns, F.col(text).alias("_text"), F.crc32(F.encode(text, "UTF-8")).alias("_crc"))
     joined = own.join(spans, (F.col(key).cast("long") == F.col("_id")) & (F.col("_crc") == F.col("_tag")), "left")
 
@@ -479,8 +480,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", kep
                 pa.array(cut, pa.string()) if c == text else batch.column(batch.schema.get_field_index(c)) for c in columns
             ]
             counts = [pa.array(x, pa.int64()) for x in (n, removed, count)]
-            names = [*columns, "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-            yield pa.RecordBatch.from_arrays([*arrays, *counts, pa.array(digest, pa.string())], names)
+            yield pa.RecordBatch.from_arrays([*arrays, *counts, pa.array(digest, pa.string())], [*columns, *made])
 
     fields = docs.select(*columns).schema
     for name, kind in (f.split() for f in RESULT.split(", ")):

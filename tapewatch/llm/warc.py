@@ -129,7 +129,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     """Writes one archive per task under ``folder``; the result lists the
     archives (path, bytes). A task that runs twice leaves a second file that
     the list does not name. Null html is an empty payload."""
-    typed = with_record_types(pages).select(
+    typed = with_record_types(pages.select("page_id", "url", "html")).select(
         "page_id", "url", "html", "record_type", "refers_to", "payload_digest", "payload_bytes"
     )
 
