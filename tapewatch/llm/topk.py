@@ -60,7 +60,8 @@ def _meet(queries: DataFrame, index: DataFrame, r: int, segments: int) -> DataFr
         first &= F.when(F.col("segment") > s, d > r).otherwise(d >= r)
     flipped, index = _flipped(queries, r), index.withColumnRenamed("segment", "_s").withColumnRenamed("value", "_v")
     same = (F.col("segment") == F.col("_s")) & (F.col("value") == F.col("_v"))
-    met = flipped.join(index, same & first)
+    # planned as a shuffle: the size of exploded rows is not known beforehand
+    met = flipped.hint("merge").join(index, same & first)
     return met.select("q", sum(apart[1:], apart[0]).alias("distance"), "ids")
 
 
