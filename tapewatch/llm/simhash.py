@@ -143,7 +143,8 @@ def links(prints: DataFrame) -> DataFrame:
     for c in ("wildcard", "value", "piece", "part"):
         same &= F.col(f"l.{c}") == F.col(f"r.{c}")
     near = F.bit_count(F.col("l.fp").bitwiseXOR(F.col("r.fp"))) <= MAX_BITS
-    return left.join(right, same & near).select(F.col("l.fp").alias("a"), F.col("r.fp").alias("b")).distinct()
+    # planned as a shuffle: the size of exploded rows is not known beforehand
+    return left.hint("merge").join(right, same & near).select(F.col("l.fp").alias("a"), F.col("r.fp").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
