@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,17 +35,18 @@ from pyspark.sql import functions as F
 from tapewatch.llm.common import Scratch, bounded_batches
 
 LENGTH = 50
-ANCHOR = 24
+ANCHOR = 16
 REACH = LENGTH - ANCHOR + 1  # anchors to choose from in a window
 SIDE = (LENGTH - ANCHOR) // 2  # a shared window has this much on one side of its anchor at least
 PIECE = 1 << 21  # bytes of text looked at at a time
+LONG = 60_000  # longer texts come in pieces
 RUN = 1 << 20  # stretches of a task that are packed together
-RANGE_BYTES = 384 << 20  # text per anchor range
-BUCKET = 1 << 12  # stretches ordered together, more only if they share an anchor
+RANGE_BYTES = 384 << 20  # text per 16 anchor ranges
+BUCKET = 1 << 12  # strings ordered together, more only if they share an anchor
 _BASE = 0x9E3779B97F4A7C15 | 1
-STRETCH = np.dtype(
-    [("anchor", "<u8"), ("same", "V6"), ("left", "u1"), ("right", "u1"), ("doc", "<u2"), ("at", "V3"), ("more", "u1")]
-)
+# What travels of a stretch, those of a document in a row, and of a document's piece.
+STRETCH = np.dtype([("anchor", "V5"), ("same", "V6"), ("left", "u1"), ("right", "u1"), ("at", "<u2"), ("more", "u1")])
+PART = np.dtype([("id", "<i8"), ("tag", "<u4"), ("base", "<u4"), ("n", "<u4")])
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -66,6 +68,20 @@ class Stretches:
                 steps[0] = 1
                 setattr(self, name, np.multiply.accumulate(steps))
 
+    def _sums(self, data: np.ndarray) -> np.ndarray:
+        self._powers(len(data) + 1)
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.power[: len(data)], out=sums[1:])
+        return sums
+
+    def part_hashes(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        sums = self._sums(data)
+        return _mix((sums[ends] - sums[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64))
+
+    def window_hashes(self, data: np.ndarray) -> np.ndarray:
+        n = max(len(data) - LENGTH + 1, 0)
+        return self.part_hashes(data, np.arange(n), np.arange(n) + LENGTH)
+
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
         """Columns anchor, same, left, right, text, at (in the text), more
         (windows after the first)."""
@@ -74,9 +90,7 @@ class Stretches:
         if windows < 1:
             empty = np.zeros(0, np.uint64)
             return {c: empty for c in ("anchor", "same", "left", "right", "text", "at", "more")}
-        self._powers(n + 1)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.power[:n], out=sums[1:])
+        sums = self._sums(data)
 
         def hashed(a, b):
             return _mix((sums[b] - sums[a]) * self.inverse[a])
@@ -145,53 +159,60 @@ class _Run:
         self.held += len(found["at"])
 
     def full(self) -> bool:
-        return self.held >= RUN or len(self.docs) > 60_000
+        return self.held >= RUN
 
     def blocks(self) -> Iterator[tuple[int, bytes, bytes]]:
         """(range, documents, stretches); settled stretches have anchor 0."""
         if not self.held:
             return
         c = {k: np.concatenate([x[k] for x in self.columns]) for k in self.columns[0]}
-        docs = np.array(self.docs, np.int64).reshape(-1, 3)
-        ids = docs[c["text"].astype(np.int64), 0]
+        text = c["text"].astype(np.int64)
+        docs = np.zeros(len(self.docs), PART)
+        for i, name in enumerate(("id", "tag", "base")):
+            docs[name] = [d[i] for d in self.docs]
+        ids = docs["id"][text]
         order = np.lexsort((ids, c["same"], c["anchor"]))
-        anchor, same, ids = c["anchor"][order], c["same"][order], ids[order]
+        anchor, same = c["anchor"][order], c["same"][order]
         new = np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (same[1:] != same[:-1])))
-        settled = ids > ids[np.flatnonzero(new)][np.cumsum(new) - 1]
+        settled = np.zeros(len(order), bool)
+        settled[order] = ids[order] > ids[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+        low = np.maximum(c["anchor"] & np.uint64((1 << 40) - 1), np.uint64(1))
         out = np.zeros(len(order), STRETCH)
-        out["anchor"] = np.where(settled, 0, anchor)
-        out["same"] = _low_bytes(same, 6)
-        out["at"] = _low_bytes(c["at"][order], 3)
-        for name in ("left", "right", "more"):
-            out[name] = c[name][order]
-        out["doc"] = c["text"][order]
-        target = np.where(settled, c["text"][order].astype(np.uint64), anchor >> np.uint64(32)) % np.uint64(self.ranges)
-        by_range = np.argsort(target, kind="stable")
-        out, target = out[by_range], target[by_range]
-        edges = np.searchsorted(target, np.arange(self.ranges + 1))
+        out["anchor"] = _low_bytes(np.where(settled, np.uint64(0), low), 5)
+        out["same"] = _low_bytes(c["same"], 6)
+        for name in ("left", "right", "at", "more"):
+            out[name] = c[name]
+        target = np.where(settled, text.astype(np.uint64), c["anchor"] >> np.uint64(40)) % np.uint64(self.ranges)
+        by_range = np.lexsort((text, target))
+        out, text = out[by_range], text[by_range]
+        edges = np.searchsorted(target[by_range], np.arange(self.ranges + 1))
         for r in range(self.ranges):
             part = out[edges[r] : edges[r + 1]]
             if len(part):
-                used, part["doc"] = np.unique(part["doc"], return_inverse=True)
-                yield r, docs[used].astype("<i8").tobytes(), part.tobytes()
+                used, n = np.unique(text[edges[r] : edges[r + 1]], return_counts=True)
+                own = docs[used]
+                own["n"] = n
+                yield r, own.tobytes(), part.tobytes()
 
 
 def _pieces(texts: pa.Array, ids: list, tags: list) -> Iterator[tuple[np.ndarray, np.ndarray, list]]:
-    """(bytes, offsets, documents) of about PIECE bytes; a longer text comes in
-    pieces that overlap by a window less one byte."""
+    """(bytes, offsets, documents) of at most PIECE bytes; a text above LONG comes
+    in pieces that overlap by a window less one byte."""
     column = texts.cast(pa.large_string())
     ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
     at = 0
     while at < len(column):
-        if ends[at + 1] - ends[at] > PIECE:
-            size = int(ends[at + 1] - ends[at])
-            for start in range(0, size - LENGTH + 1, PIECE):
-                own = data[ends[at] + start : ends[at] + min(size, start + PIECE + LENGTH - 1)]
+        size = int(ends[at + 1] - ends[at])
+        if size > LONG:
+            for start in range(0, size - LENGTH + 1, LONG):
+                own = data[ends[at] + start : ends[at] + min(size, start + LONG + LENGTH - 1)]
                 yield own, np.array([0, len(own)]), [(ids[at], tags[at], start)]
             at += 1
             continue
-        upto = max(at + 1, int(np.searchsorted(ends, ends[at] + PIECE, side="right")) - 1)
+        upto = at + 1
+        while upto < len(column) and ends[upto + 1] - ends[at] <= PIECE and ends[upto + 1] - ends[upto] <= LONG:
+            upto += 1
         yield data[ends[at] : ends[upto]], ends[at : upto + 1] - ends[at], [(ids[i], tags[i], 0) for i in range(at, upto)]
         at = upto
 
@@ -247,19 +268,13 @@ def _spans(ids, tags, open_, anchors, starts, ends) -> pa.Table:
 
 def _settle(group: pa.Table) -> pa.Table:
     """Step 2 for one anchor range."""
-    docs, parts, before = [], [], 0
-    for raw_docs, raw in zip(group.column("docs"), group.column("stretches")):
-        own = np.frombuffer(raw_docs.as_buffer(), "<i8").reshape(-1, 3)
-        part = np.frombuffer(raw.as_buffer(), STRETCH)
-        docs.append(own)
-        parts.append((part, part["doc"].astype(np.int64) + before))
-        before += len(own)
-    docs = np.concatenate(docs)
-    s, owner = np.concatenate([p for p, _ in parts]), np.concatenate([o for _, o in parts])
-    ids, tags = docs[owner, 0], docs[owner, 1]
-    starts = docs[owner, 2] + _from_bytes(s["at"], 3)
-    ends = starts + s["more"].astype(np.int64) + LENGTH
-    anchor, same = s["anchor"], _from_bytes(s["same"], 6)
+    docs = np.concatenate([np.frombuffer(x.as_buffer(), PART) for x in group.column("docs")])
+    s = np.concatenate([np.frombuffer(x.as_buffer(), STRETCH) for x in group.column("stretches")])
+    owner = np.repeat(np.arange(len(docs)), docs["n"])
+    ids, tags = docs["id"][owner], docs["tag"][owner].astype(np.int64)
+    starts = docs["base"][owner].astype(np.int64) + s["at"]
+    ends = starts + s["more"] + LENGTH
+    anchor, same = _from_bytes(s["anchor"], 5), _from_bytes(s["same"], 6)
     order = np.lexsort((ids, same, anchor))
     new_anchor = np.concatenate(([True], anchor[order][1:] != anchor[order][:-1]))
     new = new_anchor | np.concatenate(([True], same[order][1:] != same[order][:-1]))
@@ -361,44 +376,80 @@ def collection_order(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
     return who, length, prefix
 
 
+def _shared_parts(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(string, start, windows, hash) of the runs of windows of the strings
+    whose hash occurs under another id. What is no such window needs no order."""
+    hashed = Stretches().window_hashes(data)
+    string = np.repeat(np.arange(len(ids)), np.diff(offsets))[: len(hashed)]
+    at = np.flatnonzero(np.arange(len(hashed)) + LENGTH <= offsets[1:][string])
+    h, own = hashed[at], ids[string[at]]
+    by = np.lexsort((own, h))
+    new = np.concatenate(([True], h[by][1:] != h[by][:-1]))
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(by)) - 1
+    shared = np.zeros(len(hashed), bool)
+    shared[at[by]] = (own[by][first] != own[by][last])[np.cumsum(new) - 1]
+    begins = shared & ~np.concatenate(([False], shared[:-1] & (string[1:] == string[:-1])))
+    stops = shared & ~np.concatenate((shared[1:] & (string[1:] == string[:-1]), [False]))
+    first, last = np.flatnonzero(begins), np.flatnonzero(stops)
+    return string[first], first - offsets[:-1][string[first]], last - first + 1, first
+
+
 def _order_bucket(group: pa.Table) -> pa.Table:
     """Step 3, second half: windows of open stretches with a smaller id elsewhere."""
     anchors = np.concatenate([np.frombuffer(x.as_buffer(), "<u8") for x in group.column("anchors")])
     heads = np.concatenate([np.frombuffer(x.as_buffer(), "<i8").reshape(-1, 4) for x in group.column("heads")])
     data = np.concatenate([np.frombuffer(x.as_buffer(), np.uint8) for x in group.column("bytes")])
-    begins = np.cumsum(heads[:, 3]) - heads[:, 3]
-    order = np.argsort(anchors, kind="stable")
-    new = np.flatnonzero(np.concatenate(([True], anchors[order][1:] != anchors[order][:-1], [True])))
-    found = []
-    at = 0
-    while at < len(new) - 1:
-        upto = max(at + 1, int(np.searchsorted(new, new[at] + BUCKET, side="right")) - 1)
-        own = order[new[at] : new[upto]]
-        at = upto
-        sizes = heads[own, 3]
-        offsets = np.concatenate(([0], np.cumsum(sizes)))
-        inside = np.arange(offsets[-1]) - np.repeat(offsets[:-1], sizes)
-        who, length, prefix = collection_order(data[np.repeat(begins[own], sizes) + inside], offsets)
+    offsets = np.concatenate(([0], np.cumsum(heads[:, 3])))
+    string, start, windows, at = _shared_parts(data, offsets, heads[:, 0])
+    ids, sizes = heads[string, 0], windows + LENGTH - 1
+    # equal parts of an anchor are one string with the smallest of their ids
+    key = Stretches().part_hashes(data, at, at + sizes)
+    by = np.lexsort((ids, key, anchors[string]))
+    new = np.ones(len(by), bool)
+    new[1:] = (key[by][1:] != key[by][:-1]) | (anchors[string][by][1:] != anchors[string][by][:-1])
+    kind = np.zeros(len(by), np.int64)
+    kind[by] = np.cumsum(new) - 1
+    one = by[np.flatnonzero(new)]
+    least = np.full(int(windows[one].sum()), np.iinfo(np.int64).max)  # smallest id of each window of each kind
+    first_window = np.cumsum(windows[one]) - windows[one]
+    a = anchors[string[one]]
+    cuts = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1], [True]))) if len(a) else np.zeros(1, int)
+    i = 0
+    while i < len(cuts) - 1:
+        upto = max(i + 1, int(np.searchsorted(cuts, cuts[i] + BUCKET, side="right")) - 1)
+        part = np.arange(cuts[i], cuts[upto])
+        i = upto
+        n = sizes[one[part]]
+        edges = np.concatenate(([0], np.cumsum(n)))
+        inside = np.arange(edges[-1]) - np.repeat(edges[:-1], n)
+        who, length, prefix = collection_order(data[np.repeat(at[one[part]], n) + inside], edges)
         run = np.cumsum((prefix < LENGTH).astype(np.int64))
         whole = np.flatnonzero(length >= LENGTH)
-        ids = heads[own[who[whole]], 0]
-        least = np.full(int(run[-1]) + 1, np.iinfo(np.int64).max)
-        np.minimum.at(least, run[whole], ids)
-        later = whole[ids > least[run[whole]]]
-        string = own[who[later]]
-        found.append((string, heads[string, 2] + heads[string, 3] - length[later]))
-    string = np.concatenate([f[0] for f in found])
-    starts = np.concatenate([f[1] for f in found])
+        lowest = np.full(int(run[-1]) + 1, np.iinfo(np.int64).max)
+        np.minimum.at(lowest, run[whole], ids[one[part]][who[whole]])
+        least[first_window[part][who[whole]] + n[who[whole]] - length[whole]] = lowest[run[whole]]
+    member = np.repeat(np.arange(len(string)), windows)
+    inside = np.arange(len(member)) - np.repeat(np.cumsum(windows) - windows, windows)
+    later = ids[member] > least[first_window[kind[member]] + inside]
+    begins = later & ~np.concatenate(([False], later[:-1] & (member[1:] == member[:-1])))[: len(later)]
+    stops = later & ~np.concatenate((later[1:] & (member[1:] == member[:-1]), [False]))[: len(later)]
+    first, last = np.flatnonzero(begins), np.flatnonzero(stops)
+    of = member[first]
+    starts = heads[string[of], 2] + start[of] + inside[first]
     none = np.zeros(len(starts), bool)
-    return _spans(heads[string, 0], heads[string, 1], none, none.astype(np.uint64), starts, starts + LENGTH)
+    ends = starts + (last - first) + LENGTH
+    return _spans(ids[of], heads[string[of], 1], none, none.astype(np.uint64), starts, ends)
 
 
 def _release() -> None:
     """Lets Spark delete shuffle files of steps whose results are written."""
     from pyspark.sql import SparkSession
 
-    gc.collect()
-    SparkSession.getActiveSession()._jvm.System.gc()
+    for _ in range(2):  # what Python lets go of first is collected second
+        gc.collect()
+        SparkSession.getActiveSession()._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

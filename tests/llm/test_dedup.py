@@ -135,7 +135,9 @@ def repeated_docs(seed, n=60):
 def test_repeats_match_brute_force(spark, monkeypatch, seed):
     rows = repeated_docs(seed)
     monkeypatch.setattr(repeats, "RUN", 40)  # many packed blocks, so that tasks have to agree
-    monkeypatch.setattr(repeats, "PIECE", 700)  # long texts come in pieces
+    monkeypatch.setattr(repeats, "PIECE", 700)
+    monkeypatch.setattr(repeats, "LONG", 400)  # long texts come in pieces
+    monkeypatch.setattr(repeats, "BUCKET", 3)
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, n_bytes string").repartition(5)
     got = {r[0]: tuple(r)[1:] for r in repeats.remove_repeats(docs).collect()}
     assert got == removed(rows)
