@@ -83,9 +83,10 @@ def desk_status(level: str | Column) -> Column:
 
 
 def case_id(incident_id, ticker, event_time) -> Column:
-    """The incident id, else a stable 4-digit code of ticker and time."""
-    code = F.pmod(F.xxhash64(_c(ticker), _c(event_time)), F.lit(10_000))
-    return F.coalesce(F.nullif(text(incident_id), F.lit("")), F.format_string("INC-%04d", code))
+    """The incident id, else a stable code of ticker and time, long enough
+    that two cases do not share one."""
+    code = F.substring(F.md5(F.concat_ws("|", _c(ticker), F.unix_millis(_c(event_time)))), 1, 12)
+    return F.coalesce(F.nullif(text(incident_id), F.lit("")), F.concat(F.lit("INC-"), code))
 
 
 # The wording of an alert.
@@ -132,11 +133,6 @@ def prf_columns(tp, flagged, positives) -> dict[str, Column]:
     return {"flagged": _c(flagged), "precision": p, "recall": r, "f1": f1(p, r)}
 
 
-def count_true(condition: Column) -> Column:
-    """Number of rows where the condition holds (0, not null, without rows)."""
-    return F.count_if(condition)
-
-
 def random_baseline(flag_rate, prevalence) -> dict[str, Column]:
     """Expected scores of flagging every tick with probability ``flag_rate``."""
     p, r = _c(prevalence), _c(flag_rate)

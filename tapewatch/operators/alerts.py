@@ -16,7 +16,7 @@ from tapewatch.params import AlertConfig
 
 def alert_id(ticker: Column, key: Column, start_ms: Column) -> Column:
     """Stable id of a burst: the same rows always give the same id."""
-    return F.substring(F.md5(F.concat_ws("|", ticker, key, start_ms)), 1, 8)
+    return F.md5(F.concat_ws("|", ticker, key, start_ms))
 
 
 def normalised_events(rows: DataFrame, keep: Sequence[str] = ()) -> DataFrame:

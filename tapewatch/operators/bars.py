@@ -85,9 +85,11 @@ def episode_starts(bars: DataFrame, threshold: float = 3.0) -> DataFrame:
     return bars.withColumn("_starts", beyond & ~before).filter("_starts").drop("_starts")
 
 
-def z_episodes(bars: DataFrame, anomalies: DataFrame, threshold: float = 3.0, critical: float = 4.5) -> DataFrame:
+def z_episodes(
+    bars: DataFrame, anomalies: DataFrame, threshold: float = 3.0, critical: float = 4.5, width_ms: int = BAR_MS
+) -> DataFrame:
     """Episode starts that no stored anomaly already marks, with their level."""
-    fresh = without_anomaly(episode_starts(bars, threshold), anomalies)
+    fresh = without_anomaly(episode_starts(bars, threshold), anomalies, width_ms)
     return fresh.withColumn("severity", F.when(F.abs("zscore") >= critical, "CRITICAL").otherwise("WARNING"))
 
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
-from datetime import datetime
+import re
+from collections.abc import Iterable
+from datetime import date, datetime, timedelta
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,18 +40,70 @@ def scan_partitions(table: DataFrame, tickers: Iterable[str], start: datetime, e
     )
 
 
-def lookback(rows: DataFrame, now: datetime, minutes: float, fallback: bool = True) -> DataFrame:
-    """Rows of the last ``minutes``. A ticker without any falls back to the
-    minutes before its newest row. One small row per ticker is joined back."""
-    end = F.lit(now)
-    span = F.make_dt_interval(mins=F.lit(int(minutes)), secs=F.lit((minutes % 1) * 60.0))
-    past = rows.filter(F.col("event_time") <= end)
+def partition_days(table: DataFrame) -> dict[str, list[date]]:
+    """Days per ticker, newest first, of a stored table: from the listing of
+    its files, which Spark has at hand, without opening one."""
+    days: dict[str, set[date]] = {}
+    for path in table.inputFiles():
+        found = re.search(r"/ticker=([^/]*)/day=([^/]*)/", path)
+        if found is None:
+            raise ValueError("the table is not partitioned by ticker and day")
+        # once for the URI, once for the escapes of partition values
+        ticker, day = (unquote(unquote(x)) for x in found.groups())
+        days.setdefault(ticker, set()).add(date.fromisoformat(day))
+    return {t: sorted(d, reverse=True) for t, d in days.items()}
+
+
+def _of_days(table: DataFrame, wanted: dict[str, set[date]]) -> DataFrame:
+    """Rows of some (ticker, day) partitions, stated as constants. Tickers that
+    want the same days share a condition."""
+    by_days: dict[tuple[date, ...], list[str]] = {}
+    for ticker, days in wanted.items():
+        by_days.setdefault(tuple(sorted(days)), []).append(ticker)
+    parts = [F.col("ticker").isin(tickers) & F.col("day").isin(list(days)) for days, tickers in by_days.items()]
+    return table.filter(reduce(Column.__or__, parts, F.lit(False)))
+
+
+def _newest_before(table: DataFrame, days: dict[str, list[date]], end: datetime) -> dict[str, datetime]:
+    """Each ticker's newest event up to ``end``, looking at its newest day
+    first and at an older one only where that day starts after ``end``."""
+    left, found = {t: list(d) for t, d in days.items()}, {}
+    while left := {t: d for t, d in left.items() if d and t not in found}:
+        day = _of_days(table, {t: {d.pop(0)} for t, d in left.items()})
+        newest = day.filter(F.col("event_time") <= F.lit(end)).groupBy("ticker").agg(F.max("event_time").alias("at"))
+        # one row per ticker; seconds, so that no clock of this process matters
+        found |= {r["ticker"]: r["at"] for r in newest.select("ticker", F.unix_micros("at").alias("at")).collect()}
+    return found
+
+
+def lookback(table: DataFrame, now: datetime, minutes: float, fallback: bool = True) -> DataFrame:
+    """Rows of the last ``minutes`` of a table stored by (ticker, day). A
+    ticker without any falls back to the minutes before its newest row.
+
+    Only days of the look-back are read; for an empty ticker its newest day is
+    known from the listing, and that day and those its minutes reach back into
+    are read as well."""
+    start = now - timedelta(minutes=minutes)
+    in_days = F.col("day").between(F.lit(start.date()), F.lit(now.date()))
+    recent = table.filter(in_days & F.col("event_time").between(F.lit(start), F.lit(now)))
     if not fallback:
-        return past.filter(F.col("event_time") >= end - span)
-    newest = past.groupBy("ticker").agg(F.max("event_time").alias("_newest"))
-    cutoff = F.when(F.col("_newest") < end - span, F.col("_newest") - span).otherwise(end - span)
-    edges = newest.select("ticker", cutoff.alias("_cutoff"))
-    return past.join(edges, "ticker").filter(F.col("event_time") >= F.col("_cutoff")).drop("_cutoff")
+        return recent
+    seen = {r["ticker"] for r in recent.select("ticker").distinct().collect()}
+    days = {t: [x for x in d if x <= now.date()] for t, d in partition_days(table).items() if t not in seen}
+    newest = _newest_before(table, days, now)
+    if not newest:
+        return recent
+    span = round(minutes * 60_000_000)
+    utc = {t: (_utc(at - span), _utc(at)) for t, at in newest.items()}
+    wanted = {t: {d for d in days[t] if lo.date() <= d <= hi.date()} for t, (lo, hi) in utc.items()}
+    edges = table.sparkSession.createDataFrame([(t, at - span, at) for t, at in newest.items()], "ticker string, _lo long, _hi long")
+    older = _of_days(table, wanted).join(edges, "ticker")
+    inside = F.unix_micros("event_time").between(F.col("_lo"), F.col("_hi"))
+    return recent.unionByName(older.filter(inside).select(*table.columns))
+
+
+def _utc(micros: int) -> datetime:
+    return datetime(1970, 1, 1) + timedelta(microseconds=micros)
 
 
 def newest_rows(rows: DataFrame, limit: int, tie: str = "tick_id") -> DataFrame:
@@ -73,12 +128,17 @@ def recent_anomalies(
 
 
 def latest_event(table: DataFrame) -> DataFrame:
-    """Newest event per ticker: the newest day partition comes from the
-    partition columns alone, then only rows of that day are read."""
-    days = table.groupBy("ticker").agg(F.max("day").alias("day"))
-    return table.join(days, ["ticker", "day"], "left_semi").groupBy("ticker").agg(
-        F.max("event_time").alias("latest_event")
-    )
+    """Newest event per ticker of a stored table: the newest day comes from the
+    listing, then only rows of that day are read."""
+    newest = {t: {d[0]} for t, d in partition_days(table).items()}
+    return _of_days(table, newest).groupBy("ticker").agg(F.max("event_time").alias("latest_event"))
+
+
+def lookback_metrics(anomalies: DataFrame, bars: DataFrame, now: datetime, minutes: float, tickers: DataFrame) -> DataFrame:
+    """Ticker metrics over the look-back of the stored anomalies and the bars
+    (``bar_time``) of the same minutes."""
+    recent = F.col("bar_time").between(F.lit(now - timedelta(minutes=minutes)), F.lit(now))
+    return ticker_metrics(lookback(anomalies, now, minutes), bars.filter(recent), tickers)
 
 
 def desk_filter(
@@ -145,8 +205,8 @@ def with_asset_status(metrics: DataFrame) -> DataFrame:
     return metrics.withColumn("status", asset_status("max_risk_score", "max_zscore", "wash_trades"))
 
 
-def audit_view(rows: DataFrame, cfg: AlertConfig = AlertConfig()) -> DataFrame:
-    """The exportable audit log of anomaly rows."""
+def audit_view(rows: DataFrame, cfg: AlertConfig = AlertConfig(), keep: Iterable[str] = ()) -> DataFrame:
+    """The exportable audit log of anomaly rows, with the columns ``keep``."""
     level = severity("zscore", "vwap_divergence", "anomaly_type", "risk_score", cfg)
     return rows.select(
         case_id("incident_id", "ticker", "event_time").alias("case_id"),
@@ -160,22 +220,10 @@ def audit_view(rows: DataFrame, cfg: AlertConfig = AlertConfig()) -> DataFrame:
         F.coalesce("signals", F.lit("legacy")).alias("signals"),
         F.format_string("%+.2f", finite("zscore")).alias("zscore_text"),
         F.format_string("%.2f%%", finite("vwap_divergence") * 100).alias("vwap_text"),
+        *keep,
     )
 
 
 def recent_alerts(alerts: DataFrame, k: int = 50, time: str = "created_at") -> DataFrame:
     """The last k alerts, newest first."""
     return alerts.orderBy(F.desc(time), F.desc("alert_id")).limit(k)
-
-
-def fill_missing(rows: DataFrame, dimension: DataFrame, on: Sequence[str], values: Sequence[str]) -> DataFrame:
-    """Every key of the dimension, with 0 where ``rows`` has no value."""
-    return dimension.join(rows, list(on), "left").fillna(0, subset=list(values))
-
-
-def sanitised_text(rows: DataFrame, *columns: str) -> DataFrame:
-    return rows.withColumns({c: text(c) for c in columns})
-
-
-def count_by(rows: DataFrame, *columns: str | Column) -> DataFrame:
-    return rows.groupBy(*columns).agg(F.count("*").alias("n"))

@@ -117,10 +117,11 @@ def inject_anomalies(
     """Ticks with price shocks and wash bursts written in, the first tick of
     each labelled. Needs bid and ask; sessions below 20 ticks stay untouched.
 
-    ``rate`` is the chance that a tick starts an event. It must stay at or
-    below 0.1, so that runs of colliding candidates stay a few rows long."""
-    if not 0 < rate <= 0.1:
-        raise ValueError("rate must be in (0, 0.1]")
+    ``rate`` is the chance that a tick starts an event. Colliding candidates
+    are chosen run by run; a run is a few rows long up to a rate of about 0.1
+    and grows with higher ones."""
+    if not 0 < rate <= 1:
+        raise ValueError("rate must be in (0, 1]")
     base = cut_lineage(indexed(ticks.drop("label"), session_gap_ms, s))
     sessions = _sessions(base, population=True)
     key = ("ticker", "pos")
@@ -177,12 +178,13 @@ BLOCK = 2**20
 def _free_stretches(base: DataFrame, sessions: DataFrame) -> DataFrame:
     """Runs of positions inside one session, ``CLEARANCE`` ticks away from every
     label: ``ticker, a, b`` (b excluded). They are cut every ``BLOCK`` positions
-    so that none grows with the data."""
+    so that none grows with the data; a cut keeps the clearance between the
+    events on its two sides and takes no more."""
     near, none = F.lit(CLEARANCE), F.lit(0)
     marks = (
         base.filter(F.col("label") != "normal").select("ticker", "pos", F.lit(2).alias("_rank"), near.alias("_off"), near.alias("_lead"))
         .unionByName(
-            base.filter(F.col("pos") % BLOCK == 0).select("ticker", "pos", F.lit(3).alias("_rank"), near.alias("_off"), near.alias("_lead"))
+            base.filter(F.col("pos") % BLOCK == 0).select("ticker", "pos", F.lit(3).alias("_rank"), none.alias("_off"), near.alias("_lead"))
         )
         .unionByName(
             sessions.select("ticker", F.col("_first").alias("pos"), F.lit(1).alias("_rank"), none.alias("_off"), none.alias("_lead"))

@@ -60,17 +60,7 @@ def cold_state() -> dict:
 def _ewm(values: np.ndarray, alpha: float, seed: float | None) -> np.ndarray:
     """y += alpha * (x - y), starting at ``seed`` or at the first value."""
     x = values if seed is None else np.concatenate([[seed], values])
-    if len(x) < 48:  # cheaper than the pandas call, same arithmetic
-        out, y, keep = [], None, 1.0 - alpha
-        for v in x.tolist():
-            if y is None:
-                y = v
-            elif y != v:
-                y = (keep * y + alpha * v) / (keep + alpha)
-            out.append(y)
-        y_all = np.array(out, dtype=float)
-    else:
-        y_all = pd.Series(x).ewm(alpha=alpha, adjust=False).mean().to_numpy()
+    y_all = pd.Series(x, dtype=float).ewm(alpha=alpha, adjust=False).mean().to_numpy()
     return y_all if seed is None else y_all[1:]
 
 
@@ -148,26 +138,25 @@ def _range_stats(lo, hi, price, volume):
     some = np.flatnonzero(width > 0)
     if not len(some):
         return low, high, total
-    if width.sum() <= 64 * len(price):
-        cuts = np.column_stack([lo[some], hi[some]]).ravel()
-        low[some] = np.minimum.reduceat(np.append(price, np.inf), cuts)[::2]
-        high[some] = np.maximum.reduceat(np.append(price, -np.inf), cuts)[::2]
-        total[some] = np.add.reduceat(np.append(volume, 0.0), cuts)[::2]
-        return low, high, total
-    # long ranges: doubling tables, so the cost does not grow with the range
-    level = np.floor(np.log2(width[some])).astype(int)
-    mins, maxs = price, price
-    for step in range(level.max() + 1):
-        pick = level == step
-        a, b = lo[some][pick], hi[some][pick] - (1 << step)
-        low[some[pick]] = np.minimum(mins[a], mins[b])
-        high[some[pick]] = np.maximum(maxs[a], maxs[b])
+    # doubling tables over the runs that end at each index: the cost does not
+    # grow with the range, and a sum depends on the ticks of its range alone
+    width, end = width[some], hi[some]
+    mins, maxs, sums = price, price, volume
+    part, left = np.zeros(len(some)), end.copy()
+    for step in range(int(width.max()).bit_length()):
         half = 1 << step
+        odd = (width >> step) & 1 == 1
+        part[odd] += sums[left[odd] - 1]
+        left[odd] -= half
+        top = np.flatnonzero(width >> step == 1)  # two runs of the largest power cover the range
+        a, b = lo[some][top] + half - 1, end[top] - 1
+        low[some[top]] = np.minimum(mins[a], mins[b])
+        high[some[top]] = np.maximum(maxs[a], maxs[b])
         if half < len(mins):
-            mins = np.append(np.minimum(mins[:-half], mins[half:]), mins[-half:])
-            maxs = np.append(np.maximum(maxs[:-half], maxs[half:]), maxs[-half:])
-    upto = np.concatenate([[0.0], np.cumsum(volume)])
-    total[some] = upto[hi[some]] - upto[lo[some]]
+            mins = np.append(mins[:half], np.minimum(mins[half:], mins[:-half]))
+            maxs = np.append(maxs[:half], np.maximum(maxs[half:], maxs[:-half]))
+            sums = np.append(sums[:half], sums[half:] + sums[:-half])
+    total[some] = part
     return low, high, total
 
 

@@ -53,13 +53,6 @@ def slice_days(ticks: DataFrame, days: Iterable[str | date]) -> DataFrame:
     return kept
 
 
-def utc_days(start: datetime, end: datetime) -> list[date]:
-    """The UTC dates a time range touches, both ends included."""
-    first = start.astimezone(timezone.utc).date()
-    last = end.astimezone(timezone.utc).date()
-    return [first + timedelta(days=i) for i in range((last - first).days + 1)]
-
-
 def days_covered(ranges: DataFrame, start: str = "start", end: str = "end") -> DataFrame:
     """One row per UTC day that each time range touches."""
     return ranges.withColumn("day", F.explode(F.sequence(F.to_date(start), F.to_date(end))))
@@ -163,16 +156,6 @@ def indexed(ticks: DataFrame, session_gap_ms: int, s: Slicing = TICKS) -> DataFr
     return number_ticks(drop_halo(with_step(halo, session_gap_ms, s)), ticks, session_gap_ms, s)
 
 
-def in_time_order(ticks: DataFrame, s: Slicing = TICKS, partitions: int | None = None) -> DataFrame:
-    """Ticks co-located by (ticker, slice) and sorted by time, ties by arrival,
-    inside each partition."""
-    base = s.assign(ticks)
-    args = [partitions] if partitions else []
-    return base.repartition(*args, *[F.col(c) for c in s.slice_keys]).sortWithinPartitions(
-        *s.slice_keys, *s.order
-    )
-
-
 def with_side(ticks: DataFrame, scope: str = "ticker", s: Slicing = TICKS) -> DataFrame:
     """buy when the price did not fall since the previous tick, else sell; the
     first tick is a buy. ``scope="global"`` compares with the previous tick of

@@ -308,7 +308,7 @@ run AS (
       r.open AND (e.incident_id IS NOT NULL OR e.ms - r.end_ms <= {BURST_MS}) AS absorb,
       coalesce(e.ms - r.last_ms < {COOLDOWN_MS}, FALSE) AS quiet
     FROM run r JOIN e ON e.ticker = r.ticker AND e.k = r.k AND e.i = r.i + 1))
-SELECT substr(md5(concat_ws('|', ticker, k, start_ms)), 1, 8) AS alert_id, ticker, event, start_ms, end_ms, n AS tick_count,
+SELECT md5(concat_ws('|', ticker, k, start_ms)) AS alert_id, ticker, event, start_ms, end_ms, n AS tick_count,
   CASE WHEN crit THEN 'CRITICAL' ELSE 'other' END AS level FROM run WHERE event IS NOT NULL"""
 
 

@@ -7,6 +7,7 @@ Doubles are rounded to 6 digits on both sides.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime, timezone
 from functools import lru_cache
@@ -29,7 +30,7 @@ from tapewatch.plans.inputs import (
     ticks,
 )
 from tapewatch.plans.surveillance import surveil
-from tapewatch.session import cut_lineage
+from tapewatch.session import checkpoint_folder, cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -348,15 +349,10 @@ def z_episodes(spark, folder):
     t = ticks(spark, folder)
     b = bars.bar_zscore(bars.ohlc_bars(t, BAR))
     known = t.filter(F.col("label") != "normal")
-    starts = bars.episode_starts(b, 2.0)
-    fresh = bars.without_anomaly(starts, known, BAR)
-    return fresh.select(
-        "ticker", "bar_ms", r6("zscore"), F.when(F.abs("zscore") >= 3.0, "CRITICAL").otherwise("WARNING").alias("severity")
-    )
+    return bars.z_episodes(b, known, 2.0, 3.0, BAR).select("ticker", "bar_ms", r6("zscore"), "severity")
 
 
-# anomalies against bars of every third half hour, so that many have no bar of their own
-SPARSE_BARS = "SELECT DISTINCT ticker, event_time_ms // 1800000 * 1800000 AS bar_ms FROM ticks WHERE event_time_ms // 1800000 % 3 = 0"
+SPARSE_BARS = "SELECT DISTINCT ticker, event_time_ms // 1800000 * 1800000 AS bar_ms FROM ticks"
 
 
 @query("nearest_bar", "J-5", sql=f"""
@@ -367,7 +363,7 @@ SELECT ticker, p.arrival, CASE WHEN nxt IS NULL OR sec - prev <= nxt - sec THEN
 def nearest_bar(spark, folder):
     t = ticks(spark, folder)
     third = F.floor(F.col("event_time_ms") / 1_800_000)
-    sparse = t.filter(third % 3 == 0).select("ticker", (third * 1_800_000).alias("bar_ms")).distinct()
+    sparse = t.select("ticker", (third * 1_800_000).alias("bar_ms")).distinct()
     return bars.nearest_bar(t.select("ticker", "event_time_ms", "arrival"), sparse, slices(spark, folder)).select("ticker", "arrival", "bar_ms")
 
 
@@ -400,21 +396,25 @@ def partition_scan(spark, folder):
     return rows.select("ticker", F.col("day").cast("string").alias("day"), "tick_id")
 
 
-# every ticker but two stops on January 19th, so those fall back to older rows
+# the window is about as long as the pauses of a ticker, so that some tickers fall back to older rows
+BACK_MIN = 20
+BACK_MS = BACK_MIN * 60_000
 LOOKBACK_SQL = f"""
-WITH {ANOMALIES_SQL}, s AS (SELECT * FROM scored WHERE ticker IN ('click', 'view') OR day < DATE '2024-01-19'),
-p AS (SELECT * FROM s WHERE event_time_ms <= {NOW_SQL}),
-c AS (SELECT ticker, CASE WHEN max(event_time_ms) < {NOW_MS - 6 * HOUR} THEN max(event_time_ms) - {6 * HOUR} ELSE {NOW_MS - 6 * HOUR} END AS cutoff FROM p GROUP BY ticker)"""
+WITH {ANOMALIES_SQL}, p AS (SELECT * FROM scored WHERE event_time_ms <= {NOW_SQL}),
+c AS (SELECT ticker, CASE WHEN max(event_time_ms) < {NOW_MS - BACK_MS} THEN max(event_time_ms) - {BACK_MS} ELSE {NOW_MS - BACK_MS} END AS cutoff FROM p GROUP BY ticker)"""
 
 
-def _stopped(spark, folder):
+def stored_anomalies(spark, folder) -> DataFrame:
+    """The anomaly rows as a table stored by ticker and day."""
+    path = f"{checkpoint_folder(spark)}/stored/{uuid.uuid4().hex}"
     rows = anomalies(spark, folder)
-    return rows.filter(F.col("ticker").isin("click", "view") | (F.col("day") < F.lit("2024-01-19").cast("date")))
+    rows.hint("rebalance", "ticker", "day").write.partitionBy("ticker", "day").parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
 
 
 @query("lookback_with_fallback", "P-5", sql=LOOKBACK_SQL + " SELECT p.ticker, tick_id FROM p JOIN c USING (ticker) WHERE event_time_ms >= cutoff")
 def lookback_with_fallback(spark, folder):
-    return desk.lookback(_stopped(spark, folder), NOW, 360).select("ticker", "tick_id")
+    return desk.lookback(stored_anomalies(spark, folder), NOW, BACK_MIN).select("ticker", "tick_id")
 
 
 @query("recent_anomalies", "T-1", "P-10", "P-12", sql=LOOKBACK_SQL + f""",
@@ -422,14 +422,14 @@ f AS (SELECT p.*, row_number() OVER (PARTITION BY p.ticker ORDER BY event_time_m
 SELECT ticker, tick_id, {s6('zscore')}, {s6('coalesce(risk_score, greatest(abs(zscore) / 5.0, abs(vwap_divergence) / 0.01))', 'risk_score')}
 FROM f WHERE rn <= 20 ORDER BY event_time_ms DESC, tick_id DESC LIMIT 20""")
 def recent_anomalies(spark, folder):
-    return desk.recent_anomalies(_stopped(spark, folder), NOW, 360, limit=20).select(
+    return desk.recent_anomalies(stored_anomalies(spark, folder), NOW, BACK_MIN, limit=20).select(
         "ticker", "tick_id", r6("zscore"), r6("risk_score")
     )
 
 
 @query("latest_event", "T-2", sql=f"WITH {ANOMALIES_SQL} SELECT ticker, max(event_time_ms) AS latest_ms FROM scored GROUP BY ticker")
 def latest_event(spark, folder):
-    return desk.latest_event(anomalies(spark, folder)).select("ticker", F.unix_millis("latest_event").alias("latest_ms"))
+    return desk.latest_event(stored_anomalies(spark, folder)).select("ticker", F.unix_millis("latest_event").alias("latest_ms"))
 
 
 @query("distinct_partitions", "U-4", sql=f"WITH {ANOMALIES_SQL} SELECT DISTINCT ticker, CAST(day AS VARCHAR) AS day FROM scored")
@@ -502,16 +502,17 @@ def ticker_metrics(spark, folder):
 
 @query("audit_view", "P-13", sql=f"""
 WITH {ANOMALIES_SQL}, a AS (SELECT *, {SEVERITY_SQL} AS severity FROM scored)
-SELECT tick_id, incident_id AS known_case, CASE severity WHEN 'CRITICAL' THEN 'ESCALATED TO COMPLIANCE' WHEN 'WARNING' THEN 'UNDER REVIEW' ELSE 'AUDIT LOGGED' END AS desk_status,
+SELECT coalesce(incident_id, 'INC-' || substr(md5(concat_ws('|', ticker, event_time_ms)), 1, 12)) AS case_id,
+  strftime(make_timestamp(event_time_ms * 1000), '%Y-%m-%d %H:%M:%S UTC') AS time_utc, ticker,
+  CASE severity WHEN 'CRITICAL' THEN 'ESCALATED TO COMPLIANCE' WHEN 'WARNING' THEN 'UNDER REVIEW' ELSE 'AUDIT LOGGED' END AS desk_status,
   CASE anomaly_type WHEN 'price_shock' THEN 'SEC Rule 10b-5 (Excessive Volatility)' WHEN 'wash_trade' THEN 'FINRA Rule 6140 (Wash Sale / Self-Trade)'
-    ELSE 'FINRA Surveillance Flag' END AS regulatory_rule, coalesce(signals, 'legacy') AS signals FROM a""")
+    ELSE 'FINRA Surveillance Flag' END AS regulatory_rule, coalesce(signals, 'legacy') AS signals, {s6('price', 'price')},
+  {s6('zscore', 'zscore')}, {s6('risk_score', 'risk_score')}, format('{{:,}}', volume::BIGINT) AS volume_text FROM a""")
 def audit_view(spark, folder):
-    rows = anomalies(spark, folder)
-    level = fn.severity("zscore", "vwap_divergence", "anomaly_type", "risk_score")
-    known = F.when(F.col("incident_id").isNotNull(), fn.case_id("incident_id", "ticker", "event_time"))
-    return rows.select(
-        "tick_id", known.alias("known_case"), fn.desk_status(level).alias("desk_status"),
-        fn.regulatory_rule("anomaly_type").alias("regulatory_rule"), F.coalesce("signals", F.lit("legacy")).alias("signals"),
+    # two-digit texts follow each engine's own rounding: the numbers are compared instead
+    return desk.audit_view(anomalies(spark, folder), keep=("price", "zscore", "risk_score")).select(
+        "case_id", "time_utc", "ticker", "desk_status", "regulatory_rule", "signals",
+        r6("price"), r6("zscore"), r6("risk_score"), "volume_text",
     )
 
 
@@ -543,7 +544,7 @@ g AS (SELECT ticker, k, CASE WHEN bool_or(lv = 'CRITICAL') THEN 'CRITICAL' ELSE
   arg_min(anomaly_type, (event_time_ms, tick_id)) AS anomaly_type, min(event_time_ms) AS start_ms, max(event_time_ms) AS end_ms,
   arg_max(price, (event_time_ms, tick_id)) AS lp, arg_max(zscore, (abs(zscore), -event_time_ms)) AS pz, sum(volume) AS tv, count(*) AS tick_count,
   max(risk) AS pr, coalesce(arg_max(coalesce(signals, ''), (risk, -event_time_ms)), '') AS signals, any_value(incident_id) AS incident_id FROM u GROUP BY ALL)
-SELECT substr(md5(concat_ws('|', ticker, coalesce(incident_id, anomaly_type), start_ms)), 1, 8) AS alert_id, ticker, severity, anomaly_type, start_ms, end_ms,
+SELECT md5(concat_ws('|', ticker, coalesce(incident_id, anomaly_type), start_ms)) AS alert_id, ticker, severity, anomaly_type, start_ms, end_ms,
   {s6('lp', 'last_price')}, {s6('pz', 'peak_zscore')}, {s6('tv', 'total_volume')}, tick_count, {s6('pr', 'peak_risk_score')}, signals, incident_id FROM g"""
 
 

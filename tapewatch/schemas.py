@@ -5,7 +5,6 @@ from pyspark.sql.types import (
     BooleanType,
     DateType,
     DoubleType,
-    IntegerType,
     LongType,
     StringType,
     StructField,
@@ -41,7 +40,6 @@ TICK_CSV = _struct(
 )
 
 # One log record with its coordinates.
-LOG_RECORD = _struct(partition=IntegerType(), offset=LongType(), key=StringType(), value=StringType())
 
 # One scored tick.
 SCORED = _struct(

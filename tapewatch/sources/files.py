@@ -79,10 +79,6 @@ def write_csv(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
     rows.write.mode(mode).option("header", True).csv(path)
 
 
-def write_messages(messages: DataFrame, path: str, mode: str = "overwrite") -> None:
-    messages.select("value").write.mode(mode).text(path)
-
-
 def write_report(report: DataFrame, path: str, mode: str = "overwrite") -> None:
     """A report frame (one or a few rows) as JSON."""
     report.write.mode(mode).json(path)
@@ -92,6 +88,11 @@ def append_alert_log(alerts: DataFrame, path: str) -> None:
     alerts.write.mode("append").json(path)
 
 
+def write_alert_log(alerts: DataFrame, path: str) -> None:
+    """The lines of one micro-batch, replacing those of an earlier try."""
+    alerts.write.mode("overwrite").json(path)
+
+
 def latest_alert(log: DataFrame) -> DataFrame:
     """The newest record of the alert log, as one row."""
     return log.agg(F.max_by(F.struct(*log.columns), F.struct("created_at", "alert_id")).alias("_a")).select("_a.*")

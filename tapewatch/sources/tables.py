@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterable, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -126,8 +127,8 @@ def upsert_partitions(
 ) -> None:
     """Writes rows so that a repeated write leaves the same table.
 
-    Stored rows are looked up only in the batch's own days and time range,
-    which Parquet statistics narrow to few files. Rows whose key is not stored
+    Stored rows are looked up only in the partitions that the batch touches,
+    stated as constants, and there in its time range. Rows whose key is not stored
     yet are appended; a batch that is retried finds its rows and appends
     nothing. Only when a stored row has other values than the new one are the
     partitions concerned rewritten, through a staging folder next to the table.
@@ -135,6 +136,7 @@ def upsert_partitions(
     spark = rows.sparkSession
     values = [c for c in rows.columns if c not in key_cols]
     new = _dedupe(rows, key_cols).persist()
+    marked = None
     try:
         span = new.agg(F.min(time_col).alias("lo"), F.max(time_col).alias("hi")).first()
         if span["lo"] is None:
@@ -143,9 +145,9 @@ def upsert_partitions(
             _append(new, path, part_cols)
             return
         stored = spark.read.schema(rows.schema).parquet(path)
+        touched = [tuple(r) for r in new.select(*part_cols).distinct().collect()]  # a few per micro-batch
         near = stored.filter(
-            F.col("day").between(F.lit(span["lo"].date()), F.lit(span["hi"].date()))
-            & F.col(time_col).between(F.lit(span["lo"]), F.lit(span["hi"]))
+            in_partitions(part_cols, touched) & F.col(time_col).between(F.lit(span["lo"]), F.lit(span["hi"]))
         )
         old = near.select(*key_cols, F.struct(*values).alias("_old"))
         state = (
@@ -160,13 +162,37 @@ def upsert_partitions(
             _append(fresh, path, part_cols)
         else:
             _append(fresh.join(changed, list(part_cols), "left_anti"), path, part_cols)
-            touched = stored.join(changed, list(part_cols), "left_semi")
-            _rewrite(new.join(changed, list(part_cols), "left_semi"), touched, path, part_cols, key_cols)
-        marked.unpersist()
+            rewritten = [tuple(r) for r in changed.collect()]
+            kept = stored.filter(in_partitions(part_cols, rewritten))
+            _rewrite(new.join(changed, list(part_cols), "left_semi"), kept, path, part_cols, key_cols)
     finally:
+        if marked is not None:
+            marked.unpersist()
         new.unpersist()
 
 
+def in_partitions(part_cols: Sequence[str], wanted: Sequence[tuple]) -> Column:
+    """Condition that holds in the named partitions only, as constants, so that
+    others are not read. Partitions with the same rest share one part of it."""
+    last, rest = part_cols[-1], part_cols[:-1]
+    by_rest: dict[tuple, set] = {}
+    for p in wanted:
+        by_rest.setdefault(p[:-1], set()).add(p[-1])
+    shared: dict[frozenset, list[tuple]] = {}
+    for head, tails in by_rest.items():
+        shared.setdefault(frozenset(tails), []).append(head)
+    condition = F.lit(False)
+    for tails, heads in shared.items():
+        own = F.col(last).isin(sorted(tails))
+        if rest:
+            names = F.lit(False)
+            for head in heads:
+                names |= reduce(Column.__and__, [F.col(c) == F.lit(v) for c, v in zip(rest, head)])
+            own &= names
+        condition |= own
+    return condition
+
+
 def _append(rows: DataFrame, path: str, part_cols: Sequence[str]) -> None:
     # rebalance: one file per partition where it is small, several where it is hot
     rows.hint("rebalance", *part_cols).write.mode("append").partitionBy(*part_cols).parquet(path)

@@ -97,7 +97,7 @@ class Debouncer(StatefulProcessor):
         start = int(e.event_time_ms)
         return {
             "burst_open": True,
-            "alert_id": hashlib.md5(f"{ticker}|{burst_key}|{start}".encode()).hexdigest()[:8],
+            "alert_id": hashlib.md5(f"{ticker}|{burst_key}|{start}".encode()).hexdigest(),
             "severity": e.severity,
             "anomaly_type": e.anomaly_type,
             "start_ms": start,
@@ -139,8 +139,12 @@ class Debouncer(StatefulProcessor):
         self._state.update(tuple(b[k] for k in ALERT_FIELDS))
         for timer in list(self._handle.listTimers()):
             self._handle.deleteTimer(timer)
+        # a state that stays always has a timer: the end of the silence, or of
+        # the cooldown and all that may still arrive before it
         if b["burst_open"]:
             self._handle.registerTimer(b["end_ms"] + cfg.burst_window_ms)
+        else:
+            self._handle.registerTimer(b["last_alert_ms"] + cfg.cooldown_ms + cfg.burst_window_ms)
         if out:
             yield pd.DataFrame(out)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from tapewatch.schemas import ANOMALIES, RAW_EVENTS, SCORED_COLUMNS
-from tapewatch.sources.files import append_alert_log, keyed_json
+from tapewatch.sources.files import keyed_json, write_alert_log
 from tapewatch.sources.tables import create_table, persist_batch, verify_contract
 from tapewatch.streaming.detect import checkpoint_path
 
@@ -56,12 +56,29 @@ def start_sink(writer: DataStreamWriter, available_now: bool = False) -> Streami
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def start_quarantine(
+    rejected: DataFrame, path: str, checkpoint: str, name: str = "quarantine", available_now: bool = False
+) -> StreamingQuery:
+    """Stores records that are no ticks under ``path``; ``rejected_counts``
+    counts them."""
+    writer = rejected.writeStream.format("parquet").option("path", path).queryName(name)
+    return start_sink(writer.option("checkpointLocation", checkpoint_path(checkpoint, name)), available_now)
+
+
+def rejected_counts(quarantine: DataFrame) -> DataFrame:
+    """Rejected records per log partition and why: unreadable or incomplete."""
+    readable = F.coalesce(F.json_object_keys("value").isNotNull(), F.lit(False))
+    why = F.when(readable, "incomplete").otherwise("unreadable")
+    return quarantine.groupBy("partition", why.alias("reason")).agg(F.count("*").alias("records"))
+
+
 def alert_log_batch(path: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch function appending dispatched alerts as JSON lines."""
+    """foreachBatch function writing dispatched alerts as JSON lines, a folder
+    per micro-batch: a batch that is retried replaces its own lines."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         sent = batch.filter(F.col("event").isin("opened", "escalated"))
-        append_alert_log(with_created_at(sent), path)
+        write_alert_log(with_created_at(sent), f"{path}/batch_id={batch_id}")
 
     return write
 

@@ -149,6 +149,20 @@ def test_state_goes_once_nothing_needs_it(spark):
     assert d.keys[("A", "price_shock")][1].value is None
 
 
+@pytest.mark.parametrize("later", [20, 45])
+def test_state_goes_after_a_flag_that_stays_silent(spark, later):
+    """A flag after the silence but within the cooldown closes the burst and
+    opens none; the state must not stay for ever."""
+    d = Desk(AlertConfig(burst_window_ms=10_000, cooldown_ms=60_000))
+    d.send(spark, **event("A", 0, z=3.2))
+    if later == 45:
+        assert [x["event"] for x in d.flush(12)] == ["closed"]
+    d.send(spark, **event("A", later, z=3.2))
+    assert d.keys[("A", "price_shock")][1].value is not None and d.keys[("A", "price_shock")][1].timers
+    d.flush(1000)
+    assert d.keys[("A", "price_shock")][1].value is None
+
+
 def test_rollup(spark):
     rows = [
         event("A", 0, z=3.2, incident="A-1", price=100.0, risk=1.1),

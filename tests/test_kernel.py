@@ -336,3 +336,15 @@ def test_long_ranges_use_tables_with_the_same_result():
         assert low[i] == price[lo[i] : i].min() and high[i] == price[lo[i] : i].max()
         assert total[i] == pytest.approx(volume[lo[i] : i].sum())
     assert cold_state()["last_ts"] is None
+
+
+def test_range_sums_do_not_depend_on_the_block():
+    rng = np.random.default_rng(6)
+    price, volume = rng.normal(100, 1, 3000), rng.random(3000) * 10.0 ** rng.integers(-6, 7, 3000)
+    hi = np.arange(1, 3001)
+    lo = np.maximum(0, hi - rng.integers(0, 900, 3000))
+    whole = _range_stats(lo, hi, price, volume)
+    for first in (0, 1, 7, 1200, 2111):  # a block that starts later gives the same bits
+        own = lo >= first
+        part = _range_stats(lo[own] - first, hi[own] - first, price[first:], volume[first:])
+        assert all((a[own] == b).all() for a, b in zip(whole, part))

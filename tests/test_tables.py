@@ -1,7 +1,7 @@
 """Decoding, contract, idempotent writes, partition pruning, exports."""
 
 import json
-from datetime import date, datetime, timezone
+from datetime import date, datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -179,6 +179,69 @@ def test_windows_across_midnight(midnight):
     assert newest["AAPL"].minute == 4 and newest["MSFT"].hour == 10
 
 
+def partition_filters(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [x.split("PushedFilters")[0] for x in plan.split("PartitionFilters")[1:]]
+
+
+def test_lookback_reads_its_days_and_the_newest_of_empty_tickers(midnight):
+    now = at("2026-09-17 00:04:30")
+    assert desk.partition_days(midnight)["MSFT"] == [now.date() - timedelta(days=1)]
+    found = desk.lookback(midnight, now, 3)
+    assert sorted((r["ticker"], r["price"]) for r in found.collect()) == [
+        ("AAPL", 107.0), ("AAPL", 108.0), ("AAPL", 109.0), ("MSFT", 150.0),
+    ]
+    recent, older = partition_filters(found)[:2]
+    assert "day" in recent and "2026-09-17" in recent and "ticker" in older and "MSFT" in older and "2026-09-16" in older
+    assert desk.lookback(midnight, now, 3, fallback=False).count() == 3
+    early = desk.lookback(midnight, at("2026-09-16 23:56:30"), 1)  # later rows do not count
+    assert sorted((r["ticker"], r["price"]) for r in early.collect()) == [("AAPL", 101.0), ("MSFT", 150.0)]
+    assert desk.lookback(midnight, at("2026-09-15 00:00:00"), 60).count() == 0
+
+
+def test_metrics_of_a_lookback(midnight, spark):
+    kinds = {f.name: f.dataType for f in ANOMALIES.fields if f.name not in midnight.columns}
+    rows = midnight.withColumns({c: F.lit(None).cast(k) for c, k in kinds.items()})
+    bars = spark.createDataFrame([("AAPL", at("2026-09-17 00:04:00"), 1, 5.0)], "ticker string, bar_time timestamp, bar_ms long, close double")
+    stored = spark.createDataFrame([("AAPL",), ("NONE",)], "ticker string")
+    got = {r["ticker"]: r for r in desk.lookback_metrics(rows, bars, at("2026-09-17 00:04:30"), 3, stored).collect()}
+    assert got["AAPL"]["anomaly_count"] == 3 and got["AAPL"]["latest_price"] == 5.0 and got["NONE"]["anomaly_count"] == 0
+
+
+def test_rejected_records_are_kept_and_counted(spark, tmp_path):
+    from tapewatch.sources.log import split_records
+    from tapewatch.streaming.sinks import rejected_counts, start_quarantine
+
+    good = '{"ticker": "A", "event_time_ms": 5, "price": 1.0}'
+    rows = [(0, 1, good), (0, 2, "no json"), (1, 3, '{"ticker": "A"}'), (1, 4, None), (1, 5, '{"price": 2}')]
+    raw = spark.createDataFrame(rows, "partition int, offset long, value string")
+    raw.write.parquet(str(tmp_path / "in"))
+    ticks, rejected = split_records(spark.readStream.schema(raw.schema).parquet(str(tmp_path / "in")))
+    assert "arrival" in ticks.columns and "event_time" in ticks.columns
+    start_quarantine(rejected, str(tmp_path / "bad"), str(tmp_path / "ck"), available_now=True).awaitTermination()
+    stored = spark.read.parquet(str(tmp_path / "bad"))
+    assert sorted(r["offset"] for r in stored.collect()) == [2, 3, 4, 5]
+    counts = {(r["partition"], r["reason"]): r["records"] for r in rejected_counts(stored).collect()}
+    assert counts == {(0, "unreadable"): 1, (1, "incomplete"): 2, (1, "unreadable"): 1}
+
+
+def test_alert_log_of_a_retried_batch_stays_single(spark, tmp_path):
+    from tapewatch.streaming.sinks import alert_log_batch
+
+    row = spark.sql("SELECT 'a' AS alert_id, 'opened' AS event, timestamp'2026-01-01 00:00:00' AS end_time")
+    write = alert_log_batch(str(tmp_path / "log"))
+    for batch_id in (0, 1, 1):
+        write(row, batch_id)
+    assert spark.read.json(str(tmp_path / "log")).count() == 2
+
+
+def test_upsert_reads_only_touched_partitions(spark):
+    condition = tables.in_partitions(["ticker", "day"], [("A", 1), ("A", 2), ("B", 1), ("B", 2), ("C", 5)])
+    rows = spark.createDataFrame([(t, d) for t in "ABCD" for d in range(7)], "ticker string, day int")
+    assert sorted(tuple(r) for r in rows.filter(condition).collect()) == [("A", 1), ("A", 2), ("B", 1), ("B", 2), ("C", 5)]
+    assert rows.filter(tables.in_partitions(["ticker", "day"], [])).count() == 0
+
+
 def test_only_the_named_partitions_are_read(midnight):
     found = desk.scan_partitions(midnight, ["AAPL"], at("2026-09-16 23:57:00"), at("2026-09-17 00:10:00"))
     plan = found._jdf.queryExecution().executedPlan().toString()
