@@ -95,7 +95,7 @@ def _score_unit(pdf: pd.DataFrame, order: list[str], params: Mapping[str, Detect
 BROADCAST_ROWS = 200_000
 
 
-def slice_plan(ticks: DataFrame, target_rows: int, burn_ticks: int, least_burn_ms: int) -> DataFrame:
+def slice_plan(ticks: DataFrame, target_rows: int, burn_ticks: int) -> DataFrame:
     """Per ticker: where its slices start, how wide they are and how far back
     the replay reaches. A slow ticker gets wide slices, a hot one narrow ones."""
     per = ticks.groupBy("ticker").agg(
@@ -104,7 +104,7 @@ def slice_plan(ticks: DataFrame, target_rows: int, burn_ticks: int, least_burn_m
     slices = F.greatest(F.lit(1), F.floor(F.col("_n") / target_rows))
     width = F.floor((F.col("_last") - F.col("_first")) / slices) + 1
     share = F.lit(burn_ticks) / (F.col("_n") / slices)
-    burn = F.greatest(F.lit(least_burn_ms), F.ceil(width * share))
+    burn = F.ceil(width * share)
     return per.select(
         "ticker", "_first", width.alias("_width"), burn.cast("long").alias("_burn"), (slices - 1).alias("_final")
     )
@@ -134,14 +134,12 @@ def detect_batch(
 
     ``target_rows`` per slice and ``burn_ticks`` replayed before one affect
     only speed: the slower averages need some thousand ticks to forget their
-    start. The replay spans at least the reset gap, so a pause long enough to
-    reset needs none. ``s`` names the columns that order ticks."""
+    start. ``s`` names the columns that order ticks."""
     many = isinstance(params, Mapping)
     sets = dict(params) if many else {"": params}
     order = list(s.order)
     narrow = ticks.select(*dict.fromkeys([*INPUT, *order]))
-    reset = max(p.gap_reset_ms for p in sets.values()) + 1
-    plan = cut_lineage(slice_plan(narrow, target_rows, burn_ticks, reset))  # one row per ticker
+    plan = cut_lineage(slice_plan(narrow, target_rows, burn_ticks))  # one row per ticker
     size = plan.agg(F.count("*").alias("tickers"), F.max("_final").alias("final")).first()
     if size["tickers"] <= BROADCAST_ROWS:
         plan = F.broadcast(plan)

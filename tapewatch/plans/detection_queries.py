@@ -136,6 +136,13 @@ def detect_all(spark, folder):
     return _shown(detect.detect_batch(ticks(spark, folder), TEST_PARAMS, slices(spark, folder)))
 
 
+@query("detect_sliced", "K-1", "K-3", "K-8", sql=DETECTED_SQL)
+def detect_sliced(spark, folder):
+    """The same with several slices per ticker and a replay too short for some."""
+    scored = detect.detect_batch(ticks(spark, folder), TEST_PARAMS, slices(spark, folder), target_rows=400, burn_ticks=200)
+    return _shown(scored)
+
+
 ISOLATED = {
     "ramp": TEST_PARAMS.only("ewma"),
     "price_steps": TEST_PARAMS.only("cusum_price").with_(cusum_k=0.5, cusum_h=4.0),
@@ -152,7 +159,16 @@ SELECT '{name}' AS param_id, ticker, coalesce(signals, 'none') AS signals, count
 
 @query("detect_isolated", "K-14", "J-8", sql=" UNION ALL ".join(_counts_sql(k, p) for k, p in ISOLATED.items()))
 def detect_isolated(spark, folder):
-    scored = detect.detect_batch(ticks(spark, folder), ISOLATED, slices(spark, folder))
+    return _isolated_counts(detect.detect_batch(ticks(spark, folder), ISOLATED, slices(spark, folder)))
+
+
+@query("detect_isolated_sliced", "K-14", "K-7", "J-8", sql=" UNION ALL ".join(_counts_sql(k, p) for k, p in ISOLATED.items()))
+def detect_isolated_sliced(spark, folder):
+    scored = detect.detect_batch(ticks(spark, folder), ISOLATED, slices(spark, folder), target_rows=400, burn_ticks=200)
+    return _isolated_counts(scored)
+
+
+def _isolated_counts(scored: DataFrame) -> DataFrame:
     return scored.groupBy("param_id", "ticker", F.coalesce("signals", F.lit("none")).alias("signals")).agg(
         F.count("*").alias("ticks"), F.count_distinct("incident_id").alias("incidents")
     )

@@ -30,7 +30,10 @@ from tapewatch.plans.inputs import (
     ticks,
 )
 from tapewatch.plans.surveillance import surveil
+from tapewatch.schemas import SCORED_COLUMNS, TICK_CSV
 from tapewatch.session import checkpoint_folder, cut_lineage
+from tapewatch.sources import files, log
+from tapewatch.streaming import sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -56,18 +59,24 @@ def query(name: str, *covers: str, sql: str | None = None):
 
 
 @lru_cache(maxsize=32)
-def _planned_width(application: str, folder: str) -> int:
+def _planned_width(application: str, folder: str, keys: tuple[str, ...]) -> int:
     t = ticks(SparkSession.getActiveSession(), folder).select("ticker", "event_time_ms")
-    return plan_width(t, Slicing())
+    return plan_width(t, Slicing(keys=keys))
 
 
-def slices(spark: SparkSession, folder: str, least_ms: int = 1_000) -> Slicing:
-    """A day per slice, or less where the busiest ticker has more than a
-    million ticks a day; never less than a query's look-back."""
-    planned = _planned_width(spark.sparkContext.applicationId, folder)
+def slices(spark: SparkSession, folder: str, least_ms: int = 1_000, keys: tuple[str, ...] = ("ticker",)) -> Slicing:
+    """A day per slice, or less where the busiest ticker (without keys: all
+    tickers together) has more than a million ticks a day; never less than a
+    query's look-back."""
+    planned = _planned_width(spark.sparkContext.applicationId, folder, keys)
     return Slicing(width_ms=max(least_ms, min(DAY_MS, planned)))
 
 
+def timeline(spark: SparkSession, folder: str) -> Slicing:
+    """Slices for one order over all tickers, sized by all of them."""
+    return Slicing(width_ms=slices(spark, folder, keys=()).width_ms)
+
+
 def r6(column: str | Column, name: str | None = None) -> Column:
     c = F.col(column) if isinstance(column, str) else column
     return (F.round(c, 6) + 0.0).alias(name or column)
@@ -153,7 +162,7 @@ def tick_side(spark, folder):
 WITH {TICKS_SQL}
 SELECT ticker, arrival, CASE WHEN coalesce(price - lag(price) OVER (ORDER BY event_time_ms, arrival), 0) >= 0 THEN 'buy' ELSE 'sell' END AS side FROM ticks""")
 def tick_side_global(spark, folder):
-    return tk.with_side(ticks(spark, folder), "global", slices(spark, folder)).select("ticker", "arrival", "side")
+    return tk.with_side(ticks(spark, folder), "global", timeline(spark, folder)).select("ticker", "arrival", "side")
 
 
 REPLAY_SQL = """
@@ -164,7 +173,7 @@ SELECT ticker, arrival, round(target, 6) + 0.0 AS target_s FROM e"""
 
 @query("replay_schedule", "W-16", sql=REPLAY_SQL.format(t=TICKS_SQL, p=""))
 def replay_schedule(spark, folder):
-    return tk.replay_schedule(ticks(spark, folder), 50.0, 2.0, "global", s=slices(spark, folder)).select("ticker", "arrival", r6("target_s"))
+    return tk.replay_schedule(ticks(spark, folder), 50.0, 2.0, "global", s=timeline(spark, folder)).select("ticker", "arrival", r6("target_s"))
 
 
 @query("replay_schedule_per_ticker", "W-16", sql=REPLAY_SQL.format(t=TICKS_SQL, p="PARTITION BY ticker"))
@@ -500,6 +509,67 @@ def ticker_metrics(spark, folder):
     )
 
 
+@query("lookback_metrics", "A-2", "P-5", sql=LOOKBACK_SQL + f""", {TICKS_SQL}, {BARS_SQL},
+m AS (SELECT DISTINCT event_type AS ticker FROM events),
+l AS (SELECT p.* FROM p JOIN c USING (ticker) WHERE event_time_ms >= cutoff),
+a AS (SELECT ticker, count(*) AS n, max(abs(zscore)) AS mz, max(event_time_ms) AS le FROM l GROUP BY ticker),
+b AS (SELECT ticker, arg_max("close", bar_ms) AS last FROM bars WHERE bar_ms BETWEEN {NOW_MS - BACK_MS} AND {NOW_SQL} GROUP BY ticker)
+SELECT ticker, coalesce(n, 0) AS anomaly_count, {s6('coalesce(mz, 0)', 'max_zscore')}, le AS latest_ms, {s6('coalesce(last, 0)', 'latest_price')}
+FROM m LEFT JOIN a USING (ticker) LEFT JOIN b USING (ticker)""")
+def lookback_metrics(spark, folder):
+    b = bars.ohlc_bars(ticks(spark, folder), BAR).withColumn("bar_time", F.timestamp_millis("bar_ms"))
+    tickers = spark.read.parquet(f"{folder}/events.parquet").select(F.col("event_type").alias("ticker")).distinct()
+    m = desk.lookback_metrics(stored_anomalies(spark, folder), b, NOW, BACK_MIN, tickers)
+    return m.select(
+        "ticker", "anomaly_count", r6("max_zscore"), F.unix_millis("latest_event_time").alias("latest_ms"), r6("latest_price")
+    )
+
+
+@query("csv_round_trip", "S-4", sql=f"WITH {TICKS_SQL} SELECT ticker, event_time_ms, {s6('price')}, {s6('volume')}, label FROM ticks")
+def csv_round_trip(spark, folder):
+    path = f"{checkpoint_folder(spark)}/stored/{uuid.uuid4().hex}"
+    t = ticks(spark, folder)
+    names = [c for c in TICK_CSV.fieldNames() if c in t.columns]
+    missing = {f.name: F.lit(None).cast(f.dataType) for f in TICK_CSV.fields if f.name not in t.columns}
+    files.write_csv(t.select(*names).withColumns(missing).select(*TICK_CSV.fieldNames()), path)
+    return files.read_ticks_csv(spark, path).select("ticker", "event_time_ms", r6("price"), r6("volume"), "label")
+
+
+@query("scored_lines", "S-7", sql=f"""
+WITH {ANOMALIES_SQL} SELECT ticker, event_time_ms, {s6('price')}, {s6('zscore')}, is_anomaly, anomaly_type, {s6('risk_score')}, tick_id FROM scored""")
+def scored_lines(spark, folder):
+    path = f"{checkpoint_folder(spark)}/stored/{uuid.uuid4().hex}"
+    rows = anomalies(spark, folder).withColumn("timestamp", F.col("event_time")).select(*SCORED_COLUMNS)
+    lines = rows.select(F.to_json(F.struct(*SCORED_COLUMNS)).alias("value"))
+    lines.unionByName(lines.select(F.concat(F.lit("# "), "value").alias("value"))).write.text(path)
+    return files.read_scored_jsonl(spark, path).select(
+        "ticker", "event_time_ms", r6("price"), r6("zscore"), "is_anomaly", "anomaly_type", r6("risk_score"), "tick_id"
+    )
+
+
+@query("written_latency", "ST-12", sql=f"WITH {ANOMALIES_SQL} SELECT ticker, count(*) AS ticks, count(*) AS with_latency FROM scored GROUP BY ticker")
+def written_latency(spark, folder):
+    rows = sinks.with_written_at(anomalies(spark, folder))
+    since = (F.unix_micros("written_at") - F.unix_micros("event_time")) / 1000.0
+    return rows.groupBy("ticker").agg(
+        F.count("*").alias("ticks"), F.count_if((F.col("latency_ms") > 0) & (F.abs(F.col("latency_ms") - since) < 1)).alias("with_latency")
+    )
+
+
+# every 17th message is cut off, every 19th lacks its price
+@query("rejected_records", "S-3", sql=f"""
+WITH {TICKS_SQL}, r AS (SELECT arrival % 4 AS "partition", CASE WHEN arrival % 17 = 0 THEN 'unreadable' WHEN arrival % 19 = 0 THEN 'incomplete' END AS reason FROM ticks)
+SELECT "partition"::INTEGER AS "partition", reason, count(*) AS records FROM r WHERE reason IS NOT NULL GROUP BY ALL""")
+def rejected_records(spark, folder):
+    t = ticks(spark, folder).withColumn("price", F.when(F.col("arrival") % 19 != 0, F.col("price")))
+    text = F.to_json(F.struct("ticker", "event_time_ms", "price", "volume"))
+    raw = t.select(
+        (F.col("arrival") % 4).cast("int").alias("partition"), F.col("arrival").alias("offset"),
+        F.when(F.col("arrival") % 17 == 0, F.substring(text, 1, 12)).otherwise(text).alias("value"),
+    )
+    return sinks.rejected_counts(log.split_records(raw)[1])
+
+
 @query("audit_view", "P-13", sql=f"""
 WITH {ANOMALIES_SQL}, a AS (SELECT *, {SEVERITY_SQL} AS severity FROM scored)
 SELECT coalesce(incident_id, 'INC-' || substr(md5(concat_ws('|', ticker, event_time_ms)), 1, 12)) AS case_id,
@@ -559,7 +629,7 @@ def alert_rollup(spark, folder):
     )
 
 
-@query("recent_alerts", "T-4", sql=ALERTS_SQL.replace("SELECT substr", ", z AS (SELECT substr") + ") SELECT alert_id, ticker, end_ms FROM z ORDER BY end_ms DESC, alert_id DESC LIMIT 50")
+@query("recent_alerts", "T-4", sql=ALERTS_SQL.replace("SELECT md5", ", z AS (SELECT md5") + ") SELECT alert_id, ticker, end_ms FROM z ORDER BY end_ms DESC, alert_id DESC LIMIT 50")
 def recent_alerts(spark, folder):
     cfg = alerts.AlertConfig(burst_window_ms=HOUR)
     a = alerts.alerts_batch(desk.flagged(anomalies(spark, folder)), cfg, slices(spark, folder))
