@@ -38,15 +38,16 @@ LENGTH = 50
 ANCHOR = 16
 REACH = LENGTH - ANCHOR + 1  # anchors to choose from in a window
 SIDE = (LENGTH - ANCHOR) // 2  # a shared window has this much on one side of its anchor at least
-PIECE = 1 << 21  # bytes of text looked at at a time
+PIECE = 1 << 20  # bytes of text looked at at a time
 LONG = 60_000  # longer texts come in pieces
-RUN = 1 << 20  # stretches of a task that are packed together
+RUN = 1 << 19  # stretches of a task that are packed together
+TURNS = 4  # parts of an anchor range that are sorted one after the other
 RANGE_BYTES = 384 << 20  # text per 16 anchor ranges
 BUCKET = 1 << 12  # strings ordered together, more only if they share an anchor
 _BASE = 0x9E3779B97F4A7C15 | 1
 # What travels of a stretch, those of a document in a row, and of a document's piece.
 STRETCH = np.dtype([("anchor", "V5"), ("same", "V6"), ("left", "u1"), ("right", "u1"), ("at", "<u2"), ("more", "u1")])
-PART = np.dtype([("id", "<i8"), ("tag", "<u4"), ("base", "<u4"), ("n", "<u4")])
+PART = np.dtype([("id", "<i8"), ("tag", "<u4"), ("piece", "<u2"), ("n", "<u2")])
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -149,7 +150,7 @@ class _Run:
         self.clear()
 
     def clear(self) -> None:
-        self.docs: list[tuple[int, int, int]] = []  # id, tag, offset of the piece in the text
+        self.docs: list[tuple[int, int, int]] = []  # id, tag, number of the piece of the text
         self.columns: list[dict[str, np.ndarray]] = []
         self.held = 0
 
@@ -168,7 +169,7 @@ class _Run:
         c = {k: np.concatenate([x[k] for x in self.columns]) for k in self.columns[0]}
         text = c["text"].astype(np.int64)
         docs = np.zeros(len(self.docs), PART)
-        for i, name in enumerate(("id", "tag", "base")):
+        for i, name in enumerate(("id", "tag", "piece")):
             docs[name] = [d[i] for d in self.docs]
         ids = docs["id"][text]
         order = np.lexsort((ids, c["same"], c["anchor"]))
@@ -207,7 +208,7 @@ def _pieces(texts: pa.Array, ids: list, tags: list) -> Iterator[tuple[np.ndarray
         if size > LONG:
             for start in range(0, size - LENGTH + 1, LONG):
                 own = data[ends[at] + start : ends[at] + min(size, start + LONG + LENGTH - 1)]
-                yield own, np.array([0, len(own)]), [(ids[at], tags[at], start)]
+                yield own, np.array([0, len(own)]), [(ids[at], tags[at], start // LONG)]
             at += 1
             continue
         upto = at + 1
@@ -267,14 +268,21 @@ def _spans(ids, tags, open_, anchors, starts, ends) -> pa.Table:
 
 
 def _settle(group: pa.Table) -> pa.Table:
-    """Step 2 for one anchor range."""
+    """Step 2 for one anchor range, in turns."""
     docs = np.concatenate([np.frombuffer(x.as_buffer(), PART) for x in group.column("docs")])
     s = np.concatenate([np.frombuffer(x.as_buffer(), STRETCH) for x in group.column("stretches")])
     owner = np.repeat(np.arange(len(docs)), docs["n"])
-    ids, tags = docs["id"][owner], docs["tag"][owner].astype(np.int64)
-    starts = docs["base"][owner].astype(np.int64) + s["at"]
+    anchor = _from_bytes(s["anchor"], 5)
+    turn = anchor % TURNS
+    own = [np.flatnonzero(turn == t) for t in range(TURNS)]
+    return pa.concat_tables([_settle_turn(docs[owner[o]], s[o], anchor[o]) for o in own if len(o)])
+
+
+def _settle_turn(docs: np.ndarray, s: np.ndarray, anchor: np.ndarray) -> pa.Table:
+    ids, tags = docs["id"], docs["tag"].astype(np.int64)
+    starts = docs["piece"].astype(np.int64) * LONG + s["at"]
     ends = starts + s["more"] + LENGTH
-    anchor, same = _from_bytes(s["anchor"], 5), _from_bytes(s["same"], 6)
+    same = _from_bytes(s["same"], 6)
     order = np.lexsort((ids, same, anchor))
     new_anchor = np.concatenate(([True], anchor[order][1:] != anchor[order][:-1]))
     new = new_anchor | np.concatenate(([True], same[order][1:] != same[order][:-1]))
@@ -472,7 +480,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         F.collect_list("anchors").alias("a"), F.collect_list("starts").alias("s"), F.collect_list("ends").alias("e")
     )
     fetched = named.join(wanted, ["doc_id", "tag"]).mapInArrow(
-        _fetch(ranges), "bucket int, anchors binary, heads binary, bytes binary"
+        _fetch(8 * ranges), "bucket int, anchors binary, heads binary, bytes binary"
     )
     second = scratch.write(fetched.groupBy("bucket").applyInArrow(_order_bucket, SPANS))
     _release()
