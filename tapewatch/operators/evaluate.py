@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -162,28 +164,37 @@ def _kinds_of(family: Column) -> Column:
     return out
 
 
-def caught_events(flags: DataFrame, spans: DataFrame) -> DataFrame:
+def caught_events(flags: DataFrame, spans: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Spans with a flag of their own family anywhere inside."""
     inside = span_positions(spans).withColumn("family", _by_kind(F.col("kind"), FAMILY))
-    return inside.join(flags, ["ticker", "pos", "family"], "left_semi").select("ticker", "start_pos", "kind").distinct()
+    if not by:
+        hit = inside.join(flags, ["ticker", "pos", "family"], "left_semi")
+    else:
+        hit = inside.join(flags.select(*by, "ticker", "pos", "family"), ["ticker", "pos", "family"])
+    return hit.select(*by, "ticker", "start_pos", "kind").distinct()
 
 
-def event_metrics(flags: DataFrame, spans: DataFrame) -> DataFrame:
+def event_metrics(flags: DataFrame, spans: DataFrame, by: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
     """Per kind present in the spans: events, detected, precision, recall, F1.
     Flags inside another kind's span count neither for nor against a kind.
-    ``flags`` are ``ticker, pos, family``; ``spans`` are event spans."""
+    ``flags`` are ``ticker, pos, family``; ``spans`` are event spans. ``by``
+    names one column of the flags, such as a parameter set, and its values:
+    each is scored on its own."""
+    keys = list(by or {})
     cover = span_positions(spans).groupBy("ticker", "pos").agg(F.collect_set("kind").alias("kinds"))
     rows = flags.join(cover, ["ticker", "pos"], "left").withColumn("kind", F.explode(_kinds_of(F.col("family"))))
     covered = F.col("kinds").isNotNull()
     own = F.coalesce(F.expr("array_contains(kinds, kind)"), F.lit(False))
-    counts = rows.groupBy("kind").agg(
+    counts = rows.groupBy(*keys, "kind").agg(
         F.count_if(own).alias("tp"), F.count_if(own | ~covered).alias("counted")
     )
     events = spans.groupBy("kind").agg(F.count("*").alias("events"))
-    detected = caught_events(flags, spans).groupBy("kind").agg(F.count("*").alias("detected"))
-    out = events.join(counts, "kind", "left").join(detected, "kind", "left").fillna(0)
+    for key, values in (by or {}).items():
+        events = events.withColumn(key, F.explode(F.array(*[F.lit(v) for v in values])))
+    detected = caught_events(flags, spans, keys).groupBy(*keys, "kind").agg(F.count("*").alias("detected"))
+    out = events.join(counts, [*keys, "kind"], "left").join(detected, [*keys, "kind"], "left").fillna(0)
     p, r = rate("tp", "counted"), rate("detected", "events")
-    return out.select("kind", "events", "detected", p.alias("precision"), r.alias("recall"), f1(p, r).alias("f1"))
+    return out.select(*keys, "kind", "events", "detected", p.alias("precision"), r.alias("recall"), f1(p, r).alias("f1"))
 
 
 def trading_hours(ticks: DataFrame, gap_ms: int = 600_000, s: Slicing = TICKS) -> DataFrame:

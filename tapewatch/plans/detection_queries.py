@@ -17,6 +17,7 @@ from tapewatch.params import AlertConfig, DetectorParams
 from tapewatch.plans.evaluation import evaluation_report
 from tapewatch.plans.inputs import ANOMALIES_SQL, anomalies, indexed_sql, ticks
 from tapewatch.plans.registry import GAP_MS, HOUR, query, r6, s6, slices
+from tapewatch.plans.price_tuning import check_price, tune_price
 from tapewatch.schemas import ALERT, ANOMALIES, RAW_EVENTS
 from tapewatch.session import checkpoint_folder
 from tapewatch.sources import files
@@ -287,6 +288,23 @@ def report(spark, folder):
     return evaluation_report(ticks(spark, folder), TEST_PARAMS, inject.EXISTING_VARIANTS, session_gap_ms=GAP_MS, s=slices(spark, folder))
 
 
+@query("price_tuning", "J-8", "A-15")
+def price_tuning(spark, folder):
+    _, table = tune_price(
+        ticks(spark, folder), TEST_PARAMS, cusum_grid=((0.5, 4.0), (1.0, 2.0), (2.0, 3.0)), z_grid=(2.5, 3.5),
+        ewma_grid=(2.0, 3.0), gap_ms=GAP_MS, s=slices(spark, folder),
+    )
+    scores = [r6(c) for c in ("precision", "recall", "f1")]
+    return table.select("stage", "setting", "chosen", "kind", "events", "detected", *scores)
+
+
+@query("price_check", "A-15", "A-10")
+def price_check(spark, folder):
+    tuned = TEST_PARAMS.with_(cusum_k=1.0, cusum_h=2.0, z_threshold=3.5)
+    scores = check_price(ticks(spark, folder), tuned, TEST_PARAMS, gap_ms=GAP_MS, s=slices(spark, folder))
+    return scores.select("period", "setting", "kind", "events", "detected", *[r6(c) for c in ("precision", "recall", "f1")])
+
+
 @query("message_round_trip", "S-3", "S-9", "S-13", sql=f"""
 WITH {TICKS_CTE} SELECT ticker, event_time_ms, {s6('price')}, {s6('volume')}, label FROM ticks""")
 def message_round_trip(spark, folder):

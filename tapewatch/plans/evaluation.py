@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapewatch.functions.columns import rate
 from tapewatch.operators import evaluate
 from tapewatch.operators.detect import detect_batch
 from tapewatch.operators.inject import EXISTING_VARIANTS, SESSION_GAP_MS, Variant, inject_variant
@@ -24,6 +23,7 @@ def _report_rows(name: str, source: str, metrics: DataFrame, kinds: Sequence[str
         F.lit(name).alias("dataset"), F.lit(source).alias("source"), "kind",
         F.col("events").cast("double").alias("events"), F.col("detected").cast("double").alias("detected"),
         "precision", "recall", "f1",
+        F.lit(None).cast("double").alias("alerts_per_hour"), F.lit(None).cast("double").alias("flag_rate"),
     )
 
 
@@ -31,8 +31,9 @@ def _incident_row(name: str, scored: DataFrame, spans: DataFrame, hours: DataFra
     overall, _ = evaluate.incident_metrics(scored, spans, hours)
     return overall.select(
         F.lit(name).alias("dataset"), F.lit("incidents").alias("source"), F.lit("any").alias("kind"),
-        F.col("incidents").cast("double").alias("events"), rate("total_per_hour", F.lit(1)).alias("detected"),
-        "precision", F.col("event_recall").alias("recall"), F.col("flag_rate").alias("f1"),
+        F.col("incidents").cast("double").alias("events"), F.lit(None).cast("double").alias("detected"),
+        "precision", F.col("event_recall").alias("recall"), F.lit(None).cast("double").alias("f1"),
+        F.col("total_per_hour").alias("alerts_per_hour"), "flag_rate",
     )
 
 
@@ -51,8 +52,8 @@ def evaluation_report(
     Datasets are the original ticks and one copy per variant. Sources: the
     detector and the naive thresholds (tuned on the training period) per event
     kind, and the detector's incidents; for the latter ``events`` counts
-    incidents, ``detected`` is alerts per hour, ``recall`` the share of events
-    caught and ``f1`` the flag rate."""
+    incidents, ``recall`` is the share of events caught, and ``alerts_per_hour``
+    and ``flag_rate`` are filled in."""
     if period not in ("all", "train", "test"):
         raise ValueError("period is all, train or test")
     plain = cut_lineage(indexed(ticks, session_gap_ms, s))
