@@ -14,7 +14,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapewatch.operators import evaluate
@@ -57,31 +57,32 @@ def score_settings(
 ) -> DataFrame:
     """(setting, kind, events, detected, precision, recall, f1) of every setting
     on the ticks of one period."""
+    return score_periods(data, settings, [period], s).drop("period")
+
+
+def score_periods(
+    data: Sequence[Dataset], settings: Mapping[str, DetectorParams], periods: Sequence[str], s: Slicing = TICKS
+) -> DataFrame:
+    """The scores of every period; the detector runs once per dataset."""
     out = []
     for d in data:
-        keep = d.ticks if period == "all" else period_mask(d.ticks).filter(F.col("period") == period)
         scored = detect_batch(d.ticks, settings, s).filter("is_anomaly").select("param_id", "ticker", "tick_id", "anomaly_type")
-        placed = cut_lineage(scored.join(keep.select("ticker", "tick_id", "pos"), ["ticker", "tick_id"]))
-        starts = keep.select("ticker", F.col("pos").alias("start_pos"))
-        spans = cut_lineage(d.spans.join(starts, ["ticker", "start_pos"], "left_semi"))
-        flags = placed.select("param_id", "ticker", "pos", F.col("anomaly_type").alias("family"))
-        metrics = evaluate.event_metrics(flags, spans, by={"param_id": list(settings)})
-        out.append(metrics.filter(F.col("kind").isin(list(d.kinds))))
+        scored = cut_lineage(scored)
+        for period in periods:
+            keep = d.ticks if period == "all" else period_mask(d.ticks).filter(F.col("period") == period)
+            keep = keep.select("ticker", "tick_id", "pos")
+            flags = scored.join(keep, ["ticker", "tick_id"]).withColumn("family", F.col("anomaly_type"))
+            spans = d.spans.join(keep.select("ticker", F.col("pos").alias("start_pos")), ["ticker", "start_pos"], "left_semi")
+            metrics = evaluate.event_metrics(flags, spans, by={"param_id": list(settings)})
+            out.append(metrics.filter(F.col("kind").isin(list(d.kinds))).withColumn("period", F.lit(period)))
     return cut_lineage(reduce(DataFrame.unionByName, out).withColumnRenamed("param_id", "setting"))
 
 
-def _stage(
-    spark: SparkSession, data: Sequence[Dataset], settings: dict[str, DetectorParams], base: DataFrame, known: DataFrame,
-    target: str, s: Slicing, period: str,
-) -> tuple[str, DataFrame]:
-    """The chosen setting and the scores of a stage. ``known`` are scores of
-    settings from before that may be kept."""
-    scores = score_settings(data, settings, period, s)
-    names = [*settings, *[r["setting"] for r in known.select("setting").distinct().collect()]]
-    places = spark.createDataFrame(list(zip(names, range(len(names)))), "setting string, grid_pos int")
-    rows = scores.unionByName(known).join(places, "setting")
-    chosen = best_guarded(rows.select("grid_pos", "kind", "f1", "setting"), base.select("kind", "f1"), target).first()
-    return chosen["setting"], scores
+def _choose(scores: DataFrame, names: Sequence[str], base: DataFrame) -> str:
+    """The setting with the best guarded F1 of the target; the first named wins a tie."""
+    places = scores.sparkSession.createDataFrame(list(zip(names, range(len(names)))), "setting string, grid_pos int")
+    rows = scores.join(places, "setting").select("grid_pos", "kind", "f1", "setting")
+    return best_guarded(rows, base.select("kind", "f1"), TARGET).first()["setting"]
 
 
 def tune_price(
@@ -97,17 +98,19 @@ def tune_price(
 ) -> tuple[DetectorParams, DataFrame]:
     """The tuned parameters and the table of both stages: stage, setting, kind,
     events, detected, precision, recall, f1 and whether the stage chose it."""
-    spark = ticks.sparkSession
     data = datasets(ticks, variants, gap_ms=gap_ms, s=s)
-    base = score_settings(data, {DEFAULTS: defaults}, period, s)
     first = {f"k={k:g}, h={h:g}": defaults.with_(cusum_k=k, cusum_h=h) for k, h in cusum_grid}
-    one, scores_one = _stage(spark, data, first, base, base, TARGET, s, period)
+    scores_one = score_settings(data, first | {DEFAULTS: defaults}, period, s)
+    base = scores_one.filter(F.col("setting") == DEFAULTS)
+    one = _choose(scores_one, [*first, DEFAULTS], base)
     kept = (first | {DEFAULTS: defaults})[one]
-    before = scores_one.unionByName(base).filter(F.col("setting") == one)
     second = {
         f"{one}, z={z:g}, ewma={e:g}": kept.with_(z_threshold=z, ewma_threshold=e) for z in z_grid for e in ewma_grid
     }
-    two, scores_two = _stage(spark, data, second, base, before, TARGET, s, period)
+    scores_two = score_settings(data, second, period, s)
+    before = scores_one.filter(F.col("setting") == one)
+    two = _choose(scores_two.unionByName(before), [*second, one], base)
+    scores_one = scores_one.filter(F.col("setting") != DEFAULTS)
     table = (
         base.withColumn("stage", F.lit(0)).withColumn("chosen", F.lit(False))
         .unionByName(scores_one.withColumn("stage", F.lit(1)).withColumn("chosen", F.col("setting") == one))
@@ -127,8 +130,4 @@ def check_price(
     """Defaults and tuned parameters on the train, test and all ticks, with the
     held-out variants that were never tuned on."""
     data = datasets(ticks, [*EXISTING_VARIANTS, *(HELDOUT_VARIANTS if heldout else ())], gap_ms=gap_ms, s=s)
-    parts = [
-        score_settings(data, {DEFAULTS: defaults, "tuned": tuned}, period, s).withColumn("period", F.lit(period))
-        for period in ("train", "test", "all")
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    return score_periods(data, {DEFAULTS: defaults, "tuned": tuned}, ("train", "test", "all"), s)
