@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +22,7 @@ from tapewatch.plans.price_tuning import check_price, tune_price
 from tapewatch.schemas import ALERT, ANOMALIES, RAW_EVENTS
 from tapewatch.session import checkpoint_folder
 from tapewatch.sources import files
-from tapewatch.sources.tables import anomaly_rows, read_table
+from tapewatch.sources.tables import anomaly_rows, persist_batch, read_table
 from tapewatch.streaming.alerts import alerts_stream, dedupe_events
 from tapewatch.streaming.bars import live_bars
 from tapewatch.streaming.detect import detect_stream
@@ -208,16 +209,51 @@ def _run_into_tables(spark, folder) -> tuple[DataFrame, DataFrame]:
     return read_table(spark, raw, RAW_EVENTS), read_table(spark, flagged, ANOMALIES)
 
 
-@query("stream_to_tables", "S-2", "S-11", "S-12", "S-17", "ST-1", "ST-4", "ST-13", sql=f"""
+FLAGGED_SQL = f"""
 WITH RECURSIVE {TICKS_CTE}, {detector_sql(TEST_PARAMS)}
-SELECT ticker, CAST(CAST(make_timestamp_ms(ms) AS DATE) AS VARCHAR) AS day, tick_id, {FIELDS_SQL}, anomaly_type, signals, incident_id FROM run WHERE anomaly_type IS NOT NULL""")
-def stream_to_tables(spark, folder):
-    _, flagged = _run_into_tables(spark, folder)
-    return flagged.select(
+SELECT ticker, CAST(CAST(make_timestamp_ms(ms) AS DATE) AS VARCHAR) AS day, tick_id, {FIELDS_SQL}, anomaly_type, signals, incident_id FROM run WHERE anomaly_type IS NOT NULL"""
+
+
+def _flagged(rows: DataFrame) -> DataFrame:
+    return rows.select(
         "ticker", F.col("day").cast("string").alias("day"), "tick_id", *[r6(c) for c in FIELDS], "anomaly_type", "signals", "incident_id"
     )
 
 
+@query("stream_to_tables", "S-11", "S-12", "S-17", "ST-1", "ST-4", "ST-13", sql=FLAGGED_SQL)
+def stream_to_tables(spark, folder):
+    return _flagged(_run_into_tables(spark, folder)[1])
+
+
+@query("stream_in_batches", "S-2", "S-12", "ST-1", "ST-2", "ST-5", sql=FLAGGED_SQL)
+def stream_in_batches(spark, folder):
+    """The ticks as three files, one micro-batch each; the second micro-batch
+    fails after it was written and is run again from the checkpoint."""
+    base = f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
+    raw, flagged = f"{base}/raw_events", f"{base}/anomalies"
+    t = ticks(spark, folder).drop("label")
+    first, last = t.agg(F.min("event_time_ms"), F.max("event_time_ms")).first()
+    part = F.floor((F.col("event_time_ms") - first) * 3 / (last - first + 1))
+    for i in range(3):
+        t.filter(part == i).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    scored = detect_stream(files.stream_ticks_from_files(spark, f"{base}/in", arrival=True), TEST_PARAMS)
+    write, failed = persist_batch(raw, flagged), []
+
+    def fails_once(batch: DataFrame, batch_id: int) -> None:
+        write(batch, batch_id)
+        if batch_id == 1 and not failed:
+            failed.append(batch_id)
+            raise RuntimeError("lost after the write")
+
+    sink = scored.writeStream.foreachBatch(fails_once).outputMode("update")
+    sink = sink.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True)
+    try:
+        sink.start().awaitTermination()
+    except StreamingQueryException:
+        sink.start().awaitTermination()
+    return _flagged(read_table(spark, flagged, ANOMALIES))
+
+
 @query("stream_completeness", "J-7", "S-11", "A-23", sql=f"""
 WITH {TICKS_CTE} SELECT ticker, CAST(CAST(make_timestamp_ms(event_time_ms) AS DATE) AS VARCHAR) AS day, count(*) AS "rows" FROM ticks GROUP BY ALL""")
 def stream_completeness(spark, folder):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tapewatch.schemas import SCORED, TICK, TICK_CSV
 from tapewatch.session import ensure_utc
@@ -17,12 +18,18 @@ def read_ticks_csv(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def stream_ticks_from_files(spark: SparkSession, path: str, fmt: str = "parquet", files_per_batch: int = 1) -> DataFrame:
-    """The tick stream read from a folder instead of a log."""
+def stream_ticks_from_files(
+    spark: SparkSession, path: str, fmt: str = "parquet", files_per_batch: int = 1, arrival: bool = False
+) -> DataFrame:
+    """The tick stream read from a folder instead of a log. With ``arrival``
+    the files hold the arrival number that orders ticks of one millisecond."""
     if fmt not in ("parquet", "json", "csv"):
         raise ValueError("fmt is parquet, json or csv")
     ensure_utc(spark)
-    reader = spark.readStream.schema(TICK if fmt != "csv" else TICK_CSV).option("maxFilesPerTrigger", files_per_batch)
+    schema = StructType((TICK if fmt != "csv" else TICK_CSV).fields)
+    if arrival:
+        schema = schema.add("arrival", "long")
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
     if fmt == "csv":
         reader = reader.option("header", True)
     ticks = reader.format(fmt).load(path)
