@@ -127,8 +127,14 @@ def test_injected_anomalies(quoted):
         touched[block.index[: 5 if r.label == "price_shock" else 4]] = True
     same = ~touched & (pdf.label == "normal")
     assert (pdf.price[same] == pdf.p0[same]).mean() > 0.95
+    often = inject.inject_anomalies(quoted, 0.5, 7, S)
+    assert often.filter("label <> 'normal'").count() > len(starts_of(out))
     with pytest.raises(ValueError):
-        inject.inject_anomalies(quoted, 0.5)
+        inject.inject_anomalies(quoted, 1.5)
+
+
+def starts_of(out):
+    return out.filter("label <> 'normal'").collect()
 
 
 def test_short_sessions_stay_untouched(spark):
