@@ -98,10 +98,10 @@ def test_incidents(frame, width):
     assert got == want
 
 
-@pytest.mark.parametrize("accuracy", [10_000, 100])
+@pytest.mark.parametrize("accuracy", [200, 20])
 def test_percentiles_are_exact(spark, monkeypatch, accuracy):
-    # 100: the big group takes the bracketed way, the small ones do not
-    monkeypatch.setattr(quantiles, "ACCURACY", accuracy)
+    # a coarse grid takes more rounds to the same result
+    monkeypatch.setattr(quantiles, "GRID", accuracy)
     rng = np.random.default_rng(1)
     data = {"a": np.concatenate([np.full(4000, 7.0), rng.exponential(10, 1500)]), "b": rng.normal(0, 1, 37), "c": np.array([3.5])}
     df = spark.createDataFrame([(k, float(v)) for k, vs in data.items() for v in vs], "k string, v double")
