@@ -48,8 +48,9 @@ class ShingleHasher:
     """Hashes the shingles of texts that lie back to back in a buffer, by
     prefix sums over bytes instead of a loop over words."""
 
-    def __init__(self, size: int = SHINGLE):
+    def __init__(self, size: int = SHINGLE, word: np.ndarray = _IS_WORD):
         self.size = size
+        self.word = word  # of each byte: is it part of a word?
         self.power = self.inverse = np.ones(1, np.uint64)
 
     def _powers(self, n: int) -> None:
@@ -64,7 +65,7 @@ class ShingleHasher:
         n = len(data)
         self._powers(max(n, 1))
         texts = len(offsets) - 1
-        word = _IS_WORD[data]
+        word = self.word[data]
         begins = word.copy()
         begins[1:] &= ~word[:-1]
         inner = offsets[:-1][offsets[:-1] < n]

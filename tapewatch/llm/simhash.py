@@ -167,13 +167,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     return prints.join(of_print, "fp").select(key, "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``docs`` with one document left of each component, that of the smallest
-    key. Rows without a key cannot be named and stay. Of rows that repeat a
+def drop_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", near=near_duplicates) -> DataFrame:
+    """``docs`` with one document left of each component that ``near`` finds,
+    that of the smallest key. Rows without a key cannot be named and stay. Of rows that repeat a
     kept key one stays. Texts move only if the list of dropped keys is too
     long to be broadcast."""
     scratch = Scratch(docs.sparkSession)
-    found = scratch.write(near_duplicates(docs, text, key))
+    found = scratch.write(near(docs, text, key))
     dropped = scratch.write(found.filter(~F.col(key).eqNullSafe(F.col("component_id"))).select(key).distinct())
     repeated = found.groupBy(key).agg(F.count("*").alias("_n")).filter("_n > 1")
     repeated = scratch.write(repeated.filter(F.col(key).isNotNull()).select(key))

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from tapewatch.llm import repeats, simhash
+from tapewatch.llm import jaccard, repeats, simhash
 from tapewatch.llm.components import connected
 
 DOCS = "doc_id long, text string, fp string, component_id string"
@@ -164,3 +164,34 @@ def test_column_wise_order_is_the_suffix_array():
         assert found == sorted(found) and len(found) == sum(len(s) + 1 for s in strings)
         for a, b, p in zip(found, found[1:], prefix[1:]):
             assert a[:p] == b[:p] and (len(a) == p or len(b) == p or a[p] != b[p])
+
+
+def word_sets(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def test_pipeline_stage_links_all_pairs_of_similarity_0_8(spark):
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    texts = [None, "", " \n", "one", "ONE ", "two words"]
+    for group in range(25):
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.choice([8, 60, 400, 1000]))]
+        for _ in range(40 if group == 0 else 4):  # a large group of near copies too
+            words = list(base)
+            for _ in range(rng.randrange(1 + len(words) // 40)):
+                words[rng.randrange(len(words))] = f"x{rng.randrange(9)}"
+            texts.append(" ".join(words))
+    rows = [(i * 7 % 1009, t) for i, t in enumerate(texts)] + [(None, texts[-1]), (None, texts[-1])]
+    cut = {i: word_sets(t) for i, t in rows if i is not None}
+    pairs = [(a, b) for a in cut for b in cut if a < b]
+    linked = [(a, b) for a, b in pairs if cut[a] == cut[b] or len(cut[a] & cut[b]) / max(1, len(cut[a] | cut[b])) >= 0.8]
+    root = components(cut, linked)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs).collect()}
+    assert found == root and len(set(root.values())) < len(root) - 50
+    table = docs.selectExpr("doc_id", "text", "'en' lang", "'s' source", "1L n_chars")
+    kept = [r.doc_id for r in corpus_pipeline.near_duplicates(spark, table, "").collect()]
+    assert sorted(i for i in kept if i is not None) == sorted(set(root.values())) and kept.count(None) == 2
+    assert jaccard.near_duplicates(docs.limit(0)).count() == 0
