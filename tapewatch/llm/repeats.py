@@ -16,6 +16,9 @@ document with a smaller id. The work runs in four steps.
    by column: a round puts one more symbol in front of every stretch's suffix
    (``collection_order``). Suffixes in a row with common prefixes of LENGTH
    bytes or more hold the same window.
+   An anchor of more than HOT such stretches is in no bucket: its windows are
+   rows, each hash gets its smallest id by aggregation, and the windows under
+   larger ids are joined to it in SALTS parts.
 4. Spans meet their documents, which are cut and digested.
 """
 
@@ -44,6 +47,9 @@ RUN = 1 << 19  # stretches of a task that are packed together
 TURNS = 4  # parts of an anchor range that are sorted one after the other
 RANGE_BYTES = 384 << 20  # text per 16 anchor ranges
 BUCKET = 1 << 12  # strings ordered together, more only if they share an anchor
+HOT = 1 << 12  # open stretches of an anchor that are ordered in memory
+SALTS = 16
+CLOSED, OPEN, CROWDED = 0, 1, 2  # kinds of spans
 _BASE = 0x9E3779B97F4A7C15 | 1
 # What travels of a stretch, those of a document in a row, and of a document's piece.
 STRETCH = np.dtype([("anchor", "V5"), ("same", "V6"), ("left", "u1"), ("right", "u1"), ("at", "<u2"), ("more", "u1")])
@@ -238,15 +244,15 @@ def _send_stretches(ranges: int):
     return run
 
 
-SPANS = "doc_id long, tag long, open boolean, anchors binary, starts binary, ends binary"
+SPANS = "doc_id long, tag long, kind int, anchors binary, starts binary, ends binary"
 
 
-def _spans(ids, tags, open_, anchors, starts, ends) -> pa.Table:
+def _spans(ids, tags, kinds, anchors, starts, ends) -> pa.Table:
     """One row per document and kind with its spans packed."""
-    order = np.lexsort((starts, open_, tags, ids))
-    ids, tags, open_, anchors, starts, ends = (x[order] for x in (ids, tags, open_, anchors, starts, ends))
+    order = np.lexsort((starts, kinds, tags, ids))
+    ids, tags, kinds, anchors, starts, ends = (x[order] for x in (ids, tags, kinds, anchors, starts, ends))
     new = np.ones(len(ids), bool)
-    new[1:] = (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1]) | (open_[1:] != open_[:-1])
+    new[1:] = (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1]) | (kinds[1:] != kinds[:-1])
     cuts = np.append(np.flatnonzero(new), len(ids))
     firsts = cuts[:-1]
 
@@ -260,25 +266,29 @@ def _spans(ids, tags, open_, anchors, starts, ends) -> pa.Table:
     return pa.table({
         "doc_id": pa.array(ids[firsts], pa.int64()),
         "tag": pa.array(tags[firsts], pa.int64()),
-        "open": pa.array(open_[firsts], pa.bool_()),
-        "anchors": packed(np.where(open_, anchors, 0).astype(np.uint64) if len(open_) else anchors, "<u8"),
+        "kind": pa.array(kinds[firsts], pa.int32()),
+        "anchors": packed(np.where(kinds, anchors, 0).astype(np.uint64) if len(kinds) else anchors, "<u8"),
         "starts": packed(starts, "<i4"),
         "ends": packed(ends, "<i4"),
     })
 
 
-def _settle(group: pa.Table) -> pa.Table:
+def _settle(hot: int):
     """Step 2 for one anchor range, in turns."""
-    docs = np.concatenate([np.frombuffer(x.as_buffer(), PART) for x in group.column("docs")])
-    s = np.concatenate([np.frombuffer(x.as_buffer(), STRETCH) for x in group.column("stretches")])
-    owner = np.repeat(np.arange(len(docs)), docs["n"])
-    anchor = _from_bytes(s["anchor"], 5)
-    turn = anchor % TURNS
-    own = [np.flatnonzero(turn == t) for t in range(TURNS)]
-    return pa.concat_tables([_settle_turn(docs[owner[o]], s[o], anchor[o]) for o in own if len(o)])
 
+    def run(group: pa.Table) -> pa.Table:
+        docs = np.concatenate([np.frombuffer(x.as_buffer(), PART) for x in group.column("docs")])
+        s = np.concatenate([np.frombuffer(x.as_buffer(), STRETCH) for x in group.column("stretches")])
+        owner = np.repeat(np.arange(len(docs)), docs["n"])
+        anchor = _from_bytes(s["anchor"], 5)
+        turn = anchor % TURNS
+        own = [np.flatnonzero(turn == t) for t in range(TURNS)]
+        return pa.concat_tables([_settle_turn(docs[owner[o]], s[o], anchor[o], hot) for o in own if len(o)])
 
-def _settle_turn(docs: np.ndarray, s: np.ndarray, anchor: np.ndarray) -> pa.Table:
+    return run
+
+
+def _settle_turn(docs: np.ndarray, s: np.ndarray, anchor: np.ndarray, hot: int) -> pa.Table:
     ids, tags = docs["id"], docs["tag"].astype(np.int64)
     starts = docs["piece"].astype(np.int64) * LONG + s["at"]
     ends = starts + s["more"] + LENGTH
@@ -307,7 +317,10 @@ def _settle_turn(docs: np.ndarray, s: np.ndarray, anchor: np.ndarray) -> pa.Tabl
     wanted[rank[kinds[meets]]] = True
     open_ = wanted[rank] & ~covered
     keep = covered | open_
-    return _spans(ids[keep], tags[keep], open_[keep], anchor[keep], starts[keep], ends[keep])
+    kind = np.full(len(s), CLOSED)
+    _, of, n = np.unique(anchor[open_], return_inverse=True, return_counts=True)
+    kind[open_] = np.where(n[of] > hot, CROWDED, OPEN)
+    return _spans(ids[keep], tags[keep], kind[keep], anchor[keep], starts[keep], ends[keep])
 
 
 def _fetch(buckets: int):
@@ -445,11 +458,58 @@ def _order_bucket(group: pa.Table) -> pa.Table:
     first, last = np.flatnonzero(begins), np.flatnonzero(stops)
     of = member[first]
     starts = heads[string[of], 2] + start[of] + inside[first]
-    none = np.zeros(len(starts), bool)
+    none = np.full(len(starts), CLOSED)
     ends = starts + (last - first) + LENGTH
     return _spans(ids[of], heads[string[of], 1], none, none.astype(np.uint64), starts, ends)
 
 
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, tag, start, window) of every window of the wanted stretches."""
+    find = Stretches()
+    for batch in batches:
+        rows = batch.to_pydict()
+        for doc, tag, text, starts, ends in zip(*[rows[c] for c in ("doc_id", "tag", "text", "s", "e")]):
+            raw = np.frombuffer(text.encode("utf-8"), np.uint8)
+            s = np.concatenate([np.frombuffer(x, "<i4") for x in starts]).astype(np.int64)
+            e = np.concatenate([np.frombuffer(x, "<i4") for x in ends]).astype(np.int64)
+            n = e - s - LENGTH + 1
+            at = np.unique(np.repeat(s - np.cumsum(n) + n, n) + np.arange(n.sum()))
+            low = int(at[0])
+            hashed = find.part_hashes(raw[low : int(at[-1]) + LENGTH], at - low, at - low + LENGTH)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.full(len(at), doc), pa.int64()),
+                    pa.array(np.full(len(at), tag), pa.int64()),
+                    pa.array(at, pa.int32()),
+                    pa.array(hashed.view(np.int64)),
+                ],
+                ["doc_id", "tag", "start", "window"],
+            )
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [np.array(x.as_py(), "<i4") for x in batch.column(2)]
+        spans = [merged(np.sort(x), np.sort(x) + LENGTH) for x in found]
+        starts, ends = ([x[i].astype("<i4").tobytes() for x in spans] for i in (0, 1))
+        arrays = [batch.column(0), batch.column(1), pa.array(starts, pa.binary()), pa.array(ends, pa.binary())]
+        yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "tag", "starts", "ends"])
+
+
+def _crowded_spans(named: DataFrame, crowded: DataFrame, scratch: Scratch) -> DataFrame:
+    """Step 3 for anchors with many stretches. No group holds them: minima come
+    from partial aggregation, and the join deals the windows of a hash out."""
+    wanted = crowded.groupBy("doc_id", "tag").agg(F.collect_list("starts").alias("s"), F.collect_list("ends").alias("e"))
+    windows = named.join(wanted, ["doc_id", "tag"]).mapInArrow(_windows, "doc_id long, tag long, start int, window long")
+    windows = scratch.write(windows)
+    least = windows.groupBy("window").agg(F.min("doc_id").alias("_least"), F.max("doc_id").alias("_most"))
+    least = least.filter("_least < _most").select("window", "_least", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    dealt = windows.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    later = dealt.join(least, ["window", "_salt"]).filter("doc_id > _least")
+    later = later.groupBy("doc_id", "tag").agg(F.collect_set("start").alias("starts"))
+    return scratch.write(later.mapInArrow(_packed, "doc_id long, tag long, starts binary, ends binary"))
+
+
 def _release() -> None:
     """Lets Spark delete shuffle files of steps whose results are written."""
     from pyspark.sql import SparkSession
@@ -473,9 +533,9 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     size = named.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     ranges = max(16, -(-size // RANGE_BYTES) * 16)
     sent = named.mapInArrow(_send_stretches(ranges), "range int, docs binary, stretches binary")
-    first = scratch.write(sent.groupBy("range").applyInArrow(_settle, SPANS))
+    first = scratch.write(sent.groupBy("range").applyInArrow(_settle(HOT), SPANS))
     _release()
-    closed, opened = first.filter("not open"), first.filter("open")
+    closed, opened, crowded = (first.filter(F.col("kind") == k) for k in (CLOSED, OPEN, CROWDED))
     wanted = opened.groupBy("doc_id", "tag").agg(
         F.collect_list("anchors").alias("a"), F.collect_list("starts").alias("s"), F.collect_list("ends").alias("e")
     )
@@ -483,8 +543,11 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         _fetch(8 * ranges), "bucket int, anchors binary, heads binary, bytes binary"
     )
     second = scratch.write(fetched.groupBy("bucket").applyInArrow(_order_bucket, SPANS))
+    spans = closed.unionByName(second).select("doc_id", "tag", "starts", "ends")
+    if not crowded.isEmpty():
+        spans = spans.unionByName(_crowded_spans(named, crowded, scratch))
     _release()
-    return closed.unionByName(second).select("doc_id", "tag", "starts", "ends")
+    return spans
 
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

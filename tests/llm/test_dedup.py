@@ -143,6 +143,25 @@ def test_repeats_match_brute_force(spark, monkeypatch, seed):
     assert got == removed(rows)
 
 
+def test_a_hot_anchor_is_no_group(spark, monkeypatch):
+    rng = random.Random(12)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(150))
+    rows = [(i, f"{rng.getrandbits(300):x}" + passage[i % 3 :] + f"{rng.getrandbits(300):x}") for i in range(150)]
+    rows += [(i + 1000, t) for i, t in repeated_docs(3)]
+    ordered = repeats._order_bucket
+
+    def watched(group):
+        anchors = np.concatenate([np.frombuffer(x.as_buffer(), "<u8") for x in group.column("anchors")])
+        assert np.unique(anchors, return_counts=True)[1].max() <= 20
+        return ordered(group)
+
+    monkeypatch.setattr(repeats, "HOT", 20, raising=False)
+    monkeypatch.setattr(repeats, "_order_bucket", watched)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r[0]: tuple(r)[1:] for r in repeats.remove_repeats(docs).collect()}
+    assert got == removed(rows)
+
+
 def test_repeats_of_null_and_repeated_ids(spark):
     text = "".join(random.Random(6).choice("abcdef") for _ in range(200))
     rows = [(None, text), (5, text), (5, text), (5, "other" + text[:60]), (7, text), (None, None)]
