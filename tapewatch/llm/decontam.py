@@ -5,8 +5,12 @@ next power of two. The partition fixes into how many bins the shingles' hash
 values are dealt and the least value of each bin is the document's MinHash. As
 the bins grow with the size, a short test item keeps the same chance of
 meeting a bin's least value in a long document as in a short one. Items are
-signed once per partition. Whoever shares a bin's value is a candidate, and
-candidates are verified by the exact share of the item's shingles that the
+signed once per partition. Whoever shares a bin's value is a candidate.
+
+That chance is one per shared shingle, so it says little about items of few
+shingles. Of those, as many shingles are looked up among all of the document's
+as it takes for one to be there if the item is contained: none is missed.
+Candidates are verified by the exact share of the item's shingles that the
 document contains.
 """
 
@@ -26,6 +30,8 @@ from tapewatch.llm.common import Scratch, bounded_batches
 
 SHINGLE = 5
 CONTAINMENT = 0.8
+FEW = 64  # items of at most so many shingles are searched for without chance
+FILTER_BITS = 20
 BLOCK_BYTES = 8 << 20  # item texts searched in one pass over the documents
 CHUNK = 1 << 21  # bytes hashed at a time
 SEPARATORS = "[\\x00-\\x2f\\x3a-\\x40\\x5b-\\x60\\x7b-\\x7f]+"  # all ASCII but letters and digits
@@ -113,49 +119,80 @@ def bin_minima(hashes: np.ndarray, bits: int) -> np.ndarray:
 
 
 class ItemIndex:
-    """The items of one block: their shingles, and their signatures by partition."""
+    """The items of one block: their shingles, the signatures of the long ones
+    by partition, and the shingles of the short ones that are looked up."""
 
-    def __init__(self, items: list[tuple]):
+    def __init__(self, items: list[tuple], least: float = CONTAINMENT):
         self.items = [(key, shingles(text)) for key, text in items]
         self.items = [x for x in self.items if x[1]]
         self.hashed = []
+        self.least = least
         hasher = ShingleHasher()
         for _, text in items:
             raw = text.encode("utf-8")
             h, _ = hasher(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
             if len(h):
                 self.hashed.append(np.unique(h))
+        self.long = [i for i, h in enumerate(self.hashed) if len(h) > FEW]
         self.signed: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        short = [i for i, h in enumerate(self.hashed) if len(h) <= FEW]
+        self.sought, self.sought_by = _lookup([(i, self.hashed[i][: self._some(len(self.hashed[i]))]) for i in short])
+        self.maybe = np.zeros(1 << FILTER_BITS, bool)
+        self.maybe[self.sought >> np.uint64(64 - FILTER_BITS)] = True
+
+    def _some(self, n: int) -> int:
+        """Of n shingles, how many cannot all be missing from a document that contains the item."""
+        return n + 1 - max(1, next(k for k in range(n + 1) if k >= self.least * n))
 
     def signatures(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
-        """(values, sorted; item of each value) in a partition."""
+        """(values, sorted; item of each value) of the long items in a partition."""
         if bits not in self.signed:
-            minima = [bin_minima(h, bits) for h in self.hashed]
-            values = np.concatenate(minima) if minima else np.zeros(0, np.uint64)
-            owner = np.repeat(np.arange(len(minima)), [len(m) for m in minima])
-            order = np.argsort(values, kind="stable")
-            self.signed[bits] = (values[order], owner[order])
+            self.signed[bits] = _lookup([(i, bin_minima(self.hashed[i], bits)) for i in self.long])
         return self.signed[bits]
 
     def candidates(self, hashes: np.ndarray) -> np.ndarray:
-        """Items that share a bin's least value with a document."""
-        bits = partition(len(hashes))
-        values, owner = self.signatures(bits)
-        mine = bin_minima(hashes, bits)
-        low = np.searchsorted(values, mine)
-        if not len(values):
-            return owner
-        hit = np.flatnonzero(values[np.minimum(low, len(values) - 1)] == mine)
-        high = np.searchsorted(values, mine[hit], side="right")
-        found = [owner[a:b] for a, b in zip(low[hit], high)]
-        return np.unique(np.concatenate(found)) if found else owner[:0]
+        """Long items that share a bin's least value with a document, and short
+        ones of which it has a shingle that was looked up, as far as the
+        document has enough of an item's hashes."""
+        met = _meet(hashes[self.maybe[hashes >> np.uint64(64 - FILTER_BITS)]], self.sought, self.sought_by)
+        if self.long:
+            bits = partition(len(hashes))
+            met = np.concatenate((met, _meet(bin_minima(hashes, bits), *self.signatures(bits))))
+        if not len(met):
+            return met
+        own, met = np.unique(hashes), np.unique(met)
+        wanted = [self.hashed[i] for i in met]
+        enough = [_found(own, h).sum() >= self.least * len(h) for h in wanted]
+        return met[np.array(enough, bool)]
+
+
+def _lookup(parts: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """(values, sorted; item of each value)."""
+    values = np.concatenate([np.zeros(0, np.uint64), *[v for _, v in parts]])
+    owner = np.repeat(np.array([i for i, _ in parts], np.int64), [len(v) for _, v in parts])
+    order = np.argsort(values, kind="stable")
+    return values[order], owner[order]
+
+
+def _meet(mine: np.ndarray, values: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Items that have one of the values ``mine``."""
+    if not len(values) or not len(mine):
+        return owner[:0]
+    mine = np.unique(mine)
+    low, high = np.searchsorted(values, mine), np.searchsorted(values, mine, side="right")
+    return np.concatenate([owner[:0], *[owner[a:b] for a, b in zip(low, high) if a < b]])
+
+
+def _found(own: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Which of ``wanted`` are among the sorted values ``own``?"""
+    return own[np.minimum(np.searchsorted(own, wanted), len(own) - 1)] == wanted
 
 
 def _search(docs: DataFrame, items: list[tuple], key: str, item_key: str, types, least: float) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
-        index, hasher = ItemIndex(sent.value), ShingleHasher()
+        index, hasher = ItemIndex(sent.value, least), ShingleHasher()
         for batch in batches:
             column = batch.column(1).cast(pa.large_string())
             ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]

@@ -55,6 +55,32 @@ def test_contained_items_are_found_in_documents_of_every_size(spark):
     assert decontam.find_contaminated(frame, asked.limit(0)).count() == 0
 
 
+def test_no_short_item_is_missed_in_long_documents(spark):
+    rng = random.Random(21)
+    items = [(i, word_text(rng, 1 + i % 14)) for i in range(70)] + [(100 + i, word_text(rng, 60 + i)) for i in range(10)]
+    docs = []
+    for d in range(120):
+        words = word_text(rng, rng.choice([20, 700, 6000])).split()
+        for _, t in rng.sample(items, 12):
+            own = t.split()
+            if rng.random() < 0.5:
+                own[rng.choice([0, -1])] = "changed"
+            at = rng.randrange(len(words) + 1)
+            words[at:at] = own
+        docs.append((d, " ".join(words)))
+
+    def cut(t):
+        w = t.split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    cuts = [(d, cut(t)) for d, t in docs]
+    want = {(d, i) for i, x in items for wanted in [cut(x)] for d, own in cuts if len(wanted & own) >= 0.8 * len(wanted)}
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    asked = spark.createDataFrame(items, "item_id long, text string")
+    got = [(r.doc_id, r.item_id) for r in decontam.find_contaminated(frame, asked).collect()]
+    assert set(got) == want and len(got) == len(want) > 500
+
+
 def test_item_blocks_give_the_same_pairs(spark, monkeypatch):
     docs, items = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
     whole = sorted(tuple(r) for r in decontam.find_contaminated(docs, items).collect())
