@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewatch.llm import chat, decontam, langid, packing, repeats, shards, simhash, topk, url_filter, warc
+from tapewatch.llm import chat, decontam, divergence, langid, packing, repeats, shards, simhash, topk, url_filter, warc
 from tapewatch.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -232,3 +232,45 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, folder)
+
+
+# --- 11 source divergence ----------------------------------------------------
+
+OP11_SQL = r"""
+WITH d AS (
+        SELECT row_number() OVER () AS row, coalesce(text, '') AS text, coalesce(lang, '') AS lang,
+            coalesce(source, '') AS source FROM documents),
+    w AS (
+        SELECT lang, source, row, unnest(regexp_extract_all(
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+    k AS (SELECT lang, term FROM w GROUP BY ALL HAVING count(DISTINCT row) >= 30),
+    c AS (SELECT lang, source, term, count(*) AS n FROM w JOIN k USING (lang, term) GROUP BY ALL),
+    g AS (SELECT DISTINCT lang, source FROM d),
+    v AS (SELECT lang, count(*)::HUGEINT AS v FROM k GROUP BY lang),
+    t AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY ALL),
+    f AS (
+        SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n,
+            1 + (1000000000::HUGEINT * (coalesce(n, 0) + 5)) // (coalesce(total, 0) + 5 * v) AS p
+        FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN t USING (lang, source)
+        LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+    l AS (
+        SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(n) + 5)) //
+            (sum(sum(n)) OVER (PARTITION BY lang) + 5 * any_value(v)) AS q
+        FROM c JOIN v USING (lang) GROUP BY lang, term),
+    pair AS (
+        SELECT a.lang, a.source, 'pair' AS part, b.source AS item,
+            coalesce((SELECT sum(abs(x.p - y.p)) FROM f x JOIN f y USING (lang, term)
+                WHERE x.lang = a.lang AND x.source = a.source AND y.source = b.source), 0) AS value
+        FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source),
+    both_parts AS (
+        SELECT * FROM pair UNION ALL
+        SELECT lang, source, 'term', term, p - q FROM f JOIN l USING (lang, term) WHERE n > 0 AND p > q),
+    r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM both_parts)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM r WHERE part = 'pair' OR rank <= 50
+"""
+
+
+@query("op11_source_divergence", OP11_SQL)
+def source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audit_sources(table(spark, folder, "documents"))
