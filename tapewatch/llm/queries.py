@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewatch.llm import chat, decontam, divergence, langid, packing, repeats, shards, simhash, topk, url_filter, warc
+from tapewatch.llm import chat, decontam, divergence, langid, licenses, packing, repeats, shards, simhash, topk, url_filter, warc, whitening
 from tapewatch.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -274,3 +274,51 @@ SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank F
 @query("op11_source_divergence", OP11_SQL)
 def source_divergence(spark: SparkSession, folder: str) -> DataFrame:
     return divergence.audit_sources(table(spark, folder, "documents"))
+
+
+# --- 12 license scans --------------------------------------------------------
+
+
+def _places_sql(phrase: str) -> str:
+    same = " AND ".join(f"w[i + {k}] = '{word}'" for k, word in enumerate(phrase.split(), 1))
+    return f"list_filter(range(len(w)), lambda i: {same})"
+
+
+def _labels_sql(labels: str) -> str:
+    return f"array_to_string(list_sort(list_distinct({labels})), ',')"
+
+
+OP12_SQL = f"""
+WITH t AS (
+        SELECT doc_id, list_filter(string_split_regex(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM documents),
+    p AS (
+        SELECT doc_id, len(w) AS n_words,
+            [{', '.join(f"{{'label': '{label}', 'at': {_places_sql(p)}}}" for p, label in licenses.PHRASES.items())}] AS found,
+            ' ' || array_to_string(w, ' ') || ' ' AS line
+        FROM t),
+    q AS (
+        SELECT doc_id, n_words, flatten(list_transform(found, lambda f: f.at)) AS starts,
+            list_transform(list_filter(found, lambda f: len(f.at) > 0), lambda f: f.label) AS base,
+            list_filter([{', '.join(f"CASE WHEN regexp_matches(line, ' {licenses.pattern(licenses.parse(t))}') THEN '{label}' END" for label, t in licenses.TEMPLATES.items())}],
+                lambda x: x IS NOT NULL) AS more
+        FROM p)
+SELECT doc_id, n_words, len(starts) AS n_base, list_min(starts) AS first_word, list_max(starts) AS last_word,
+    {_labels_sql('base')} AS base_labels, {_labels_sql('list_concat(base, more)')} AS labels,
+    CASE WHEN len(more) > 0 THEN 1.0 WHEN len(base) > 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS score
+FROM q
+"""
+
+
+@query("op12_license_scan", OP12_SQL)
+def license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, folder, "documents"))
+
+
+# --- 13 embedding whitening --------------------------------------------------
+
+
+@query("op13_embedding_whitening")
+def embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings"))
