@@ -13,7 +13,7 @@ tasks as it has slices.
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -27,19 +27,14 @@ from tapewatch.params import DetectorParams
 from tapewatch.schemas import SCORED
 from tapewatch.session import cut_lineage
 
-UNIT = StructType(
-    [
-        StructField("param_id", StringType()),
-        StructField(SLICE, LongType()),
-        *SCORED.fields,
-        # set on the one bookkeeping row of a slice, null on scored ticks
-        StructField("first_ms", LongType()),
-        StructField("last_ms", LongType()),
-        StructField("reset_ms", LongType()),
-        StructField("start_state", StringType()),
-        StructField("end_state", StringType()),
-    ]
-)
+# on the one bookkeeping row of a slice, null on all others
+BOOK = [
+    StructField("first_ms", LongType()),
+    StructField("last_ms", LongType()),
+    StructField("reset_ms", LongType()),
+    StructField("start_state", StringType()),
+    StructField("end_state", StringType()),
+]
 INPUT = ["ticker", "event_time_ms", "price", "volume"]
 
 
@@ -56,39 +51,54 @@ PANDAS_TYPES = {
 }
 
 
-def _typed(frame: pd.DataFrame) -> pd.DataFrame:
-    return frame.astype({f.name: PANDAS_TYPES[f.dataType] for f in UNIT.fields})
+def unit_schema(fields: Sequence[StructField]) -> StructType:
+    """The rows of a slice: its parameter set, its number, ``fields`` (with
+    ``ticker`` among them) and the bookkeeping. All are null on some rows."""
+    own = [StructField(f.name, f.dataType) for f in fields]
+    return StructType([StructField("param_id", StringType()), StructField(SLICE, LongType()), *own, *BOOK])
 
 
-def _score_unit(pdf: pd.DataFrame, order: list[str], params: Mapping[str, DetectorParams], starts: dict) -> pd.DataFrame:
+def typed(frame: pd.DataFrame, schema: StructType) -> pd.DataFrame:
+    known = {f.name: PANDAS_TYPES[f.dataType] for f in schema.fields if f.dataType in PANDAS_TYPES}
+    return frame.reindex(columns=schema.fieldNames()).astype(known)
+
+
+def book_row(ticker: str, ms, reset_ms: int, start: str, end: str) -> pd.DataFrame:
+    return pd.DataFrame(
+        {"ticker": [ticker], "first_ms": [int(ms[0])], "last_ms": [int(ms[-1])], "reset_ms": [int(reset_ms)],
+         "start_state": [start], "end_state": [end]}
+    )
+
+
+def split_unit(pdf: pd.DataFrame, order: list[str]) -> tuple[pd.DataFrame, pd.DataFrame | None]:
+    """The slice's own ticks in order, and those that it replays, if any."""
     pdf = pdf.sort_values(order, kind="stable")
-    own = pdf[~pdf[HALO]] if HALO in pdf else pdf
+    if HALO not in pdf:
+        return pdf, None
+    halo = pdf[pdf[HALO]]
+    return pdf[~pdf[HALO]], halo if len(halo) else None
+
+
+def _score_unit(
+    pdf: pd.DataFrame, order: list[str], params: Mapping[str, DetectorParams], starts: dict, carried: list[str], schema: StructType
+) -> pd.DataFrame:
+    own, burn = split_unit(pdf, order)
     if own.empty:  # the slice only sees ticks of an earlier one
-        return _typed(pd.DataFrame(columns=UNIT.fieldNames()))
+        return typed(pd.DataFrame(), schema)
     ticker, slice_id = own["ticker"].iat[0], int(own[SLICE].iat[0])
     arrays = [own[c].to_numpy() for c in INPUT[1:]]
-    burn = pdf[pdf[HALO]] if HALO in pdf else None
     frames = []
     for name, p in params.items():
         state = json.loads(starts[name]) if starts.get(name) else None
-        if burn is not None and len(burn):
+        if burn is not None:
             _, _, state = score_block(ticker, *[burn[c].to_numpy() for c in INPUT[1:]], p, state)
         start = _dump(state)
-        _, columns, state = score_block(ticker, *arrays, p, state)
-        rows = scored_frame(ticker, *arrays, columns).assign(param_id=name)
-        book = pd.DataFrame(
-            {
-                "param_id": [name],
-                "ticker": [ticker],
-                "first_ms": [int(arrays[0][0])],
-                "last_ms": [int(arrays[0][-1])],
-                "reset_ms": [int(p.gap_reset_ms)],
-                "start_state": [start],
-                "end_state": [_dump(state)],
-            }
-        )
-        for part in (rows, book):
-            frames.append(_typed(part.assign(**{SLICE: slice_id}).reindex(columns=UNIT.fieldNames())))
+        kept, columns, state = score_block(ticker, *arrays, p, state)
+        rows = scored_frame(ticker, *(a[kept] for a in arrays), columns)
+        for c in carried:
+            rows[c] = own[c].to_numpy()[kept]
+        book = book_row(ticker, arrays[0], p.gap_reset_ms, start, _dump(state))
+        frames += [typed(part.assign(param_id=name, **{SLICE: slice_id}), schema) for part in (rows, book)]
     return pd.concat(frames, ignore_index=True)
 
 
@@ -122,40 +132,33 @@ def _with_slices(ticks: DataFrame, plan: DataFrame, halo: bool) -> DataFrame:
     return spread.withColumn(HALO, F.col(SLICE) != F.col("_own")).select(*ticks.columns, SLICE, HALO)
 
 
-def detect_batch(
-    ticks: DataFrame,
-    params: DetectorParams | Mapping[str, DetectorParams] = DetectorParams(),
-    s: Slicing = TICKS,
-    target_rows: int = 1_000_000,
-    burn_ticks: int = 8_192,
+def score_slices(
+    ticks: DataFrame, score: Callable[[pd.DataFrame, dict], pd.DataFrame], schema: StructType, target_rows: int, burn_ticks: int
 ) -> DataFrame:
-    """Scored ticks (``SCORED``, plus ``param_id`` when several parameter sets
-    are given; all sets are scored in one read of the ticks).
-
-    ``target_rows`` per slice and ``burn_ticks`` replayed before one affect
-    only speed: the slower averages need some thousand ticks to forget their
-    start. ``s`` names the columns that order ticks."""
-    many = isinstance(params, Mapping)
-    sets = dict(params) if many else {"": params}
-    order = list(s.order)
-    narrow = ticks.select(*dict.fromkeys([*INPUT, *order]))
-    plan = cut_lineage(slice_plan(narrow, target_rows, burn_ticks))  # one row per ticker
+    """The rows that ``score`` gives for every slice of ``ticks``, as one pass
+    over each ticker would.
+
+    ``score(slice, starts)`` returns rows of ``schema`` (``unit_schema``), one
+    bookkeeping row for each parameter set among them. ``starts`` is empty at
+    first; slices whose start differs from where their predecessor ended are
+    scored again, for the sets named in ``starts``, from the states there."""
+    plan = cut_lineage(slice_plan(ticks, target_rows, burn_ticks))  # one row per ticker
     size = plan.agg(F.count("*").alias("tickers"), F.max("_final").alias("final")).first()
     if size["tickers"] <= BROADCAST_ROWS:
         plan = F.broadcast(plan)
 
     def first_pass(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _score_unit(pdf, order, sets, {})
+        return score(pdf, {})
 
     def again(pdf: pd.DataFrame, fix: pd.DataFrame) -> pd.DataFrame:
-        starts = dict(zip(fix["param_id"], fix["start"]))
-        return _score_unit(pdf, order, {k: sets[k] for k in starts}, starts)
+        return score(pdf, dict(zip(fix["param_id"], fix["start"])))
+
+    def rows_only(df: DataFrame) -> DataFrame:
+        return df.filter(F.col("end_state").isNull()).drop(SLICE, *[f.name for f in BOOK])
 
-    columns = [*(["param_id"] if many else []), *SCORED.fieldNames()]
     if not size["final"]:  # no ticker has a second slice: nothing to check
-        once = _with_slices(narrow, plan, halo=False).groupBy("ticker", SLICE).applyInPandas(first_pass, UNIT)
-        return once.filter(F.col("end_state").isNull()).select(*columns)
-    result = cut_lineage(_with_slices(narrow, plan, halo=True).groupBy("ticker", SLICE).applyInPandas(first_pass, UNIT))
+        return rows_only(_with_slices(ticks, plan, halo=False).groupBy("ticker", SLICE).applyInPandas(first_pass, schema))
+    result = cut_lineage(_with_slices(ticks, plan, halo=True).groupBy("ticker", SLICE).applyInPandas(first_pass, schema))
     previous = Window.partitionBy("param_id", "ticker").orderBy(SLICE)
     unit = ["param_id", "ticker", SLICE]
     rounds = 0
@@ -182,13 +185,44 @@ def detect_batch(
             break
         rounds += 1
         todo = wrong.select("ticker", SLICE).distinct()
-        units = _with_slices(narrow, plan, halo=False).join(todo, ["ticker", SLICE], "left_semi")
-        redone = units.groupBy("ticker", SLICE).cogroup(wrong.groupBy("ticker", SLICE)).applyInPandas(again, UNIT)
-        kept = result.join(wrong, unit, "left_anti").select(*UNIT.fieldNames())
+        units = _with_slices(ticks, plan, halo=False).join(todo, ["ticker", SLICE], "left_semi")
+        redone = units.groupBy("ticker", SLICE).cogroup(wrong.groupBy("ticker", SLICE)).applyInPandas(again, schema)
+        kept = result.join(wrong, unit, "left_anti").select(*schema.fieldNames())
         result = kept.unionByName(cut_lineage(redone))
         if rounds % 8 == 0:
             result = cut_lineage(result)
-    return result.filter(F.col("end_state").isNull()).select(*columns)
+    return rows_only(result)
+
+
+def detect_batch(
+    ticks: DataFrame,
+    params: DetectorParams | Mapping[str, DetectorParams] = DetectorParams(),
+    s: Slicing = TICKS,
+    target_rows: int = 1_000_000,
+    burn_ticks: int = 8_192,
+    carry: Sequence[str] = (),
+) -> DataFrame:
+    """Scored ticks (``SCORED``, plus ``param_id`` when several parameter sets
+    are given; all sets are scored in one read of the ticks).
+
+    ``target_rows`` per slice and ``burn_ticks`` replayed before one affect
+    only speed: the slower averages need some thousand ticks to forget their
+    start. ``s`` names the columns that order ticks. Columns in ``carry``
+    (labels, periods) come out beside the scores of their tick; the kernel is
+    given time, price and volume and cannot read them."""
+    many = isinstance(params, Mapping)
+    sets = dict(params) if many else {"": params}
+    order, carried = list(s.order), list(carry)
+    taken = set(carried) & {*SCORED.fieldNames(), "param_id", SLICE, HALO, *[f.name for f in BOOK]}
+    if taken:
+        raise ValueError(f"columns of the result cannot be carried: {sorted(taken)}")
+    narrow = ticks.select(*dict.fromkeys([*INPUT, *order, *carried]))
+    schema = unit_schema([*SCORED.fields, *[narrow.schema[c] for c in carried]])
+    rows = score_slices(
+        narrow, lambda pdf, starts: _score_unit(pdf, order, {k: sets[k] for k in starts or sets}, starts, carried, schema),
+        schema, target_rows, burn_ticks,
+    )
+    return rows if many else rows.drop("param_id")
 
 
 def attach_labels(scored: DataFrame, ticks: DataFrame, *columns: str) -> DataFrame:

@@ -240,19 +240,15 @@ def _incidents(ticker: str, ms, flagged: np.ndarray, st: dict, p: DetectorParams
     return ids
 
 
-def _score_session(ticker: str, ms, price, volume, st: dict, p: DetectorParams) -> dict:
-    """One stretch of ticks without a reset. Updates ``st`` in place."""
+def trailing(ms, price, volume, st: dict, p: DetectorParams) -> dict:
+    """The ticks within the look-back before each tick: how many, their price
+    range and volume; and what the next block needs of them."""
     n, prev_ts = len(ms), st["last_ts"]
-    step = np.arange(n)
-    fresh = np.concatenate([[prev_ts is None or ms[0] != prev_ts], ms[1:] != ms[:-1]])
-    run_start = np.maximum.accumulate(np.where(fresh, step, -1))
-    seq = np.where(run_start >= 0, step - run_start, step + st["same_ts_seq"] + 1)
-
     # typical gap -> lookback -> history range
     gaps = np.diff(ms if prev_ts is None else np.concatenate([[prev_ts], ms]))
     gaps = np.minimum(gaps, p.rate_gap_cap_ms).astype(float)
     rate = _ewm(gaps, 2.0 / (p.rate_span + 1), st["rate_dt_ms"] if st["rate_n"] else None)
-    seen = st["rate_n"] + step + (0 if prev_ts is None else 1)
+    seen = st["rate_n"] + np.arange(n) + (0 if prev_ts is None else 1)
     if prev_ts is None:
         rate = np.concatenate([[0.0], rate])
     lookback = np.full(n, float(p.wash_lookback_ms))
@@ -263,11 +259,38 @@ def _score_session(ticker: str, ms, price, volume, st: dict, p: DetectorParams)
     hist_volume = np.concatenate([np.asarray(st["hist_volume"], dtype=float), volume])
     cutoff = np.maximum.accumulate(ms - lookback)
     lo, hi = np.searchsorted(hist_ts, cutoff, "left"), np.searchsorted(hist_ts, ms, "left")
-    low, high, prior_volume = _range_stats(lo, hi, hist_price, hist_volume)
+    low, high, total = _range_stats(lo, hi, hist_price, hist_volume)
+    keep = int(lo[-1])
+    state = {
+        "hist_ts": hist_ts[keep:].tolist(),
+        "hist_price": hist_price[keep:].tolist(),
+        "hist_volume": hist_volume[keep:].tolist(),
+        "rate_dt_ms": float(rate[-1]),
+        "rate_n": int(min(seen[-1], max(p.rate_min_samples, 1))),
+    }
+    return {"ticks": hi - lo, "low": low, "high": high, "volume": total, "state": state}
+
+
+def wash_rule(volume, before: dict, p: DetectorParams) -> tuple[np.ndarray, np.ndarray]:
+    """Whether the market was flat before each tick, and the tick's volume as
+    a multiple of what the rule allows (0 where it does not apply)."""
+    low, high, count, total = before["low"], before["high"], before["ticks"], before["volume"]
     with np.errstate(invalid="ignore", divide="ignore"):
-        flat = (hi > lo) & (low > 0) & ((high - low) / low < p.wash_price_range)
-        rule = flat & (hi - lo >= max(p.wash_min_prior, 1)) & (prior_volume > 0)
-        wash = np.divide(volume, p.wash_volume_ratio * prior_volume, out=np.zeros(n), where=rule)
+        flat = (count > 0) & (low > 0) & ((high - low) / low < p.wash_price_range)
+        rule = flat & (count >= max(p.wash_min_prior, 1)) & (total > 0)
+        return flat, np.divide(volume, p.wash_volume_ratio * total, out=np.zeros(len(volume)), where=rule)
+
+
+def _score_session(ticker: str, ms, price, volume, st: dict, p: DetectorParams) -> dict:
+    """One stretch of ticks without a reset. Updates ``st`` in place."""
+    n, prev_ts = len(ms), st["last_ts"]
+    step = np.arange(n)
+    fresh = np.concatenate([[prev_ts is None or ms[0] != prev_ts], ms[1:] != ms[:-1]])
+    run_start = np.maximum.accumulate(np.where(fresh, step, -1))
+    seq = np.where(run_start >= 0, step - run_start, step + st["same_ts_seq"] + 1)
+
+    before = trailing(ms, price, volume, st, p)
+    flat, wash = wash_rule(volume, before, p)
 
     # ramp: fast average now against slow average one tick ago
     fast = _ewm(price, 2.0 / (p.ewma_fast_span + 1), st["ewma_fast"])
@@ -313,22 +336,18 @@ def _score_session(ticker: str, ms, price, volume, st: dict, p: DetectorParams)
         signals[i] = ",".join(name for name, hit in zip(SIGNALS, over[i]) if hit)
     incident = _incidents(ticker, ms, flagged, st, p)
 
-    size, keep = p.window_size, int(lo[-1])
+    size = p.window_size
     st.update(
         last_ts=int(ms[-1]),
         same_ts_seq=int(seq[-1]),
         window_price=([*st["window_price"], *price[-size:].tolist()])[-size:],
         window_clipped=band[-size:].tolist(),
         window_volume=([*st["window_volume"], *volume[-size:].tolist()])[-size:],
-        hist_ts=hist_ts[keep:].tolist(),
-        hist_price=hist_price[keep:].tolist(),
-        hist_volume=hist_volume[keep:].tolist(),
+        **before["state"],
         ewma_fast=float(fast[-1]),
         ewma_slow=float(slow[-1]),
         ewma_div_ms=float(power[-1]) if len(power) else st["ewma_div_ms"],
         ewma_n=int(min(st["ewma_n"] + n, p.ewma_min_samples)),
-        rate_dt_ms=float(rate[-1]),
-        rate_n=int(min(seen[-1], max(p.rate_min_samples, 1))),
         cusum_n=int(min(st["cusum_n"] + n, max(p.cusum_min_samples + 1, 2))),
     )
     return {

@@ -1,30 +1,24 @@
-"""Threshold and parameter sweeps.
+"""Threshold sweeps over scored rows.
 
-A sweep never multiplies ticks by grid points: a tick is reduced to how many
-thresholds its score exceeds, ticks are counted per such level, and the counts
-(a few rows) are expanded to grid points afterwards.
+A sweep never multiplies rows by grid points: a row is reduced to how many
+thresholds its score exceeds, rows are counted per such level, and the counts
+(a few rows) are expanded to grid points afterwards. Windows and wash settings
+change the recursion itself; ``cube`` counts those inside the scorer.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapewatch.functions.columns import prf_columns
-from tapewatch.operators.detect import detect_batch
 from tapewatch.operators.quantiles import exact_percentiles
-from tapewatch.operators.slices import Slicing
-from tapewatch.operators.ticks import TICKS
-from tapewatch.params import DetectorParams
 from tapewatch.session import cut_lineage
 
 # The grids of the evaluation.
-WINDOWS = ((10, 5), (15, 10), (20, 10), (25, 10), (30, 10), (50, 20), (100, 30))
-Z_GRID = (3.0, 3.5, 4.0, 4.5, 5.0, 5.5, 6.0, 6.5, 7.0, 7.5, 8.0)
 PR_Z_GRID = (2.0, 2.5, 3.0, 3.5, 4.0, 4.5, 5.0, 5.5, 6.0, 6.5, 7.0, 7.5, 8.0)
-WASH_GRID = tuple((r, w) for r in (0.2, 0.3, 0.5) for w in (0.0005, 0.001, 0.002))
 CUSUM_GRID = tuple((k, h) for k in (1.0, 1.5, 2.0, 2.5) for h in (1.5, 2.0, 2.5, 3.0, 4.0, 6.0))
 Z_STAGE = (4.5, 5.0, 5.5, 6.0, 7.0)
 EWMA_STAGE = (2.75, 3.0, 3.5, 4.0)
@@ -93,11 +87,6 @@ def best_guarded(rows: DataFrame, base: DataFrame, target: str = "price_shock",
     return best(allowed)
 
 
-def shock_score(z: str = "zscore", vwap: str = "vwap_divergence", vwap_threshold: float = 0.01) -> Column:
-    """|z|, or infinity where the VWAP rule alone already flags the tick."""
-    return F.when(F.col(vwap) > vwap_threshold, F.lit(float("inf"))).otherwise(F.abs(z))
-
-
 def naive_candidates(ticks: DataFrame, feature: str, quantiles: Sequence[float] = NAIVE_QUANTILES) -> Column:
     """Quantiles of a feature as a sorted array, usable as sweep thresholds."""
     row = exact_percentiles(ticks, feature, {f"q{i}": q for i, q in enumerate(quantiles)})
@@ -137,65 +126,23 @@ def leave_one_out(counts: DataFrame, key: str = "ticker") -> DataFrame:
     return held.join(top, key).drop("grid_pos")
 
 
-def component_params(window: int, min_samples: int, wash: tuple[float, float] = (0.3, 0.001)) -> DetectorParams:
-    """Only the z-score and the wash rule, with thresholds applied later."""
-    return DetectorParams(
-        window_size=window, min_samples=min_samples, wash_volume_ratio=wash[0], wash_price_range=wash[1]
-    ).only("wash_rule")
-
-
-def component_scores(
-    ticks: DataFrame,
-    windows: Sequence[tuple[int, int]] = WINDOWS,
-    wash_grid: Sequence[tuple[float, float]] = WASH_GRID,
-    s: Slicing = TICKS,
-) -> DataFrame:
-    """Scores of every window and wash setting, all from one read of the ticks;
-    ``param_id`` is w<i> or v<i> by grid position."""
-    sets = {f"w{i}": component_params(*w) for i, w in enumerate(windows)}
-    sets |= {f"v{i}": component_params(20, 10, wash) for i, wash in enumerate(wash_grid)}
-    return detect_batch(ticks, sets, s)
-
-
-def _grid_frame(scored: DataFrame, names: Mapping[str, str]) -> DataFrame:
-    pairs = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
-    return scored.withColumn("setting", F.try_element_at(pairs, F.col("param_id")))
+def detector_scores(scored: DataFrame) -> DataFrame:
+    """kind, flagged, tp, fp, flag_rate, precision, recall and f1 of scored
+    ticks against their ``label``: each kind by its own flags, ``any`` by all."""
+    kinds = [
+        F.struct(F.lit(k).alias("kind"), F.coalesce(F.col("anomaly_type") == k, F.lit(False)).alias("flag"), (F.col("label") == k).alias("y"))
+        for k in ("price_shock", "wash_trade")
+    ]
+    kinds.append(F.struct(F.lit("any").alias("kind"), F.col("anomaly_type").isNotNull().alias("flag"), (F.col("label") != "normal").alias("y")))
+    each = scored.groupBy("anomaly_type", "label").agg(F.count("*").alias("n")).select("n", F.explode(F.array(*kinds)).alias("k"))
 
+    def total(condition: str) -> Column:
+        return F.sum(F.when(F.expr(condition), F.col("n")).otherwise(0))
 
-def tune(
-    labelled: DataFrame,
-    windows: Sequence[tuple[int, int]] = WINDOWS,
-    z_grid: Sequence[float] = Z_GRID,
-    wash_grid: Sequence[tuple[float, float]] = WASH_GRID,
-) -> DataFrame:
-    """One row: window and z with the best price_shock F1, then the wash
-    setting with the best wash_trade F1 given those shock flags (which take
-    precedence). Input: ``component_scores`` rows with ``label``."""
-    setting = {f"w{i}": f"{w[0]}/{w[1]}" for i, w in enumerate(windows)}
-    setting |= {f"v{i}": f"{v[0]}/{v[1]}" for i, v in enumerate(wash_grid)}
-    rows = _grid_frame(cut_lineage(labelled), setting).withColumn("_score", shock_score())
-    place = F.regexp_extract("param_id", r"(\d+)$", 1).cast("int")
-    by_window = rows.filter(F.col("param_id").startswith("w"))
-    counts = sweep(by_window, "_score", F.col("label") == "price_shock", z_grid, ["param_id", "setting"])
-    ordered = with_prf(counts).withColumn("grid_pos", place * len(z_grid) + F.col("grid_pos"))
-    top = best(ordered)
-    chosen = top.select(F.struct("param_id", "threshold")).scalar()
-    shock = (
-        by_window.withColumn("_top", chosen)
-        .filter((F.col("param_id") == F.col("_top.param_id")) & (F.col("_score") > F.col("_top.threshold")))
-        .select("ticker", "tick_id", F.lit(True).alias("_shock"))
-    )
-    wash = rows.filter(F.col("param_id").startswith("v")).join(shock, ["ticker", "tick_id"], "left")
-    flag = (F.col("anomaly_type") == "wash_trade") & F.col("_shock").isNull()
-    flag = F.coalesce(flag, F.lit(False))
-    positive = F.col("label") == "wash_trade"
-    per = wash.groupBy("param_id", "setting").agg(
-        F.count_if(flag & positive).alias("tp"), F.count_if(flag).alias("n_flag"), F.count_if(positive).alias("n_pos")
-    )
-    top_wash = best(with_prf(per).withColumn("grid_pos", place))
-    one = F.lit(1)
-    return (
-        top.select(F.col("setting").alias("window"), F.col("threshold").alias("z"), F.col("f1").alias("shock_f1"), one.alias("_k"))
-        .join(top_wash.select(F.col("setting").alias("wash"), F.col("f1").alias("wash_f1"), one.alias("_k")), "_k")
-        .drop("_k")
+    counts = each.groupBy("k.kind").agg(
+        total("k.flag AND k.y").alias("tp"), total("k.flag").alias("n_flag"), total("k.y").alias("n_pos"), F.sum("n").alias("_n")
     )
+    return with_prf(counts).select(
+        "kind", F.col("n_flag").alias("flagged"), "tp", (F.col("n_flag") - F.col("tp")).alias("fp"),
+        (F.col("n_flag") / F.col("_n")).alias("flag_rate"), "precision", "recall", "f1",
+    )

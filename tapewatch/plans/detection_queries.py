@@ -12,7 +12,7 @@ from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapewatch.operators import detect, inject, tuning
+from tapewatch.operators import cube, detect, inject, tuning
 from tapewatch.operators import ticks as tk
 from tapewatch.params import AlertConfig, DetectorParams
 from tapewatch.plans.evaluation import evaluation_report
@@ -20,7 +20,7 @@ from tapewatch.plans.inputs import ANOMALIES_SQL, anomalies, indexed_sql, ticks
 from tapewatch.plans.registry import GAP_MS, HOUR, query, r6, s6, slices
 from tapewatch.plans.price_tuning import check_price, tune_price
 from tapewatch.schemas import ALERT, ANOMALIES, RAW_EVENTS
-from tapewatch.session import checkpoint_folder
+from tapewatch.session import checkpoint_folder, cut_lineage
 from tapewatch.sources import files
 from tapewatch.sources.tables import anomaly_rows, persist_batch, read_table
 from tapewatch.streaming.alerts import alerts_stream, dedupe_events
@@ -180,8 +180,7 @@ def _isolated_counts(scored: DataFrame) -> DataFrame:
 WITH RECURSIVE {indexed_sql(GAP_MS)}, {detector_sql(TEST_PARAMS)}
 SELECT run.ticker, idx.label, coalesce(anomaly_type, 'normal') AS found, count(*) AS ticks FROM run JOIN idx USING (tick_id) WHERE run.pos > 0 GROUP BY ALL""")
 def detect_with_labels(spark, folder):
-    t = tk.with_tick_id(ticks(spark, folder), slices(spark, folder))
-    labelled = detect.attach_labels(detect.detect_batch(t, TEST_PARAMS, slices(spark, folder)), t, "label")
+    labelled = detect.detect_batch(ticks(spark, folder), TEST_PARAMS, slices(spark, folder), carry=["label"])
     return labelled.groupBy("ticker", "label", F.coalesce("anomaly_type", F.lit("normal")).alias("found")).agg(
         F.count("*").alias("ticks")
     )
@@ -281,21 +280,171 @@ def stream_bars(spark, folder):
     )
 
 
-SMALL_WINDOWS = ((10, 5), (20, 10))
-SMALL_Z = (1.0, 1.5, 2.0, 2.5, 3.0)
-SMALL_WASH = ((0.2, 0.003), (0.3, 0.002), (0.5, 0.003))
+# --- tuning over windows, thresholds and wash settings ----------------------
 
+# As many settings as the evaluation has, at the scale of the test ticks.
+TUNING = cube.Grid(
+    windows=cube.WINDOWS,
+    z=tuple(round(1.0 + 0.2 * i, 1) for i in range(len(cube.Z_GRID))),
+    vwap=(0.0025,),
+    wash=tuple((r, w) for r in (0.2, 0.3, 0.5) for w in (0.002, 0.0025, 0.003)),
+)
+SURFACE = cube.Grid(
+    windows=((20, 10),), z=tuple(round(1.0 + 0.25 * i, 2) for i in range(9)), vwap=(0.001, 0.0015, 0.0025), wash=((0.3, 0.003),)
+)
 
-@query("tune_components", "J-8", "A-14")
-def tune_components(spark, folder):
-    t = tk.with_tick_id(ticks(spark, folder), slices(spark, folder))
-    sets = {f"w{i}": TEST_PARAMS.only().with_(window_size=w, min_samples=m) for i, (w, m) in enumerate(SMALL_WINDOWS)}
-    sets |= {
-        f"v{i}": TEST_PARAMS.only("wash_rule").with_(wash_volume_ratio=r, wash_price_range=g)
-        for i, (r, g) in enumerate(SMALL_WASH)
+
+def _values(rows) -> str:
+    return ", ".join(f"({', '.join(str(v) for v in r)})" for r in rows)
+
+
+def cube_sql(g: cube.Grid, p: DetectorParams = TEST_PARAMS) -> str:
+    """CTEs up to ``sc``: for every ticker, period and setting the counts of
+    each kind. z and VWAP step through every ticker with a recursive query per
+    window, the look-back with another; all settings meet all ticks."""
+    rate = 2.0 / (p.rate_span + 1)
+    look = f"CASE WHEN rn >= {p.rate_min_samples} THEN {p.wash_lookback_ticks} * rd ELSE {p.wash_lookback_ms} END"
+    kinds = {
+        "price_shock": ("shock", "label = 'price_shock'"),
+        "wash_trade": ("washed AND NOT shock", "label = 'wash_trade'"),
+        "any": ("(shock OR washed)", "label <> 'normal'"),
     }
-    labelled = detect.attach_labels(detect.detect_batch(t, sets, slices(spark, folder)), t, "label")
-    return tuning.tune(labelled, SMALL_WINDOWS, SMALL_Z, SMALL_WASH)
+    sums = ", ".join(
+        f"count_if({f} AND {y}) AS tp_{k}, count_if({f}) AS flag_{k}, count_if({y}) AS pos_{k}" for k, (f, y) in kinds.items()
+    )
+    return f"""
+{TICKS_CTE},
+cutoff AS (SELECT quantile_cont(CAST(event_time_ms AS DOUBLE), 0.7) AS split_ms FROM ticks),
+o AS (SELECT *, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY ticker ORDER BY pos) AS sess
+  FROM (SELECT ticker, event_time_ms AS ms, price AS p, volume AS v, label, CASE WHEN event_time_ms <= split_ms THEN 'train' ELSE 'test' END AS period,
+      row_number() OVER w AS pos, coalesce(event_time_ms - lag(event_time_ms) OVER w > {p.gap_reset_ms}, TRUE) AS fresh,
+      event_time_ms - lag(event_time_ms) OVER w AS gap
+    FROM ticks, cutoff WINDOW w AS (PARTITION BY ticker ORDER BY event_time_ms, arrival))),
+win AS (SELECT * FROM (VALUES {_values((i, w, m) for i, (w, m) in enumerate(g.windows))}) x(win, size, warm)),
+zrun AS (
+  SELECT win, size, warm, ticker, 0::BIGINT AS pos, []::DOUBLE[] AS cl, []::DOUBLE[] AS wp, []::DOUBLE[] AS wv, NULL::DOUBLE AS z, NULL::DOUBLE AS vd
+  FROM win, (SELECT DISTINCT ticker FROM o)
+  UNION ALL
+  SELECT win, size, warm, ticker, pos, list_slice(list_append(cl, CASE WHEN n >= warm AND sd > 1e-9 THEN mean + greatest(-{p.clip_k} * sd, least({p.clip_k} * sd, p - mean)) ELSE p END), -size, -1),
+    list_slice(list_append(wp, p), -size, -1), list_slice(list_append(wv, v), -size, -1),
+    CASE WHEN n >= warm THEN CASE WHEN sd > 1e-9 THEN (p - mean) / sd ELSE 0 END END,
+    CASE WHEN n >= warm AND sv > 1e-9 AND spv / sv > 1e-9 THEN abs(p - spv / sv) / (spv / sv) END
+  FROM (SELECT *, len(cl) AS n, list_avg(cl) AS mean, list_stddev_pop(cl) AS sd, list_sum(wv) AS sv,
+      list_sum(list_transform(list_zip(wp, wv), lambda x: x[1] * x[2])) AS spv
+    FROM (SELECT win, size, warm, o.ticker, o.pos, o.p, o.v, CASE WHEN fresh THEN [] ELSE cl END AS cl, CASE WHEN fresh THEN [] ELSE wp END AS wp, CASE WHEN fresh THEN [] ELSE wv END AS wv
+      FROM zrun r JOIN o ON o.ticker = r.ticker AND o.pos = r.pos + 1))),
+rrun AS (
+  SELECT DISTINCT ticker, 0::BIGINT AS pos, 0::DOUBLE AS rd, 0::BIGINT AS rn, 0::DOUBLE AS cut FROM o
+  UNION ALL
+  SELECT ticker, pos, rd, rn, CASE WHEN fresh THEN ms - {look} ELSE greatest(cut, ms - {look}) END
+  FROM (SELECT o.ticker, o.pos, o.ms, fresh, cut, CASE WHEN fresh THEN 0 ELSE rn + 1 END AS rn,
+      CASE WHEN fresh THEN 0 WHEN rn = 0 THEN least(gap, {p.rate_gap_cap_ms}) ELSE rd + {rate} * (least(gap, {p.rate_gap_cap_ms}) - rd) END AS rd
+    FROM rrun r JOIN o ON o.ticker = r.ticker AND o.pos = r.pos + 1)),
+h AS (SELECT o.ticker, o.pos, any_value(o.v) AS v, count(b.ms) AS n, min(b.p) AS lo, max(b.p) AS hi, sum(b.v) AS total
+  FROM o JOIN rrun USING (ticker, pos) LEFT JOIN o b ON b.ticker = o.ticker AND b.sess = o.sess AND b.ms >= cut AND b.ms < o.ms GROUP BY o.ticker, o.pos),
+wset AS (SELECT * FROM (VALUES {_values((i, r, w) for i, (r, w) in enumerate(g.wash))}) x(wash, ratio, width)),
+wf AS (SELECT ticker, pos, wash, coalesce(n >= {max(p.wash_min_prior, 1)} AND lo > 0 AND (hi - lo) / lo < width AND total > 0 AND v / (ratio * total) > {p.risk_threshold}, FALSE) AS washed FROM h, wset),
+zp AS (SELECT * FROM (VALUES {_values((i, z) for i, z in enumerate(g.z))}) x(z_pos, z_at)),
+vp AS (SELECT * FROM (VALUES {_values((i, v) for i, v in enumerate(g.vwap))}) x(vwap_pos, vwap_at)),
+zf AS (SELECT ticker, pos, win, z_pos, vwap_pos, coalesce(abs(z) > z_at, FALSE) OR coalesce(vd > vwap_at, FALSE) AS shock FROM zrun, zp, vp WHERE pos > 0),
+sc AS (SELECT o.ticker, period, win, wash, z_pos, vwap_pos, {sums}, count(*) AS n_ticks
+  FROM o JOIN zf USING (ticker, pos) JOIN wf USING (ticker, pos) GROUP BY ALL)"""
+
+
+COUNT_SUMS = ", ".join(f"sum({c})::BIGINT AS {c}" for c in (*cube.COUNTS, "n_ticks"))
+
+
+def f1_sql(kind: str) -> str:
+    p, r = f"coalesce(tp_{kind} / nullif(flag_{kind}, 0), 0)", f"coalesce(tp_{kind} / nullif(pos_{kind}, 0), 0)"
+    return f"coalesce(2 * {p} * {r} / nullif({p} + {r}, 0), 0)"
+
+
+def tuned_sql(source: str, key: str, name: str) -> str:
+    """CTEs ``<name>_s`` (the window and thresholds chosen) and ``<name>`` (with
+    the wash setting) of each ``key`` of summed counts."""
+    order = "row_number() OVER (PARTITION BY {0} ORDER BY {1} DESC, {2}) = 1"
+    return f"""
+{name}_s AS (SELECT {key}, win, z_pos, vwap_pos, {f1_sql('price_shock')} AS shock_f1 FROM {source} WHERE wash = 0
+  QUALIFY {order.format(key, f1_sql('price_shock'), 'win, z_pos, vwap_pos')}),
+{name} AS (SELECT {key}, win, z_pos, vwap_pos, wash, shock_f1, {f1_sql('wash_trade')} AS wash_f1
+  FROM {source} JOIN {name}_s USING ({key}, win, z_pos, vwap_pos) QUALIFY {order.format(key, f1_sql('wash_trade'), 'wash')})"""
+
+
+NAMED_SQL = "size::INTEGER AS window_size, warm::INTEGER AS min_samples, z_at::DOUBLE AS z, ratio::DOUBLE AS wash_ratio, width::DOUBLE AS wash_range"
+NAMED_JOIN = "JOIN win USING (win) JOIN zp USING (z_pos) JOIN wset USING (wash)"
+
+
+def _tuning_cube(spark, folder, grid: cube.Grid) -> DataFrame:
+    t = tk.period_mask(ticks(spark, folder))
+    return cube.exceedance_cube(t, grid, TEST_PARAMS, ["label", "period"], slices(spark, folder))
+
+
+@query("tune_components", "J-8", "A-14", sql=f"""
+WITH RECURSIVE {cube_sql(TUNING)},
+m AS (SELECT period AS mask, win, wash, z_pos, vwap_pos, {COUNT_SUMS} FROM sc GROUP BY ALL
+  UNION ALL SELECT 'all', win, wash, z_pos, vwap_pos, {COUNT_SUMS} FROM sc GROUP BY ALL),
+{tuned_sql('m', 'mask', 'best')}
+SELECT mask, {NAMED_SQL}, {s6('shock_f1')}, {s6('wash_f1')} FROM best {NAMED_JOIN}""")
+def tune_components(spark, folder):
+    """Window, z and wash setting tuned on all ticks and on each period."""
+    counts = cube.setting_counts(_tuning_cube(spark, folder, TUNING), TUNING, ["period"])
+    counts = cut_lineage(counts.withColumnRenamed("period", "mask"))
+    whole = counts.groupBy(*cube.SETTING).agg(*[F.sum(c).alias(c) for c in (*cube.COUNTS, "n_ticks")])
+    tuned = cube.tune(counts.unionByName(whole.withColumn("mask", F.lit("all"))), ["mask"])
+    return _named(tuned, TUNING, "mask", r6("shock_f1"), r6("wash_f1"))
+
+
+def _named(settings: DataFrame, grid: cube.Grid, *columns) -> DataFrame:
+    return cube.named(settings, grid).select("window_size", "min_samples", "z", "wash_ratio", "wash_range", *columns)
+
+
+@query("leave_one_ticker_out", "A-24", "J-8", sql=f"""
+WITH RECURSIVE {cube_sql(TUNING)},
+own AS (SELECT ticker, win, wash, z_pos, vwap_pos, {COUNT_SUMS} FROM sc GROUP BY ALL),
+rest AS (SELECT k.ticker, win, wash, z_pos, vwap_pos, {COUNT_SUMS} FROM own, (SELECT DISTINCT ticker FROM own) k WHERE own.ticker <> k.ticker GROUP BY ALL),
+{tuned_sql('rest', 'ticker', 'tuned')}, {tuned_sql('own', 'ticker', 'best')},
+held AS (SELECT ticker, {f1_sql('price_shock')} AS a, {f1_sql('wash_trade')} AS b, {f1_sql('any')} AS c FROM own JOIN tuned USING (ticker, win, z_pos, vwap_pos, wash))
+SELECT tuned.ticker, {NAMED_SQL}, {s6('a', 'shock_f1')}, {s6('b', 'wash_f1')}, {s6('c', 'any_f1')}, {s6('best.shock_f1', 'own_shock_f1')}, {s6('best.wash_f1', 'own_wash_f1')}
+FROM tuned {NAMED_JOIN} JOIN held USING (ticker) JOIN best USING (ticker)""")
+def leave_one_ticker_out(spark, folder):
+    """Tuned on all other tickers, over windows, z and wash settings together."""
+    counts = cube.setting_counts(_tuning_cube(spark, folder, TUNING), TUNING, ["ticker"])
+    f1s = ("shock_f1", "wash_f1", "any_f1", "own_shock_f1", "own_wash_f1")
+    rows = cube.leave_one_out(counts, TUNING)
+    return rows.select("ticker", "window_size", "min_samples", "z", "wash_ratio", "wash_range", *[r6(c) for c in f1s])
+
+
+PRF_SHOCK = ", ".join(
+    s6(f"coalesce(tp_price_shock / nullif({c}_price_shock, 0), 0)", name) for c, name in (("flag", '"precision"'), ("pos", "recall"))
+)
+
+
+@query("threshold_surface", "J-8", "A-4", sql=f"""
+WITH RECURSIVE {cube_sql(SURFACE)}, t AS (SELECT win, z_pos, vwap_pos, {COUNT_SUMS} FROM sc GROUP BY ALL)
+SELECT z_at::DOUBLE AS z, vwap_at::DOUBLE AS vwap, tp_price_shock AS tp, flag_price_shock AS n_flag, pos_price_shock AS n_pos, {PRF_SHOCK}, {s6(f1_sql('price_shock'), 'f1')}
+FROM t JOIN zp USING (z_pos) JOIN vp USING (vwap_pos)""")
+def threshold_surface(spark, folder):
+    """Every pair of z and VWAP thresholds at one window: the sweep over z at a
+    fixed VWAP threshold and the one over VWAP at a fixed z are its rows and columns."""
+    grid = cube.exceedance_cube(ticks(spark, folder), SURFACE, TEST_PARAMS, ["label"], slices(spark, folder))
+    rows = cube.threshold_surface(cube.setting_counts(grid, SURFACE), SURFACE)
+    return rows.select("z", "vwap", "tp", "n_flag", "n_pos", r6("precision"), r6("recall"), r6("f1"))
+
+
+@query("full_detector_scores", "A-4", "A-5", "J-10", sql=f"""
+WITH RECURSIVE {indexed_sql(GAP_MS)}, {detector_sql(TEST_PARAMS)},
+r AS (SELECT anomaly_type, label FROM run JOIN idx USING (tick_id) WHERE run.pos > 0),
+k AS (SELECT unnest(['price_shock', 'wash_trade', 'any']) AS kind),
+c AS (SELECT kind, count_if(flag) AS nf, count_if(flag AND y) AS tp, count_if(y) AS np, count(*) AS n FROM (
+  SELECT kind, CASE WHEN kind = 'any' THEN anomaly_type IS NOT NULL ELSE coalesce(anomaly_type = kind, FALSE) END AS flag,
+    CASE WHEN kind = 'any' THEN label <> 'normal' ELSE label = kind END AS y FROM r, k) GROUP BY kind),
+q AS (SELECT *, coalesce(tp / nullif(nf, 0), 0) AS p, coalesce(tp / nullif(np, 0), 0) AS r FROM c)
+SELECT kind, nf AS flagged, tp, nf - tp AS fp, {s6('nf / n', 'flag_rate')}, {s6('p', '"precision"')}, {s6('r', 'recall')}, {s6('coalesce(2 * p * r / nullif(p + r, 0), 0)', 'f1')} FROM q""")
+def full_detector_scores(spark, folder):
+    """All signals at their own thresholds, tick by tick against the labels."""
+    scored = detect.detect_batch(ticks(spark, folder), TEST_PARAMS, slices(spark, folder), carry=["label"])
+    rows = tuning.detector_scores(scored)
+    return rows.select("kind", "flagged", "tp", "fp", r6("flag_rate"), r6("precision"), r6("recall"), r6("f1"))
 
 
 def _quoted(t: DataFrame) -> DataFrame:

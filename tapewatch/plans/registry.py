@@ -956,12 +956,11 @@ GRID = (0.5, 1.0, 1.5, 2.0, 2.5, 3.0, 3.5)
 PRF_SQL = "coalesce(tp / nullif(nf, 0), 0) AS p, coalesce(tp / nullif(np, 0), 0) AS r"
 
 
-def _z_scores(spark, folder):
-    t = tk.period_mask(ticks(spark, folder))
+def _z_scores(spark, folder, *columns):
+    t = ticks(spark, folder)
+    t = tk.period_mask(t) if "period" in columns else t
     z = signals.rolling_z(t, 20, 10, slices(spark, folder))
-    return z.select(
-        "ticker", "period", "label", (F.col("label") == "price_shock").alias("y"), F.abs("zscore").alias("s")
-    )
+    return z.select(*columns, (F.col("label") == "price_shock").alias("y"), F.abs("zscore").alias("s"))
 
 
 @query("threshold_sweep", "J-8", "A-4", sql=f"""
@@ -978,7 +977,7 @@ WITH {Z_SQL}, {GRID_SQL}, c AS (SELECT period, grid_pos, threshold, count_if(y A
 q AS (SELECT *, {PRF_SQL} FROM c), f AS (SELECT *, coalesce(2 * p * r / nullif(p + r, 0), 0) AS f1 FROM q)
 SELECT period, CAST(arg_max(threshold, (f1, -grid_pos)) AS DOUBLE) AS threshold, {s6('max(f1)', 'f1')} FROM f GROUP BY period""")
 def best_threshold(spark, folder):
-    rows = tuning.with_prf(tuning.sweep(_z_scores(spark, folder), "s", "y", GRID, ["period"]))
+    rows = tuning.with_prf(tuning.sweep(_z_scores(spark, folder, "period"), "s", "y", GRID, ["period"]))
     return tuning.best(rows, by=["period"]).select("period", "threshold", r6("f1"))
 
 
@@ -987,11 +986,11 @@ WITH {Z_SQL}, grid AS (SELECT unnest(generate_series(0, 12)) AS grid_pos), g2 AS
 c AS (SELECT period, grid_pos, threshold, count_if(y AND s > threshold) tp, count_if(s > threshold) nf, count_if(y) np FROM g2, z GROUP BY ALL), q AS (SELECT *, {PRF_SQL} FROM c)
 SELECT period, CAST(threshold AS DOUBLE) AS threshold, {s6('p', '"precision"')}, {s6('r', 'recall')}, {s6('coalesce(2 * p * r / nullif(p + r, 0), 0)', 'f1')} FROM q""")
 def pr_curve(spark, folder):
-    rows = tuning.pr_curve(_z_scores(spark, folder), "s", "y")
+    rows = tuning.pr_curve(_z_scores(spark, folder, "period"), "s", "y")
     return rows.select("period", "threshold", r6("precision"), r6("recall"), r6("f1"))
 
 
-@query("leave_one_ticker_out", "A-24", sql=f"""
+@query("leave_one_ticker_out_z", "A-24", sql=f"""
 WITH {Z_SQL}, {GRID_SQL}, c AS (SELECT ticker, grid_pos, threshold, count_if(y AND s > threshold) tp, count_if(s > threshold) nf, count_if(y) np FROM grid, z GROUP BY ALL),
 t AS (SELECT grid_pos, sum(tp) a, sum(nf) b, sum(np) d FROM c GROUP BY grid_pos),
 o AS (SELECT ticker, grid_pos, threshold, a - tp AS tp, b - nf AS nf, d - np AS np FROM c JOIN t USING (grid_pos)),
@@ -1001,8 +1000,8 @@ tuned AS (SELECT ticker, arg_max(threshold, (f1, -grid_pos)) AS threshold FROM o
 own AS (SELECT ticker, arg_max(threshold, (f1, -grid_pos)) AS threshold, max(f1) AS f1 FROM cf GROUP BY ticker)
 SELECT tuned.ticker, CAST(tuned.threshold AS DOUBLE) AS tuned_threshold, {s6('cf.f1', 'held_out_f1')}, CAST(own.threshold AS DOUBLE) AS own_threshold, {s6('own.f1', 'own_f1')}
 FROM tuned JOIN cf ON cf.ticker = tuned.ticker AND cf.threshold = tuned.threshold JOIN own ON own.ticker = tuned.ticker""")
-def leave_one_ticker_out(spark, folder):
-    counts = tuning.sweep(_z_scores(spark, folder), "s", "y", GRID, ["ticker"])
+def leave_one_ticker_out_z(spark, folder):
+    counts = tuning.sweep(_z_scores(spark, folder, "ticker"), "s", "y", GRID, ["ticker"])
     out = tuning.leave_one_out(counts)
     return out.select("ticker", "tuned_threshold", r6("held_out_f1"), "own_threshold", r6("own_f1"))
 

@@ -187,35 +187,6 @@ def test_sweep_first_in_grid_order_wins(spark):
     assert set(loo) == {"a", "b"} and loo["a"]["held_out_f1"] == 1.0
 
 
-def test_tuned_components_match_a_plain_search(spark):
-    t = tk.with_tick_id(random_ticks(spark, 400, same_ms=0.0, shock=0.05), S)
-    t = t.withColumn("label", F.when(F.col("arrival") % 20 == 3, "price_shock").when(F.col("arrival") % 20 == 7, "wash_trade").otherwise("normal"))
-    windows, zs, washes = ((10, 5), (20, 10)), (1.0, 2.0, 3.0), ((0.2, 0.002), (0.4, 0.01))
-    from tapewatch.operators.detect import attach_labels
-
-    scored = attach_labels(tuning.component_scores(t, windows, washes), t, "label")
-    got = tuning.tune(scored, windows, zs, washes).first()
-    pdf = scored.toPandas()
-
-    def f1(flag, pos):
-        tp = (flag & pos).sum()
-        p, r = (tp / flag.sum() if flag.sum() else 0), (tp / pos.sum() if pos.sum() else 0)
-        return 2 * p * r / (p + r) if p + r else 0
-
-    def shock_of(i, z):
-        w = pdf[pdf.param_id == f"w{i}"].set_index("tick_id")
-        return (w.zscore.abs() > z) | (w.vwap_divergence > 0.01), w.label
-
-    best = max(((i, z) for i in range(2) for z in zs), key=lambda k: f1(shock_of(*k)[0], shock_of(*k)[1] == "price_shock"))
-    shock, _ = shock_of(*best)
-    found = []
-    for i in range(2):
-        v = pdf[pdf.param_id == f"v{i}"].set_index("tick_id")
-        found.append(f1((v.anomaly_type == "wash_trade") & ~shock.reindex(v.index), v.label == "wash_trade"))
-    assert (got["window"], got["z"]) == (f"{windows[best[0]][0]}/{windows[best[0]][1]}", best[1])
-    assert got["wash_f1"] == pytest.approx(max(found)) and got["wash"].split("/")[0] == str(washes[int(np.argmax(found))][0])
-
-
 def test_evaluation_report(quoted):
     label = F.when(F.col("arrival") % 300 == 150, "price_shock").when(F.col("arrival") % 300 == 299, "wash_trade").otherwise("normal")
     report = evaluation_report(quoted.withColumn("label", label), DetectorParams(), inject.EXISTING_VARIANTS[:1], s=S)
