@@ -74,6 +74,23 @@ def intermediate_tables(spark: SparkSession) -> Iterator[None]:
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def write_table(df: DataFrame, path: str) -> DataFrame:
+    """df written as a table and read back. Its shuffle files, which nothing
+    needs after that, are deleted at the end of the write and not when the
+    driver happens to collect its garbage."""
+    spark = df.sparkSession
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """df written once as a table under the shared checkpoint folder and read
     back: later branches read only the columns they need, and a lost executor
@@ -82,5 +99,4 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_folder(spark)}/tables/{uuid.uuid4().hex}"
     if _SCOPES:
         _SCOPES[-1].append(path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return write_table(df, path)
