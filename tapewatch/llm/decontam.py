@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapewatch.llm.common import Scratch, bounded_batches
+from tapewatch.llm.common import Scratch, bounded_batches, releasing
 
 SHINGLE = 5
 CONTAINMENT = 0.8
@@ -220,7 +220,7 @@ def _search(docs: DataFrame, items: list[tuple], key: str, item_key: str, types,
     fields = docs.select(key).schema.add(item_key, types).add("shared", "long").add("total", "long")
     fields = fields.add("containment", "double")
     arrow = [to_arrow_type(f.dataType) for f in fields]
-    return docs.mapInArrow(run, fields)
+    return docs.mapInArrow(releasing(run), fields)
 
 
 def find_contaminated(

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapewatch.llm.common import bounded_batches
+from tapewatch.llm.common import bounded_batches, releasing
 
 UNKNOWN = "und"
 LANDMARKS = 48  # per language, at most
@@ -205,4 +205,4 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", keep: lis
             )
 
     fields = docs.select(*kept).schema.add("lang_pred", "string").add("score", "double")
-    return lowered.mapInArrow(score, fields)
+    return lowered.mapInArrow(releasing(score), fields)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from tapewatch.llm.common import bounded_batches
+from tapewatch.llm.common import bounded_batches, releasing
 
 WINDOW = 2048
 END_ID = 1
@@ -32,7 +32,8 @@ FORCED_CUT = 64
 NEW_WINDOW = 2
 SHORT = (256, 512, 1024)  # windows below WINDOW that are worth trying
 CHUNK_TOKENS = 1 << 20  # tokens of a task packed at a time
-CACHED_WORDS = 1 << 20
+CACHED_WORDS = 1 << 18
+CACHED_BYTES = 1 << 24  # of these words
 
 # Characters for which lower-casing, normalisation and word splitting are plain;
 # a text with others, or with a special token, goes to the tokenizer whole.
@@ -78,6 +79,7 @@ class TextTokens:
 
     def _clear(self) -> None:
         self.words = _Words()
+        self.bytes = 0
         self.flat = np.zeros(0, np.uint32)
         self.start = np.zeros(0, np.int64)
         self.length = np.zeros(0, np.int64)
@@ -86,6 +88,7 @@ class TextTokens:
         new, self.words.new = self.words.new, []
         if not new:
             return
+        self.bytes += sum(map(len, new))
         ids = [e.ids for e in self.words_only.encode_batch_fast(new, add_special_tokens=False)]
         length = np.fromiter(map(len, ids), np.int64, len(ids))
         self.start = np.concatenate((self.start, len(self.flat) + np.cumsum(length) - length))
@@ -93,7 +96,7 @@ class TextTokens:
         self.flat = np.concatenate((self.flat, np.concatenate(ids).astype(np.uint32)))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.words) > CACHED_WORDS:
+        if len(self.words) > CACHED_WORDS or self.bytes > CACHED_BYTES:
             self._clear()
         found: list[np.ndarray | None] = []
         for text in texts:
@@ -135,9 +138,10 @@ def cut_candidates(ends: np.ndarray, sentences: np.ndarray, total: int, window:
     return at, costs
 
 
-def choose_cuts(at: list[int], penalties: list[int], window: int = WINDOW) -> list[int]:
+def choose_cuts(at: list[int], penalties: list[int], window: int = WINDOW, last: bool = True) -> list[int]:
     """The cuts, the last candidate among them, with the least padding and
-    penalties in total."""
+    penalties in total. If the candidates are not the ``last`` ones, the window
+    up to the end is no window yet and costs no padding."""
     position, cost, back = [0, *at], [0] * (len(at) + 1), [0] * (len(at) + 1)
     key = [0] * (len(at) + 1)
     queue = deque([0])
@@ -149,6 +153,9 @@ def choose_cuts(at: list[int], penalties: list[int], window: int = WINDOW) -> li
             queue.popleft()
         i = queue[0]
         best = key[i] + window - p
+        if not last and j == len(position) - 1:
+            i = min(queue, key=lambda k: cost[k])  # in reach; the rest is packed with what follows
+            best = cost[i]
         for s in short:
             k = where.get(p - s)
             if k is not None and cost[k] < best:
@@ -204,7 +211,7 @@ class _Packer:
         ends = np.cumsum(lengths)
         inside = self.sentence_end[np.minimum(ids, len(self.sentence_end) - 1)]
         at, penalties = cut_candidates(ends, np.flatnonzero(inside) + 1, len(ids), self.window)
-        cuts = choose_cuts(at, penalties, self.window)
+        cuts = choose_cuts(at, penalties, self.window, last)
         first = cuts[-2] if len(cuts) > 1 else 0  # start of the last window
         cuts = cuts[:-1] + tail_cuts(first, len(ids), self.window) if last else cuts[:-1]
         out = self._pieces(ids, ends, lengths, cuts)
@@ -285,4 +292,4 @@ def pack_documents(
     if with_ids:
         fields, types = fields.add("ids", "binary"), [*types, pa.binary()]
     names = fields.names
-    return docs.select(key, text).mapInArrow(run, fields)
+    return docs.select(key, text).mapInArrow(releasing(run), fields)

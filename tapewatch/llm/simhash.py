@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapewatch.llm.common import Scratch, bounded_batches
+from tapewatch.llm.common import Scratch, bounded_batches, releasing
 from tapewatch.llm.components import connected
 
 SEED = 42
@@ -74,7 +74,7 @@ def with_fingerprints(docs: DataFrame, text: str = "text", keep: list[str] | Non
             arrays = [batch.column(columns.index(c)) for c in kept]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(prints.view(np.int64))], [*kept, "fp"])
 
-    return docs.select(*columns).mapInArrow(compute, docs.select(*kept).schema.add("fp", "long"))
+    return docs.select(*columns).mapInArrow(releasing(compute), docs.select(*kept).schema.add("fp", "long"))
 
 
 def _segment(s: int) -> Column:

@@ -157,6 +157,45 @@ def test_cuts_are_the_cheapest():
         assert cost == best[len(at)] and max(b - a for a, b in zip(cuts, cuts[1:])) <= 16
 
 
+def test_an_unfinished_chunk_pays_nothing_for_its_last_window():
+    rng = random.Random(4)
+    for _ in range(60):
+        at = sorted(rng.sample(range(1, 60), rng.randrange(2, 12)))
+        at, penalties = packing.cut_candidates(np.array(at[-1:]), np.array(at), at[-1], 16)
+        position = [0, *at]
+        best = {0: 0}
+        for j in range(1, len(position) - 1):
+            best[j] = min(
+                best[i] + 16 - position[j] + position[i] + penalties[j - 1] + packing.NEW_WINDOW
+                for i in range(j) if position[j] - position[i] <= 16
+            )
+        cuts = [0, *packing.choose_cuts(at, penalties, 16, last=False)]
+        assert cuts[-1] == at[-1] and cuts[-1] - cuts[-2] <= 16
+        reach = [best[i] for i in range(len(position) - 1) if position[-1] - position[i] <= 16]
+        assert best[position.index(cuts[-2])] == min(reach)
+
+
+def test_chunks_pad_little_more_than_a_whole_task(tokens, monkeypatch):
+    rng = np.random.default_rng(3)
+    docs = [rng.integers(5, 40_000, n).astype(np.uint32) for n in np.minimum(rng.lognormal(5.5, 1, 900), 9000).astype(int) + 1]
+    stop = np.flatnonzero(tokens.sentence_end)[0]
+    for ids in docs:
+        ids[rng.random(len(ids)) < 1 / 12] = stop
+
+    def padding(chunk):
+        packer, filled = packing._Packer(tokens.sentence_end, packing.WINDOW, False), {}
+        for i, ids in enumerate([*docs, None]):
+            if ids is not None:
+                packer.add(i, ids)
+            for p in packer.pack(last=ids is None) if ids is None or packer.held >= chunk else ():
+                filled[p[5]] = filled.get(p[5], 0) + p[2]
+        assert sum(filled.values()) == sum(map(len, docs))
+        return sum(0 if n & (n - 1) == 0 else packing.WINDOW - n for n in filled.values()) / sum(filled.values())
+
+    whole = padding(1 << 30)
+    assert whole < 0.02 and padding(1 << 16) < whole + 0.01 and padding(5000) < whole + 0.02
+
+
 def test_packed_pieces_hold_every_id_once(spark, tokens, monkeypatch):
     import public_tokenizers
 
