@@ -2,16 +2,14 @@
 
 A document is cut into word shingles and put in the partition of its size, the
 next power of two. The partition fixes into how many bins the shingles' hash
-values are dealt and the least value of each bin is the document's MinHash. As
-the bins grow with the size, a short test item keeps the same chance of
-meeting a bin's least value in a long document as in a short one. Items are
-signed once per partition. Whoever shares a bin's value is a candidate.
-
-That chance is one per shared shingle, so it says little about items of few
-shingles. Of those, as many shingles are looked up among all of the document's
-as it takes for one to be there if the item is contained: none is missed.
-Candidates are verified by the exact share of the item's shingles that the
-document contains.
+values are dealt, two to four for each shingle, and the few least values of
+each bin are the document's signature. As the bins grow with the size, a short
+test item keeps the same chance of meeting the signature of a long document as
+that of a short one: a bin has half a shingle at most on average and keeps
+eight, so one shared shingle is missed with a probability below 10^-7, and an
+item is missed only if all it shares are. Items whose shingles meet the
+signature are candidates, whatever their size, and candidates are verified by
+the exact share of the item's shingles that the document contains.
 """
 
 from __future__ import annotations
@@ -30,7 +28,7 @@ from tapewatch.llm.common import Scratch, bounded_batches, releasing
 
 SHINGLE = 5
 CONTAINMENT = 0.8
-FEW = 64  # items of at most so many shingles are searched for without chance
+MINIMA = 8  # of each bin in a document's signature
 FILTER_BITS = 20
 BLOCK_BYTES = 8 << 20  # item texts searched in one pass over the documents
 CHUNK = 1 << 21  # bytes hashed at a time
@@ -109,18 +107,18 @@ def partition(n: int) -> int:
     return max(n - 1, 0).bit_length()
 
 
-def bin_minima(hashes: np.ndarray, bits: int) -> np.ndarray:
-    """The least value of each of 2**bits bins; the leading bits name the bin."""
-    ordered = np.sort(hashes)
-    if not bits:
-        return ordered[:1]
-    bins = ordered >> np.uint64(64 - bits)
-    return ordered[np.concatenate(([True], bins[1:] != bins[:-1]))] if len(ordered) else ordered
+def signature(ordered: np.ndarray, bits: int) -> np.ndarray:
+    """The MINIMA least values of each of 2**(bits + 1) bins of sorted, distinct
+    hashes; the leading bits name the bin."""
+    if len(ordered) <= MINIMA:
+        return ordered
+    bins = ordered >> np.uint64(63 - bits)
+    return ordered[np.concatenate((np.ones(MINIMA, bool), bins[MINIMA:] != bins[:-MINIMA]))]
 
 
 class ItemIndex:
-    """The items of one block: their shingles, the signatures of the long ones
-    by partition, and the shingles of the short ones that are looked up."""
+    """The items of one block: their shingles, and all hashes of these in order
+    with the item of each."""
 
     def __init__(self, items: list[tuple], least: float = CONTAINMENT):
         self.items = [(key, shingles(text)) for key, text in items]
@@ -133,36 +131,17 @@ class ItemIndex:
             h, _ = hasher(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
             if len(h):
                 self.hashed.append(np.unique(h))
-        self.long = [i for i, h in enumerate(self.hashed) if len(h) > FEW]
-        self.signed: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        short = [i for i, h in enumerate(self.hashed) if len(h) <= FEW]
-        self.sought, self.sought_by = _lookup([(i, self.hashed[i][: self._some(len(self.hashed[i]))]) for i in short])
+        self.values, self.owner = _lookup(list(enumerate(self.hashed)))
         self.maybe = np.zeros(1 << FILTER_BITS, bool)
-        self.maybe[self.sought >> np.uint64(64 - FILTER_BITS)] = True
-
-    def _some(self, n: int) -> int:
-        """Of n shingles, how many cannot all be missing from a document that contains the item."""
-        return n + 1 - max(1, next(k for k in range(n + 1) if k >= self.least * n))
-
-    def signatures(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
-        """(values, sorted; item of each value) of the long items in a partition."""
-        if bits not in self.signed:
-            self.signed[bits] = _lookup([(i, bin_minima(self.hashed[i], bits)) for i in self.long])
-        return self.signed[bits]
+        self.maybe[self.values >> np.uint64(64 - FILTER_BITS)] = True
 
     def candidates(self, hashes: np.ndarray) -> np.ndarray:
-        """Long items that share a bin's least value with a document, and short
-        ones of which it has a shingle that was looked up, as far as the
-        document has enough of an item's hashes."""
-        met = _meet(hashes[self.maybe[hashes >> np.uint64(64 - FILTER_BITS)]], self.sought, self.sought_by)
-        if self.long:
-            bits = partition(len(hashes))
-            met = np.concatenate((met, _meet(bin_minima(hashes, bits), *self.signatures(bits))))
-        if not len(met):
-            return met
-        own, met = np.unique(hashes), np.unique(met)
-        wanted = [self.hashed[i] for i in met]
-        enough = [_found(own, h).sum() >= self.least * len(h) for h in wanted]
+        """Items that have a shingle among a document's signature, as far as
+        the document has enough of the item's hashes."""
+        own = np.unique(hashes)
+        signed = signature(own, partition(len(own)))
+        met = np.unique(_meet(signed[self.maybe[signed >> np.uint64(64 - FILTER_BITS)]], self.values, self.owner))
+        enough = [_found(own, self.hashed[i]).sum() >= self.least * len(self.hashed[i]) for i in met]
         return met[np.array(enough, bool)]
 
 
@@ -255,10 +234,13 @@ def find_contaminated(
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without those that contain an item; rows without a key stay,
-    as nothing names them. The list of dropped keys is written first; texts
+    """``docs`` without those that contain an item. A row is named by its key
+    and the CRC of its text, so that rows without a key or with a repeated one
+    are decided one by one. The list of dropped names is written first; texts
     move only if it is too long to be broadcast."""
     scratch = Scratch(docs.sparkSession)
-    found = find_contaminated(docs, items, key=key, text=text).select(key)
-    dropped = scratch.write(found.filter(F.col(key).isNotNull()).distinct())
-    return docs.join(dropped, key, "left_anti")
+    name = F.struct(F.col(key).alias("key"), F.crc32(F.encode(text, "UTF-8")).alias("crc"))
+    found = find_contaminated(docs.select(name.alias("_row"), text), items, key="_row", text=text)
+    dropped = scratch.write(found.select("_row.key", "_row.crc").distinct()).alias("_dropped")
+    same = docs[key].eqNullSafe(F.col("_dropped.key")) & name["crc"].eqNullSafe(F.col("_dropped.crc"))
+    return docs.join(dropped, same, "left_anti")

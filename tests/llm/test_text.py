@@ -48,16 +48,20 @@ def test_contained_items_are_found_in_documents_of_every_size(spark):
     got = [(str(r[0]), str(r[1]), r[2], r[3]) for r in decontam.find_contaminated(frame, asked).collect()]
     found = set(got) & set(want)
     assert set(got) <= set(want) and len(found) >= 0.99 * len(set(want)) and len(set(want)) > 100
-    kept = decontam.decontaminate(frame, asked)
-    gone = {d for d, *_ in got}
-    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(d) for d, *_ in docs if d is None or str(d) not in gone)
+    # row by row: neither a missing key nor a repeated one changes what is dropped
+    asked_cuts = [w for w in (cut(x) for _, x in items) if w]
+    clean = [(d, t) for d, t, _ in docs if not any(len(w & cut(t)) >= 0.8 * len(w) for w in asked_cuts)]
+    twice = frame.unionByName(spark.createDataFrame([(docs[0][0], "nothing to see here", 1), (None, "nor here", 2)], frame.schema))
+    kept = [(r.doc_id, r.text) for r in decontam.decontaminate(twice, asked).collect()]
+    assert sorted(kept, key=str) == sorted([*clean, (docs[0][0], "nothing to see here"), (None, "nor here")], key=str)
     assert decontam.find_contaminated(frame.limit(0), asked).count() == 0
     assert decontam.find_contaminated(frame, asked.limit(0)).count() == 0
 
 
 def test_no_short_item_is_missed_in_long_documents(spark):
     rng = random.Random(21)
-    items = [(i, word_text(rng, 1 + i % 14)) for i in range(70)] + [(100 + i, word_text(rng, 60 + i)) for i in range(10)]
+    sizes = [1 + i % 14 for i in range(70)] + [60 + i for i in range(10)] + [100, 150, 200, 300, 400, 504]
+    items = [(i, word_text(rng, n)) for i, n in enumerate(sizes)]
     docs = []
     for d in range(120):
         words = word_text(rng, rng.choice([20, 700, 6000])).split()
@@ -79,6 +83,30 @@ def test_no_short_item_is_missed_in_long_documents(spark):
     asked = spark.createDataFrame(items, "item_id long, text string")
     got = [(r.doc_id, r.item_id) for r in decontam.find_contaminated(frame, asked).collect()]
     assert set(got) == want and len(got) == len(want) > 500
+    # by length of the item: the signature alone meets every one that is contained
+    index, hasher = decontam.ItemIndex(items), decontam.ShingleHasher()
+    met = {}
+    for d, t in docs:
+        hashes, _ = hasher(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))
+        met[d] = {index.items[i][0] for i in index.candidates(hashes)}
+    by_size = {}
+    for d, i in want:
+        by_size.setdefault(sizes[i], []).append(i in met[d])
+    assert all(all(found) for found in by_size.values()) and {5, 9, 14, 65, 504} <= set(by_size)
+
+
+def test_signatures_keep_the_least_values_of_each_bin():
+    rng = np.random.default_rng(2)
+    for n in (1, 8, 9, 100, 3000):
+        h = np.unique(rng.integers(0, 1 << 64, n, np.uint64))
+        for bits in (0, 3, decontam.partition(n)):
+            kept = set(decontam.signature(h, bits).tolist())
+            bins = {}
+            for x in h.tolist():
+                bins.setdefault(x >> (63 - bits), []).append(x)
+            assert kept == {x for b in bins.values() for x in sorted(b)[: decontam.MINIMA]}
+    h = np.unique(rng.integers(0, 1 << 64, 100_000, np.uint64))
+    assert len(decontam.signature(h, decontam.partition(len(h)))) == len(h)
 
 
 def test_item_blocks_give_the_same_pairs(spark, monkeypatch):
