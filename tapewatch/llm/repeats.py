@@ -24,9 +24,7 @@ document with a smaller id. The work runs in four steps.
 
 from __future__ import annotations
 
-import gc
 import hashlib
-import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapewatch.llm.common import Scratch, bounded_batches
+from tapewatch.llm.common import Scratch, bounded_batches, releasing, releasing_group
 
 LENGTH = 50
 ANCHOR = 16
@@ -323,38 +321,72 @@ def _settle_turn(docs: np.ndarray, s: np.ndarray, anchor: np.ndarray, hot: int)
     return _spans(ids[keep], tags[keep], kind[keep], anchor[keep], starts[keep], ends[keep])
 
 
+FETCHED = "bucket int, anchors binary, heads binary, bytes binary, doc_id long, tag long, starts binary, windows binary"
+_NO_BUCKET = -1
+
+
 def _fetch(buckets: int):
-    """Step 3, first half: the bytes of open stretches, packed by bucket of anchors."""
+    """Step 3, first half: the bytes of open stretches packed by bucket of
+    anchors, and the hashed windows of crowded ones packed by document."""
+    names = [c.split()[0] for c in FETCHED.split(", ")]
+
+    def joined(parts: list[dict], name: str, kind: str) -> np.ndarray:
+        return np.concatenate([np.zeros(0, kind), *[np.frombuffer(p[name], kind) for p in parts]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = Stretches()
         for batch in batches:
             rows = batch.to_pydict()
-            found = []
-            for doc, tag, text, anchors, starts, ends in zip(*[rows[c] for c in ("doc_id", "tag", "text", "a", "s", "e")]):
+            found, crowded = [], []
+            for doc, tag, text, wanted in zip(*[rows[c] for c in ("doc_id", "tag", "text", "wanted")]):
                 raw = text.encode("utf-8")
-                a = np.concatenate([np.frombuffer(x, "<u8") for x in anchors])
-                s = np.concatenate([np.frombuffer(x, "<i4") for x in starts])
-                e = np.concatenate([np.frombuffer(x, "<i4") for x in ends])
+                parts = [p for p in wanted if p["kind"] == OPEN]
+                a, s, e = (joined(parts, *c) for c in (("anchors", "<u8"), ("starts", "<i4"), ("ends", "<i4")))
                 found += [(x, doc, tag, b, raw[b:c]) for x, b, c in zip(a.tolist(), s.tolist(), e.tolist())]
-            if not found:
-                continue
+                parts = [p for p in wanted if p["kind"] == CROWDED]
+                if parts:
+                    at, hashed = _windows(find, np.frombuffer(raw, np.uint8), *(joined(parts, c, "<i4") for c in ("starts", "ends")))
+                    crowded.append((_NO_BUCKET, None, None, None, doc, tag, at.astype("<i4").tobytes(), hashed.tobytes()))
+            out = crowded
             anchors = np.array([f[0] for f in found], np.uint64)
             target = (anchors >> np.uint64(8)) % np.uint64(buckets)
             order = np.argsort(target, kind="stable")
             edges = np.flatnonzero(np.diff(target[order].astype(np.int64), prepend=-1))
-            for own in np.split(order, edges[1:]):
+            for own in np.split(order, edges[1:]) if len(order) else []:
                 part = [found[i] for i in own]
                 heads = np.array([(f[1], f[2], f[3], len(f[4])) for f in part], "<i8")
-                yield pa.RecordBatch.from_pydict({
-                    "bucket": pa.array([int(target[own[0]])], pa.int32()),
-                    "anchors": [anchors[own].tobytes()],
-                    "heads": [heads.tobytes()],
-                    "bytes": [b"".join(f[4] for f in part)],
-                })
+                packed = (anchors[own].tobytes(), heads.tobytes(), b"".join(f[4] for f in part))
+                out.append((int(target[own[0]]), *packed, None, None, None, None))
+            if out:
+                types = [pa.int32(), *[pa.binary()] * 3, pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 
     return run
 
 
+def _windows(find: Stretches, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, hash) of every window of the stretches of a text."""
+    s, e = starts.astype(np.int64), ends.astype(np.int64)
+    n = e - s - LENGTH + 1
+    at = np.unique(np.repeat(s - np.cumsum(n) + n, n) + np.arange(n.sum()))
+    low = int(at[0])
+    return at, find.part_hashes(raw[low : int(at[-1]) + LENGTH], at - low, at - low + LENGTH)
+
+
+def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, tag, start, window), one row for each packed window."""
+    for batch in batches:
+        for doc, tag, starts, windows in zip(*(batch.column(i) for i in range(4))):
+            at = np.frombuffer(starts.as_buffer(), "<i4")
+            columns = [
+                pa.array(np.full(len(at), doc.as_py()), pa.int64()),
+                pa.array(np.full(len(at), tag.as_py()), pa.int64()),
+                pa.array(at),
+                pa.array(np.frombuffer(windows.as_buffer(), np.int64)),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tag", "start", "window"])
+
+
 def _range_minimum(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """Least of values[low:high] for each pair, all of them non-empty."""
     out = np.zeros(len(low), values.dtype)
@@ -463,30 +495,6 @@ def _order_bucket(group: pa.Table) -> pa.Table:
     return _spans(ids[of], heads[string[of], 1], none, none.astype(np.uint64), starts, ends)
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, tag, start, window) of every window of the wanted stretches."""
-    find = Stretches()
-    for batch in batches:
-        rows = batch.to_pydict()
-        for doc, tag, text, starts, ends in zip(*[rows[c] for c in ("doc_id", "tag", "text", "s", "e")]):
-            raw = np.frombuffer(text.encode("utf-8"), np.uint8)
-            s = np.concatenate([np.frombuffer(x, "<i4") for x in starts]).astype(np.int64)
-            e = np.concatenate([np.frombuffer(x, "<i4") for x in ends]).astype(np.int64)
-            n = e - s - LENGTH + 1
-            at = np.unique(np.repeat(s - np.cumsum(n) + n, n) + np.arange(n.sum()))
-            low = int(at[0])
-            hashed = find.part_hashes(raw[low : int(at[-1]) + LENGTH], at - low, at - low + LENGTH)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.full(len(at), doc), pa.int64()),
-                    pa.array(np.full(len(at), tag), pa.int64()),
-                    pa.array(at, pa.int32()),
-                    pa.array(hashed.view(np.int64)),
-                ],
-                ["doc_id", "tag", "start", "window"],
-            )
-
-
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [np.array(x.as_py(), "<i4") for x in batch.column(2)]
@@ -496,28 +504,16 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "tag", "starts", "ends"])
 
 
-def _crowded_spans(named: DataFrame, crowded: DataFrame, scratch: Scratch) -> DataFrame:
+def _crowded_spans(packed: DataFrame) -> DataFrame:
     """Step 3 for anchors with many stretches. No group holds them: minima come
     from partial aggregation, and the join deals the windows of a hash out."""
-    wanted = crowded.groupBy("doc_id", "tag").agg(F.collect_list("starts").alias("s"), F.collect_list("ends").alias("e"))
-    windows = named.join(wanted, ["doc_id", "tag"]).mapInArrow(_windows, "doc_id long, tag long, start int, window long")
-    windows = scratch.write(windows)
+    windows = packed.mapInArrow(releasing(_unpack), "doc_id long, tag long, start int, window long")
     least = windows.groupBy("window").agg(F.min("doc_id").alias("_least"), F.max("doc_id").alias("_most"))
     least = least.filter("_least < _most").select("window", "_least", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
     dealt = windows.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
     later = dealt.join(least, ["window", "_salt"]).filter("doc_id > _least")
     later = later.groupBy("doc_id", "tag").agg(F.collect_set("start").alias("starts"))
-    return scratch.write(later.mapInArrow(_packed, "doc_id long, tag long, starts binary, ends binary"))
-
-
-def _release() -> None:
-    """Lets Spark delete shuffle files of steps whose results are written."""
-    from pyspark.sql import SparkSession
-
-    for _ in range(2):  # what Python lets go of first is collected second
-        gc.collect()
-        SparkSession.getActiveSession()._jvm.System.gc()
-        time.sleep(0.5)
+    return later.mapInArrow(releasing(_packed), "doc_id long, tag long, starts binary, ends binary")
 
 
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -532,22 +528,20 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     )
     size = named.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     ranges = max(16, -(-size // RANGE_BYTES) * 16)
-    sent = named.mapInArrow(_send_stretches(ranges), "range int, docs binary, stretches binary")
-    first = scratch.write(sent.groupBy("range").applyInArrow(_settle(HOT), SPANS))
-    _release()
-    closed, opened, crowded = (first.filter(F.col("kind") == k) for k in (CLOSED, OPEN, CROWDED))
-    wanted = opened.groupBy("doc_id", "tag").agg(
-        F.collect_list("anchors").alias("a"), F.collect_list("starts").alias("s"), F.collect_list("ends").alias("e")
-    )
-    fetched = named.join(wanted, ["doc_id", "tag"]).mapInArrow(
-        _fetch(8 * ranges), "bucket int, anchors binary, heads binary, bytes binary"
-    )
-    second = scratch.write(fetched.groupBy("bucket").applyInArrow(_order_bucket, SPANS))
-    spans = closed.unionByName(second).select("doc_id", "tag", "starts", "ends")
+    sent = named.mapInArrow(releasing(_send_stretches(ranges)), "range int, docs binary, stretches binary")
+    first = scratch.write(sent.groupBy("range").applyInArrow(releasing_group(_settle(HOT)), SPANS))
+    part = F.struct("kind", "anchors", "starts", "ends")
+    wanted = first.filter(F.col("kind") != CLOSED).groupBy("doc_id", "tag").agg(F.collect_list(part).alias("wanted"))
+    # texts move once for both kinds of stretches
+    fetched = scratch.write(named.join(wanted, ["doc_id", "tag"]).mapInArrow(releasing(_fetch(8 * ranges)), FETCHED))
+    spans = first.filter(F.col("kind") == CLOSED).select("doc_id", "tag", "starts", "ends")
+    opened = fetched.filter(F.col("bucket") != _NO_BUCKET).select("bucket", "anchors", "heads", "bytes")
+    ordered = opened.groupBy("bucket").applyInArrow(releasing_group(_order_bucket), SPANS)
+    spans = spans.unionByName(scratch.write(ordered).select("doc_id", "tag", "starts", "ends"))
+    crowded = fetched.filter(F.col("bucket") == _NO_BUCKET).select("doc_id", "tag", "starts", "windows")
     if not crowded.isEmpty():
-        spans = spans.unionByName(_crowded_spans(named, crowded, scratch))
-    _release()
-    return spans
+        spans = spans.unionByName(scratch.write(_crowded_spans(crowded)))
+    return scratch.result(spans)
 
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -607,4 +601,4 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", kep
     fields = docs.select(*columns).schema
     for name, kind in (f.split() for f in RESULT.split(", ")):
         fields = fields.add(name, kind)
-    return joined.mapInArrow(run, fields)
+    return joined.mapInArrow(releasing(run), fields)
