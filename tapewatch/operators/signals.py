@@ -6,9 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapewatch.operators.slices import (
+    GREATEST,
+    LEAST,
     SLICE,
+    SUM,
     Slicing,
     drop_halo,
+    trailing_ranges,
     with_carry,
     with_previous_rows,
     with_previous_span,
@@ -70,10 +74,13 @@ def trailing_time_stats(
 ) -> DataFrame:
     """Mean and sample deviation over ``[t - span, t)`` and the clipped z-score
     against them; plus the divergence from the ticker's VWAP so far."""
-    halo = with_previous_span(ticks, span_ms, s)
-    w = s.window(s.time).rangeBetween(-span_ms, -1)
-    halo = halo.select("*", F.avg("price").over(w).alias("trail_mean"), F.stddev_samp("price").over(w).alias("trail_std"))
-    own = drop_halo(halo).withColumn("_pv", F.col("price") * F.col("volume"))
+    if span_ms <= s.width_ms:
+        halo = with_previous_span(ticks, span_ms, s)
+        w = s.window(s.time).rangeBetween(-span_ms, -1)
+        own = drop_halo(halo.select("*", F.avg("price").over(w).alias("trail_mean"), F.stddev_samp("price").over(w).alias("trail_std")))
+    else:
+        own = _trailing_moments(ticks, span_ms, s)
+    own = own.withColumn("_pv", F.col("price") * F.col("volume"))
     carried = with_carry(own, s, {"_bpv": F.sum("_pv"), "_bv": F.sum("volume")}, {"_bpv": F.sum, "_bv": F.sum})
     w_run = s.window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cum_pv = F.coalesce(F.col("_bpv"), F.lit(0.0)) + F.sum("_pv").over(w_run)
@@ -91,6 +98,22 @@ def trailing_time_stats(
     ).drop("_pv", "_bpv", "_bv", SLICE)
 
 
+def _trailing_moments(ticks: DataFrame, span_ms: int, s: Slicing) -> DataFrame:
+    """Sliced ticks with ``trail_mean`` and ``trail_std`` for look-backs over
+    many slices. Sums are of prices less the timeline's mean, so that squares
+    stay small."""
+    centre = ticks.groupBy(*s.keys).agg(F.avg("price").alias("_centre"))
+    off = F.col("price") - F.col("_centre")
+    sums = {"_n": (SUM, F.lit(1).cast("long")), "_d": (SUM, off), "_dd": (SUM, off * off)}
+    rows = trailing_ranges(ticks.join(centre, list(s.keys)), span_ms, sums, s)
+    n, d, dd = F.col("_n"), F.col("_d"), F.col("_dd")
+    deviation = F.sqrt(F.greatest((dd - d * d / n) / (n - 1), F.lit(0.0)))
+    return rows.select(
+        *[c for c in rows.columns if c not in (*sums, "_centre")],
+        F.when(n > 0, F.col("_centre") + d / n).alias("trail_mean"), F.when(n > 1, deviation).alias("trail_std"),
+    )
+
+
 def wash_columns(
     halo: DataFrame, lookback_ms: int, price_range: float, volume_ratio: float, min_prior: int, s: Slicing
 ) -> DataFrame:
@@ -103,6 +126,10 @@ def wash_columns(
         F.sum("volume").over(w).alias("prior_volume"),
         F.count("price").over(w).alias("prior_ticks"),
     )
+    return _with_wash_rule(halo, price_range, volume_ratio, min_prior)
+
+
+def _with_wash_rule(halo: DataFrame, price_range: float, volume_ratio: float, min_prior: int) -> DataFrame:
     low, high = F.col("prior_low"), F.col("prior_high")
     flat = F.coalesce((low > 0) & ((high - low) / low < price_range), F.lit(False))
     rule = F.col("flat_market") & (F.col("prior_ticks") >= max(min_prior, 1)) & (F.col("prior_volume") > 0)
@@ -121,8 +148,17 @@ def wash_lookback(
     """Fixed-lookback wash rule over ``[t - lookback, t)``: the market is flat
     when its price range stays below ``price_range``; the ratio compares this
     tick's volume with the rule's share of the trailing volume."""
-    halo = with_previous_span(ticks, lookback_ms, s)
-    return drop_halo(wash_columns(halo, lookback_ms, price_range, volume_ratio, min_prior, s)).drop(SLICE)
+    if lookback_ms <= s.width_ms:
+        halo = with_previous_span(ticks, lookback_ms, s)
+        return drop_halo(wash_columns(halo, lookback_ms, price_range, volume_ratio, min_prior, s)).drop(SLICE)
+    prior = {
+        "prior_low": (LEAST, F.col("price")),
+        "prior_high": (GREATEST, F.col("price")),
+        "prior_volume": (SUM, F.col("volume")),
+        "prior_ticks": (SUM, F.lit(1).cast("long")),
+    }
+    rows = trailing_ranges(ticks, lookback_ms, prior, s).drop(SLICE)
+    return _with_wash_rule(rows.na.fill({"prior_ticks": 0}), price_range, volume_ratio, min_prior)
 
 
 def adaptive_cutoff(ticks: DataFrame, lookback: Column | str, s: Slicing = TICKS) -> DataFrame:

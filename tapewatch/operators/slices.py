@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -185,3 +186,68 @@ def ranked(df: DataFrame, s: Slicing, name: str = "pos") -> DataFrame:
     carried = with_carry(df, s, {"_before": F.count("*")}, {"_before": F.sum})
     inside = F.row_number().over(s.window()) - 1
     return carried.withColumn(name, F.coalesce(F.col("_before"), F.lit(0)) + inside).drop("_before")
+
+
+@dataclass(frozen=True)
+class Part:
+    """A number that can be put together from parts of a range: how to
+    aggregate rows, how to aggregate aggregates, and how to put two together.
+    Null stands for a range without rows."""
+
+    rows: Callable[[Column], Column]
+    merge: Callable[[Column], Column]
+    both: Callable[..., Column]
+
+
+def _added(*parts: Column) -> Column:
+    total = reduce(Column.__add__, [F.coalesce(p, F.lit(0)) for p in parts])
+    return F.when(F.coalesce(*parts).isNotNull(), total)
+
+
+SUM, LEAST, GREATEST = Part(F.sum, F.sum, _added), Part(F.min, F.min, F.least), Part(F.max, F.max, F.greatest)
+
+
+def trailing_ranges(df: DataFrame, span_ms: int, wanted: dict[str, tuple[Part, Column]], s: Slicing) -> DataFrame:
+    """Adds, for each entry, its aggregate over the rows of the timeline with a
+    time in ``[t - span_ms, t)``, for slices of any width.
+
+    A range is put together from three parts: the end of the slice that holds
+    ``t - span_ms``, the summaries of whole slices in between, and the row's own
+    slice before it. For the first part a row is sent to that slice once, as a
+    question, and comes back with the answer; so a row is in two places at
+    most, however many slices a range covers, and what a task holds is one
+    slice. Of the slices in between only the first is not the same for all rows
+    of a slice, so two summaries per slice are enough."""
+    width = F.lit(s.width_ms)
+    values = {name: value for name, (_, value) in wanted.items()}
+    since = F.col(s.time) - F.lit(span_ms)
+    asked = df.withColumns({"_value": F.lit(False), "_own": F.floor(F.col(s.time) / width), SLICE: F.floor(since / width), "_at": since})
+    told = df.select(
+        *s.keys, F.floor(F.col(s.time) / width).alias(SLICE), F.col(s.time).alias("_at"), F.lit(True).alias("_value"),
+        *[v.alias(f"_{name}") for name, v in values.items()],
+    )
+    both = asked.unionByName(told, allowMissingColumns=True)
+    suffix = Window.partitionBy(*s.slice_keys).orderBy(F.desc("_at")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = {f"_end_{name}": part.rows(F.col(f"_{name}")).over(suffix) for name, (part, _) in wanted.items()}
+    answered = both.select("*", *[c.alias(n) for n, c in ends.items()]).filter(~F.col("_value"))
+    answered = answered.withColumns({n: F.when(F.col(SLICE) < F.col("_own"), F.col(n)) for n in ends})
+    answered = answered.select(*df.columns, F.col("_own").alias(SLICE), F.col(SLICE).alias("_first"), *ends)
+    # whole slices between: after the first of the range and before the own
+    summary = told.groupBy(*s.slice_keys).agg(*[part.rows(F.col(f"_{name}")).alias(f"_{name}") for name, (part, _) in wanted.items()])
+    most = -(-span_ms // s.width_ms)  # the first slice is this many back, or one less
+    spans = {}
+    for k in (most, most - 1):
+        between = s.over_slices().rangeBetween(-(k - 1), -1) if k > 1 else None
+        for name, (part, _) in wanted.items():
+            column = F.col(f"_{name}")
+            spans[f"_mid{k}_{name}"] = part.merge(column).over(between) if between is not None else F.lit(None).cast("double")
+    middle = summary.select(*s.slice_keys, *[c.alias(n) for n, c in spans.items()])
+    joined = answered.join(middle, s.slice_keys)
+    inside = s.window(s.time).rangeBetween(-span_ms, -1)
+    back = F.col(SLICE) - F.col("_first")
+    out = {}
+    for name, (part, value) in wanted.items():
+        mid = F.when(back == most, F.col(f"_mid{most}_{name}")).when(back == most - 1, F.col(f"_mid{most - 1}_{name}"))
+        out[name] = part.both(F.col(f"_end_{name}"), mid, part.rows(value).over(inside))
+    kept = [c for c in df.columns if c not in out]
+    return joined.select(*kept, SLICE, *[c.alias(n) for n, c in out.items()])

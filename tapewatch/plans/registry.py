@@ -217,18 +217,31 @@ def rolling_vwap(spark, folder):
 TRAIL = "(PARTITION BY ticker ORDER BY event_time_ms RANGE BETWEEN {ms} PRECEDING AND 1 PRECEDING)"
 
 
-@query("wash_lookback", "J-11", "K-7", sql=f"""
+WASH_SQL = f"""
 WITH {TICKS_SQL}, w AS (
   SELECT *, min(price) OVER t lo, max(price) OVER t hi, sum(volume) OVER t pv, count(price) OVER t n
   FROM ticks WINDOW t AS {TRAIL.format(ms=6 * HOUR)}),
 f AS (SELECT *, coalesce(lo > 0 AND (hi - lo) / lo < 0.003, FALSE) AS flat FROM w)
 SELECT ticker, arrival, n AS prior_ticks, {s6('pv', 'prior_volume')}, flat AS flat_market,
-  {s6('CASE WHEN flat AND n >= 4 AND pv > 0 THEN volume / (0.3 * pv) ELSE 0 END', 'wash_ratio')} FROM f""")
-def wash_lookback(spark, folder):
-    w = signals.wash_lookback(ticks(spark, folder), 6 * HOUR, 0.003, 0.3, 4, slices(spark, folder, 6 * HOUR))
+  {s6('CASE WHEN flat AND n >= 4 AND pv > 0 THEN volume / (0.3 * pv) ELSE 0 END', 'wash_ratio')} FROM f"""
+
+
+def _wash(spark, folder, s: Slicing):
+    w = signals.wash_lookback(ticks(spark, folder), 6 * HOUR, 0.003, 0.3, 4, s)
     return w.select("ticker", "arrival", "prior_ticks", r6("prior_volume"), "flat_market", r6("wash_ratio"))
 
 
+@query("wash_lookback", "J-11", "K-7", sql=WASH_SQL)
+def wash_lookback(spark, folder):
+    return _wash(spark, folder, slices(spark, folder))
+
+
+@query("wash_lookback_narrow", "J-11", "K-7", sql=WASH_SQL)
+def wash_lookback_narrow(spark, folder):
+    """The same with slices of a tenth of the look-back."""
+    return _wash(spark, folder, Slicing(width_ms=6 * HOUR // 10))
+
+
 @query("adaptive_cutoff", "W-13", sql=f"""
 WITH {indexed_sql(GAP_MS)}
 SELECT ticker, arrival, CAST(max(event_time_ms - 1000 * CAST(volume AS BIGINT) * 60) OVER (PARTITION BY ticker ORDER BY event_time_ms, arrival) AS BIGINT) AS cutoff_ms FROM idx""")
@@ -237,20 +250,29 @@ def adaptive_cutoff(spark, folder):
     return signals.adaptive_cutoff(ticks(spark, folder), look, slices(spark, folder)).select("ticker", "arrival", "cutoff_ms")
 
 
-@query("trailing_two_hours", "W-12", sql=f"""
+TRAILING_SQL = f"""
 WITH {TICKS_SQL}, w AS (
   SELECT *, avg(price) OVER t m, stddev_samp(price) OVER t sd,
     sum(price * volume) OVER c / sum(volume) OVER c AS vw
   FROM ticks WINDOW t AS {TRAIL.format(ms=2 * HOUR)}, c AS (PARTITION BY ticker ORDER BY event_time_ms, arrival ROWS UNBOUNDED PRECEDING))
 SELECT ticker, arrival, {s6('CASE WHEN sd >= 1e-4 THEN greatest(-6.0, least(6.0, (price - m) / sd)) ELSE 0 END', 'zscore')},
-  {s6('abs(price - vw) / vw', 'vwap_divergence')} FROM w""")
+  {s6('abs(price - vw) / vw', 'vwap_divergence')} FROM w"""
+
+
+@query("trailing_two_hours", "W-12", sql=TRAILING_SQL)
 def trailing_two_hours(spark, folder):
-    return signals.trailing_time_stats(ticks(spark, folder), 2 * HOUR, s=slices(spark, folder, 2 * HOUR)).select(
-        "ticker", "arrival", r6("zscore"), r6("vwap_divergence")
-    )
+    rows = signals.trailing_time_stats(ticks(spark, folder), 2 * HOUR, s=slices(spark, folder))
+    return rows.select("ticker", "arrival", r6("zscore"), r6("vwap_divergence"))
+
 
+@query("trailing_two_hours_narrow", "W-12", sql=TRAILING_SQL)
+def trailing_two_hours_narrow(spark, folder):
+    """The same with slices of less than a tenth of the look-back."""
+    rows = signals.trailing_time_stats(ticks(spark, folder), 2 * HOUR, s=Slicing(width_ms=11 * 60_000))
+    return rows.select("ticker", "arrival", r6("zscore"), r6("vwap_divergence"))
 
-@query("labelled_enrichment", "W-14", "D-5", sql=f"""
+
+ENRICHED_SQL = f"""
 WITH {TICKS_SQL}, w AS (
   SELECT *, avg(price) OVER t m, stddev_samp(price) OVER t sd,
     sum(price * volume) OVER c / sum(volume) OVER c AS vw
@@ -261,9 +283,18 @@ o AS (SELECT *, coalesce(event_time_ms - lag(event_time_ms) OVER p > {24 * HOUR}
   FROM a WINDOW p AS (PARTITION BY ticker ORDER BY event_time_ms, arrival))
 SELECT ticker, arrival, label AS anomaly_type, {s6('z', 'zscore')}, {s6('greatest(abs(z) / 5.0, abs(vd) / 0.01, 1.01)', 'risk_score')},
   CASE WHEN label = 'wash_trade' THEN 'wash_rule' ELSE 'zscore' END AS signals,
-  concat_ws('-', ticker, max(CASE WHEN opens THEN event_time_ms END) OVER (PARTITION BY ticker ORDER BY event_time_ms, arrival)) AS incident_id FROM o""")
-def labelled_enrichment(spark, folder):
-    rows = signals.enrich_labelled(ticks(spark, folder), 2 * HOUR, 24 * HOUR, slices(spark, folder, 2 * HOUR))
+  concat_ws('-', ticker, max(CASE WHEN opens THEN event_time_ms END) OVER (PARTITION BY ticker ORDER BY event_time_ms, arrival)) AS incident_id FROM o"""
+
+
+@query("labelled_enrichment_narrow", "W-14", "D-5", sql=ENRICHED_SQL)
+def labelled_enrichment_narrow(spark, folder):
+    """The same with slices of a twelfth of the look-back."""
+    return labelled_enrichment(spark, folder, Slicing(width_ms=10 * 60_000))
+
+
+@query("labelled_enrichment", "W-14", "D-5", sql=ENRICHED_SQL)
+def labelled_enrichment(spark, folder, s: Slicing | None = None):
+    rows = signals.enrich_labelled(ticks(spark, folder), 2 * HOUR, 24 * HOUR, s or slices(spark, folder))
     return rows.select("ticker", "arrival", "anomaly_type", r6("zscore"), r6("risk_score"), "signals", "incident_id")
 
 
@@ -272,7 +303,7 @@ SURVEIL = dict(
 )
 
 
-@query("surveillance", "P-4", "K-9", "W-6", sql=f"""
+SURVEIL_SQL = f"""
 WITH {indexed_sql(GAP_MS)}, w AS (
   SELECT *, count(*) OVER p n, avg(price) OVER p m, stddev_pop(price) OVER p sd,
     sum(price * volume) OVER p / nullif(sum(volume) OVER p, 0) vw,
@@ -289,11 +320,19 @@ o AS (SELECT *, coalesce(pos - lag(pos) OVER q - 1 > 10 OR session_id <> lag(ses
   FROM f WINDOW q AS (PARTITION BY ticker ORDER BY event_time_ms, arrival))
 SELECT ticker, tick_id, {s6('risk', 'risk_score')}, CASE WHEN rz > 1 OR rv > 1 THEN 'price_shock' ELSE 'wash_trade' END AS anomaly_type,
   sig AS signals, concat_ws('-', ticker, max(CASE WHEN opens THEN event_time_ms END) OVER (PARTITION BY ticker ORDER BY event_time_ms, arrival)) AS incident_id
-FROM o""")
-def surveillance(spark, folder):
-    return surveil(ticks(spark, folder), slices(spark, folder, 6 * HOUR), **SURVEIL).select(
-        "ticker", "tick_id", r6("risk_score"), "anomaly_type", "signals", "incident_id"
-    )
+FROM o"""
+
+
+@query("surveillance", "P-4", "K-9", "W-6", sql=SURVEIL_SQL)
+def surveillance(spark, folder, s: Slicing | None = None):
+    rows = surveil(ticks(spark, folder), s or slices(spark, folder), **SURVEIL)
+    return rows.select("ticker", "tick_id", r6("risk_score"), "anomaly_type", "signals", "incident_id")
+
+
+@query("surveillance_narrow", "J-11", "K-9", "W-6", sql=SURVEIL_SQL)
+def surveillance_narrow(spark, folder):
+    """The same with slices of a sixth of the look-back."""
+    return surveillance(spark, folder, Slicing(width_ms=HOUR))
 
 
 @query("naive_flags", "K-15", sql=f"""

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tapewatch.operators import quantiles, signals
 from tapewatch.operators import ticks as tk
-from tapewatch.operators.slices import Slicing, plan_width, running_sum
+from tapewatch.operators.slices import GREATEST, LEAST, SUM, Slicing, plan_width, running_sum, trailing_ranges
+from tapewatch.plans.surveillance import native_scores
 from tests.conftest import random_ticks
 
 def whole():
@@ -72,6 +73,43 @@ def test_trailing_time(frame, width):
     same(rows(got, "cutoff_ms"), rows(frame.withColumn("cutoff_ms", edge), "cutoff_ms"))
 
 
+@pytest.mark.parametrize("width, span", [(2_000, 20_000), (1_999, 20_000), (7_000, 20_000), (20_000, 20_000), (50_000, 20_000), (500, 61_234)])
+def test_ranges_over_narrow_slices(frame, width, span):
+    s = Slicing(width_ms=width)
+    w = Window.partitionBy("ticker").orderBy("event_time_ms").rangeBetween(-span, -1)
+    wanted = {"low": (LEAST, F.col("price")), "high": (GREATEST, F.col("price")), "total": (SUM, F.col("volume"))}
+    plain = {"low": F.min("price"), "high": F.max("price"), "total": F.sum("volume")}
+    got = trailing_ranges(frame, span, wanted, s)
+    same(rows(got, *wanted), rows(frame.withColumns({k: c.over(w) for k, c in plain.items()}), *wanted))
+
+
+def test_look_backs_do_not_depend_on_the_slices(frame):
+    narrow, wide = Slicing(width_ms=1_900), Slicing(width_ms=10_000_000)
+    for look, columns in (
+        (lambda s: signals.wash_lookback(frame, 20_000, price_range=0.01, s=s), ("prior_low", "prior_high", "prior_ticks", "prior_volume", "flat_market", "wash_ratio")),
+        (lambda s: signals.trailing_time_stats(frame, 20_000, s=s), ("trail_mean", "trail_std", "zscore", "vwap_divergence")),
+        (lambda s: native_scores(frame, lookback_ms=20_000, price_range=0.01, s=s), ("zscore", "vwap_divergence", "wash_ratio", "risk_score", "pos")),
+    ):
+        a, b = rows(look(narrow), *columns), rows(look(wide), *columns)
+        assert [x[:2] for x in a] == [x[:2] for x in b]
+        for u, v in ((u, v) for x, y in zip(a, b) for u, v in zip(x[2:], y[2:])):
+            assert (u is None) == (v is None) and (u is None or u == pytest.approx(v, rel=1e-6, abs=1e-7))
+
+
+def test_a_row_is_in_two_slices_at_most(frame, monkeypatch):
+    seen = []
+    plain = type(frame).unionByName
+
+    def spied(a, b, **kw):
+        out = plain(a, b, **kw)
+        seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(type(frame), "unionByName", spied)
+    trailing_ranges(frame, 60_000, {"n": (SUM, F.lit(1))}, Slicing(width_ms=1_000)).count()
+    assert seen == [2 * frame.count()]  # each tick once as itself and once as a question
+
+
 @pytest.mark.parametrize("width", WIDTHS)
 def test_running_sum(frame, width):
     s = Slicing(width_ms=width)
