@@ -10,12 +10,13 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapewatch.operators.quality import session_sigma
 from tapewatch.operators.quantiles import smallest_k
-from tapewatch.operators.slices import Slicing, drop_halo, with_carry, with_previous_rows
+from tapewatch.operators.slices import Slicing, drop_halo, with_previous_rows
 from tapewatch.operators.ticks import TICKS, indexed
 from tapewatch.session import cut_lineage
 
@@ -29,6 +30,9 @@ JITTER_SIGMAS = 0.1
 LEAST_SESSION = 20
 CLEARANCE = 40
 
+SPREAD = 1 << 13  # positions whose candidates are in one row
+SLOTS = 1 << 12  # places of a stretch that one task spells out
+
 
 @dataclass(frozen=True)
 class Variant:
@@ -52,10 +56,16 @@ HELDOUT_VARIANTS = (
 )
 
 
+def _digits(seed: int, salt: str, keys: tuple[str, ...], n: int) -> Column:
+    """The first n hexadecimal digits of a hash of seed, salt and keys, as a number."""
+    digest = F.md5(F.concat_ws("|", F.lit(seed), F.lit(salt), *[F.col(k) for k in keys]))
+    return F.conv(F.substring(digest, 1, n), 16, 10).cast("long")
+
+
 def uniform(seed: int, salt: str, *keys: str) -> Column:
-    """A number in [0, 1) that depends only on seed, salt and keys."""
-    bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(salt), *keys), 11)
-    return bits / F.lit(float(2**53))
+    """A number in [0, 1) that depends only on seed, salt and keys: 52 bits of
+    an md5, which any database can draw again."""
+    return _digits(seed, salt, keys, 13) / F.lit(float(1 << 52))
 
 
 def between(u: Column, low: float, high: float) -> Column:
@@ -79,26 +89,53 @@ def _sessions(ticks: DataFrame, population: bool) -> DataFrame:
     return ends.join(session_sigma(ticks, population), ["ticker", "session_id"])
 
 
-def _spread_out(candidates: DataFrame, reach: int, s: Slicing) -> DataFrame:
+def _fold(longest: int):
+    """From where the choice stands at the end of each block, for every place
+    where it may stand at its start, to where it really stands at its start."""
+
+    def run(blocks: pd.DataFrame) -> pd.DataFrame:
+        blocks = blocks.sort_values("_block")
+        carry, before, out = 0, None, []
+        for block, ends in zip(blocks["_block"], blocks["_ends"]):
+            carry = carry if before == block - 1 else 0
+            out.append(carry)
+            carry, before = int(ends[carry]), block
+        return pd.DataFrame({"ticker": blocks["ticker"], "_block": blocks["_block"], "_carry": out})
+
+    return run
+
+
+def _spread_out(candidates: DataFrame, longest: int) -> DataFrame:
     """Keeps candidates in order, skipping any that starts inside the previous
-    kept one. Candidates at least ``reach`` apart cannot collide, so the choice
-    is made separately in each run of closer ones."""
-    halo = with_previous_rows(candidates, 1, s, ["pos", "session_id"])
-    w = s.window()
-    far = (F.col("pos") - F.lag("pos").over(w) >= reach) | (F.col("session_id") != F.lag("session_id").over(w))
-    runs = drop_halo(halo.withColumn("_run", F.when(F.coalesce(far, F.lit(True)), F.col("pos"))))
-    carried = with_carry(runs, s, {"_before": F.max("_run")}, {"_before": F.max})
-    run = F.coalesce(F.last("_run", ignorenulls=True).over(s.window().rowsBetween(Window.unboundedPreceding, 0)), F.col("_before"))
+    kept one; none is longer than ``longest`` ticks.
+
+    Positions are cut into blocks. An event reaches at most ``longest - 1``
+    ticks into the next block, so a block is a function of that many starts; the
+    functions are folded along a ticker (one row per block), and then every
+    block chooses on its own. No row holds more than a block, however dense the
+    candidates are."""
     fields = [c for c in candidates.columns if c not in ("ticker", "pos")]
-    grouped = (
-        carried.withColumn("_run", run)
-        .groupBy("ticker", "_run")
+    start = F.col("_block") * F.lit(SPREAD)
+
+    def free_after(first: Column) -> Column:
+        return F.aggregate(
+            "_all", first.cast("long"), lambda free, x: F.when(x["pos"] >= free, x["pos"] + x["length"]).otherwise(free)
+        )
+
+    packed = (
+        candidates.withColumn("_block", F.floor(F.col("pos") / F.lit(SPREAD)))
+        .groupBy("ticker", "_block")
         .agg(F.sort_array(F.collect_list(F.struct("pos", *fields))).alias("_all"))
     )
-    empty = F.struct(F.lit(-1).cast("long").alias("free"), F.slice("_all", 1, 0).alias("kept"))
+    ends = [F.greatest(free_after(start + c) - start - SPREAD, F.lit(0)).cast("int") for c in range(longest)]
+    packed = cut_lineage(packed.withColumn("_ends", F.array(*ends)))
+    carried = packed.select("ticker", "_block", "_ends").groupBy("ticker").applyInPandas(
+        _fold(longest), "ticker string, _block long, _carry int"
+    )
+    first = F.struct((start + F.col("_carry")).cast("long").alias("free"), F.slice("_all", 1, 0).alias("kept"))
     chosen = F.aggregate(
         "_all",
-        empty,
+        first,
         lambda acc, x: F.when(
             x["pos"] >= acc["free"],
             F.struct(
@@ -108,7 +145,8 @@ def _spread_out(candidates: DataFrame, reach: int, s: Slicing) -> DataFrame:
         ).otherwise(acc),
         lambda acc: acc["kept"],
     )
-    return grouped.select("ticker", F.explode(chosen).alias("e")).select("ticker", "e.*")
+    kept = packed.join(carried, ["ticker", "_block"]).select("ticker", F.explode(chosen).alias("e"))
+    return kept.select("ticker", "e.*")
 
 
 def inject_anomalies(
@@ -117,9 +155,8 @@ def inject_anomalies(
     """Ticks with price shocks and wash bursts written in, the first tick of
     each labelled. Needs bid and ask; sessions below 20 ticks stay untouched.
 
-    ``rate`` is the chance that a tick starts an event. Colliding candidates
-    are chosen run by run; a run is a few rows long up to a rate of about 0.1
-    and grows with higher ones."""
+    ``rate`` is the chance that a tick starts an event, up to 1: of colliding
+    candidates the first that is free counts."""
     if not 0 < rate <= 1:
         raise ValueError("rate must be in (0, 1]")
     base = cut_lineage(indexed(ticks.drop("label"), session_gap_ms, s))
@@ -144,7 +181,7 @@ def inject_anomalies(
             ).alias("size"),
         )
     )
-    events = _spread_out(candidates, WASH_TICKS[1], s)
+    events = _spread_out(candidates, max(SHOCK_TICKS, WASH_TICKS[1]))
     touched = events.select(
         "ticker", F.col("pos").alias("start_pos"), "kind", "length", "anchor", "sigma", "size"
     ).withColumn("step", F.explode(F.sequence(F.lit(0), F.col("length") - 1)))
@@ -172,20 +209,12 @@ def inject_anomalies(
     ).select(*[c for c in ticks.columns if c != "label"], "label", "pos", "session_id")
 
 
-BLOCK = 2**20
-
-
 def _free_stretches(base: DataFrame, sessions: DataFrame) -> DataFrame:
     """Runs of positions inside one session, ``CLEARANCE`` ticks away from every
-    label: ``ticker, a, b`` (b excluded). They are cut every ``BLOCK`` positions
-    so that none grows with the data; a cut keeps the clearance between the
-    events on its two sides and takes no more."""
+    label: ``ticker, a, b`` (b excluded)."""
     near, none = F.lit(CLEARANCE), F.lit(0)
     marks = (
         base.filter(F.col("label") != "normal").select("ticker", "pos", F.lit(2).alias("_rank"), near.alias("_off"), near.alias("_lead"))
-        .unionByName(
-            base.filter(F.col("pos") % BLOCK == 0).select("ticker", "pos", F.lit(3).alias("_rank"), none.alias("_off"), near.alias("_lead"))
-        )
         .unionByName(
             sessions.select("ticker", F.col("_first").alias("pos"), F.lit(1).alias("_rank"), none.alias("_off"), none.alias("_lead"))
         )
@@ -193,7 +222,7 @@ def _free_stretches(base: DataFrame, sessions: DataFrame) -> DataFrame:
             sessions.select("ticker", (F.col("_last") + 1).alias("pos"), F.lit(0).alias("_rank"), none.alias("_off"), none.alias("_lead"))
         )
     )
-    line = Slicing(width_ms=BLOCK, time="pos", tie=("_rank",))
+    line = Slicing(width_ms=1 << 20, time="pos", tie=("_rank",))
     halo = with_previous_rows(marks, 1, line, ["_off"])
     w = line.window()
     start = F.lag("pos").over(w) + F.lag("_off").over(w)
@@ -201,6 +230,16 @@ def _free_stretches(base: DataFrame, sessions: DataFrame) -> DataFrame:
     return stretches.filter(F.col("b") > F.col("a")).select("ticker", "a", "b")
 
 
+def _slots(stretches: DataFrame, slots: Column) -> DataFrame:
+    """A row for each of ``slots`` numbers from 0 (column ``_slot``). A long
+    stretch is dealt out in parts before it is spelled out."""
+    parts = stretches.withColumn("_slots", slots.cast("long")).filter("_slots > 0")
+    parts = parts.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_slots") - 1) / SLOTS))))
+    parts = parts.repartition("ticker", "a", "_part")
+    first = F.col("_part") * SLOTS
+    return parts.withColumn("_slot", F.explode(F.sequence(first, F.least(first + SLOTS, F.col("_slots")) - 1)))
+
+
 def inject_variant(
     ticks: DataFrame, variant: Variant, seed: int = 7, s: Slicing = TICKS, session_gap_ms: int = SESSION_GAP_MS
 ) -> tuple[DataFrame, DataFrame]:
@@ -218,16 +257,14 @@ def inject_variant(
     sessions = _sessions(base, population=False)
     targets = base.filter(F.col("label") == variant.family).groupBy("ticker").agg(F.count("*").alias("_target"))
     room = F.col("b") - F.col("a")
-    slots = F.floor((room + CLEARANCE) / step).cast("int")
+    slots = F.floor((room + CLEARANCE) / step)
     spare = room - (slots * step - CLEARANCE)
     shift = F.floor(uniform(seed, variant.kind + "/shift", "ticker", "a") * (spare + 1))
     places = (
-        _free_stretches(base, sessions)
-        .filter(slots > 0)
-        .select("ticker", (F.col("a") + shift).alias("_from"), F.explode(F.sequence(F.lit(0), slots - 1)).alias("_slot"))
-        .select("ticker", (F.col("_from") + F.col("_slot") * step).alias("pos"))
+        _slots(_free_stretches(base, sessions), slots)
+        .select("ticker", (F.col("a") + shift + F.col("_slot") * step).alias("pos"))
         .join(targets, "ticker")
-        .withColumn("_priority", F.xxhash64(F.lit(seed), F.lit(variant.kind), *key))
+        .withColumn("_priority", _digits(seed, variant.kind, key, 15))
     )
     picked = smallest_k(places, "_priority", "_target", ["ticker"]).withColumn(
         "_ramp", whole(uniform(seed, variant.kind + "/length", *key), *variant.length)

@@ -12,6 +12,7 @@ from tapewatch.session import cut_lineage
 
 GRID = 200
 REGIONS = 5
+BUCKET = 1 << 15  # rows of a key that are ranked together
 
 
 def exact_percentiles(df: DataFrame, value: str, wanted: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
@@ -96,10 +97,13 @@ def _narrow(values: DataFrame, wide: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def smallest_k(df: DataFrame, priority: str, k: str, keys: Sequence[str]) -> DataFrame:
-    """Per key, the rows with the k smallest values of a uniform 64-bit hash
-    column ``priority`` (k is a column). The hash prefix spreads a key over
-    1,024 buckets, which are ranked one by one."""
+def smallest_k(df: DataFrame, priority: str, k: str, keys: Sequence[str], bits: int = 60) -> DataFrame:
+    """Per key, the rows with the k smallest values of ``priority``, a uniform
+    number of ``bits`` bits (k is a column). Its leading bits deal a key out
+    over as many buckets as the largest key needs, which are ranked one by
+    one."""
+    largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 1
+    leading = min(bits, max(1, (largest // BUCKET).bit_length()))
     s = Slicing(keys=tuple(keys), time=priority, tie=())
-    sliced = df.withColumn("slice_id", F.shiftright(F.col(priority), 54))
+    sliced = df.withColumn("slice_id", F.shiftrightunsigned(F.col(priority), bits - leading))
     return ranked(sliced, s, "_rank").filter(F.col("_rank") < F.col(k)).drop("_rank", "slice_id")

@@ -7,6 +7,7 @@ step, so it shares nothing with the column passes of the kernel.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame
@@ -451,21 +452,124 @@ def _quoted(t: DataFrame) -> DataFrame:
     return t.withColumn("bid", F.col("price") - 0.005).withColumn("ask", F.col("price") + 0.005)
 
 
-@query("inject_anomalies", "D-1")
-def inject_anomalies(spark, folder):
-    out = inject.inject_anomalies(_quoted(ticks(spark, folder)), 0.02, 42, slices(spark, folder), GAP_MS)
-    return out.groupBy("ticker", "label").agg(F.count("*").alias("ticks"), r6(F.sum("price"), "price_sum"))
+def uniform_sql(seed: int, salt: str, *keys: str) -> str:
+    drawn = f"md5(concat_ws('|', {seed}, '{salt}', {', '.join(keys)}))"
+    return f"(('0x' || substr({drawn}, 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)"
+
+
+def normal_sql(seed: int, salt: str, *keys: str) -> str:
+    return f"(sqrt(-2.0 * ln(1.0 - {uniform_sql(seed, salt + '/r', *keys)})) * cos(2 * pi() * {uniform_sql(seed, salt + '/a', *keys)}))"
+
+
+def between_sql(u: str, low: float, high: float) -> str:
+    return f"({low} + {u} * {high - low})"
+
+
+def whole_sql(u: str, low: int, high: int) -> str:
+    return f"({low} + floor({u} * {high - low + 1})::BIGINT)"
+
 
+KEY = ("ticker", "pos")
+INJECT_RATE, INJECT_SEED = 0.02, 42
 
-@query("inject_variants", "D-2")
+
+def _injected_sql(seed: int = INJECT_SEED, rate: float = INJECT_RATE) -> str:
+    """CTEs up to ``out``: the ticks with events written in, the first free
+    candidate first."""
+
+    def u(salt: str) -> str:
+        return uniform_sql(seed, salt, *KEY)
+
+    return f"""
+{indexed_sql(GAP_MS)},
+ses AS (SELECT ticker, session_id, count(*) AS n, max(pos) AS final, greatest(coalesce(stddev_pop(price_diff), 1e-4), 1e-4) AS sigma FROM idx GROUP BY ALL),
+cand AS (SELECT *, least(CASE WHEN kind = 'price_shock' THEN {inject.SHOCK_TICKS} ELSE {whole_sql(u('length'), *inject.WASH_TICKS)} END, final - pos + 1) AS length,
+    CASE WHEN {u('side')} > 0.5 THEN 1.0 ELSE -1.0 END * {between_sql(u('size'), *inject.SHOCK_SIGMAS)} * sigma AS size, row_number() OVER (PARTITION BY ticker ORDER BY pos) AS i
+  FROM (SELECT ticker, session_id, pos, price AS anchor, sigma, final, CASE WHEN {u('kind')} < 0.5 THEN 'price_shock' ELSE 'wash_trade' END AS kind
+    FROM idx JOIN ses USING (ticker, session_id) WHERE n >= {inject.LEAST_SESSION} AND {u('start')} < {rate})),
+pick AS (SELECT DISTINCT ticker, 0::BIGINT AS i, 0::BIGINT AS free, FALSE AS kept FROM cand
+  UNION ALL SELECT c.ticker, c.i, CASE WHEN c.pos >= free THEN c.pos + c.length ELSE free END, c.pos >= free FROM pick p JOIN cand c ON c.ticker = p.ticker AND c.i = p.i + 1),
+hit AS (SELECT ticker, pos + step AS pos, step, kind, length, anchor, sigma, size FROM (
+  SELECT cand.*, unnest(range(length)) AS step FROM cand JOIN pick USING (ticker, i) WHERE kept)),
+out AS (SELECT ticker, arrival, pos, session_id, CASE WHEN step = 0 THEN kind ELSE 'normal' END AS label,
+    CASE WHEN kind = 'price_shock' THEN price + shift WHEN kind = 'wash_trade' THEN flat ELSE price END AS price,
+    CASE WHEN kind = 'wash_trade' THEN volume * {between_sql(u('volume'), *inject.WASH_VOLUME)} ELSE volume END AS volume,
+    CASE WHEN kind = 'price_shock' THEN price - 0.005 + shift WHEN kind = 'wash_trade' THEN flat - 0.005 ELSE price - 0.005 END AS bid,
+    CASE WHEN kind = 'price_shock' THEN price + 0.005 + shift WHEN kind = 'wash_trade' THEN flat + 0.005 ELSE price + 0.005 END AS ask
+  FROM (SELECT *, size * (1 - step / length) AS shift, anchor + {normal_sql(seed, 'jitter', *KEY)} * sigma * {inject.JITTER_SIGMAS} AS flat FROM idx LEFT JOIN hit USING (ticker, pos)))"""
+
+
+@query("inject_anomalies", "D-1", sql=f"""
+WITH RECURSIVE {_injected_sql()}
+SELECT ticker, arrival, label, {s6('price')}, {s6('volume')}, {s6('bid')}, {s6('ask')} FROM out""")
+def inject_anomalies(spark, folder):
+    out = inject.inject_anomalies(_quoted(ticks(spark, folder)), INJECT_RATE, INJECT_SEED, slices(spark, folder), GAP_MS)
+    return out.select("ticker", "arrival", "label", *[r6(c) for c in ("price", "volume", "bid", "ask")])
+
+
+@query("inject_densely", "D-1", sql=f"""
+WITH RECURSIVE {_injected_sql(7, 1.0)}
+SELECT ticker, arrival, label, {s6('price')}, {s6('volume')}, {s6('bid')}, {s6('ask')} FROM out""")
+def inject_densely(spark, folder):
+    """Every tick is a candidate: one event after the other."""
+    out = inject.inject_anomalies(_quoted(ticks(spark, folder)), 1.0, 7, slices(spark, folder), GAP_MS)
+    return out.select("ticker", "arrival", "label", *[r6(c) for c in ("price", "volume", "bid", "ask")])
+
+
+def variant_sql(v: inject.Variant, seed: int, name: str) -> str:
+    """CTEs ``<name>_spans`` and ``<name>`` (the changed ticks), after ``idx``."""
+    tail = inject.SHOCK_TICKS if v.family == "price_shock" else 0
+    step, near = v.length[1] + tail + inject.CLEARANCE, inject.CLEARANCE
+
+    def u(salt: str, *keys: str) -> str:
+        return uniform_sql(seed, f"{v.kind}/{salt}", *(keys or KEY))
+
+    jitter = normal_sql(seed, v.kind + "/jitter", *KEY)
+    if v.family == "price_shock":
+        share = f"CASE WHEN step < ramp THEN (step + 1) / ramp ELSE 1 - (step - ramp + 1) / {float(inject.SHOCK_TICKS)} END"
+        changed = f"CASE WHEN step IS NULL THEN price ELSE price + size * {share} END AS price, volume"
+    else:
+        changed = f"""CASE WHEN step IS NULL THEN price ELSE anchor + {jitter} * sigma * {inject.JITTER_SIGMAS} END AS price,
+      CASE WHEN step IS NULL THEN volume ELSE volume * {between_sql(u('volume'), *v.volume)} END AS volume"""
+    return f"""
+{name}_ses AS (SELECT ticker, session_id, min(pos) AS a, max(pos) AS b, greatest(coalesce(stddev_samp(price_diff), 1e-4), 1e-4) AS sigma FROM idx GROUP BY ALL),
+{name}_marks AS (SELECT ticker, pos, 2 AS r, {near} AS off, {near} AS lead FROM idx WHERE label <> 'normal'
+  UNION ALL SELECT ticker, a, 1, 0, 0 FROM {name}_ses UNION ALL SELECT ticker, b + 1, 0, 0, 0 FROM {name}_ses),
+{name}_free AS (SELECT ticker, a, b, (b - a + {near}) // {step} AS slots FROM (
+  SELECT ticker, lag(pos) OVER w + lag(off) OVER w AS a, pos - lead AS b FROM {name}_marks WINDOW w AS (PARTITION BY ticker ORDER BY pos, r)) WHERE b > a),
+{name}_places AS (SELECT ticker, a + shift + slot * {step} AS pos FROM (
+  SELECT ticker, a, floor({u('shift', 'ticker', 'a')} * (b - a - (slots * {step} - {near}) + 1))::BIGINT AS shift, unnest(range(slots)) AS slot FROM {name}_free WHERE slots > 0)),
+{name}_events AS (SELECT e.*, ramp + {tail} AS length, CASE WHEN {u('side')} > 0.5 THEN 1.0 ELSE -1.0 END * {between_sql(u('size'), *inject.SHOCK_SIGMAS)} * sigma AS size
+  FROM (SELECT p.ticker, p.pos, price AS anchor, sigma, {whole_sql(uniform_sql(seed, v.kind + '/length', 'p.ticker', 'p.pos'), *v.length)} AS ramp
+    FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY ('0x' || substr(md5(concat_ws('|', {seed}, '{v.kind}', ticker, pos)), 1, 15))::BIGINT) AS k FROM {name}_places) p
+    JOIN (SELECT ticker, count(*) AS target FROM idx WHERE label = '{v.family}' GROUP BY ticker) t ON t.ticker = p.ticker AND k <= target
+    JOIN idx ON idx.ticker = p.ticker AND idx.pos = p.pos JOIN {name}_ses s ON s.ticker = p.ticker AND s.session_id = idx.session_id) e),
+{name}_spans AS (SELECT ticker, pos AS start_pos, pos + length AS end_pos, '{v.kind}' AS kind FROM {name}_events),
+{name} AS (SELECT ticker, event_time_ms, label, arrival, idx.pos, session_id, tick_id, {changed}
+  FROM idx LEFT JOIN (SELECT ticker, pos + step AS pos, step, ramp, anchor, sigma, size FROM (SELECT *, unnest(range(length)) AS step FROM {name}_events)) h USING (ticker, pos))"""
+
+
+VARIANTS = tuple((f"v{i}", v) for i, v in enumerate((*inject.EXISTING_VARIANTS, *inject.HELDOUT_VARIANTS)))
+
+
+@query("inject_variants", "D-2", sql=f"""
+WITH {indexed_sql(GAP_MS)}, {', '.join(variant_sql(v, 7, n) for n, v in VARIANTS)}
+{' UNION ALL '.join(f"SELECT '{v.kind}' AS kind, ticker, arrival, label, {s6('price')}, {s6('volume')} FROM {n}" for n, v in VARIANTS)}""")
 def inject_variants(spark, folder):
-    out = None
-    for variant in inject.EXISTING_VARIANTS:
-        _, spans = inject.inject_variant(ticks(spark, folder), variant, 7, slices(spark, folder), GAP_MS)
-        out = spans if out is None else out.unionByName(spans)
-    return out.groupBy("ticker", "kind").agg(
-        F.count("*").alias("events"), F.sum(F.col("end_pos") - F.col("start_pos")).alias("ticks")
-    )
+    """Every tick of one copy per variant, the held-out ones too."""
+    out = []
+    for _, v in VARIANTS:
+        data, _ = inject.inject_variant(ticks(spark, folder), v, 7, slices(spark, folder), GAP_MS)
+        out.append(data.select(F.lit(v.kind).alias("kind"), "ticker", "arrival", "label", r6("price"), r6("volume")))
+    return reduce(DataFrame.unionByName, out)
+
+
+@query("variant_spans", "D-2", sql=f"""
+WITH {indexed_sql(GAP_MS)}, {', '.join(variant_sql(v, 7, n) for n, v in VARIANTS)}
+{' UNION ALL '.join(f"SELECT ticker, start_pos, end_pos, kind FROM {n}_spans" for n, v in VARIANTS)}""")
+def variant_spans(spark, folder):
+    spans = [inject.inject_variant(ticks(spark, folder), v, 7, slices(spark, folder), GAP_MS)[1] for _, v in VARIANTS]
+    return reduce(DataFrame.unionByName, spans)
 
 
 @query("evaluation_report", "D-6", "U-1")

@@ -133,6 +133,39 @@ def test_injected_anomalies(quoted):
         inject.inject_anomalies(quoted, 1.5)
 
 
+@pytest.mark.parametrize("spread", [16, 1 << 13])
+@pytest.mark.parametrize("rate", [1.0, 0.4])
+def test_dense_candidates_are_chosen_one_by_one(spark, monkeypatch, spread, rate):
+    monkeypatch.setattr(inject, "SPREAD", spread)
+    rng = np.random.default_rng(3)
+    at = {t: np.flatnonzero(rng.random(900) < rate) for t in "AB"}
+    rows = [(t, int(p), int(rng.integers(1, 10)), float(p)) for t in "AB" for p in at[t]]
+    fixed = [("C", p, 5, 0.0) for p in range(300)]  # chains of one length never meet
+    candidates = spark.createDataFrame(rows + fixed, "ticker string, pos long, length int, anchor double").repartition(5)
+    got = sorted((r.ticker, r.pos, r.length) for r in inject._spread_out(candidates, 9).collect())
+    want, free = [], {}
+    for t, p, n, _ in sorted(rows + fixed):
+        if p >= free.get(t, 0):
+            want.append((t, p, n))
+            free[t] = p + n
+    assert got == want
+
+
+def test_every_tick_may_start_an_event(quoted):
+    out = inject.inject_anomalies(quoted, 1.0, 5, S).toPandas().sort_values(["ticker", "pos"])
+    for _, own in out.groupby(["ticker", "session_id"]):
+        at = own.pos[own.label != "normal"].to_numpy()
+        assert at[0] == own.pos.min() and 4 <= np.diff(at).min() and np.diff(at).max() <= 9
+
+
+def test_long_stretches_lose_no_place(spark, monkeypatch):
+    monkeypatch.setattr(inject, "SLOTS", 3)
+    stretches = spark.createDataFrame([("A", 5, 1000), ("A", 2000, 2010), ("B", 0, 70)], "ticker string, a long, b long")
+    slots = F.floor((F.col("b") - F.col("a")) / 10)
+    got = sorted((r.ticker, r.a, r._slot) for r in inject._slots(stretches, slots).collect())
+    assert got == sorted([("A", 5, i) for i in range(99)] + [("A", 2000, 0)] + [("B", 0, i) for i in range(7)])
+
+
 def starts_of(out):
     return out.filter("label <> 'normal'").collect()
 

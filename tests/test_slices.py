@@ -152,8 +152,10 @@ def test_percentiles_are_exact(spark, monkeypatch, accuracy):
     np.testing.assert_allclose([r[n] for n in ps], np.percentile(every, [100 * p for p in ps.values()]))
 
 
-def test_smallest_k(spark):
-    df = spark.range(5000).select((F.col("id") % 3).alias("k"), F.xxhash64("id").alias("h"))
+@pytest.mark.parametrize("bucket", [100, 1 << 15])
+def test_smallest_k(spark, monkeypatch, bucket):
+    monkeypatch.setattr(quantiles, "BUCKET", bucket)
+    df = spark.range(5000).select((F.col("id") % 3).alias("k"), F.shiftrightunsigned(F.xxhash64("id"), 4).alias("h"))
     want = df.withColumn("n", F.lit(40) + F.col("k"))
     got = quantiles.smallest_k(want, "h", "n", ["k"]).collect()
     by = {}
