@@ -164,37 +164,42 @@ def _kinds_of(family: Column) -> Column:
     return out
 
 
-def caught_events(flags: DataFrame, spans: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def caught_events(flags: DataFrame, spans: DataFrame, by: Sequence[str] = (), within: Sequence[str] = ()) -> DataFrame:
     """Spans with a flag of their own family anywhere inside."""
     inside = span_positions(spans).withColumn("family", _by_kind(F.col("kind"), FAMILY))
     if not by:
         hit = inside.join(flags, ["ticker", "pos", "family"], "left_semi")
     else:
         hit = inside.join(flags.select(*by, "ticker", "pos", "family"), ["ticker", "pos", "family"])
-    return hit.select(*by, "ticker", "start_pos", "kind").distinct()
+    return hit.select(*by, *within, "ticker", "start_pos", "kind").distinct()
 
 
-def event_metrics(flags: DataFrame, spans: DataFrame, by: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+def event_metrics(
+    flags: DataFrame, spans: DataFrame, by: Mapping[str, Sequence[str]] | None = None, within: Sequence[str] = ()
+) -> DataFrame:
     """Per kind present in the spans: events, detected, precision, recall, F1.
     Flags inside another kind's span count neither for nor against a kind.
     ``flags`` are ``ticker, pos, family``; ``spans`` are event spans. ``by``
     names one column of the flags, such as a parameter set, and its values:
-    each is scored on its own."""
-    keys = list(by or {})
+    each is scored on its own. ``within`` names columns of flags and spans,
+    such as a dataset, that a ticker has one value of: each is a report of its
+    own."""
+    keys, groups = list(by or {}), list(within)
     cover = span_positions(spans).groupBy("ticker", "pos").agg(F.collect_set("kind").alias("kinds"))
     rows = flags.join(cover, ["ticker", "pos"], "left").withColumn("kind", F.explode(_kinds_of(F.col("family"))))
     covered = F.col("kinds").isNotNull()
     own = F.coalesce(F.expr("array_contains(kinds, kind)"), F.lit(False))
-    counts = rows.groupBy(*keys, "kind").agg(
+    counts = rows.groupBy(*keys, *groups, "kind").agg(
         F.count_if(own).alias("tp"), F.count_if(own | ~covered).alias("counted")
     )
-    events = spans.groupBy("kind").agg(F.count("*").alias("events"))
+    events = spans.groupBy(*groups, "kind").agg(F.count("*").alias("events"))
     for key, values in (by or {}).items():
         events = events.withColumn(key, F.explode(F.array(*[F.lit(v) for v in values])))
-    detected = caught_events(flags, spans, keys).groupBy(*keys, "kind").agg(F.count("*").alias("detected"))
-    out = events.join(counts, [*keys, "kind"], "left").join(detected, [*keys, "kind"], "left").fillna(0)
+    on = [*keys, *groups, "kind"]
+    detected = caught_events(flags, spans, keys, groups).groupBy(*on).agg(F.count("*").alias("detected"))
+    out = events.join(counts, on, "left").join(detected, on, "left").fillna(0, ["tp", "counted", "detected"])
     p, r = rate("tp", "counted"), rate("detected", "events")
-    return out.select(*keys, "kind", "events", "detected", p.alias("precision"), r.alias("recall"), f1(p, r).alias("f1"))
+    return out.select(*keys, *groups, "kind", "events", "detected", p.alias("precision"), r.alias("recall"), f1(p, r).alias("f1"))
 
 
 def trading_hours(ticks: DataFrame, gap_ms: int = 600_000, s: Slicing = TICKS) -> DataFrame:
@@ -219,25 +224,34 @@ def incident_rows(scored: DataFrame, spans: DataFrame) -> DataFrame:
     )
 
 
-def incident_metrics(scored: DataFrame, spans: DataFrame, hours: DataFrame) -> tuple[DataFrame, DataFrame]:
+def incident_metrics(
+    scored: DataFrame, spans: DataFrame, hours: DataFrame, within: Sequence[str] = ()
+) -> tuple[DataFrame, DataFrame]:
     """``(overall, per_ticker)``: flag rate, incidents, incident precision,
     share of events caught and alerts per trading hour; the per-ticker frame
-    lists every ticker of ``hours``."""
+    lists every ticker of ``hours``. ``within`` names columns of all three
+    frames that a ticker has one value of: each value has a row of its own."""
+    groups = list(within) or ["_k"]
+    if not within:
+        scored, spans, hours = (df.withColumn("_k", F.lit(1)) for df in (scored, spans, hours))
     incidents = incident_rows(scored, spans)
     flags = scored.filter(F.col("incident_id").isNotNull()).select("ticker", "pos")
     caught = span_positions(spans).join(flags, ["ticker", "pos"], "left_semi")
-    caught = caught.select("ticker", "start_pos", "kind").distinct()
-    one = F.lit(1)
+    caught = caught.select(*groups, "ticker", "start_pos", "kind").distinct()
+    group_of = hours.select(*groups, "ticker")
     parts = (
-        scored.agg(F.avg(F.col("is_anomaly").cast("double")).alias("flag_rate")).withColumn("_k", one)
+        scored.groupBy(*groups).agg(F.avg(F.col("is_anomaly").cast("double")).alias("flag_rate"))
         .join(
-            incidents.agg(F.count("*").alias("incidents"), F.count_if("correct").alias("_ok")).withColumn("_k", one), "_k"
+            incidents.join(group_of, "ticker").groupBy(*groups).agg(F.count("*").alias("incidents"), F.count_if("correct").alias("_ok")),
+            groups, "left",
         )
-        .join(spans.agg(F.count("*").alias("_events")).withColumn("_k", one), "_k")
-        .join(caught.agg(F.count("*").alias("_caught")).withColumn("_k", one), "_k")
-        .join(hours.agg(F.sum("hours").alias("_hours")).withColumn("_k", one), "_k")
-    )
+        .join(spans.groupBy(*groups).agg(F.count("*").alias("_events")), groups, "left")
+        .join(caught.groupBy(*groups).agg(F.count("*").alias("_caught")), groups, "left")
+        .join(hours.groupBy(*groups).agg(F.sum("hours").alias("_hours")), groups, "left")
+        .fillna(0, ["incidents", "_ok", "_events", "_caught"])
+    )
     overall = parts.select(
+        *within,
         "flag_rate",
         "incidents",
         rate("_ok", "incidents").alias("precision"),
@@ -247,7 +261,7 @@ def incident_metrics(scored: DataFrame, spans: DataFrame, hours: DataFrame) -> t
     per_ticker = hours.join(incidents.groupBy("ticker").agg(F.count("*").alias("incidents")), "ticker", "left").fillna(
         0, subset=["incidents"]
     )
-    return overall, per_ticker.withColumn("alerts_per_hour", F.try_divide("incidents", "hours"))
+    return overall, per_ticker.drop("_k").withColumn("alerts_per_hour", F.try_divide("incidents", "hours"))
 
 
 def restrict(flags: DataFrame, spans: DataFrame, ticks: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -7,6 +7,7 @@ step, so it shares nothing with the column passes of the kernel.
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.errors import StreamingQueryException
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from tapewatch.operators import cube, detect, inject, tuning
 from tapewatch.operators import ticks as tk
 from tapewatch.params import AlertConfig, DetectorParams
-from tapewatch.plans.evaluation import evaluation_report
+from tapewatch.plans.evaluation import evaluation_report, split_report
 from tapewatch.plans.inputs import ANOMALIES_SQL, anomalies, indexed_sql, ticks
 from tapewatch.plans.registry import GAP_MS, HOUR, query, r6, s6, slices
 from tapewatch.plans.price_tuning import check_price, tune_price
@@ -572,9 +573,111 @@ def variant_spans(spark, folder):
     return reduce(DataFrame.unionByName, spans)
 
 
-@query("evaluation_report", "D-6", "U-1")
+def n6(expression: str) -> str:
+    return f"round({expression}, 6) + 0.0"
+
+
+NAIVE_SQL = f"""
+rets AS (SELECT *, coalesce(abs(price / lag(price) OVER (PARTITION BY ticker ORDER BY event_time_ms, arrival) - 1), 0.0) AS ret FROM ticks),
+early AS (SELECT * FROM rets WHERE event_time_ms <= (SELECT quantile_cont(CAST(event_time_ms AS DOUBLE), 0.7) FROM ticks)),
+nq AS (SELECT unnest(range(7)) AS i, unnest(quantile_cont(ret, {list(tuning.NAIVE_QUANTILES)})) AS tr, unnest(quantile_cont(volume, {list(tuning.NAIVE_QUANTILES)})) AS tv FROM early),
+nc AS (SELECT 'price_shock' AS kind, i, tr AS limit_at, count_if(ret > tr AND label = 'price_shock') AS tp, count_if(ret > tr) AS nf, count_if(label = 'price_shock') AS np FROM nq, early GROUP BY ALL
+  UNION ALL SELECT 'wash_trade', i, tv, count_if(volume > tv AND label = 'wash_trade'), count_if(volume > tv), count_if(label = 'wash_trade') FROM nq, early GROUP BY ALL),
+nt AS (SELECT max(CASE WHEN kind = 'price_shock' THEN best END) AS by_return, max(CASE WHEN kind = 'wash_trade' THEN best END) AS by_volume FROM (
+  SELECT kind, arg_max(limit_at, (coalesce(2 * p * r / nullif(p + r, 0), 0), -i)) AS best FROM (
+    SELECT *, coalesce(tp / nullif(nf, 0), 0) AS p, coalesce(tp / nullif(np, 0), 0) AS r FROM nc) GROUP BY kind))"""
+DATASETS = tuple((f"v{i}", v, 7 + i) for i, v in enumerate(inject.EXISTING_VARIANTS))
+F1 = "coalesce(2 * p * r / nullif(p + r, 0), 0)"
+
+REPORT_SQL = f"""
+WITH RECURSIVE {indexed_sql(GAP_MS)}, {', '.join(variant_sql(v, seed, n) for n, v, seed in DATASETS)},
+ends AS (SELECT ticker, session_id, max(pos) AS final FROM idx GROUP BY ALL),
+plain AS (SELECT ticker, pos AS start_pos, least(pos + CASE WHEN label = 'price_shock' THEN 5 ELSE 9 END, final + 1) AS end_pos, label AS kind
+  FROM idx JOIN ends USING (ticker, session_id) WHERE label <> 'normal'),
+names AS (SELECT unnest({['original', *[v.kind for _, v, _ in DATASETS]]}) AS dataset),
+spans AS (SELECT dataset, concat_ws('|', dataset, ticker) AS ticker, start_pos, end_pos, kind FROM plain, names
+  {' '.join(f"UNION ALL SELECT '{v.kind}', concat_ws('|', '{v.kind}', ticker), start_pos, end_pos, kind FROM {n}_spans" for n, v, _ in DATASETS)}),
+dticks AS (SELECT concat_ws('|', 'original', ticker) AS ticker, event_time_ms, price, volume, arrival FROM idx
+  {' '.join(f"UNION ALL SELECT concat_ws('|', '{v.kind}', ticker), event_time_ms, price, volume, arrival FROM {n}" for n, v, _ in DATASETS)}),
+{detector_sql(TEST_PARAMS, 'dticks')},
+{NAIVE_SQL},
+found AS (SELECT 'detector' AS source, split_part(ticker, '|', 1) AS dataset, ticker, pos - 1 AS pos, anomaly_type AS family, incident_id FROM run WHERE pos > 0 AND anomaly_type IS NOT NULL
+  UNION ALL SELECT 'naive', split_part(ticker, '|', 1), ticker, pos, CASE WHEN ret > by_return THEN 'price_shock' ELSE 'wash_trade' END, NULL FROM (
+    SELECT *, row_number() OVER w - 1 AS pos, coalesce(abs(price / lag(price) OVER w - 1), 0.0) AS ret FROM dticks WINDOW w AS (PARTITION BY ticker ORDER BY event_time_ms, arrival)), nt
+  WHERE ret > by_return OR volume > by_volume),
+inside AS (SELECT dataset, ticker, start_pos, kind, CASE WHEN kind LIKE 'shock%' OR kind = 'price_shock' THEN 'price_shock' ELSE 'wash_trade' END AS family, unnest(range(start_pos, end_pos)) AS pos FROM spans),
+cv AS (SELECT ticker, pos, list(DISTINCT kind) AS kinds FROM inside GROUP BY ALL),
+kinds AS (SELECT DISTINCT dataset, kind, family FROM inside),
+g AS (SELECT source, f.dataset, k.kind, count_if(coalesce(list_contains(kinds, k.kind), FALSE)) AS tp, count_if(kinds IS NULL OR list_contains(kinds, k.kind)) AS nf
+  FROM found f JOIN kinds k ON k.dataset = f.dataset AND k.family = f.family LEFT JOIN cv ON cv.ticker = f.ticker AND cv.pos = f.pos GROUP BY ALL),
+d AS (SELECT source, i.dataset, kind, count(DISTINCT (i.ticker, start_pos)) AS det FROM inside i JOIN found f ON f.ticker = i.ticker AND f.pos = i.pos AND f.family = i.family GROUP BY ALL),
+e AS (SELECT source, dataset, kind, count(*) AS events FROM spans, (SELECT unnest(['detector', 'naive']) AS source) GROUP BY ALL),
+q AS (SELECT dataset, source, kind, events, coalesce(det, 0) AS det, coalesce(tp / nullif(nf, 0), 0) AS p, coalesce(det, 0) / events AS r
+  FROM e LEFT JOIN g USING (source, dataset, kind) LEFT JOIN d USING (source, dataset, kind) WHERE kind = dataset OR dataset = 'original'),
+h AS (SELECT sum(CASE WHEN gap_ms <= {GAP_MS} THEN gap_ms END) / 3600000.0 AS hours, count(*) AS n FROM idx),
+hit AS (SELECT f.dataset, incident_id, bool_or(i.pos IS NOT NULL) AS ok FROM found f LEFT JOIN (SELECT DISTINCT ticker, pos FROM inside) i ON f.ticker = i.ticker AND f.pos = i.pos WHERE source = 'detector' GROUP BY ALL),
+caught AS (SELECT i.dataset, count(DISTINCT (i.ticker, start_pos, kind)) AS n FROM inside i JOIN found f ON f.ticker = i.ticker AND f.pos = i.pos AND source = 'detector' GROUP BY i.dataset),
+flags AS (SELECT dataset, count(*) AS n FROM found WHERE source = 'detector' GROUP BY dataset)
+SELECT dataset, source, kind, events::DOUBLE AS events, det::DOUBLE AS detected, {s6('p', '"precision"')}, {s6('r', 'recall')}, {s6(F1, 'f1')}, NULL::DOUBLE AS alerts_per_hour, NULL::DOUBLE AS flag_rate FROM q
+UNION ALL SELECT dataset, 'incidents', 'any', count(*), NULL, {n6('avg(CAST(ok AS DOUBLE))')}, {n6('any_value(c.n) / (SELECT count(*) FROM spans s WHERE s.dataset = hit.dataset)')}, NULL, {n6('count(*) / any_value(h.hours)')}, {n6('any_value(flags.n) / any_value(h.n)')}
+FROM hit JOIN caught c USING (dataset) JOIN flags USING (dataset), h GROUP BY dataset"""
+
+
+@query("evaluation_report", "D-6", "U-1", sql=REPORT_SQL)
 def report(spark, folder):
-    return evaluation_report(ticks(spark, folder), TEST_PARAMS, inject.EXISTING_VARIANTS, session_gap_ms=GAP_MS, s=slices(spark, folder))
+    rows = evaluation_report(ticks(spark, folder), TEST_PARAMS, inject.EXISTING_VARIANTS, session_gap_ms=GAP_MS, s=slices(spark, folder))
+    rounded = ("precision", "recall", "f1", "alerts_per_hour", "flag_rate")
+    return rows.select("dataset", "source", "kind", "events", "detected", *[r6(c) for c in rounded])
+
+
+PR_Z = (1.0, 1.5, 2.0, 2.5, 3.0)
+WHOLE = replace(TUNING, z=tuple(sorted({*TUNING.z, *PR_Z})))
+CANDIDATE = f"z_pos IN ({', '.join(str(WHOLE.z.index(z)) for z in TUNING.z)})"
+PRODUCTION = {"win": cube.WINDOWS.index((20, 10)), "wash": TUNING.wash.index((0.3, 0.003)), "z_pos": WHOLE.z.index(3.0)}
+KINDS = ("price_shock", "wash_trade", "any")
+
+
+def _split_rows(source: str, rows: str) -> str:
+    """Rows of the split section from summed counts of one setting per period."""
+    return " UNION ALL ".join(
+        f"SELECT period AS name, '{source}' AS source, '{k}' AS kind, flag_{k} AS nf, tp_{k} AS tp, pos_{k} AS np, n_ticks AS n FROM {rows}" for k in KINDS
+    )
+
+
+def _loo_rows(source: str, rows: str, names: dict[str, str]) -> str:
+    return " UNION ALL ".join(f"SELECT 'leave_one_out', ticker, '{source}', '{k}', NULL, NULL, NULL, {n6(c)}, NULL FROM {rows}" for k, c in names.items())
+
+
+SPLIT_SQL = f"""
+WITH RECURSIVE {cube_sql(WHOLE)}, {NAIVE_SQL},
+m AS (SELECT period, win, wash, z_pos, vwap_pos, {COUNT_SUMS} FROM sc GROUP BY ALL),
+train AS (SELECT * FROM m WHERE period = 'train' AND {CANDIDATE}),
+{tuned_sql('train', 'period', 'chosen')},
+tuned AS (SELECT m.* FROM m JOIN chosen USING (win, z_pos, vwap_pos, wash)),
+production AS (SELECT * FROM m WHERE period = 'test' AND win = {PRODUCTION['win']} AND wash = {PRODUCTION['wash']} AND z_pos = {PRODUCTION['z_pos']}),
+late AS (SELECT 'test' AS period, ret > by_return AS shock, volume > by_volume AND NOT ret > by_return AS wash, label FROM rets, nt
+  WHERE event_time_ms > (SELECT quantile_cont(CAST(event_time_ms AS DOUBLE), 0.7) FROM ticks)),
+naive AS (SELECT period, {', '.join(f"count_if({f} AND {y}) AS tp_{k}, count_if({f}) AS flag_{k}, count_if({y}) AS pos_{k}" for k, f, y in (("price_shock", "shock", "label = 'price_shock'"), ("wash_trade", "wash", "label = 'wash_trade'"), ("any", "(shock OR wash)", "label <> 'normal'")))}, count(*) AS n_ticks FROM late GROUP BY period),
+counted AS ({_split_rows('tuned', 'tuned')} UNION ALL {_split_rows('production', 'production')} UNION ALL {_split_rows('naive', 'naive')}),
+scored AS (SELECT *, coalesce(tp / nullif(nf, 0), 0) AS p, coalesce(tp / nullif(np, 0), 0) AS r FROM counted),
+own AS (SELECT ticker, win, wash, z_pos, vwap_pos, {COUNT_SUMS} FROM sc WHERE {CANDIDATE} GROUP BY ALL),
+rest AS (SELECT k.ticker, win, wash, z_pos, vwap_pos, {COUNT_SUMS} FROM own, (SELECT DISTINCT ticker FROM own) k WHERE own.ticker <> k.ticker GROUP BY ALL),
+{tuned_sql('rest', 'ticker', 'picked')}, {tuned_sql('own', 'ticker', 'best')},
+held AS (SELECT ticker, {f1_sql('price_shock')} AS a, {f1_sql('wash_trade')} AS b, {f1_sql('any')} AS c FROM own JOIN picked USING (ticker, win, z_pos, vwap_pos, wash)),
+curve AS (SELECT m.period, z_at, flag_price_shock AS nf, coalesce(tp_price_shock / nullif(flag_price_shock, 0), 0) AS p, coalesce(tp_price_shock / nullif(pos_price_shock, 0), 0) AS r
+  FROM m JOIN chosen USING (win) JOIN zp ON zp.z_pos = m.z_pos WHERE m.wash = 0 AND z_at IN ({', '.join(map(str, PR_Z))}))
+SELECT 'split' AS section, name, source, kind, nf::DOUBLE AS flagged, {s6('p', '"precision"')}, {s6('r', 'recall')}, {s6(F1, 'f1')},
+  CASE WHEN source = 'tuned' AND name = 'test' AND np > 0 THEN round(p / (np / n), 6) + 0.0 END AS lift FROM scored
+UNION ALL SELECT 'split', name, 'random', kind, NULL, {n6('p')}, {n6('r')}, {n6(F1)}, NULL FROM (SELECT name, kind, np / n AS p, nf / n AS r FROM scored WHERE source = 'tuned' AND name = 'test')
+UNION ALL {_loo_rows('tuned', 'held', {'price_shock': 'a', 'wash_trade': 'b', 'any': 'c'})}
+UNION ALL {_loo_rows('own', 'best', {'price_shock': 'shock_f1', 'wash_trade': 'wash_f1'})}
+UNION ALL SELECT 'pr_curve', z_at::DOUBLE::VARCHAR, period, 'price_shock', nf, {n6('p')}, {n6('r')}, {n6(F1)}, NULL FROM curve"""
+
+
+@query("split_report", "D-6", "A-16", "A-24", "A-25", "J-8", sql=SPLIT_SQL)
+def split(spark, folder):
+    rows = split_report(ticks(spark, folder), TUNING, TEST_PARAMS, PR_Z, slices(spark, folder))
+    return rows.select("section", "name", "source", "kind", "flagged", *[r6(c) for c in ("precision", "recall", "f1", "lift")])
 
 
 @query("price_tuning", "J-8", "A-15")
