@@ -83,9 +83,9 @@ def desk_status(level: str | Column) -> Column:
 
 
 def case_id(incident_id, ticker, event_time) -> Column:
-    """The incident id, else a stable code of ticker and time, long enough
-    that two cases do not share one."""
-    code = F.substring(F.md5(F.concat_ws("|", _c(ticker), F.unix_millis(_c(event_time)))), 1, 12)
+    """The incident id, else a stable code of ticker and time: the whole hash,
+    so that two cases do not share one."""
+    code = F.md5(F.concat_ws("|", _c(ticker), F.unix_millis(_c(event_time))))
     return F.coalesce(F.nullif(text(incident_id), F.lit("")), F.concat(F.lit("INC-"), code))
 
 

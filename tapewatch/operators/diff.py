@@ -17,6 +17,8 @@ def keep_last(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataF
 
 
 def close(a: Column, b: Column, tol: float = TOLERANCE) -> Column:
+    """Equal within the tolerance, or missing (null or NaN) on both sides."""
+    a, b = (F.when(~F.isnan(x), x) for x in (a, b))
     near = F.abs(a - b) <= tol * F.greatest(F.lit(1.0), F.abs(b))
     return (a.isNull() & b.isNull()) | F.coalesce(near, F.lit(False))
 
@@ -38,7 +40,8 @@ def diff_frames(
     examples_per_field: int = 10,
 ) -> tuple[DataFrame, DataFrame]:
     """``(summary, examples)``. The summary has one row per check: rows with a
-    repeated key on the right (its last row by ``right_order`` is compared),
+    repeated key on the right (of such rows, on either side, the last by
+    ``right_order`` is compared),
     keys on one side only, rows matched, and mismatches per field. A field that
     only one side has counts every matched row. Examples list the first
     mismatches of each field by key."""
@@ -47,7 +50,9 @@ def diff_frames(
         right.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > 1)
         .agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("duplicates"))
     )
-    right = keep_last(right, keys, right_order or [c for c in fields if c in right.columns])
+    order = list(right_order or fields)
+    right = keep_last(right, keys, [c for c in order if c in right.columns])
+    left = keep_last(left, keys, [c for c in order if c in left.columns] or [c for c in fields if c in left.columns])
     both = _joined(left, right, keys, fields)
     in_left, in_right = F.col("l._in").isNotNull(), F.col("r._in").isNotNull()
     matched = in_left & in_right

@@ -196,6 +196,24 @@ def split_time(ticks: DataFrame, fraction: float = 0.7) -> DataFrame:
     return exact_percentiles(ticks, "event_time_ms", {"cutoff_ms": fraction})
 
 
+def late_mask(ticks: DataFrame, arrival: str = "arrival", per_slice: int = 1_000_000, s: Slicing = TICKS) -> DataFrame:
+    """Adds ``is_late``: whether a tick is older than the newest of its ticker
+    that arrived before, as the stream drops it. Equal times are not late, and
+    ticks with one ``arrival`` (a micro-batch) are not late to each other. The
+    running maximum is folded over slices of ``per_slice`` arrivals."""
+    line = s.by(width_ms=per_slice, time=arrival, tie=())
+    newest = F.max(s.time)
+    sliced = with_carry(line.assign(ticks), line, {"_before": newest}, {"_before": F.max})
+    inside = newest.over(line.window().rangeBetween(Window.unboundedPreceding, -1))
+    late = F.col(s.time) < F.greatest("_before", inside)
+    return sliced.withColumn("is_late", F.coalesce(late, F.lit(False))).drop("_before", "slice_id")
+
+
+def drop_late(ticks: DataFrame, arrival: str = "arrival", per_slice: int = 1_000_000, s: Slicing = TICKS) -> DataFrame:
+    """The ticks that a stream would score (``late_mask``)."""
+    return late_mask(ticks, arrival, per_slice, s).filter(~F.col("is_late")).drop("is_late")
+
+
 def period_mask(ticks: DataFrame, fraction: float = 0.7) -> DataFrame:
     """Adds ``period``: train up to the cutoff (included), test after it."""
     cutoff = split_time(ticks, fraction).select("cutoff_ms").scalar()

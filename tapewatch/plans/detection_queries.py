@@ -28,7 +28,8 @@ from tapewatch.sources.tables import anomaly_rows, persist_batch, read_table
 from tapewatch.streaming.alerts import alerts_stream, dedupe_events
 from tapewatch.streaming.bars import live_bars
 from tapewatch.streaming.detect import detect_stream
-from tapewatch.streaming.sinks import build_sink, start_sink
+from tapewatch.streaming.progress import progress_totals, record_progress, stored_progress
+from tapewatch.streaming.sinks import alert_log_batch, build_sink, start_sink
 
 # The test ticks are minutes apart and their prices jump freely, so gaps are
 # hours and thresholds sit where some ticks of every signal fire.
@@ -255,6 +256,55 @@ def stream_in_batches(spark, folder):
     return _flagged(read_table(spark, flagged, ANOMALIES))
 
 
+# --- late ticks and progress -------------------------------------------------
+
+DISTURBED = "arrival + CASE WHEN arrival % 17 = 0 THEN 40 WHEN arrival % 23 = 0 THEN 7 ELSE 0 END"
+
+
+@query("late_ticks", "K-12", sql=f"""
+WITH {TICKS_CTE}, d AS (SELECT ticker, arrival AS event_id, event_time_ms, {DISTURBED} AS arrival FROM ticks)
+SELECT ticker, event_id, coalesce(event_time_ms < max(event_time_ms) OVER (PARTITION BY ticker ORDER BY arrival RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), FALSE) AS is_late FROM d""")
+def late_ticks(spark, folder):
+    """Ticks that arrive out of order; some arrive together."""
+    t = ticks(spark, folder).withColumn("event_id", F.col("arrival")).withColumn("arrival", F.expr(DISTURBED))
+    return tk.late_mask(t, per_slice=1_000).select("ticker", "event_id", "is_late")
+
+
+LATE_ROWS = 40
+
+
+@query("stream_late_rows", "ST-2", "ST-7", "ST-6", sql=f"""
+WITH RECURSIVE {TICKS_CTE}, {detector_sql(TEST_PARAMS)}
+SELECT 4::BIGINT AS batches, (SELECT count(*) FROM ticks) + {LATE_ROWS} AS "rows", {LATE_ROWS}::BIGINT AS rows_dropped_by_watermark, count(*) AS scored,
+  count(anomaly_type) AS flagged FROM run WHERE pos > 0""")
+def stream_late_rows(spark, folder):
+    """The ticks as three files and a fourth with the first ticks again, long
+    after the watermark has passed them: they are counted and change nothing."""
+    base = f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
+    t = cut_lineage(ticks(spark, folder).drop("label"))
+    first, last = t.agg(F.min("event_time_ms"), F.max("event_time_ms")).first()
+    part = F.floor((F.col("event_time_ms") - first) * 3 / (last - first + 1))
+    for i in range(3):
+        t.filter(part == i).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    again = t.orderBy("event_time_ms", "arrival").limit(LATE_ROWS).withColumn("price", F.col("price") * 2)
+    again.coalesce(1).write.mode("append").parquet(f"{base}/in")
+    scored = detect_stream(files.stream_ticks_from_files(spark, f"{base}/in", arrival=True), TEST_PARAMS)
+    recorder = record_progress(spark, f"{base}/progress")
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/out/batch={batch_id}")
+
+    try:
+        sink = scored.writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", f"{base}/checkpoint")
+        sink.trigger(availableNow=True).start().awaitTermination()
+        totals = progress_totals(stored_progress(spark, f"{base}/progress"))
+    finally:
+        spark.streams.removeListener(recorder)
+    out = spark.read.parquet(f"{base}/out").agg(F.count("*").alias("scored"), F.count_if("is_anomaly").alias("flagged"))
+    counted = totals.select("batches", "rows", "rows_dropped_by_watermark", F.lit(1).alias("_k"))
+    return counted.join(out.withColumn("_k", F.lit(1)), "_k").drop("_k")
+
+
 @query("stream_completeness", "J-7", "S-11", "A-23", sql=f"""
 WITH {TICKS_CTE} SELECT ticker, CAST(CAST(make_timestamp_ms(event_time_ms) AS DATE) AS VARCHAR) AS day, count(*) AS "rows" FROM ticks GROUP BY ALL""")
 def stream_completeness(spark, folder):
@@ -738,7 +788,32 @@ SELECT md5(concat_ws('|', ticker, k, start_ms)) AS alert_id, ticker, event, star
   CASE WHEN crit THEN 'CRITICAL' ELSE 'other' END AS level FROM run WHERE event IS NOT NULL"""
 
 
-@query("alert_stream", "ST-8", "ST-9", "S-16", sql=DEBOUNCED_SQL)
+@query("alert_log", "S-16", "ST-9", "ST-12", sql=f"""
+WITH a AS ({DEBOUNCED_SQL}) SELECT alert_id, ticker, event, tick_count, level, TRUE AS stamped FROM a
+UNION ALL SELECT 'latest', NULL, NULL, 1, 'record', TRUE""")
+def alert_log(spark, folder):
+    """The alerts as the lines of the log, written by the sink and read back;
+    and how many newest records there are."""
+    base = f"{checkpoint_folder(spark)}/alerts-{uuid.uuid4().hex}"
+    flags = anomalies(spark, folder).filter("is_anomaly").drop("event_time_ms")
+    flags.write.parquet(f"{base}/in")
+    stream = spark.readStream.schema(flags.schema).parquet(f"{base}/in")
+    cfg = AlertConfig(burst_window_ms=BURST_MS, cooldown_ms=COOLDOWN_MS)
+    run = alerts_stream(dedupe_events(stream, "1 hour"), cfg, late=None).writeStream.outputMode("append")
+    run = run.option("checkpointLocation", f"{base}/state").foreachBatch(alert_log_batch(f"{base}/log"))
+    run.trigger(availableNow=True).start().awaitTermination()
+    log = spark.read.json(f"{base}/log")
+    level = F.when(F.col("severity") == "CRITICAL", "CRITICAL").otherwise("other").alias("level")
+    stamped = (F.col("created_at").isNotNull() & (F.col("detection_latency_ms") >= 0)).alias("stamped")
+    newest = files.latest_alert(log).agg(F.count("*").alias("tick_count"))
+    nothing = F.lit(None).cast("string")
+    return log.select("alert_id", "ticker", "event", "tick_count", level, stamped).unionByName(
+        newest.select(F.lit("latest").alias("alert_id"), nothing.alias("ticker"), nothing.alias("event"), "tick_count",
+                      F.lit("record").alias("level"), F.lit(True).alias("stamped"))
+    )
+
+
+@query("alert_stream", "ST-8", "ST-9", sql=DEBOUNCED_SQL)
 def alert_stream(spark, folder):
     base = f"{checkpoint_folder(spark)}/alerts-{uuid.uuid4().hex}"
     flags = anomalies(spark, folder).filter("is_anomaly").drop("event_time_ms")

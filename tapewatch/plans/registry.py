@@ -611,7 +611,7 @@ def rejected_records(spark, folder):
 
 @query("audit_view", "P-13", sql=f"""
 WITH {ANOMALIES_SQL}, a AS (SELECT *, {SEVERITY_SQL} AS severity FROM scored)
-SELECT coalesce(incident_id, 'INC-' || substr(md5(concat_ws('|', ticker, event_time_ms)), 1, 12)) AS case_id,
+SELECT coalesce(incident_id, 'INC-' || md5(concat_ws('|', ticker, event_time_ms))) AS case_id,
   strftime(make_timestamp(event_time_ms * 1000), '%Y-%m-%d %H:%M:%S UTC') AS time_utc, ticker,
   CASE severity WHEN 'CRITICAL' THEN 'ESCALATED TO COMPLIANCE' WHEN 'WARNING' THEN 'UNDER REVIEW' ELSE 'AUDIT LOGGED' END AS desk_status,
   CASE anomaly_type WHEN 'price_shock' THEN 'SEC Rule 10b-5 (Excessive Volatility)' WHEN 'wash_trade' THEN 'FINRA Rule 6140 (Wash Sale / Self-Trade)'

@@ -26,7 +26,7 @@ def stream_ticks_from_files(
     if fmt not in ("parquet", "json", "csv"):
         raise ValueError("fmt is parquet, json or csv")
     ensure_utc(spark)
-    schema = StructType((TICK if fmt != "csv" else TICK_CSV).fields)
+    schema = StructType(list((TICK if fmt != "csv" else TICK_CSV).fields))  # a list of its own, which may grow
     if arrival:
         schema = schema.add("arrival", "long")
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)

@@ -113,9 +113,11 @@ def create_table(spark: SparkSession, path: str, schema: StructType) -> None:
 
 
 def _dedupe(rows: DataFrame, key_cols: Sequence[str]) -> DataFrame:
-    order = [c for c in rows.columns if c not in key_cols]
-    w = Window.partitionBy(*key_cols).orderBy(*[F.desc_nulls_last(c) for c in order])
-    return rows.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    """Of rows with one key the last of the batch, as a store keeps it that
+    writes them one after the other."""
+    w = Window.partitionBy(*key_cols).orderBy(F.desc("_at"))
+    numbered = rows.withColumn("_at", F.monotonically_increasing_id())
+    return numbered.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn", "_at")
 
 
 def upsert_partitions(

@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tapewatch.operators import desk
-from tapewatch.schemas import ANOMALIES, PARTITION_COLUMNS, RAW_EVENTS, SCORED
+from tapewatch.schemas import ANOMALIES, PARTITION_COLUMNS, RAW_EVENTS, SCORED, TICK
 from tapewatch.sources import files, log, tables
+from tapewatch.sources.files import stream_ticks_from_files
 from tapewatch.streaming.sinks import build_sink
 from tests.conftest import random_ticks
 
@@ -276,3 +277,23 @@ def test_sink_reads_a_batch_once(spark, tmp_path):
     counted = batch.mapInPandas(count, SCORED)
     tables.persist_batch(str(tmp_path / "r"), str(tmp_path / "b"))(counted, 0)
     assert calls.value == rows
+
+
+def test_of_repeated_keys_in_a_batch_the_last_row_is_kept(spark, tmp_path):
+    day = date(2024, 1, 3)
+    when = datetime(2024, 1, 3, 10, tzinfo=timezone.utc)
+    rows = [("A", day, when, "A-1", 9.0), ("A", day, when, "A-2", 1.0), ("A", day, when, "A-1", 2.0), ("A", day, when, "A-1", None)]
+    frame = spark.createDataFrame(rows[:3], "ticker string, day date, event_time timestamp, tick_id string, price double").coalesce(1)
+    path = str(tmp_path / "t")
+    tables.upsert_partitions(frame, path)
+    assert sorted((r.tick_id, r.price) for r in spark.read.parquet(path).collect()) == [("A-1", 2.0), ("A-2", 1.0)]
+    tables.upsert_partitions(spark.createDataFrame(rows[3:], frame.schema), path)
+    assert {r.tick_id: r.price for r in spark.read.schema(frame.schema).parquet(path).collect()} == {"A-1": None, "A-2": 1.0}
+
+
+def test_reading_streams_twice_leaves_the_schemas_alone(spark, tmp_path):
+    spark.createDataFrame([("A", 1, 1.0, 1.0, 7)], "ticker string, event_time_ms long, price double, volume double, arrival long").write.parquet(str(tmp_path / "in"))
+    before = TICK.fieldNames()
+    for _ in range(2):
+        stream = stream_ticks_from_files(spark, str(tmp_path / "in"), arrival=True)
+        assert stream.columns.count("arrival") == 1 and TICK.fieldNames() == before
