@@ -733,8 +733,8 @@ def split(spark, folder):
 @query("price_tuning", "J-8", "A-15")
 def price_tuning(spark, folder):
     _, table = tune_price(
-        ticks(spark, folder), TEST_PARAMS, cusum_grid=((0.5, 4.0), (1.0, 2.0), (2.0, 3.0)), z_grid=(2.5, 3.5),
-        ewma_grid=(2.0, 3.0), gap_ms=GAP_MS, s=slices(spark, folder),
+        ticks(spark, folder), TEST_PARAMS, cusum_grid=tuning.CUSUM_GRID, z_grid=(2.0, 2.5, 3.0, 3.5, 4.0),
+        ewma_grid=(1.5, 2.0, 2.5, 3.0), gap_ms=GAP_MS, s=slices(spark, folder),
     )
     scores = [r6(c) for c in ("precision", "recall", "f1")]
     return table.select("stage", "setting", "chosen", "kind", "events", "detected", *scores)
