@@ -154,7 +154,9 @@ def ordered_runs(kept: DataFrame) -> DataFrame:
     source; places without a run have none. A row with a null source has the
     length of its block."""
     vectors = kept.groupBy("lang", "counts").agg(F.count("*").alias("terms"))
-    ordered = vectors.repartitionByRange("lang", "counts").sortWithinPartitions("lang", "counts")
+    # ranges go by the first counts alone: their bounds are sampled to the driver
+    head = [F.get("counts", F.lit(i))[c] for i in range(3) for c in ("source", "n")]
+    ordered = vectors.repartitionByRange("lang", *head).sortWithinPartitions("lang", "counts")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, rows, at, lang = TaskContext.get().partitionId() << 32, 0, 0, None

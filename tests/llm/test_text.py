@@ -269,3 +269,42 @@ def test_chat_round_trip_with_control_strings(spark):
         runs = sum(a[1] != b[1] for a, b in zip([(0, None), *own], own))
         assert back[c].formatted.count("</turn>\n") == runs
     assert chat.format_conversations(turns.limit(0)).count() == 0
+
+
+def test_language_scores_against_dense_kernel_ridge(spark):
+    rng = random.Random(5)
+    alphabets = {"aa": "abcde ", "bb": "cdefg ", "cc": "efghé "}
+    texts = {lang: ["x" + "".join(rng.choice(letters) for _ in range(rng.randrange(20, 300))) for _ in range(30)] for lang, letters in alphabets.items()}
+    rows = [(i, t, lang) for lang, own in texts.items() for i, t in enumerate(own)]
+    asked = ["".join(rng.choice("abcdefgé ") for _ in range(80)) for _ in range(40)] + [t for own in texts.values() for t in own[:3]]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    got = langid.identify(spark.createDataFrame([(i, t) for i, t in enumerate(asked)], "doc_id long, text string"), model).collect()
+
+    def grams(t):
+        raw = t.lower().encode()
+        return {raw[i : i + n] for n in (1, 2, 3) for i in range(len(raw) - n + 1)}
+
+    learned = [(t, lang) for _, t, lang in rows]
+    count = {}
+    for t, _ in learned:
+        for g in grams(t):
+            count[g] = count.get(g, 0) + 1
+    kept = sorted(count, key=lambda g: (-count[g], len(g), g))[: langid.VOCABULARY]
+    weight = np.array([np.log((1 + len(learned)) / count[g]) + 0.05 for g in kept])
+
+    def vector(t):
+        own = grams(t)
+        x = np.array([g in own for g in kept], float) * np.sqrt(weight)
+        return x / max(np.linalg.norm(x), 1e-6)
+
+    x = np.array([vector(t) for t, _ in learned])
+    kernel = x @ x.T
+    names = sorted(alphabets)
+    target = np.array([[1.0 if lang == n else -1.0 for n in names] for _, lang in learned])
+    share = 1 / 30
+    alpha = np.linalg.solve(kernel.T @ kernel * share + 0.1 / len(learned) * kernel + 1e-9 * np.eye(len(x)), kernel.T @ target * share)
+    outputs = np.array([vector(t) for t in asked]) @ x.T @ alpha
+    for r in got:
+        own = outputs[r.doc_id]
+        assert r.score == pytest.approx(np.clip((own.max() + 1) / 2, 0, 1), abs=2e-3)
+        assert r.lang_pred == names[own.argmax()] or np.sort(own)[-1] - np.sort(own)[-2] < 4e-3
