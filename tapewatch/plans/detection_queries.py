@@ -27,7 +27,7 @@ from tapewatch.sources import files
 from tapewatch.sources.tables import anomaly_rows, persist_batch, read_table
 from tapewatch.streaming.alerts import alerts_stream, dedupe_events
 from tapewatch.streaming.bars import live_bars
-from tapewatch.streaming.detect import detect_stream
+from tapewatch.streaming.detect import checkpoint_path, detect_stream
 from tapewatch.streaming.progress import progress_totals, record_progress, stored_progress
 from tapewatch.streaming.sinks import alert_log_batch, build_sink, start_sink
 
@@ -270,6 +270,42 @@ def late_ticks(spark, folder):
     return tk.late_mask(t, per_slice=1_000).select("ticker", "event_id", "is_late")
 
 
+# Fields of the stored state and what the recursive query calls them.
+STATE_SQL = {
+    "last_ts": "ms", "ewma_fast": "ef", "ewma_slow": "es", "ewma_div_ms": "em", "rate_dt_ms": "rd", "cusum_up": "up", "cusum_down": "dn",
+    "cusum_vol": "cv", "cusum_prev_price": "pp", "cusum_diff_ms": "dms", "cusum_logv_mean": "lm", "cusum_logv_var": "lv",
+}
+
+
+@query("stream_state", "ST-4", "ST-5", "S-18", sql=f"""
+WITH RECURSIVE {TICKS_CTE}, {detector_sql(TEST_PARAMS)}, final AS (SELECT * FROM run QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY pos DESC) = 1)
+SELECT ticker, {', '.join(s6(c, f) for f, c in STATE_SQL.items())}, len(wp) AS window_ticks, {s6('list_sum(wp)', 'window_prices')}, {s6('list_sum(cl)', 'window_clipped')} FROM final""")
+def stream_state(spark, folder):
+    """What a stream that was stopped and started again keeps per ticker, read
+    from its checkpoint."""
+    base = f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
+    checkpoint = checkpoint_path(f"{base}/checkpoint", "detector")
+    t = cut_lineage(ticks(spark, folder).drop("label"))
+    first, last = t.agg(F.min("event_time_ms"), F.max("event_time_ms")).first()
+    part = F.floor((F.col("event_time_ms") - first) * 3 / (last - first + 1))
+    for files_there in ((0, 1), (2,)):
+        for i in files_there:
+            t.filter(part == i).coalesce(1).write.mode("append").parquet(f"{base}/in")
+        scored = detect_stream(files.stream_ticks_from_files(spark, f"{base}/in", arrival=True), TEST_PARAMS)
+        sink = scored.writeStream.format("noop").outputMode("update").option("checkpointLocation", checkpoint)
+        sink.trigger(availableNow=True).start().awaitTermination()
+    state = spark.read.format("statestore").option("stateVarName", "detector").load(checkpoint)
+    state = state.select(F.col("key.ticker").alias("ticker"), "value.*")
+
+    def total(prices: str):
+        return F.aggregate(prices, F.lit(0.0), lambda a, x: a + x)
+
+    return state.select(
+        "ticker", *[r6(f) for f in STATE_SQL], F.size("window_price").cast("long").alias("window_ticks"),
+        r6(total("window_price"), "window_prices"), r6(total("window_clipped"), "window_clipped"),
+    )
+
+
 LATE_ROWS = 40
 
 
