@@ -171,3 +171,60 @@ def test_pipeline_stages_keep_and_drop_what_they_should(spark):
     assert not left["language_id"] & {5000, 5001} and sizes[1] == sizes[0] - 2
     assert 5002 not in left["near_duplicates"] and 5003 in left["repeated_strings"] and 5003 not in left["decontamination"]
     assert left["packing"] == left["decontamination"] and None in left["packing"]
+
+
+def test_trees_against_boosting_in_plain_python(spark):
+    rng = random.Random(11)
+    urls = []
+    for i in range(260):
+        host = rng.choice(["example.com", "www.example.com", "a.net", "b-c.net", "shop.example.com"])
+        path = "/".join(rng.choice(["en", "es", "fr", "x1", "item", "A9"]) for _ in range(rng.randrange(1, 5)))
+        urls.append((i, f"http://{host}/{path}/{rng.randrange(10**rng.randrange(1, 7))}" + rng.choice(["", "?a=1&b=2", "#f"])))
+    ruled = url_filter.with_rule(url_filter.with_parts(spark.createDataFrame(urls, "page_id long, url string")))
+    model = url_filter.train(ruled)
+    labelled = url_filter.with_lexical(ruled.filter("rule_verdict IS NOT NULL"))
+    frame = url_filter.with_suffixes(labelled, model.suffixes, model.prior)
+    from pyspark.sql import functions as F
+
+    cuts = [(i + 1) / url_filter.BINS for i in range(url_filter.BINS - 1)]
+    edges = {f: sorted(set(v)) for f, v in frame.agg(*[F.percentile_approx(f, cuts, 10_000).alias(f) for f in url_filter.FEATURES]).first().asDict().items()}
+    rows = frame.collect()
+    y = np.array([r.rule_verdict == "block" for r in rows], float)
+    assert 20 < y.sum() < len(y) - 20 and model.prior == (y.sum() + 1) / (len(y) + 2)
+    for name in ("tld", "domain", "section"):  # suffix statistics by counting
+        for r in rows:
+            own = np.array([q[name] == r[name] for q in rows])
+            rate = (y[own].sum() + url_filter.SUFFIX_PRIOR * model.prior) / (own.sum() + url_filter.SUFFIX_PRIOR)
+            assert r[f"{name}_rate"] == pytest.approx(rate) and r[f"{name}_count"] == pytest.approx(np.log1p(own.sum()))
+    x = {f: np.array([r[f] for r in rows]) for f in url_filter.FEATURES}
+    margin = np.full(len(y), np.log(model.prior / (1 - model.prior)))
+    smooth = url_filter.SMOOTH
+    for tree in model.trees:
+        p = 1 / (1 + np.exp(-margin))
+        g, h, seen, todo, step = y - p, p * (1 - p), {}, [(1, np.ones(len(y), bool), 0)], np.zeros(len(y))
+        while todo:
+            node, inside, depth = todo.pop()
+            best = (1e-6, None, None)
+            for f in url_filter.FEATURES:
+                for e in edges[f]:
+                    left, right = inside & (x[f] <= e), inside & (x[f] > e)
+                    if left.any() and right.any():
+                        gain = sum(s * g[m].sum() ** 2 / (h[m].sum() + smooth) for s, m in ((1, left), (1, right), (-1, inside)))
+                        if round(gain, 6) > best[0]:
+                            best = (round(gain, 6), f, e)
+            if best[1] is None or depth == url_filter.DEPTH:
+                seen[node] = url_filter.RATE * g[inside].sum() / (h[inside].sum() + smooth)
+                step[inside] = seen[node]
+            else:
+                seen[node] = best[1:]
+                todo += [(2 * node, inside & (x[best[1]] <= best[2]), depth + 1), (2 * node + 1, inside & (x[best[1]] > best[2]), depth + 1)]
+        assert set(tree) == set(seen)
+        for node, what in tree.items():
+            if what[0] == "leaf":
+                assert what[1] == pytest.approx(seen[node], abs=1e-6)
+            else:
+                # an edge between the same two values splits alike
+                assert what[1] == seen[node][0] and ((x[what[1]] <= what[2]) == (x[what[1]] <= seen[node][1])).all()
+        margin += step
+    got = {r.page_id: r.m for r in frame.select("page_id", model.margin().alias("m")).collect()}
+    assert [got[r.page_id] for r in rows] == pytest.approx(margin.tolist(), abs=1e-6)
