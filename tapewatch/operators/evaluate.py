@@ -74,7 +74,12 @@ def cover_events(spans: DataFrame) -> DataFrame:
 
 def locate_flags(ticks: DataFrame, flags: DataFrame) -> DataFrame:
     """Flags with position and label of their tick; both null when no tick has
-    the flag's (ticker, event_time_ms)."""
+    the flag's (ticker, event_time_ms). Flags that name their tick by ``pos``
+    meet that tick alone, and not others of the same millisecond."""
+    if "pos" in flags.columns:
+        known = ticks.select("ticker", F.col("pos").alias("_pos"), "label")
+        named = flags.withColumnRenamed("pos", "_pos").join(known.withColumn("_known", F.col("_pos")), ["ticker", "_pos"], "left")
+        return named.withColumnRenamed("_known", "pos").drop("_pos")
     return flags.join(
         ticks.select("ticker", "event_time_ms", "pos", "label"), ["ticker", "event_time_ms"], "left"
     )

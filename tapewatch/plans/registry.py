@@ -889,7 +889,7 @@ SELECT kind, flags, events, ef AS events_found, inc AS incidents, ti AS true_inc
   CASE WHEN ep <> 0 AND er <> 0 THEN round(2 * ep * er / (ep + er), 4) END AS event_f1, ip AS incident_precision FROM r""")
 def label_scores(spark, folder):
     idx = _indexed(spark, folder)
-    flags = _scored(idx).filter("is_anomaly").select("ticker", "event_time_ms", "anomaly_type", "incident_id")
+    flags = _scored(idx).filter("is_anomaly").select("ticker", "pos", "event_time_ms", "anomaly_type", "incident_id")
     return evaluate.score_against_labels(idx, flags)
 
 

@@ -41,6 +41,17 @@ def test_later_event_wins_and_tp_fp(spark):
     assert got["any"]["tick_precision"] == 0.0 and got["any"]["tick_f1"] is None
 
 
+def test_flags_named_by_position_meet_one_tick_of_a_millisecond(spark):
+    t = labelled(spark, price_shock=[11]).withColumn("event_time_ms", F.lit(START))
+    flags = spark.createDataFrame(
+        [("A", START, 10, "price_shock", "A-1"), ("A", START, 11, "price_shock", "A-1"), ("A", START, 99, "price_shock", "A-1")],
+        "ticker string, event_time_ms long, pos long, anomaly_type string, incident_id string",
+    )
+    assert evaluate.unmatched_flags(evaluate.locate_flags(t, flags)).first()[0] == 1
+    got = {r["kind"]: r for r in evaluate.score_against_labels(t, flags).collect()}
+    assert got["any"]["flags"] == 2 and got["any"]["tick_precision"] == 0.5
+
+
 def test_flags_in_another_kind_are_ignored(spark):
     t = labelled(spark, price_shock=[10], wash_trade=[30])
     flags = spark.createDataFrame(
