@@ -15,7 +15,7 @@ from tapewatch.operators.slices import (
     trailing_ranges,
     with_carry,
     with_previous_rows,
-    with_previous_span,
+    within_span,
 )
 from tapewatch.operators.ticks import TICKS
 from tapewatch.params import PRICE_SIGNALS, SIGNALS, VOLUME_SIGNALS
@@ -74,13 +74,8 @@ def trailing_time_stats(
 ) -> DataFrame:
     """Mean and sample deviation over ``[t - span, t)`` and the clipped z-score
     against them; plus the divergence from the ticker's VWAP so far."""
-    if span_ms <= s.width_ms:
-        halo = with_previous_span(ticks, span_ms, s)
-        w = s.window(s.time).rangeBetween(-span_ms, -1)
-        own = drop_halo(halo.select("*", F.avg("price").over(w).alias("trail_mean"), F.stddev_samp("price").over(w).alias("trail_std")))
-    else:
-        own = _trailing_moments(ticks, span_ms, s)
-    own = own.withColumn("_pv", F.col("price") * F.col("volume"))
+    s = within_span(s, span_ms)
+    own = _trailing_moments(ticks, span_ms, s).withColumn("_pv", F.col("price") * F.col("volume"))
     carried = with_carry(own, s, {"_bpv": F.sum("_pv"), "_bv": F.sum("volume")}, {"_bpv": F.sum, "_bv": F.sum})
     w_run = s.window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cum_pv = F.coalesce(F.col("_bpv"), F.lit(0.0)) + F.sum("_pv").over(w_run)
@@ -99,8 +94,7 @@ def trailing_time_stats(
 
 
 def _trailing_moments(ticks: DataFrame, span_ms: int, s: Slicing) -> DataFrame:
-    """Sliced ticks with ``trail_mean`` and ``trail_std`` for look-backs over
-    many slices. Sums are of prices less the timeline's mean, so that squares
+    """Sliced ticks with ``trail_mean`` and ``trail_std``. Sums are of prices less the timeline's mean, so that squares
     stay small."""
     centre = ticks.groupBy(*s.keys).agg(F.avg("price").alias("_centre"))
     off = F.col("price") - F.col("_centre")
@@ -114,21 +108,6 @@ def _trailing_moments(ticks: DataFrame, span_ms: int, s: Slicing) -> DataFrame:
     )
 
 
-def wash_columns(
-    halo: DataFrame, lookback_ms: int, price_range: float, volume_ratio: float, min_prior: int, s: Slicing
-) -> DataFrame:
-    """Wash-rule columns over rows that still have their halo."""
-    w = s.window(s.time).rangeBetween(-lookback_ms, -1)
-    halo = halo.select(
-        "*",
-        F.min("price").over(w).alias("prior_low"),
-        F.max("price").over(w).alias("prior_high"),
-        F.sum("volume").over(w).alias("prior_volume"),
-        F.count("price").over(w).alias("prior_ticks"),
-    )
-    return _with_wash_rule(halo, price_range, volume_ratio, min_prior)
-
-
 def _with_wash_rule(halo: DataFrame, price_range: float, volume_ratio: float, min_prior: int) -> DataFrame:
     low, high = F.col("prior_low"), F.col("prior_high")
     flat = F.coalesce((low > 0) & ((high - low) / low < price_range), F.lit(False))
@@ -148,14 +127,11 @@ def wash_lookback(
     """Fixed-lookback wash rule over ``[t - lookback, t)``: the market is flat
     when its price range stays below ``price_range``; the ratio compares this
     tick's volume with the rule's share of the trailing volume."""
-    if lookback_ms <= s.width_ms:
-        halo = with_previous_span(ticks, lookback_ms, s)
-        return drop_halo(wash_columns(halo, lookback_ms, price_range, volume_ratio, min_prior, s)).drop(SLICE)
     prior = {
         "prior_low": (LEAST, F.col("price")),
         "prior_high": (GREATEST, F.col("price")),
         "prior_volume": (SUM, F.col("volume")),
-        "prior_ticks": (SUM, F.lit(1).cast("long")),
+        "prior_ticks": (SUM, F.col("price").isNotNull().cast("long")),
     }
     rows = trailing_ranges(ticks, lookback_ms, prior, s).drop(SLICE)
     return _with_wash_rule(rows.na.fill({"prior_ticks": 0}), price_range, volume_ratio, min_prior)

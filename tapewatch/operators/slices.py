@@ -207,9 +207,17 @@ def _added(*parts: Column) -> Column:
 SUM, LEAST, GREATEST = Part(F.sum, F.sum, _added), Part(F.min, F.min, F.least), Part(F.max, F.max, F.greatest)
 
 
+def within_span(s: Slicing, span_ms: int) -> Slicing:
+    """The cut with slices no wider than a look-back."""
+    return s.by(width_ms=min(s.width_ms, span_ms))
+
+
 def trailing_ranges(df: DataFrame, span_ms: int, wanted: dict[str, tuple[Part, Column]], s: Slicing) -> DataFrame:
     """Adds, for each entry, its aggregate over the rows of the timeline with a
-    time in ``[t - span_ms, t)``, for slices of any width.
+    time in ``[t - span_ms, t)``, for slices of any width. Slices wider than
+    the span are cut down to it (``SLICE`` of the result says how): every
+    window below then starts or ends with its slice and takes a row once,
+    where one that slides over dense ticks adds all of its rows up for each.
 
     A range is put together from three parts: the end of the slice that holds
     ``t - span_ms``, the summaries of whole slices in between, and the row's own
@@ -218,6 +226,7 @@ def trailing_ranges(df: DataFrame, span_ms: int, wanted: dict[str, tuple[Part, C
     most, however many slices a range covers, and what a task holds is one
     slice. Of the slices in between only the first is not the same for all rows
     of a slice, so two summaries per slice are enough."""
+    s = within_span(s, span_ms)
     width = F.lit(s.width_ms)
     values = {name: value for name, (_, value) in wanted.items()}
     since = F.col(s.time) - F.lit(span_ms)
@@ -232,22 +241,25 @@ def trailing_ranges(df: DataFrame, span_ms: int, wanted: dict[str, tuple[Part, C
     answered = both.select("*", *[c.alias(n) for n, c in ends.items()]).filter(~F.col("_value"))
     answered = answered.withColumns({n: F.when(F.col(SLICE) < F.col("_own"), F.col(n)) for n in ends})
     answered = answered.select(*df.columns, F.col("_own").alias(SLICE), F.col(SLICE).alias("_first"), *ends)
-    # whole slices between: after the first of the range and before the own
-    summary = told.groupBy(*s.slice_keys).agg(*[part.rows(F.col(f"_{name}")).alias(f"_{name}") for name, (part, _) in wanted.items()])
     most = -(-span_ms // s.width_ms)  # the first slice is this many back, or one less
-    spans = {}
-    for k in (most, most - 1):
-        between = s.over_slices().rangeBetween(-(k - 1), -1) if k > 1 else None
-        for name, (part, _) in wanted.items():
-            column = F.col(f"_{name}")
-            spans[f"_mid{k}_{name}"] = part.merge(column).over(between) if between is not None else F.lit(None).cast("double")
-    middle = summary.select(*s.slice_keys, *[c.alias(n) for n, c in spans.items()])
-    joined = answered.join(middle, s.slice_keys)
-    inside = s.window(s.time).rangeBetween(-span_ms, -1)
+    joined = answered
+    if most > 1:  # whole slices between: after the first of the range and before the own
+        summary = told.groupBy(*s.slice_keys).agg(*[part.rows(F.col(f"_{name}")).alias(f"_{name}") for name, (part, _) in wanted.items()])
+        spans = {}
+        for k in (most, most - 1):
+            between = s.over_slices().rangeBetween(-(k - 1), -1) if k > 1 else None
+            for name, (part, _) in wanted.items():
+                column = F.col(f"_{name}")
+                spans[f"_mid{k}_{name}"] = part.merge(column).over(between) if between is not None else F.lit(None).cast("double")
+        joined = answered.join(summary.select(*s.slice_keys, *[c.alias(n) for n, c in spans.items()]), s.slice_keys)
+    inside = s.window(s.time).rangeBetween(Window.unboundedPreceding, -1)  # the slice begins after t - span_ms
     back = F.col(SLICE) - F.col("_first")
     out = {}
     for name, (part, value) in wanted.items():
-        mid = F.when(back == most, F.col(f"_mid{most}_{name}")).when(back == most - 1, F.col(f"_mid{most - 1}_{name}"))
-        out[name] = part.both(F.col(f"_end_{name}"), mid, part.rows(value).over(inside))
+        parts = [F.col(f"_end_{name}"), part.rows(value).over(inside)]
+        if most > 1:
+            mid = F.when(back == most, F.col(f"_mid{most}_{name}")).when(back == most - 1, F.col(f"_mid{most - 1}_{name}"))
+            parts.insert(1, mid)
+        out[name] = part.both(*parts)
     kept = [c for c in df.columns if c not in out]
     return joined.select(*kept, SLICE, *[c.alias(n) for n, c in out.items()])

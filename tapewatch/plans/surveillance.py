@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapewatch.operators.signals import baseline_columns, wash_columns, wash_lookback, with_incident, with_risk
+from tapewatch.operators.signals import baseline_columns, wash_lookback, with_incident, with_risk
 from tapewatch.operators.slices import Slicing, drop_halo, with_context
 from tapewatch.operators.ticks import TICKS, number_ticks, with_step
 from tapewatch.session import cut_lineage
@@ -22,17 +22,12 @@ def native_scores(
     s: Slicing = TICKS,
 ) -> DataFrame:
     """Every tick with position, session, unclipped z-score, VWAP divergence,
-    fixed-lookback wash rule, risk, flag, type and fired signals. All windows
-    share one shuffle of the ticks by (ticker, slice), except that a look-back
-    over several slices is put together first."""
-    if lookback_ms > s.width_ms:
-        known = wash_lookback(ticks, lookback_ms, price_range, volume_ratio, 4, s)
-        halo = with_context(known, s, rows=20, cols=["price", "volume"], source=ticks)
-        washed = drop_halo(baseline_columns(with_step(halo, session_gap_ms, s), 20, 10, s))
-    else:
-        halo = with_context(ticks, s, rows=20, span_ms=lookback_ms, cols=["price", "volume"])
-        halo = baseline_columns(with_step(halo, session_gap_ms, s), 20, 10, s)
-        washed = drop_halo(wash_columns(halo, lookback_ms, price_range, volume_ratio, 4, s))
+    fixed-lookback wash rule, risk, flag, type and fired signals. The look-back
+    is put together first; all other windows share one shuffle of the ticks by
+    (ticker, slice)."""
+    known = wash_lookback(ticks, lookback_ms, price_range, volume_ratio, 4, s)
+    halo = with_context(known, s, rows=20, cols=["price", "volume"], source=ticks)
+    washed = drop_halo(baseline_columns(with_step(halo, session_gap_ms, s), 20, 10, s))
     scored = number_ticks(washed, ticks, session_gap_ms, s)
     return with_risk(
         scored,

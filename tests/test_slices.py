@@ -190,3 +190,17 @@ def test_plans_have_no_pair_enumeration_and_no_whole_ticker_window(frame):
         for line in plan.splitlines():
             if "Window [" in line and "event_time_ms" in line.split("]")[-2]:
                 assert "slice_id" in line
+
+
+def test_no_look_back_slides_over_ticks(frame):
+    """A frame that slides adds all of its rows up again for every tick."""
+    s = Slicing(width_ms=10_000_000)
+    looks = [
+        signals.wash_lookback(frame, 61_234, s=s),
+        signals.trailing_time_stats(frame, 61_234, s=s),
+        native_scores(frame, lookback_ms=61_234, s=s),
+        signals.wash_lookback(frame, 61_234, s=s.by(width_ms=10_000)),
+    ]
+    for look in looks:
+        plan = look._jdf.queryExecution().optimizedPlan().toString()
+        assert "RangeFrame, -61234" not in plan and "RangeFrame, unbounded" in plan
