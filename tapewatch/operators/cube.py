@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField
 
 from tapewatch.functions.columns import prf_columns
-from tapewatch.operators.detect import INPUT, book_row, score_slices, split_unit, typed, unit_schema
+from tapewatch.operators.detect import INPUT, SLICE_ROWS, book_row, score_slices, split_unit, typed, unit_schema
 from tapewatch.operators.kernel import _clipped_zscore, _vwap_divergence, trailing, wash_rule
 from tapewatch.operators.slices import SLICE, Slicing
 from tapewatch.operators.ticks import TICKS
@@ -153,7 +153,7 @@ def exceedance_cube(
     base: DetectorParams = DetectorParams(),
     by: Sequence[str] = ("label",),
     s: Slicing = TICKS,
-    target_rows: int = 1_000_000,
+    target_rows: int = SLICE_ROWS,
     burn_ticks: int = 8_192,
 ) -> DataFrame:
     """One row per ticker, group of the ``by`` columns and occupied cell:
@@ -168,10 +168,10 @@ def exceedance_cube(
     cell_fields = [StructField("ticker", StringType()), *[narrow.schema[c] for c in by], *CELL]
     schema = unit_schema(cell_fields)
 
-    def score(pdf: pd.DataFrame, starts: dict) -> pd.DataFrame:
+    def score(pdf: pd.DataFrame, starts: dict) -> list[pd.DataFrame]:
         own, burn = split_unit(pdf, order)
         if own.empty:
-            return typed(pd.DataFrame(), schema)
+            return []
         ticker, slice_id = own["ticker"].iat[0], int(own[SLICE].iat[0])
         state = json.loads(starts[""]) if starts.get("") else None
         if burn is not None:
@@ -191,9 +191,9 @@ def exceedance_cube(
             rows[c] = keys[c].to_numpy()[cells["group"]]
         rows["ticker"] = ticker
         book = book_row(ticker, arrays[0], base.gap_reset_ms, start, json.dumps(state, sort_keys=True))
-        return pd.concat([typed(p.assign(param_id="", **{SLICE: slice_id}), schema) for p in (rows, book)], ignore_index=True)
+        return [typed(p.assign(param_id="", **{SLICE: slice_id}), schema) for p in (rows, book)]
 
-    counted = score_slices(narrow, score, schema, target_rows, burn_ticks)
+    counted = score_slices(narrow, score, schema, target_rows, burn_ticks, base.wash_lookback_ms)
     keys = ["ticker", *by, "window", "wash", "z_level", "vwap_level", "washed"]
     return cut_lineage(counted.groupBy(*keys).agg(F.sum("n").alias("n")))
 

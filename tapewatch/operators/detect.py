@@ -12,8 +12,9 @@ tasks as it has slices.
 
 from __future__ import annotations
 
+import hashlib
 import json
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -64,9 +65,12 @@ def typed(frame: pd.DataFrame, schema: StructType) -> pd.DataFrame:
 
 
 def book_row(ticker: str, ms, reset_ms: int, start: str, end: str) -> pd.DataFrame:
+    """The bookkeeping of a slice. Of the state it starts from only the digest
+    is kept: nothing starts there again."""
+    digest = hashlib.sha256(start.encode()).hexdigest()
     return pd.DataFrame(
         {"ticker": [ticker], "first_ms": [int(ms[0])], "last_ms": [int(ms[-1])], "reset_ms": [int(reset_ms)],
-         "start_state": [start], "end_state": [end]}
+         "start_state": [digest], "end_state": [end]}
     )
 
 
@@ -81,13 +85,12 @@ def split_unit(pdf: pd.DataFrame, order: list[str]) -> tuple[pd.DataFrame, pd.Da
 
 def _score_unit(
     pdf: pd.DataFrame, order: list[str], params: Mapping[str, DetectorParams], starts: dict, carried: list[str], schema: StructType
-) -> pd.DataFrame:
+) -> Iterator[pd.DataFrame]:
     own, burn = split_unit(pdf, order)
     if own.empty:  # the slice only sees ticks of an earlier one
-        return typed(pd.DataFrame(), schema)
+        return
     ticker, slice_id = own["ticker"].iat[0], int(own[SLICE].iat[0])
     arrays = [own[c].to_numpy() for c in INPUT[1:]]
-    frames = []
     for name, p in params.items():
         state = json.loads(starts[name]) if starts.get(name) else None
         if burn is not None:
@@ -98,26 +101,35 @@ def _score_unit(
         for c in carried:
             rows[c] = own[c].to_numpy()[kept]
         book = book_row(ticker, arrays[0], p.gap_reset_ms, start, _dump(state))
-        frames += [typed(part.assign(param_id=name, **{SLICE: slice_id}), schema) for part in (rows, book)]
-    return pd.concat(frames, ignore_index=True)
+        for part in (rows, book):
+            yield typed(part.assign(param_id=name, **{SLICE: slice_id}), schema)
 
 
 BROADCAST_ROWS = 200_000
+SLICE_ROWS = 50_000  # ticks a task scores at a time: what it holds does not grow with a ticker
 
 
-def slice_plan(ticks: DataFrame, target_rows: int, burn_ticks: int) -> DataFrame:
+def slice_plan(ticks: DataFrame, target_rows: int, burn_ticks: int, reach_ms: int = 0) -> DataFrame:
     """Per ticker: where its slices start, how wide they are and how far back
-    the replay reaches. A slow ticker gets wide slices, a hot one narrow ones."""
+    the replay reaches. A slow ticker gets wide slices, a hot one narrow ones.
+
+    ``reach_ms`` is the look-back of the scorer. No slice is narrower, so that
+    all that the states remember of the past is no more than the ticks
+    themselves and a slice settles in a round or two however dense they are;
+    and a replay sees the look-back of its first tick."""
     per = ticks.groupBy("ticker").agg(
         F.count("*").alias("_n"), F.min("event_time_ms").alias("_first"), F.max("event_time_ms").alias("_last")
     )
     slices = F.greatest(F.lit(1), F.floor(F.col("_n") / target_rows))
+    if reach_ms:
+        slices = F.greatest(F.lit(1), F.least(slices, F.floor((F.col("_last") - F.col("_first")) / reach_ms)))
     width = F.floor((F.col("_last") - F.col("_first")) / slices) + 1
     share = F.lit(burn_ticks) / (F.col("_n") / slices)
-    burn = F.ceil(width * share)
+    burn = F.ceil(width * share) + (reach_ms if burn_ticks else 0)
     return per.select(
-        "ticker", "_first", width.alias("_width"), burn.cast("long").alias("_burn"), (slices - 1).alias("_final")
-    )
+        "ticker", "_first", width.alias("_width"), burn.cast("long").alias("_burn"), (slices - 1).alias("_final"),
+        F.ceil(F.col("_n") / slices).alias("_rows"),
+    )
 
 
 def _with_slices(ticks: DataFrame, plan: DataFrame, halo: bool) -> DataFrame:
@@ -133,25 +145,29 @@ def _with_slices(ticks: DataFrame, plan: DataFrame, halo: bool) -> DataFrame:
 
 
 def score_slices(
-    ticks: DataFrame, score: Callable[[pd.DataFrame, dict], pd.DataFrame], schema: StructType, target_rows: int, burn_ticks: int
-) -> DataFrame:
+    ticks: DataFrame, score: Callable[[pd.DataFrame, dict], Iterable[pd.DataFrame]], schema: StructType, target_rows: int,
+    burn_ticks: int, reach_ms: int = 0,
+) -> DataFrame:
     """The rows that ``score`` gives for every slice of ``ticks``, as one pass
     over each ticker would.
 
-    ``score(slice, starts)`` returns rows of ``schema`` (``unit_schema``), one
-    bookkeeping row for each parameter set among them. ``starts`` is empty at
+    ``score(slice, starts)`` gives frames of ``schema`` (``unit_schema``), which
+    leave the task one by one, a bookkeeping row for each parameter set among
+    them. ``starts`` is empty at
     first; slices whose start differs from where their predecessor ended are
-    scored again, for the sets named in ``starts``, from the states there."""
-    plan = cut_lineage(slice_plan(ticks, target_rows, burn_ticks))  # one row per ticker
-    size = plan.agg(F.count("*").alias("tickers"), F.max("_final").alias("final")).first()
+    scored again, for the sets named in ``starts``. Each round replays twice as
+    many slices before such a one, from the state at the end of the last that
+    is not replayed, as long as they are no more ticks than a usual slice."""
+    plan = cut_lineage(slice_plan(ticks, target_rows, burn_ticks, reach_ms))  # one row per ticker
+    size = plan.agg(F.count("*").alias("tickers"), F.max("_final").alias("final"), F.max("_rows").alias("rows")).first()
     if size["tickers"] <= BROADCAST_ROWS:
         plan = F.broadcast(plan)
 
-    def first_pass(pdf: pd.DataFrame) -> pd.DataFrame:
-        return score(pdf, {})
+    def first_pass(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from score(pd.concat(list(parts), ignore_index=True), {})
 
     def again(pdf: pd.DataFrame, fix: pd.DataFrame) -> pd.DataFrame:
-        return score(pdf, dict(zip(fix["param_id"], fix["start"])))
+        return pd.concat(list(score(pdf, dict(zip(fix["param_id"], fix["start"])))), ignore_index=True)
 
     def rows_only(df: DataFrame) -> DataFrame:
         return df.filter(F.col("end_state").isNull()).drop(SLICE, *[f.name for f in BOOK])
@@ -163,16 +179,18 @@ def score_slices(
     unit = ["param_id", "ticker", SLICE]
     rounds = 0
     while True:
+        rounds += 1
+        back = max(1, min(2**rounds, SLICE_ROWS // max(size["rows"], 1)))
         states = result.filter(F.col("end_state").isNotNull())
         # only digests of the states are lined up per ticker
         books = states.select(
             *unit, "first_ms", "last_ms", "reset_ms",
-            F.sha2("start_state", 256).alias("start"), F.sha2("end_state", 256).alias("end"),
+            F.col("start_state").alias("start"), F.sha2("end_state", 256).alias("end"),
         ).select(
             *unit, "first_ms", "reset_ms", "start",
             F.lag("end").over(previous).alias("expected"),
             F.lag("last_ms").over(previous).alias("before_ms"),
-            F.lag(SLICE).over(previous).alias("_from"),
+            F.coalesce(F.lag(SLICE, back).over(previous), F.first(SLICE).over(previous)).alias("_from"),
         )
         differs = books.filter(
             F.col("expected").isNotNull()
@@ -180,12 +198,15 @@ def score_slices(
             & (F.col("start") != F.col("expected"))
         ).select(*unit, "_from")
         ends = states.select("param_id", "ticker", F.col(SLICE).alias("_from"), F.col("end_state").alias("start"))
-        wrong = cut_lineage(differs.join(ends, ["param_id", "ticker", "_from"]).select(*unit, "start"))
+        wrong = cut_lineage(differs.join(ends, ["param_id", "ticker", "_from"]).select(*unit, "_from", "start"))
         if wrong.isEmpty():
             break
-        rounds += 1
-        todo = wrong.select("ticker", SLICE).distinct()
-        units = _with_slices(ticks, plan, halo=False).join(todo, ["ticker", SLICE], "left_semi")
+        todo = wrong.select("ticker", SLICE, "_from").distinct()
+        todo = todo.select(
+            "ticker", F.col(SLICE).alias("_unit"), F.explode(F.sequence(F.col("_from") + 1, F.col(SLICE))).alias("_own")
+        )
+        units = _with_slices(ticks, plan, halo=False).withColumnRenamed(SLICE, "_own").join(todo, ["ticker", "_own"])
+        units = units.select(*ticks.columns, F.col("_unit").alias(SLICE), (F.col("_own") != F.col("_unit")).alias(HALO))
         redone = units.groupBy("ticker", SLICE).cogroup(wrong.groupBy("ticker", SLICE)).applyInPandas(again, schema)
         kept = result.join(wrong, unit, "left_anti").select(*schema.fieldNames())
         result = kept.unionByName(cut_lineage(redone))
@@ -198,7 +219,7 @@ def detect_batch(
     ticks: DataFrame,
     params: DetectorParams | Mapping[str, DetectorParams] = DetectorParams(),
     s: Slicing = TICKS,
-    target_rows: int = 1_000_000,
+    target_rows: int = SLICE_ROWS,
     burn_ticks: int = 8_192,
     carry: Sequence[str] = (),
 ) -> DataFrame:
@@ -220,7 +241,7 @@ def detect_batch(
     schema = unit_schema([*SCORED.fields, *[narrow.schema[c] for c in carried]])
     rows = score_slices(
         narrow, lambda pdf, starts: _score_unit(pdf, order, {k: sets[k] for k in starts or sets}, starts, carried, schema),
-        schema, target_rows, burn_ticks,
+        schema, target_rows, burn_ticks, max(p.wash_lookback_ms for p in sets.values()),
     )
     return rows if many else rows.drop("param_id")
 

@@ -160,3 +160,15 @@ def test_checkpoint_path_names_the_layout():
     from tapewatch.schemas import STATE_LAYOUT_VERSION
 
     assert checkpoint_path("/data/ck/", "detector") == f"/data/ck/state-v{STATE_LAYOUT_VERSION}/detector"
+
+
+def test_slices_are_no_narrower_than_the_look_back_and_settle_in_few_rounds(spark, monkeypatch):
+    dense = random_ticks(spark, 3_000, tickers=("A",), step=20, seed=9)  # 60 s in all
+    params = PARAMS.with_(wash_lookback_ms=5_000, wash_lookback_ticks=0.0)
+    wide = detect.slice_plan(dense, 30, 5, params.wash_lookback_ms).first()
+    assert wide["_width"] >= params.wash_lookback_ms and wide["_burn"] > params.wash_lookback_ms
+    written, plain = [], detect.cut_lineage
+    monkeypatch.setattr(detect, "cut_lineage", lambda df: written.append(1) or plain(df))
+    got = detect.detect_batch(dense, params.with_(wash_lookback_ms=1), target_rows=50, burn_ticks=5)
+    assert_same(detect.detect_batch(dense, params.with_(wash_lookback_ms=1)), got)
+    assert len(written) < 2 + 2 * 10 + 2  # two tables a round; 60 slices that replay five ticks took a round each
