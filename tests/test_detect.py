@@ -1,5 +1,7 @@
 """Batch and streaming detector: one result however the ticks are cut."""
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,10 +12,10 @@ from tapewatch.params import DetectorParams
 from tapewatch.schemas import ANOMALIES, EXACT_FIELDS, FLOAT_FIELDS, RAW_EVENTS, SCORED, TICK
 from tapewatch.sources.files import stream_ticks_from_files
 from tapewatch.sources.tables import read_table
-from tapewatch.streaming.detect import SCORED_WITH_LATE, checkpoint_path, detect_stream
+from tapewatch.streaming.detect import SCORED_WITH_LATE, TickScorer, checkpoint_path, detect_stream
 from tapewatch.streaming.progress import progress_summary
 from tapewatch.streaming.sinks import build_sink, start_sink
-from tests.conftest import random_ticks
+from tests.conftest import START, random_ticks
 
 PARAMS = DetectorParams(z_threshold=4.0, ewma_threshold=3.0)
 
@@ -172,3 +174,46 @@ def test_slices_are_no_narrower_than_the_look_back_and_settle_in_few_rounds(spar
     got = detect.detect_batch(dense, params.with_(wash_lookback_ms=1), target_rows=50, burn_ticks=5)
     assert_same(detect.detect_batch(dense, params.with_(wash_lookback_ms=1)), got)
     assert len(written) < 2 + 2 * 10 + 2  # two tables a round; 60 slices that replay five ticks took a round each
+
+
+class Kept:
+    """The value state of one key."""
+
+    def __init__(self):
+        self.value = None
+
+    def getValueState(self, name, schema):
+        return self
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+
+def scored_by_stream(frames, with_late=False):
+    scorer, state = TickScorer(PARAMS, with_late), Kept()
+    scorer.init(state)
+    return [list(scorer.handleInputRows(("A",), iter(parts), None)) for parts in frames], state.value
+
+
+def test_a_dense_ticker_is_scored_in_bounded_pieces(monkeypatch):
+    rng = np.random.default_rng(5)
+    n, late = 1_000, 150
+    ms = START + np.cumsum(rng.integers(0, 2_000, n))
+    pdf = pd.DataFrame({"ticker": "A", "event_time_ms": ms, "price": 100 + rng.normal(0, 0.1, n), "volume": rng.integers(1, 90, n) * 1.0})
+    pdf["arrival"] = np.arange(n)
+    again = pdf.head(late)  # all before the last tick
+    batches = [[pdf.sample(frac=1, random_state=1).iloc[:400], pdf.sample(frac=1, random_state=1).iloc[400:]]]
+    batches.append([again, pdf.assign(event_time_ms=ms + ms[-1] - START + 1, arrival=pdf["arrival"] + n)])
+    whole, end = scored_by_stream(batches, True)
+    monkeypatch.setattr("tapewatch.streaming.detect.SLICE_ROWS", 100)
+    pieces, end_of_pieces = scored_by_stream(batches, True)
+    assert max(len(f) for parts in pieces for f in parts) <= 100 < max(len(f) for parts in whole for f in parts)
+    for a, b in zip(whole, pieces):
+        pd.testing.assert_frame_equal(pd.concat(a, ignore_index=True), pd.concat(b, ignore_index=True))
+    assert end == end_of_pieces and (pieces[1][0]["late_dropped"] > 0).all()
