@@ -32,7 +32,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of near-duplicates:
-    five-word shingles, similarity 0.8 or more."""
+    candidates by SimHash fingerprints, then by MinHash keys, and an exact check
+    of five-word shingles, similarity 0.8 or more."""
     return simhash.drop_near_duplicates(docs, near=jaccard.near_duplicates).select(*COLUMNS)
 
 

@@ -1,10 +1,12 @@
 """Near-duplicates by the exact Jaccard similarity of word shingles.
 
-Documents with the same set of shingles are counted as one. A set is signed by
-BANDS keys of ROWS minima each; sets that share a key are candidates, and
-candidates are linked if the exact similarity of their sets is high enough. At
-similarity 0.8 two sets share no key with probability (1 - 0.8**ROWS)**BANDS,
-5e-8; 64 SimHash bits differ in about ten there, too many to index.
+Documents with the same set of shingles are counted as one. Sets whose SimHash
+fingerprints are linked (``simhash.links``) are candidates first. Fingerprints
+miss most pairs near 0.8, where about ten of 64 bits differ, too many to index;
+so a set is also signed by BANDS keys of ROWS minima each, and sets that share a
+key and are not connected yet are candidates too. Candidates are linked if the
+exact similarity of their sets is high enough. At similarity 0.8 two sets share
+no key with probability (1 - 0.8**ROWS)**BANDS, 5e-8.
 
 A bucket of many sets is not paired off at once. Its first set (the pivot) is
 compared with the others, which links a large group of near copies. Sets of
@@ -22,10 +24,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
+from tapewatch.llm import simhash
 from tapewatch.llm.common import Scratch, bounded_batches, releasing
 from tapewatch.llm.components import connected
 from tapewatch.llm.decontam import CHUNK, ShingleHasher
@@ -36,6 +39,7 @@ BANDS = 32
 ROWS = 4
 LONGS = ArrayType(LongType())
 MORE_PIVOTS = 8  # times as many in each round
+PLACES = 1 << 25  # bits that say which keys are asked for
 COUNTERS = 1 << 18  # cells of the shingle counts that order shingles
 SPACE = (9, 10, 11, 12, 13, 32)  # words as in ``simhash``: ASCII white space, only A-Z lower-cased
 _WORD = np.array([i not in SPACE for i in range(256)])
@@ -92,7 +96,7 @@ def band_keys(hashes: np.ndarray, cuts: np.ndarray) -> np.ndarray:
 
 
 def _signed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, set, n, keys) of every row."""
+    """(key, set, n, fp, keys) of every row; ``fp`` is the SimHash fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = ShingleHasher(SHINGLE, _WORD)
@@ -103,27 +107,49 @@ def _signed(docs: DataFrame, key: str, text: str) -> DataFrame:
                 full = np.flatnonzero(n)
                 keys = band_keys(hashes, np.append(cuts[:-1][full], cuts[-1]))
                 offsets = np.concatenate(([0], np.cumsum((n > 0) * BANDS))).astype(np.int32)
+                texts = batch.column(1).slice(at, len(n))
+                prints = (simhash.fingerprint(simhash.shingle_hashes(t.as_py() or "")) for t in texts)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(at, len(n)),
                         pa.array(_names(hashes, cuts)),
                         pa.array(n, pa.int64()),
+                        pa.array(np.fromiter(prints, np.uint64, len(n)).view(np.int64)),
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.reshape(-1))),
                     ],
-                    [key, "set", "n", "keys"],
+                    [key, "set", "n", "fp", "keys"],
                 )
                 at += len(n)
 
-    fields = docs.select(key).schema.add("set", "long").add("n", "long").add("keys", LONGS)
+    fields = docs.select(key).schema.add("set", "long").add("n", "long").add("fp", "long").add("keys", LONGS)
     return docs.select(key, text).mapInArrow(releasing(run), fields)
 
 
-def _shingled(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, set, shingles) of every row."""
+def _place(key: str) -> Column:
+    return F.xxhash64(key).bitwiseAND(F.lit(PLACES - 1))
+
+
+def _places(keys: DataFrame, key: str) -> np.ndarray:
+    """A bit for each of PLACES, set where a key of ``keys`` falls; at most
+    PLACES / 64 rows come back."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("place").bitwiseAND(63).cast("int"))
+    words = keys.select(_place(key).alias("place")).groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
+    found, out = words.toArrow(), np.zeros(PLACES >> 6, np.int64)
+    out[found["word"].to_numpy()] = found["bits"].to_numpy()
+    return out
+
+
+def _shingled(docs: DataFrame, asked: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, set, shingles) of the rows whose key is in ``asked``, and of a few
+    others whose key falls where one of those does. Texts stay where they are,
+    however many keys are asked for."""
+    sent = docs.sparkSession.sparkContext.broadcast(_places(asked, key))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = ShingleHasher(SHINGLE, _WORD)
         for batch in batches:
+            place = batch.column(2).to_numpy()
+            batch = batch.filter(pa.array((sent.value[place >> 6] >> (place & 63)) & 1 == 1))
             at = 0
             for hashes, cuts in _sets(batch.column(1), hasher):
                 n = len(cuts) - 1
@@ -133,7 +159,7 @@ def _shingled(docs: DataFrame, key: str, text: str) -> DataFrame:
                 at += n
 
     fields = docs.select(key).schema.add("set", "long").add("shingles", LONGS)
-    return docs.select(key, text).mapInArrow(releasing(run), fields)
+    return docs.select(key, text, _place(key).alias("place")).mapInArrow(releasing(run), fields)
 
 
 def _counts(shingled: DataFrame) -> np.ndarray:
@@ -203,12 +229,35 @@ def _with_pivot(sets: DataFrame) -> DataFrame:
     )
 
 
+def _with_print(sets: DataFrame) -> DataFrame:
+    """(a, b, n_a, n_b): the first set of every fingerprint with the others that
+    have it, and the first sets of linked fingerprints."""
+    scratch = Scratch(sets.sparkSession)
+    prints = scratch.write(sets.groupBy("fp").agg(F.min(F.struct("set", "n")).alias("first"), F.count("*").alias("m")))
+    many = prints.filter("m > 1").select("fp", "first")
+    same = sets.join(many, "fp").filter(F.col("set") != F.col("first.set")).select("first", F.struct("set", "n").alias("other"))
+    a, b = (prints.select(F.col("fp").alias(c), F.col("first").alias(f)) for c, f in (("a", "first"), ("b", "other")))
+    linked = simhash.links(prints.select("fp")).join(a, "a").join(b, "b").select("first", "other")
+    return same.unionByName(linked).select(
+        F.col("first.set").alias("a"), F.col("other.set").alias("b"), F.col("first.n").alias("n_a"), F.col("other.n").alias("n_b")
+    )
+
+
+def _rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """``pairs`` with the roots of both sets, ``root_a`` and ``root_b``."""
+    a, b = (roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
+    return pairs.join(a, "a", "left").join(b, "b", "left").withColumns({f"root_{c}": F.coalesce(f"root_{c}", c) for c in "ab"})
+
+
+def _open(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs that are not connected."""
+    return _rooted(pairs, roots).filter("root_a <> root_b").select(*pairs.columns)
+
+
 def _not_connected(paired: DataFrame, roots: DataFrame) -> DataFrame:
     """(set, root): the sets around first sets that some of theirs are not
     connected to."""
-    a, b = (roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
-    around = paired.filter("crowded").join(a, "a", "left").join(b, "b", "left")
-    around = around.withColumns({f"root_{c}": F.coalesce(f"root_{c}", c) for c in "ab"})
+    around = _rooted(paired.filter("crowded"), roots)
     split = around.filter("root_a <> root_b").select("a").distinct()
     of_both = F.array(*[F.struct(F.col(c).alias("set"), F.col(f"root_{c}").alias("root")) for c in "ab"])
     return around.join(split, "a", "left_semi").select(F.explode(of_both).alias("s")).select("s.*").distinct()
@@ -242,15 +291,18 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", le
     scratch = Scratch(docs.sparkSession)
     named = docs.filter(F.col(key).isNotNull()).select(key, text)
     signed = scratch.write(_signed(named, key, text))
-    sets = scratch.write(signed.groupBy("set").agg(F.min(key).alias("_least"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+    sets = signed.groupBy("set").agg(F.min(key).alias("_least"), F.first("n").alias("n"), F.min("fp").alias("fp"), F.first("keys").alias("keys"))
+    sets = scratch.write(sets)
+    enough = F.least("n_a", "n_b") / F.greatest("n_a", "n_b") >= least
+    printed = scratch.write(_with_print(sets.filter("n > 0").select("set", "n", "fp")).filter(enough).select("a", "b"))
     paired = scratch.write(_with_pivot(sets))
-    either = paired.select(F.explode(F.array("a", "b")).alias("set")).distinct()
+    either = paired.select("a", "b").unionByName(printed).select(F.explode(F.array("a", "b")).alias("set")).distinct()
     met = scratch.write(either.join(sets.select("set", "_least"), "set").withColumnRenamed("_least", key))
-    asked = named.join(met.select(key), key, "left_semi")
-    shingled = _shingled(asked, key, text).join(met, [key, "set"], "left_semi")
+    shingled = _shingled(named, met, key, text).join(met, [key, "set"], "left_semi")
     shingled = scratch.write(shingled.select("set", "shingles").dropDuplicates(["set"]))
-    enough = F.least("n_a", "n_b") / F.greatest("n_a", "n_b") >= least
-    links = scratch.write(_similar(paired.filter(enough).select("a", "b"), shingled, least))
+    links = scratch.write(_similar(printed, shingled, least))
+    roots = scratch.write(connected(links))
+    links = links.unionByName(scratch.write(_similar(_open(paired, roots).filter(enough).select("a", "b"), shingled, least)))
     roots = scratch.write(connected(links))
     again = scratch.write(_not_connected(paired, roots))
     finer = _prefixed(scratch.write(shingled.join(again, "set", "left_semi")), least).join(again, "set")

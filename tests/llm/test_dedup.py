@@ -214,3 +214,21 @@ def test_pipeline_stage_links_all_pairs_of_similarity_0_8(spark):
     kept = [r.doc_id for r in corpus_pipeline.near_duplicates(spark, table, "").collect()]
     assert sorted(i for i in kept if i is not None) == sorted(set(root.values())) and kept.count(None) == 2
     assert jaccard.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_pipeline_stage_links_by_fingerprints_first(spark, monkeypatch):
+    """What fingerprints link is checked exactly, and what they cannot link is
+    still found; without MinHash keys they alone link near copies."""
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(3000)}" for _ in range(800)]
+    near, far = list(base), list(base)
+    near[400] = "x"
+    for i in range(0, 800, 100):
+        far[i] = "y"
+    rows = [(i, " ".join(t)) for i, t in enumerate([base, near, far, [f"z{i}" for i in range(50)]], 1)]
+    bits = [bin(fingerprint(rows[0][1]) ^ fingerprint(rows[i][1])).count("1") for i in (1, 2)]
+    assert bits[0] <= 2 < bits[1], bits
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs).collect()} == {1: 1, 2: 1, 3: 1, 4: 4}
+    monkeypatch.setattr(jaccard, "_with_pivot", lambda sets: sets.sparkSession.createDataFrame([], "a long, b long, n_a long, n_b long, crowded boolean"))
+    assert {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
