@@ -240,21 +240,28 @@ def _slots(stretches: DataFrame, slots: Column) -> DataFrame:
     return parts.withColumn("_slot", F.explode(F.sequence(first, F.least(first + SLOTS, F.col("_slots")) - 1)))
 
 
+def variant_base(ticks: DataFrame, s: Slicing = TICKS, session_gap_ms: int = SESSION_GAP_MS) -> tuple[DataFrame, DataFrame]:
+    """``(indexed ticks, sessions)``, which are the same for all variants."""
+    base = cut_lineage(indexed(ticks, session_gap_ms, s))
+    return base, cut_lineage(_sessions(base, population=False))
+
+
 def inject_variant(
-    ticks: DataFrame, variant: Variant, seed: int = 7, s: Slicing = TICKS, session_gap_ms: int = SESSION_GAP_MS
-) -> tuple[DataFrame, DataFrame]:
+    ticks: DataFrame, variant: Variant, seed: int = 7, s: Slicing = TICKS, session_gap_ms: int = SESSION_GAP_MS,
+    base: tuple[DataFrame, DataFrame] | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """``(ticks, spans)``: labelled ticks with as many events of the variant per
     ticker as it has original events of the family, as far as there is room.
 
     Free stretches between labels are filled with slots that fit the longest
     event plus the clearance to the next; of all slots of a ticker, those with
-    the smallest hash are used."""
-    base = cut_lineage(indexed(ticks, session_gap_ms, s))
+    the smallest hash are used. ``base`` is ``variant_base`` of the same ticks,
+    for several variants of them."""
+    base, sessions = base or variant_base(ticks, s, session_gap_ms)
     key = ("ticker", "pos")
     tail = SHOCK_TICKS if variant.family == "price_shock" else 0
     longest = variant.length[1] + tail
     step = longest + CLEARANCE
-    sessions = _sessions(base, population=False)
     targets = base.filter(F.col("label") == variant.family).groupBy("ticker").agg(F.count("*").alias("_target"))
     room = F.col("b") - F.col("a")
     slots = F.floor((room + CLEARANCE) / step)

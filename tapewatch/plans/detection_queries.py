@@ -644,9 +644,10 @@ WITH {indexed_sql(GAP_MS)}, {', '.join(variant_sql(v, 7, n) for n, v in VARIANTS
 {' UNION ALL '.join(f"SELECT '{v.kind}' AS kind, ticker, arrival, label, {s6('price')}, {s6('volume')} FROM {n}" for n, v in VARIANTS)}""")
 def inject_variants(spark, folder):
     """Every tick of one copy per variant, the held-out ones too."""
-    out = []
+    t, out = ticks(spark, folder), []
+    base = inject.variant_base(t, slices(spark, folder), GAP_MS)
     for _, v in VARIANTS:
-        data, _ = inject.inject_variant(ticks(spark, folder), v, 7, slices(spark, folder), GAP_MS)
+        data, _ = inject.inject_variant(t, v, 7, slices(spark, folder), GAP_MS, base)
         out.append(data.select(F.lit(v.kind).alias("kind"), "ticker", "arrival", "label", r6("price"), r6("volume")))
     return reduce(DataFrame.unionByName, out)
 
@@ -655,7 +656,9 @@ def inject_variants(spark, folder):
 WITH {indexed_sql(GAP_MS)}, {', '.join(variant_sql(v, 7, n) for n, v in VARIANTS)}
 {' UNION ALL '.join(f"SELECT ticker, start_pos, end_pos, kind FROM {n}_spans" for n, v in VARIANTS)}""")
 def variant_spans(spark, folder):
-    spans = [inject.inject_variant(ticks(spark, folder), v, 7, slices(spark, folder), GAP_MS)[1] for _, v in VARIANTS]
+    t = ticks(spark, folder)
+    base = inject.variant_base(t, slices(spark, folder), GAP_MS)
+    spans = [inject.inject_variant(t, v, 7, slices(spark, folder), GAP_MS, base)[1] for _, v in VARIANTS]
     return reduce(DataFrame.unionByName, spans)
 
 

@@ -44,3 +44,12 @@ def test_entry_returns_rows(spark):
 def test_every_oracle_belongs_to_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert set(registry.COVERS) == set(registry.QUERIES) <= set(entry.queries())
+
+
+def test_variants_share_the_indexed_ticks(spark, monkeypatch):
+    from tapewatch.operators import inject
+
+    calls, indexed = [], inject.indexed
+    monkeypatch.setattr(inject, "indexed", lambda *a, **k: calls.append(a) or indexed(*a, **k))
+    entry.queries()["inject_variants"](spark, SF)
+    assert len(calls) == 1
