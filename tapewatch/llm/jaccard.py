@@ -173,10 +173,9 @@ def _counts(shingled: DataFrame) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], ["cell", "n"])
 
-    out = np.zeros(COUNTERS, np.int64)
     summed = shingled.select("shingles").mapInArrow(releasing(run), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    for row in summed.toLocalIterator():
-        out[row["cell"]] = row["n"]
+    found, out = summed.toArrow(), np.zeros(COUNTERS, np.int64)
+    out[found["cell"].to_numpy()] = found["n"].to_numpy()
     return out
 
 
@@ -243,6 +242,12 @@ def _with_print(sets: DataFrame) -> DataFrame:
     )
 
 
+def _stars(roots: DataFrame) -> DataFrame:
+    """(a, b): what is connected already, in the fewest links. Later links are
+    joined to these, which takes fewer rounds than all links from the start."""
+    return roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+
+
 def _rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """``pairs`` with the roots of both sets, ``root_a`` and ``root_b``."""
     a, b = (roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
@@ -300,10 +305,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", le
     met = scratch.write(either.join(sets.select("set", "_least"), "set").withColumnRenamed("_least", key))
     shingled = _shingled(named, met, key, text).join(met, [key, "set"], "left_semi")
     shingled = scratch.write(shingled.select("set", "shingles").dropDuplicates(["set"]))
-    links = scratch.write(_similar(printed, shingled, least))
-    roots = scratch.write(connected(links))
-    links = links.unionByName(scratch.write(_similar(_open(paired, roots).filter(enough).select("a", "b"), shingled, least)))
-    roots = scratch.write(connected(links))
+    roots = scratch.write(connected(scratch.write(_similar(printed, shingled, least))))
+    links = scratch.write(_similar(_open(paired, roots).filter(enough).select("a", "b"), shingled, least))
+    roots = scratch.write(connected(_stars(roots).unionByName(links)))
     again = scratch.write(_not_connected(paired, roots))
     finer = _prefixed(scratch.write(shingled.join(again, "set", "left_semi")), least).join(again, "set")
     ranked = scratch.write(_apart(_bucketed(finer).drop("root"), roots, 0))
@@ -317,8 +321,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", le
         rest = F.least(F.col("p.n") - F.col("p.at"), F.col("o.n") - F.col("o.at"))
         open_ &= rest >= (F.col("p.n") + F.col("o.n")) * (least / (1 + least)) - 1e-6
         pairs = p.hint("merge").join(o, open_).select(F.col("p.set").alias("a"), F.col("o.set").alias("b")).distinct()
-        links = links.unionByName(scratch.write(_similar(pairs, shingled, least)))
-        roots = scratch.write(connected(links))
+        links = scratch.write(_similar(pairs, shingled, least))
+        roots = scratch.write(connected(_stars(roots).unionByName(links)))
         done, pivots = done + pivots, pivots * MORE_PIVOTS
         ranked = scratch.write(_apart(ranked.drop("root"), roots, done))
     member = sets.join(roots, F.col("set") == F.col("node"), "left").select(

@@ -13,7 +13,7 @@ stretches and their outputs averaged.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapewatch.llm.common import bounded_batches, releasing
+from tapewatch.llm.common import bounded_batches, release_memory, releasing
 
 UNKNOWN = "und"
 LANDMARKS = 48  # per language, at most
@@ -30,6 +30,7 @@ VOCABULARY = 4096  # n-grams compared
 LONGEST_TRAINING_TEXT = 1 << 20  # bytes; longer texts are left out of the sample
 WINDOW = 1 << 11  # bytes of a stretch: long texts are compared stretch by stretch, all of them
 ROWS = 256  # stretches per matrix product
+MERGED = 1 << 20  # n-grams counted at a time
 # first code of the n-grams of one, two and three bytes
 ONE, TWO, THREE, CODES = 0, 1 << 8, (1 << 8) + (1 << 16), (1 << 8) + (1 << 16) + (1 << 24)
 
@@ -46,6 +47,29 @@ def gram_codes(data: np.ndarray) -> list[np.ndarray]:
     return [wide, two + TWO, three + THREE]
 
 
+def gram_counts(texts: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, counts): the n-grams of the texts, sorted, and how many texts
+    have each. The driver holds no cell for an n-gram that no text has."""
+    codes, counts = np.zeros(0, np.int32), np.zeros(0, np.int64)
+    waiting: list[np.ndarray] = []
+
+    def merged() -> tuple[np.ndarray, np.ndarray]:
+        new, n = np.unique(np.concatenate([codes[:0], *waiting]), return_counts=True)
+        both, at = np.unique(np.concatenate((codes, new)), return_inverse=True)
+        total = np.zeros(len(both), np.int64)
+        total[at[: len(codes)]] = counts
+        total[at[len(codes) :]] += n
+        return both, total
+
+    for text in texts:
+        data = np.frombuffer(text.encode("utf-8"), np.uint8)
+        waiting += [np.unique(part) for part in gram_codes(data)]
+        if sum(map(len, waiting)) >= MERGED:
+            codes, counts = merged()
+            waiting = []
+    return merged()
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -145,15 +169,11 @@ def train(docs: DataFrame, text: str = "text", label: str = "lang", ridge: float
             chosen.append(i)
     texts = pa.array([r[2].lower() for r in rows], pa.large_string())
     # the grams that most landmarks have, with the weight of a rare one higher
-    count = np.zeros(CODES, np.int32)
-    for i in chosen:
-        data = np.frombuffer(rows[i][2].lower().encode("utf-8"), np.uint8)
-        for codes in gram_codes(data):
-            count[np.unique(codes)] += 1
-    order = np.argsort(-count, kind="stable")[:VOCABULARY]
-    grams = np.sort(order[count[order] > 0])
+    codes, count = gram_counts(rows[i][2].lower() for i in chosen)
+    most = np.sort(np.argsort(-count, kind="stable")[:VOCABULARY])
+    grams, count = codes[most], count[most]
     model = Model(languages, grams, np.zeros((len(grams), len(languages)), np.float32), np.zeros(len(grams), np.float32))
-    model.squares = np.log((1.0 + len(chosen)) / count[grams]).astype(np.float32) + 0.05
+    model.squares = np.log((1.0 + len(chosen)) / count).astype(np.float32) + 0.05
     lookup = model.lookup()
 
     def normed(p: np.ndarray) -> np.ndarray:
@@ -169,6 +189,8 @@ def train(docs: DataFrame, text: str = "text", label: str = "lang", ridge: float
     left = (kernel * share[:, None]).T @ kernel + ridge / len(rows) * own + 1e-9 * np.eye(len(chosen))
     alpha = np.linalg.solve(left, (kernel * share[:, None]).T @ target)
     model.weights = (weighted @ alpha).astype(np.float32)
+    del rows, texts, lookup, landmarks, weighted, kernel, own, target, left, alpha
+    release_memory()  # the driver goes on without the sample
     return model
 
 

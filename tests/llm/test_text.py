@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -157,6 +158,26 @@ def tokens():
     return packing.TextTokens(public_tokenizers.path("word_bpe_49k.json"))
 
 
+def test_training_holds_no_cell_for_every_possible_gram(spark, monkeypatch):
+    docs = spark.createDataFrame([("the cat sat on the mat", "en"), ("der Hund schläft", "de"), ("¿dónde está?", "es")], "text string, lang string")
+    langid.train(docs)  # imports and caches are not counted
+    tracemalloc.start()
+    model = langid.train(docs)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert model.languages == ["de", "en", "es"] and peak < 80 << 20  # the look-up alone takes 34 MB
+    texts, want = ["abcab", "", "ab", "xyz", "bca"], {}
+    for t in texts:
+        raw = t.encode()
+        for g in {raw[i : i + n] for n in (1, 2, 3) for i in range(len(raw) - n + 1)}:
+            code = int.from_bytes(g, "big") + (langid.ONE, langid.TWO, langid.THREE)[len(g) - 1]
+            want[code] = want.get(code, 0) + 1
+    for merged in (1, 4, 1 << 20):
+        monkeypatch.setattr(langid, "MERGED", merged)
+        codes, counts = langid.gram_counts(texts)
+        assert list(zip(codes.tolist(), counts.tolist())) == sorted(want.items())
+
+
 def test_word_table_gives_the_tokenizers_ids(tokens):
     texts = ["", "It's I'LL don't 'sa ''s 12½ ½²  İstanbul ΣΑΣ ñandú … a\xadb\x7f\x85 x\x1cy", "<|endoftext|> a b"]
     texts += ["naïve ßß ÿĀ!?.) ''ve", " a b 你好 é", "ǅ ǲ ª º µ × ÷ a×b", "e\u0301 x", "\x00 a", "a\u2028b"]
