@@ -84,8 +84,9 @@ def split_unit(pdf: pd.DataFrame, order: list[str]) -> tuple[pd.DataFrame, pd.Da
 
 
 def _score_unit(
-    pdf: pd.DataFrame, order: list[str], params: Mapping[str, DetectorParams], starts: dict, carried: list[str], schema: StructType
-) -> Iterator[pd.DataFrame]:
+    pdf: pd.DataFrame, order: list[str], params: Mapping[str, DetectorParams], starts: dict, carried: list[str], schema: StructType,
+    flags_only: bool = False,
+) -> Iterator[pd.DataFrame]:
     own, burn = split_unit(pdf, order)
     if own.empty:  # the slice only sees ticks of an earlier one
         return
@@ -100,6 +101,8 @@ def _score_unit(
         rows = scored_frame(ticker, *(a[kept] for a in arrays), columns)
         for c in carried:
             rows[c] = own[c].to_numpy()[kept]
+        if flags_only:
+            rows = rows[rows["is_anomaly"].to_numpy()]
         book = book_row(ticker, arrays[0], p.gap_reset_ms, start, _dump(state))
         for part in (rows, book):
             yield typed(part.assign(param_id=name, **{SLICE: slice_id}), schema)
@@ -222,6 +225,7 @@ def detect_batch(
     target_rows: int = SLICE_ROWS,
     burn_ticks: int = 8_192,
     carry: Sequence[str] = (),
+    flags_only: bool = False,
 ) -> DataFrame:
     """Scored ticks (``SCORED``, plus ``param_id`` when several parameter sets
     are given; all sets are scored in one read of the ticks).
@@ -230,7 +234,8 @@ def detect_batch(
     only speed: the slower averages need some thousand ticks to forget their
     start. ``s`` names the columns that order ticks. Columns in ``carry``
     (labels, periods) come out beside the scores of their tick; the kernel is
-    given time, price and volume and cannot read them."""
+    given time, price and volume and cannot read them. With ``flags_only`` the
+    ticks that no signal flags stay in the scorer."""
     many = isinstance(params, Mapping)
     sets = dict(params) if many else {"": params}
     order, carried = list(s.order), list(carry)
@@ -240,7 +245,7 @@ def detect_batch(
     narrow = ticks.select(*dict.fromkeys([*INPUT, *order, *carried]))
     schema = unit_schema([*SCORED.fields, *[narrow.schema[c] for c in carried]])
     rows = score_slices(
-        narrow, lambda pdf, starts: _score_unit(pdf, order, {k: sets[k] for k in starts or sets}, starts, carried, schema),
+        narrow, lambda pdf, starts: _score_unit(pdf, order, {k: sets[k] for k in starts or sets}, starts, carried, schema, flags_only),
         schema, target_rows, burn_ticks, max(p.wash_lookback_ms for p in sets.values()),
     )
     return rows if many else rows.drop("param_id")

@@ -61,8 +61,12 @@ def original_spans(ticks: DataFrame, windows: dict[str, int] = EVENT_WINDOW) ->
 
 def span_positions(spans: DataFrame) -> DataFrame:
     """One row per position inside each span. Spans last a few dozen ticks at
-    most, and the join key (ticker, pos) that follows is as fine as a tick."""
-    return spans.withColumn("pos", F.explode(F.sequence("start_pos", F.col("end_pos") - 1)))
+    most, and the join key (ticker, pos) that follows is as fine as a tick.
+
+    Spark takes the positions, and what is grouped from them, for as few bytes
+    as the spans. The hint, which holds for the next join, keeps them from being
+    broadcast through the driver by that guess."""
+    return spans.withColumn("pos", F.explode(F.sequence("start_pos", F.col("end_pos") - 1))).hint("merge")
 
 
 def cover_events(spans: DataFrame) -> DataFrame:

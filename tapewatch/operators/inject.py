@@ -149,6 +149,13 @@ def _spread_out(candidates: DataFrame, longest: int) -> DataFrame:
     return kept.select("ticker", "e.*")
 
 
+def _written_in(base: DataFrame, touched: DataFrame) -> DataFrame:
+    """Ticks with what changes them. Spark takes the spelled out ticks of the
+    events for as few bytes as the events: the hint keeps them from being
+    broadcast, through the driver, by that guess."""
+    return base.join(touched.hint("merge"), ["ticker", "pos"], "left")
+
+
 def inject_anomalies(
     ticks: DataFrame, rate: float = 0.008, seed: int = 42, s: Slicing = TICKS, session_gap_ms: int = SESSION_GAP_MS
 ) -> DataFrame:
@@ -186,7 +193,7 @@ def inject_anomalies(
         "ticker", F.col("pos").alias("start_pos"), "kind", "length", "anchor", "sigma", "size"
     ).withColumn("step", F.explode(F.sequence(F.lit(0), F.col("length") - 1)))
     touched = touched.withColumn("pos", F.col("start_pos") + F.col("step"))
-    rows = base.join(touched, ["ticker", "pos"], "left")
+    rows = _written_in(base, touched)
     shift = F.col("size") * (1 - F.col("step") / F.col("length"))
     flat = F.col("anchor") + normal(seed, "jitter", *key) * F.col("sigma") * JITTER_SIGMAS
     half = (F.col("ask") - F.col("bid")) / 2
@@ -294,7 +301,7 @@ def inject_variant(
         events.withColumn("step", F.explode(F.sequence(F.lit(0), (F.col("length") - 1).cast("int"))))
         .withColumn("pos", F.col("pos") + F.col("step"))
     )
-    rows = base.join(touched, ["ticker", "pos"], "left")
+    rows = _written_in(base, touched)
     hit = F.col("step").isNotNull()
     if variant.family == "price_shock":
         climb = (F.col("step") + 1) / F.col("_ramp")

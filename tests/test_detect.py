@@ -217,3 +217,9 @@ def test_a_dense_ticker_is_scored_in_bounded_pieces(monkeypatch):
     for a, b in zip(whole, pieces):
         pd.testing.assert_frame_equal(pd.concat(a, ignore_index=True), pd.concat(b, ignore_index=True))
     assert end == end_of_pieces and (pieces[1][0]["late_dropped"] > 0).all()
+
+
+def test_flags_alone_leave_the_scorer(ticks, whole):
+    flags = detect.detect_batch(ticks, PARAMS, target_rows=200, burn_ticks=1, flags_only=True)
+    assert flags.filter("NOT is_anomaly").isEmpty()
+    assert_same(whole.filter("is_anomaly"), flags)

@@ -242,3 +242,29 @@ def test_evaluation_report(quoted):
     }
     assert got["shock_ramp", "detector", "shock_ramp"]["events"] == 20
     assert all(0 <= r["precision"] <= 1 and 0 <= r["recall"] <= 1 for r in got.values())
+
+
+def broadcast_joins(df):
+    return df._jdf.queryExecution().sparkPlan().toString().count("BroadcastHashJoin")
+
+
+def test_spelled_out_positions_are_not_broadcast(spark, tmp_path):
+    """A table of spans is small to Spark, and so are all the positions in them."""
+    spark.range(1000).selectExpr("'A' AS ticker", "id * 9 AS start_pos", "id * 9 + 9 AS end_pos", "'wash_trade' AS kind").write.parquet(str(tmp_path / "s"))
+    spark.range(9000).selectExpr("'A' AS ticker", "id AS pos", "'wash_trade' AS family", "'A-1' AS incident_id").write.parquet(str(tmp_path / "f"))
+    spans, flags = (spark.read.parquet(str(tmp_path / n)) for n in "sf")
+    cover = evaluate.cover_events(spans)
+    assert broadcast_joins(flags.join(cover, ["ticker", "pos"], "left")) == 0
+    assert broadcast_joins(evaluate.caught_events(flags, spans)) == 0
+    assert broadcast_joins(evaluate.incident_rows(flags, spans)) == 0
+    (got,) = evaluate.event_metrics(flags, spans).collect()
+    assert (got["events"], got["detected"], got["precision"]) == (1000, 1000, 1.0)
+
+
+def test_changed_ticks_are_not_broadcast(spark):
+    t = labelled(spark, 300, price_shock=[150], wash_trade=[200]).select("ticker", "event_time_ms", "price", "volume", "arrival", "label")
+    variant, _ = inject.inject_variant(t, inject.EXISTING_VARIANTS[0], 7, S)
+    quoted = t.withColumns({"bid": F.col("price"), "ask": F.col("price")})
+    for df in (variant, inject.inject_anomalies(quoted, 0.5, 7, S)):
+        joins = [x for x in df._jdf.queryExecution().sparkPlan().toString().split("\n") if "Join " in x and "LeftOuter" in x]
+        assert joins and not any("BroadcastHashJoin" in x for x in joins)
