@@ -201,6 +201,11 @@ def score_slices(
             & (F.col("start") != F.col("expected"))
         ).select(*unit, "_from")
         ends = states.select("param_id", "ticker", F.col(SLICE).alias("_from"), F.col("end_state").alias("start"))
+        # states hold a look-back of ticks and are never broadcast, whatever Spark takes them for
+        if size["tickers"] * (size["final"] + 1) <= BROADCAST_ROWS:
+            differs = F.broadcast(differs)
+        else:
+            ends = ends.hint("merge")
         wrong = cut_lineage(differs.join(ends, ["param_id", "ticker", "_from"]).select(*unit, "_from", "start"))
         if wrong.isEmpty():
             break

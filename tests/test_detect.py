@@ -223,3 +223,20 @@ def test_flags_alone_leave_the_scorer(ticks, whole):
     flags = detect.detect_batch(ticks, PARAMS, target_rows=200, burn_ticks=1, flags_only=True)
     assert flags.filter("NOT is_anomaly").isEmpty()
     assert_same(whole.filter("is_anomaly"), flags)
+
+
+def test_states_are_not_broadcast(spark, ticks, monkeypatch):
+    plans, write = [], detect.cut_lineage
+
+    def seen(df):
+        if "_from" in df.columns:
+            plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        return write(df)
+
+    monkeypatch.setattr(detect, "cut_lineage", seen)
+    detect.detect_batch(ticks, PARAMS, target_rows=200, burn_ticks=1)
+    assert plans and all("Inner, BuildLeft" in p and "BuildRight" not in p for p in plans)
+    monkeypatch.setattr(detect, "BROADCAST_ROWS", 0)
+    plans.clear()
+    detect.detect_batch(ticks, PARAMS, target_rows=200, burn_ticks=1)
+    assert plans and not any("BroadcastHashJoin" in p for p in plans)
